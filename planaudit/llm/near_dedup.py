@@ -9,17 +9,19 @@ filters them, and the exact Jaccard of the full sets verifies.
 No list is expanded into all pairs. A list first yields a star (each member with
 its smallest member); once verified stars have been merged into components, a
 list only yields pairs whose ends are still in different components. A value
-retained by more than `hot` documents yields nothing unless both documents hold
-as many of them as they share at least: any other linked pair also shares a rarer one.
+retained by more than `hot` documents yields nothing: a linked pair shares a rarer
+one too, unless both documents hold as many such values as they must share. Those
+few documents are joined among themselves on the rarest values of their full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planaudit.llm import textops as tx
@@ -29,10 +31,14 @@ ESTIMATE = 32
 _ODD = tx.U(0xD6E8FEB86659FD93)
 
 
+def _unsigned(x: int) -> int:
+    return x & 0xFFFFFFFFFFFFFFFF
+
+
 def retained(n: int, percent: int) -> tuple[int, int]:
     """Values kept of a set of n, and how many of them a linked pair shares at least."""
     spare = n - -(-percent * n // 100)
-    margin = 2 + spare // 4
+    margin = 2 + spare // 4 + min(spare, 12)
     return min(n, spare + margin), margin
 
 
@@ -143,26 +149,41 @@ def _lists(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBat
     yield from flush(carry_v, carry_d)
 
 
-def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose union sketch may come from sets above the threshold.
+def _least_shared(percent: int) -> list[int]:
+    """How many of the m smallest values of a union a pair at the threshold shares, but for a chance below 1e-10."""
+    share, out = percent / 100, []
+    for m in range(ESTIMATE + 1):
+        tail, t = 0.0, 0
+        while t <= m and (tail := tail + comb(m, t) * share**t * (1 - share) ** (m - t)) < 1e-10:
+            t += 1
+        out.append(t)
+    return out
 
-    Of the 32 smallest values of the union, a pair at the threshold shares 27 on
-    average; fewer than 12 has a chance below 1e-10. A smaller sketch decides nothing.
-    """
-    least = int(ESTIMATE * percent / 100) - 15
+
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Keep pairs whose union sketch may come from sets above the threshold."""
+    least = _least_shared(percent)
     for batch in batches:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         keep = []
         for x, y in zip(a, b, strict=True):
-            if min(len(x), len(y)) < ESTIMATE:
-                keep.append(True)
-                continue
-            x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
-            union = np.union1d(x, y)[:ESTIMATE]
-            keep.append(int((np.isin(union, x) & np.isin(union, y)).sum()) >= least)
+            m = min(len(x), len(y))
+            union = sorted(set(x).union(y), key=_unsigned)[:m]
+            keep.append(len(set(x).intersection(y).intersection(union)) >= least[m])
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Full shingle sets of (doc_id, text)."""
+    for batch in batches:
+        data, offsets = tx.buffers(batch.column(1))
+        for low, high in tx.slices(offsets):
+            sets = list(shingle_sets(data, offsets[low : high + 1], width))
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), values], names=["a", "kept"])
+
+
 def _exact(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links among (a, b, text_a, text_b), by the exact Jaccard of full shingle sets."""
     last_id, last_set = None, np.zeros(0, np.uint64)
@@ -226,14 +247,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, hot: int
         return materialize(full.select("a", "b", "ta", "tb").mapInArrow(lambda it: _exact(it, width, percent), "a long, b long").distinct())
 
     # the smallest partner has m = ceil(percent * n / 100) shingles, and its margin bounds what the two share
-    margins = sizes.select(F.col("doc_id").alias("a"), (-F.floor(F.lit(-percent) * F.col("n") / 100)).alias("m"))
-    margins = margins.select("a", (2 + F.floor((F.col("m") + F.floor(F.lit(-percent) * F.col("m") / 100)) / 4)).alias("margin"))
-    common = found.where("kind = 1").select("a", F.col("b").alias("value"))
-    laden = common.groupBy("a").agg(F.count("*").alias("u")).join(margins, "a").where("u >= margin").select("a")
-    hot_lists = materialize(common.join(laden, "a", "left_semi"))
-    pivots = hot_lists.groupBy("value").agg(F.min("a").alias("b"))
-    stars = found.where("kind = 0").select("a", "b").unionByName(hot_lists.join(pivots, "value").where("a <> b").select("a", "b"))
-    tested = materialize(sized(stars.distinct()))
+    spare = "(m + floor(-%d * m / 100))" % percent
+    margins = sizes.select(F.col("doc_id").alias("a"), "n", (-F.floor(F.lit(-percent) * F.col("n") / 100)).alias("m")).select("a", "n", F.expr(f"2 + floor({spare} / 4) + least({spare}, 12)").alias("margin"))
+    common = found.where("kind = 1").groupBy("a").agg(F.count("*").alias("u"))
+    laden = materialize(common.join(margins, "a").where("u >= margin").select("a", "n"))
+    # among themselves, these documents are joined on the rarest values of their full sets
+    whole = materialize(laden.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "text").mapInArrow(lambda it: _full(it, width), "a long, kept array<long>").dropDuplicates(["a"]).select("a", F.explode("kept").alias("value")))
+    often = whole.groupBy("value").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy("a").orderBy("df", "value")
+    ranked = whole.join(often, "value").join(laden, "a").withColumn("at", F.row_number().over(rare_first)).where(f"at <= n + floor(-{percent} * n / 100) + 1")
+    prefix = materialize(ranked.where("df > 1").select("value", "a", "n", "at").join(ranked.groupBy("a").agg(F.count_if(F.col("df") == 1).alias("alone")), "a"))
+    # the member with the fewest values of its own is the nearest to all others
+    pivots = prefix.groupBy("value").agg(F.min(F.struct("alone", "a"))["a"].alias("b"))
+    central = prefix.join(pivots, "value").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tested = materialize(sized(found.where("kind = 0").select("a", "b").unionByName(central).distinct()))
     links = verified(tested)
     parts = connected_components(links)
 
@@ -244,11 +271,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, hot: int
     lists = found.where("kind = 2").select("members").distinct().select(F.xxhash64("members").alias("key"), F.explode("members").alias("a"))
     groups = placed(lists, "a").groupBy("key").agg(F.collect_set(F.struct("of_a", "a")).alias("m")).where(F.size(F.array_distinct(F.col("m.of_a"))) > 1)
     crossed = groups.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["a"] < F.col("x.a")) & (y["of_a"] != F.col("x.of_a")))).alias("y")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
-    split = placed(hot_lists, "a").select("value", "a", "of_a")
+    split = placed(prefix, "a").select("value", "a", "n", "at", "of_a")
     mixed = split.groupBy("value").agg(F.min("of_a").alias("lo"), F.max("of_a").alias("hi")).where("lo <> hi").select("value")
-    split = split.join(mixed, "value", "left_semi").join(sizes.withColumnRenamed("doc_id", "a"), "a")
-    other = split.select("value", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("n").alias("nb"))
-    wide = split.join(other, "value").where(f"a > b and of_a <> of_b and 100 * least(n, nb) >= {percent} * greatest(n, nb)").select("a", "b")
+    mine = prefix.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("p"))
+    split = materialize(split.join(mixed, "value", "left_semi").join(mine, "a"))
+    other = split.select("value", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("p").alias("pb"))
+    # a pair comes from the rarest value that its ends share; what they share besides lies behind it in both
+    enough = f"{100 + percent} * (least(n - at, nb - at_b) + 1) >= {percent} * (n + nb)"
+    wide = split.join(other, "value").where(f"a > b and of_a <> of_b and 100 * least(n, nb) >= {percent} * greatest(n, nb) and {enough} and value = array_intersect(p, pb)[0]").select("a", "b")
     rest = materialize(sized(crossed.unionByName(wide).distinct()).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = verified(rest)
