@@ -152,4 +152,4 @@ def weakest_link(scores: DataFrame) -> DataFrame:
 
 def score_curve(value: Column, full: float, zero: float, top: float = 10.0) -> Column:
     """`top` at `full`, 0 at `zero`, linear between, clamped outside; 0 for null."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(top), top * (zero - value) / (zero - full))), F.lit(0.0))
+    return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(top), top * (zero - value) / (zero - full))))
