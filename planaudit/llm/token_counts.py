@@ -5,7 +5,8 @@ after it). No piece of the vocabulary holds a space after another character, so
 no merge crosses a cut and a text's pieces are the sum over its pre-tokens. Every
 slice of documents sends each of its distinct pre-tokens once to the shard of its
 hash, with the frequencies per document; a shard counts the pieces of each
-distinct pre-token once, joins them to the frequencies and sums.
+distinct pre-token once, joins them to the frequencies and sums, one row for each
+slice; the sums of a slice's shards are added up.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from planaudit.llm import textops as tx
 
-SLICE = 4 << 20
+SLICE = 3 << 20
 SHARD_BYTES = 24 << 20
-SCHEMA = "home int, rows binary, doc binary, piece binary, times binary, text binary, size binary, ids binary, known binary"
+SCHEMA = "home int, slice long, rows binary, doc binary, piece binary, times binary, text binary, size binary, ids binary, known binary"
 
 
 @cache
@@ -76,7 +77,7 @@ def _deal(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
             each = rows_of[low:high].astype(np.int64)
             sizes = np.diff(shown[low : high + 1])
             empty = b"\x01"
-            out = [(int(each[0]) % shards, each.tobytes(), empty, empty, empty, b"", _small(sizes), ids[low:high].astype(np.int64).tobytes(), known[low:high].tobytes())]
+            out = [(int(each[0]) % shards, int(each[0]), each.tobytes(), empty, empty, empty, b"", _small(sizes), ids[low:high].astype(np.int64).tobytes(), known[low:high].tobytes())]
             own = data[offsets[low] : offsets[high]]
             start, end, at = _spans(own, offsets[low : high + 1])
             if not len(start):
@@ -109,27 +110,24 @@ def _deal(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
                 # without the space that the library adds by itself
                 texts = [raw[start[j] + (0 if head[j] else 1) : end[j]] for j in first[mine].tolist()]
                 lone = [b"\x00 " if not t else t for t in texts]
-                out.append((h, each[rows].tobytes(), _small(at_row), _small(place[which[sel]]), _small(times[sel]), b"".join(lone), _small(np.array([len(t) for t in lone])), None, None))
+                out.append((h, int(each[0]), _small(rows), _small(at_row), _small(place[which[sel]]), _small(times[sel]), b"".join(lone), _small(np.array([len(t) for t in lone])), None, None))
             yield _rows(out)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*out, strict=True))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=names)
 
 
 def _count(table: pa.Table, path: str) -> pa.Table:
-    """Pieces of each distinct pre-token of a shard, summed per document."""
+    """Pieces of each distinct pre-token of a shard, summed per document: one row for each slice."""
     sp = processor(path)
     known: dict[bytes, int] = {b"\x00 ": 1}
-    rows, sums, ids, sizes = [], [], [], []
+    out = []
     for x in table.to_pylist():
         if x["ids"] is not None:
-            rows.append(np.frombuffer(x["rows"], np.int64))
-            sums.append(np.zeros(len(rows[-1]), np.int64))
-            ids.append(pa.array(np.frombuffer(x["ids"], np.int64), mask=~np.frombuffer(x["known"], bool)))
-            sizes.append(pa.array(_wide(x["size"])))
+            out.append((x["slice"], None, None, x["ids"], x["known"], x["size"]))
             continue
         ends = np.cumsum(_wide(x["size"])).tolist()
         texts = [x["text"][a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -138,13 +136,23 @@ def _count(table: pa.Table, path: str) -> pa.Table:
             part = fresh[low : low + 20_000]
             known.update(zip(part, map(len, sp.encode([t.decode("utf-8") for t in part], num_threads=1)), strict=True))
         pieces = np.array([known[t] for t in texts], np.int64)
-        rows.append(np.frombuffer(x["rows"], np.int64))
-        total = np.zeros(len(rows[-1]), np.int64)
+        total = np.zeros(len(_wide(x["rows"])), np.int64)
         np.add.at(total, _wide(x["doc"]), pieces[_wide(x["piece"])] * _wide(x["times"]))
-        sums.append(total)
-        ids.append(pa.nulls(len(total), pa.int64()))
-        sizes.append(pa.nulls(len(total), pa.int64()))
-    return pa.table({"row": pa.array(np.concatenate(rows)), "doc_id": pa.concat_arrays(ids), "n_bytes": pa.concat_arrays(sizes), "n": pa.array(np.concatenate(sums))})
+        out.append((x["slice"], x["rows"], _small(total), None, None, None))
+    columns = list(zip(*out, strict=True))
+    return pa.table({n: pa.array(c, pa.int64() if n == "slice" else pa.binary()) for n, c in zip(("slice", "at", "n", "ids", "known", "size"), columns, strict=True)})
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    """The documents of one slice with the sums of all shards."""
+    parts = table.to_pylist()
+    base = next(x for x in parts if x["ids"] is not None)
+    ids = np.frombuffer(base["ids"], np.int64)
+    total = np.zeros(len(ids), np.int64)
+    for x in parts:
+        if x["ids"] is None:
+            total[_wide(x["at"])] += _wide(x["n"])
+    return pa.table({"doc_id": pa.array(ids, mask=~np.frombuffer(base["known"], bool)), "n_bytes": pa.array(_wide(base["size"])), "n_tokens": pa.array(total)})
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,6 +169,6 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     n_bytes = int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     shards = max(1, -(-n_bytes // SHARD_BYTES))
     marked = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    sums = marked.mapInArrow(lambda it: _deal(it, shards), SCHEMA).groupBy("home").applyInArrow(lambda t: _count(t, model), "row long, doc_id long, n_bytes long, n long")
-    done = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    shared = marked.mapInArrow(lambda it: _deal(it, shards), SCHEMA).groupBy("home").applyInArrow(lambda t: _count(t, model), "slice long, at binary, n binary, ids binary, known binary, size binary")
+    done = shared.groupBy("slice").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
