@@ -99,7 +99,7 @@ def _deal(table: pa.Table, window: int, groups: int, frequent: np.ndarray) -> pa
     s = _Suffixes(table, window, groups, frequent)
     batch = table.column("batch")[0].as_py()
     begin = np.flatnonzero(np.concatenate([[True], s.homes[1:] != s.homes[:-1]])) if len(s.homes) else np.zeros(0, np.int64)
-    end = np.append(begin[1:], len(s.homes))
+    end = np.append(begin[1:], len(s.homes))[: len(begin)]
     rows = [(int(s.homes[a]), batch, tx.pack_sorted(s.keys[a:b]), _owners(s.ids, s.owner[a:b])) for a, b in zip(begin, end, strict=True)]
     return pa.table(
         {"home": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "owners": pa.array([r[3] for r in rows], pa.binary())}
