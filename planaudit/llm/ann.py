@@ -6,8 +6,9 @@ the cells whose centroids are nearest to it, ranks their codes by asymmetric
 distance tables, and the best candidates are reranked on the original vectors in
 double precision.
 
-Cells are dealt in blocks of at most about 4096 vectors and 1024 queries, so a
-cell with a large share of all vectors is spread over many tasks.
+The index is dealt in blocks of about 131072 coded vectors by hashed id, so a cell
+with a large share of all vectors is spread over all of them; each block has its
+part of every inverted list, and meets the queries in crowds of at most about 8192.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from planaudit.llm.common import materialize
 FIT_SAMPLE = 16_384
 MAX_CELLS = 4096
 SUB_DIM, CODES = 4, 256
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK = 131_072, 8192
+LEAST_TASKS = 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -99,35 +101,31 @@ def _encode(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), raw], names=["vec_id", "cell", "code"])
 
 
-def _probe(batches: Iterator[pa.RecordBatch], index: Index, probes: int) -> Iterator[pa.RecordBatch]:
-    """Each query with the cells that it visits."""
-    for batch in batches:
-        if batch.num_rows:
-            near = _matrix(batch.column(1)) @ index.centers.T
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            rows = np.repeat(np.arange(batch.num_rows), cells.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(cells.ravel().astype(np.int32))], names=["query_id", "q", "cell"])
-
-
-def _scan(codes: pa.Table, queries: pa.Table, index: Index, keep: int) -> pa.Table:
-    """Best candidates of one block of a cell for one block of queries."""
-    out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+def _scan(codes: pa.Table, queries: pa.Table, index: Index, probes: int, keep: int) -> pa.Table:
+    """Best candidates of one block of the index for one crowd of queries, from the lists that each query visits."""
+    out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float64)]
     if codes.num_rows and queries.num_rows:
         codes = codes.sort_by("vec_id")
         ids = codes.column("vec_id").to_numpy()
-        code = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        center = index.centers[codes.column("cell")[0].as_py()]
-        flat = code + np.arange(code.shape[1]) * CODES
+        cell = codes.column("cell").to_numpy()
+        code = np.ascontiguousarray(np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T)
         for query, q in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("q").combine_chunks()), strict=True):
-            score = index.tables(q).ravel()[flat].sum(axis=1) + np.float32(q @ center)
-            score[ids == query] = -np.inf
+            near = (index.centers @ q).astype(np.float32)
+            visited = np.zeros(len(near), bool)
+            visited[np.argsort(-near, kind="stable")[:probes]] = True
+            rows = np.flatnonzero(visited[cell] & (ids != query))
+            score = near[cell[rows]]
+            for part, table in zip(code, index.tables(q), strict=True):
+                score += table[part[rows]]
+            if len(rows) > keep:
+                often = score >= np.partition(score, len(score) - keep)[len(score) - keep]
+                rows, score = rows[often], score[often]
             # ids ascend and the sort is stable: ties go to the smaller id
             top = np.argsort(-score, kind="stable")[:keep]
-            top = top[score[top] > -np.inf]
             out_q.append(np.full(len(top), query))
-            out_v.append(ids[top])
-            out_s.append(score[top])
-    return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "near": np.concatenate(out_s).astype(np.float64)})
+            out_v.append(ids[rows[top]])
+            out_s.append(score[top].astype(np.float64))
+    return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "near": np.concatenate(out_s)})
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +135,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65, rerank: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65, rerank: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest found.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows
@@ -162,15 +160,15 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, share:
     index = Index(sample, min(MAX_CELLS, max(1, 2 * isqrt(n)), max(1, len(sample) // 16)))
     probes = min(len(index.centers), max(64, ceil(share * len(index.centers))))
     codes = materialize(rows.mapInArrow(lambda it: _encode(it, index), "vec_id long, cell int, code binary"))
-    blocks = codes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = codes.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "code")
-    queries = materialize(rows.where(F.col("vec_id") % every == 0).mapInArrow(lambda it: _probe(it, index, probes), "query_id long, q array<double>, cell int"))
-    crowds = queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("crowds"))
-    asked = queries.join(blocks, "cell").join(crowds, "cell").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "crowd", "query_id", "q")
-    offered = dealt.join(crowds, "cell").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).select("cell", "block", "crowd", "vec_id", "code")
-    keys = ["cell", "block", "crowd"]
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    n_blocks = ceil(n / BLOCK)
+    n_crowds = max(ceil(queries.count() / QUERY_BLOCK), ceil(LEAST_TASKS / n_blocks))
+    numbers = [F.sequence(F.lit(0), F.lit(k - 1)) for k in (n_blocks, n_crowds)]
+    asked = queries.select(F.explode(numbers[0]).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(n_crowds)).cast("int").alias("crowd"), "query_id", "q")
+    offered = codes.dropDuplicates(["vec_id"]).select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(numbers[1]).alias("crowd"), "vec_id", "cell", "code")
+    keys = ["block", "crowd"]
     keep = k * rerank
-    found = offered.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda a, b: _scan(a, b, index, keep), "query_id long, vec_id long, near double")
+    found = offered.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda a, b: _scan(a, b, index, probes, keep), "query_id long, vec_id long, near double")
     best = found.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("at") <= keep).select("query_id", "vec_id").distinct()
     unique = rows.groupBy("vec_id").agg(F.first("v").alias("v"))
     pairs = best.join(unique, "vec_id").join(unique.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", "q", "v")
