@@ -79,4 +79,4 @@ def overlay_status(issues: DataFrame, states: DataFrame, key: str = "issue_id")
 def resolve_source(profile: Column, graph: Column, label: Column) -> tuple[Column, Column]:
     """The drawing's source (profile, else graph, else run label) and a warning for the last."""
     known = F.coalesce(F.nullif(profile, F.lit("")), F.nullif(graph, F.lit("")))
-    return F.coalesce(known, F.concat(F.lit("run:"), label)), F.when(known.isNull(), F.lit("no source recorded"))
+    return F.coalesce(known, F.concat(F.lit("<unknown-source-for:"), label, F.lit(">"))), F.when(known.isNull(), F.lit("no source_pdf found in artifacts; using run_dir label"))

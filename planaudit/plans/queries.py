@@ -227,7 +227,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("u1_upsert", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS ver FROM orders")(
     lambda s, d: maintain.upsert(_orders(s, d).withColumn("ver", F.lit(1)), _orders(s, d).where("o_orderkey % 7 = 0").select("o_orderkey", "o_custkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(2).alias("ver")), ["o_orderkey"], "ver")
 )
-query("u2_ensure_dim", "SELECT DISTINCT p_brand, p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey < 20) AS created FROM part")(lambda s, d: maintain.ensure_dim(table(s, d, "part").where("p_partkey < 20").select("p_brand").distinct(), table(s, d, "part"), "p_brand").select("p_brand", "created"))
+query("u2_ensure_dim", "SELECT DISTINCT p_brand, p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50) AS created FROM part")(lambda s, d: maintain.ensure_dim(table(s, d, "part").where("p_size = 50").select("p_brand").distinct(), table(s, d, "part"), "p_brand").select("p_brand", "created"))
 query("u3_replace", "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders")(lambda s, d: maintain.replace_partition(_orders(s, d), _orders(s, d).where("o_custkey % 5 = 0").withColumn("o_totalprice", F.lit(0.0)), "o_custkey"))
 query("u6_overlay", "SELECT issue_id, CASE WHEN issue_id % 2 = 0 THEN status ELSE 'candidate' END AS status FROM v_issue", "v_issue")(
     lambda s, d: maintain.overlay_status(view(s, d, "v_issue").select("issue_id"), view(s, d, "v_issue").select("issue_id", F.when(F.col("issue_id") % 2 == 0, F.col("status")).otherwise("odd").alias("status"))).select("issue_id", "status")
@@ -292,12 +292,12 @@ query("g20_edges", "SELECT space_id, sum(length) AS perimeter FROM (SELECT space
 query("g21_extent", "SELECT page_index, min(x0) / 50 AS x0_m, min(y0) / 50 AS y0_m, max(x1) / 50 AS x1_m, max(y1) / 50 AS y1_m FROM v_box GROUP BY 1", "v_box")(lambda s, d: geo.sheet_extent(_boxes(s, d), ["page_index"]))
 query("g16_crop", "SELECT space_id FROM v_box WHERE (x0 + x1) / 2 BETWEEN 50 AND 200 AND (y0 + y1) / 2 BETWEEN 20 AND 120", "v_box")(lambda s, d: geo.crop(_boxes(s, d), (F.col("bbox.x0") + F.col("bbox.x1")) / 2, (F.col("bbox.y0") + F.col("bbox.y1")) / 2, (50.0, 20.0, 200.0, 120.0)).select("space_id"))
 
-_Q = "SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9]+'), 1, 6), ' ') AS text FROM benchmark"
+_Q = "SELECT item_id AS query_id, text FROM benchmark"
 _TOK = "SELECT {k}, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS token FROM {t}"
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), 1, 6), " ").alias("text"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = text.bm25_search(table(spark, sf_dir, "documents").select("doc_id", "text"), asked, 10)
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
@@ -323,15 +323,17 @@ query("t20_benchmark", "SELECT lang AS case_id, CAST(count(*) > 150 AS INT) AS o
 def _room_schedule(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     rooms = part.select(F.col("p_partkey").alias("room_id"), F.col("p_type").alias("label"), F.lit(None).cast("double").alias("height_m"))
-    entries = part.where("p_partkey < 40").select(F.col("p_partkey").alias("entry_idx"), F.when(F.col("p_partkey") >= 4, F.col("p_partkey")).alias("room_id"), F.col("p_type").alias("label"), (F.col("p_size") / 10).alias("height_m"))
+    entries = part.select(F.col("p_partkey").alias("entry_idx"), F.when(F.col("p_size") < 48, F.col("p_partkey")).alias("room_id"), F.col("p_type").alias("label"), (F.col("p_size") / 10).alias("height_m"))
     return rooms, entries
 
 
 query(
     "d1_room_schedule",
-    """SELECT r.p_partkey AS room_id, r.p_type AS label, (SELECT arg_max(e.p_size / 10.0::DOUBLE, e.p_partkey) FROM part e WHERE e.p_partkey < 40 AND ((e.p_partkey >= 4 AND e.p_partkey = r.p_partkey) OR (e.p_partkey < 4 AND e.p_type = r.p_type))) AS height_m FROM part r""",
+    """SELECT r.p_partkey AS room_id, r.p_type AS label, arg_max(e.height_m, e.entry_idx) AS height_m FROM part r LEFT JOIN (
+    SELECT p_partkey AS room, p_partkey AS entry_idx, p_size / 10.0::DOUBLE AS height_m FROM part WHERE p_size < 48
+    UNION ALL SELECT q.p_partkey, p.p_partkey, p.p_size / 10.0::DOUBLE FROM part p JOIN part q ON q.p_type = p.p_type WHERE p.p_size >= 48) e ON e.room = r.p_partkey GROUP BY 1, 2""",
 )(lambda s, d: schedules.apply_room_schedule(*_room_schedule(s, d), ["height_m"]).select("room_id", "label", "height_m"))
-query("d2_schedule_audit", "SELECT e.p_partkey AS entry_idx, CASE WHEN e.p_partkey >= 4 THEN 1 ELSE (SELECT count(*) FROM part r WHERE r.p_type = e.p_type) END AS n_rooms, 'matched' AS status FROM part e WHERE e.p_partkey < 40")(lambda s, d: schedules.room_schedule_audit(*_room_schedule(s, d), ["height_m"]))
+query("d2_schedule_audit", "SELECT p_partkey AS entry_idx, CASE WHEN p_size < 48 THEN 1 ELSE n END AS n_rooms, 'matched' AS status FROM part JOIN (SELECT p_type, count(*) AS n FROM part GROUP BY 1) USING (p_type)")(lambda s, d: schedules.room_schedule_audit(*_room_schedule(s, d), ["height_m"]))
 
 
 def queries() -> dict[str, Query]:
