@@ -104,21 +104,31 @@ def split_noise(spaces: DataFrame, floor: float, area: str = "area_m2") -> tuple
     return spaces.where(~small), spaces.where(small)
 
 
-def contains(polygon: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies in a polygon; the boundary counts as inside."""
-    nxt = F.concat(F.slice(polygon, F.lit(2), F.size(polygon) - 1), F.slice(polygon, 1, 1))
-    edges = F.zip_with(polygon, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def ring_edges(polygon: Column) -> Column:
+    """Closed edges of a polygon as an array of struct(a, b)."""
+    nxt = F.concat(F.slice(polygon, F.lit(2), F.greatest(F.size(polygon) - 1, F.lit(0))), F.slice(polygon, 1, 1))
+    return F.zip_with(polygon, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def on_boundary(polygon: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on an edge of a polygon."""
 
     def on(e: Column) -> Column:
         a, b = e["a"], e["b"]
         cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
         return (cross == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
+    return F.exists(ring_edges(polygon), on)
+
+
+def contains(polygon: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a polygon; the boundary counts as inside."""
+
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < a["x"] + (y - a["y"]) * F.try_divide(b["x"] - a["x"], b["y"] - a["y"]))
 
-    return F.exists(edges, on) | (F.size(F.filter(edges, crosses)) % 2 == 1)
+    return on_boundary(polygon, x, y) | (F.size(F.filter(ring_edges(polygon), crosses)) % 2 == 1)
 
 
 def label_spaces(spaces: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
