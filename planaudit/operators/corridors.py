@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planaudit.operators.geometry import bbox_of, contains, merge_intervals, on_boundary
+from planaudit.operators.geometry import merge_intervals, on_boundary, points_in_polygons
 
 # Tolerance of a level, shares of span, fill and overlap, crossing share and edge margin.
 Y_TOL = 3.0
@@ -59,9 +59,8 @@ def band_candidates(chord: DataFrame, rooms: DataFrame, keys: list[str], width:
     pairs = pairs.withColumn("x0", F.greatest("l0", "h0")).withColumn("x1", F.least("l1", "h1"))
     pairs = pairs.where((F.col("x1") > F.col("x0")) & (F.col("x1") - F.col("x0") >= OVERLAP_FRAC * F.greatest("ls", "hs")))
     pairs = pairs.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y_lo") + F.col("y_hi")) / 2)
-    hosts = rooms.select(*keys, "space_id", "space_idx", "polygon", bbox_of(F.col("polygon")).alias("_b"))
-    near = pairs.join(hosts, keys).where((F.col("cx") > F.col("_b.x0")) & (F.col("cx") < F.col("_b.x1")) & (F.col("cy") > F.col("_b.y0")) & (F.col("cy") < F.col("_b.y1")))
-    inside = near.where(contains(F.col("polygon"), F.col("cx"), F.col("cy")) & ~on_boundary(F.col("polygon"), F.col("cx"), F.col("cy")))
+    hosts = rooms.select(*keys, "space_id", "space_idx", "polygon")
+    inside = points_in_polygons(hosts, pairs, keys, "cx", "cy").where(~on_boundary(F.col("polygon"), F.col("cx"), F.col("cy")))
     band = [*keys, "x0", "x1", "y_lo", "y_hi"]
     found = inside.groupBy(*band).agg(F.min_by(F.struct("space_id", "_b"), "space_idx").alias("h"))
     roomy = (F.col("y_lo") - F.col("h._b.y0") >= remnant) & (F.col("h._b.y1") - F.col("y_hi") >= remnant)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planaudit.operators.geometry import bbox_of, contains
+from planaudit.operators.geometry import points_in_polygons
 from planaudit.operators.text import normalize_labels, numbers
 
 # Keywords of a clause in order, with the rule's scope and inputs.
@@ -98,9 +98,8 @@ def ocr_diagnostics(texts: DataFrame, rooms: DataFrame, keys: list[str]) -> tupl
     texts: keys, text_idx, text, confidence, x, y; rooms: keys, space_id, space_idx, polygon, label. The first room by
     space_idx takes the text. Reasons: label_conflict, unbound_high_confidence_label, low_confidence_label.
     """
-    boxed = rooms.select(*keys, "space_id", "space_idx", "polygon", F.col("label").alias("room_label"), bbox_of(F.col("polygon")).alias("_b"))
-    near = texts.join(boxed, keys).where(F.col("x").between(F.col("_b.x0"), F.col("_b.x1")) & F.col("y").between(F.col("_b.y0"), F.col("_b.y1")))
-    held = near.where(contains(F.col("polygon"), F.col("x"), F.col("y"))).groupBy(*keys, "text_idx").agg(F.min(F.struct("space_idx", "space_id", "room_label")).alias("r"))
+    named = rooms.select(*keys, "space_id", "space_idx", "polygon", F.col("label").alias("room_label"))
+    held = points_in_polygons(named, texts.select(*keys, "text_idx", "x", "y"), keys).groupBy(*keys, "text_idx").agg(F.min(F.struct("space_idx", "space_id", "room_label")).alias("r"))
     rows = texts.join(held, [*keys, "text_idx"], "left").withColumn("label", normalize_labels(F.col("text"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     low, bound = F.col("confidence") < LOW, F.col("r").isNotNull()
     reasons = F.array(

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 AXIS_TOL, SNAP = 0.75, 0.5
 LONG_RUN, WIDE_GAP = 150.0, 70.0
 SPAN_FRAC, EDGE_FRAC = 0.85, 0.05
+# Side of the page cells in which points meet boxes, in points.
+CELL = 128.0
 
 
 def _snap(col: str) -> Column:
@@ -131,14 +133,30 @@ def contains(polygon: Column, x: Column, y: Column) -> Column:
     return on_boundary(polygon, x, y) | (F.size(F.filter(ring_edges(polygon), crosses)) % 2 == 1)
 
 
+def points_in_polygons(spaces: DataFrame, points: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Rows of spaces (polygon; its box comes as _b, and whether it is that box as _box) with the points in them, boundary included.
+
+    They meet in page cells of CELL points, so a space has as many copies as the cells of its page that its box covers.
+    A polygon as large as its box is the box, and needs no test of its edges.
+    """
+
+    def span(a: str, b: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(f"_b.{a}") / CELL), F.floor(F.col(f"_b.{b}") / CELL)))
+
+    held = spaces.withColumn("_b", bbox_of(F.col("polygon")))
+    held = held.withColumn("_box", polygon_area(F.col("polygon")) == (F.col("_b.x1") - F.col("_b.x0")) * (F.col("_b.y1") - F.col("_b.y0")))
+    held = held.withColumn("_cx", span("x0", "x1")).withColumn("_cy", span("y0", "y1"))
+    at = points.withColumn("_cx", F.floor(F.col(x) / CELL)).withColumn("_cy", F.floor(F.col(y) / CELL))
+    both = held.join(at, [*keys, "_cx", "_cy"]).where(F.col(x).between(F.col("_b.x0"), F.col("_b.x1")) & F.col(y).between(F.col("_b.y0"), F.col("_b.y1")))
+    return both.where(F.col("_box") | contains(F.col("polygon"), F.col(x), F.col(y))).drop("_cx", "_cy")
+
+
 def label_spaces(spaces: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """space_id and the first label (by text_idx) whose centre lies in the space's polygon.
 
     spaces: keys, space_id, polygon; texts: keys, text_idx, label, x, y.
     """
-    boxed = spaces.withColumn("_b", bbox_of(F.col("polygon")))
-    near = boxed.join(texts, keys).where(F.col("x").between(F.col("_b.x0"), F.col("_b.x1")) & F.col("y").between(F.col("_b.y0"), F.col("_b.y1")))
-    return near.where(contains(F.col("polygon"), F.col("x"), F.col("y"))).groupBy(*keys, "space_id").agg(F.min_by("label", "text_idx").alias("label"))
+    return points_in_polygons(spaces, texts, keys).groupBy(*keys, "space_id").agg(F.min_by("label", "text_idx").alias("label"))
 
 
 def bind_dimensions(texts: DataFrame, targets: DataFrame, keys: list[str], cap: float) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planaudit.operators.geometry import bbox_of, contains, polygon_edges, ring_edges
+from planaudit.operators.geometry import points_in_polygons, polygon_edges, ring_edges
 
 # Distance and share of an adjacent boundary, step off a bridge, confidences, default sizes in metres.
 NEAR, COVER, STEP = 0.5, 0.5, 0.5
@@ -61,11 +61,13 @@ def classify_sides(bridges: DataFrame, spaces: DataFrame, keys: list[str]) -> Da
     rows = bridges.select(*keys, "bridge_id", "x0", "y0", "x1", "y1", F.hypot(dx, dy).alias("len"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
     rows = rows.withColumn("px", (F.col("x0") + F.col("x1")) / 2 - F.try_divide(dy, F.col("len")) * F.col("side") * STEP).withColumn("py", (F.col("y0") + F.col("y1")) / 2 + F.try_divide(dx, F.col("len")) * F.col("side") * STEP)
     rank = F.when(F.col("kind") == "room", 0).when(F.col("kind") == "corridor", 1).otherwise(2)
-    held = spaces.select(*keys, "space_id", F.struct(rank.alias("rank"), "space_idx").alias("order"), "polygon", bbox_of(F.col("polygon")).alias("_b"))
-    near = rows.join(held, keys).where(F.col("px").between(F.col("_b.x0"), F.col("_b.x1")) & F.col("py").between(F.col("_b.y0"), F.col("_b.y1")))
+    held = spaces.select(*keys, "space_id", F.struct(rank.alias("rank"), "space_idx").alias("order"), "polygon")
+    near = points_in_polygons(held, rows, keys, "px", "py")
     flat = F.col("y0") == F.col("y1")
     at, lo = F.when(flat, F.col("y0")).otherwise(F.col("x0")), F.when(flat, F.least("x0", "x1")).otherwise(F.least("y0", "y1"))
-    near = near.where(contains(F.col("polygon"), F.col("px"), F.col("py")) & (_covered(F.col("polygon"), flat, at, lo, lo + F.col("len")) >= COVER * F.col("len")))
+    side = F.when(flat, F.least(F.abs(at - F.col("_b.y0")), F.abs(at - F.col("_b.y1")))).otherwise(F.least(F.abs(at - F.col("_b.x0")), F.abs(at - F.col("_b.x1"))))
+    near = near.where(~F.col("_box") | (side <= NEAR) | (F.col("len") <= 4 * NEAR))  # across a box only its two ends could cover, 2 * NEAR each
+    near = near.where(_covered(F.col("polygon"), flat, at, lo, lo + F.col("len")) >= COVER * F.col("len"))
     best = near.groupBy(*keys, "bridge_id", "side").agg(F.min(F.struct("order.rank", "order.space_idx", "space_id")).alias("b"))
     both = rows.select(*keys, "bridge_id", "side").join(best, [*keys, "bridge_id", "side"], "left")
     kind = F.when(F.col("b").isNull(), "exterior").when(F.col("b.rank") == 2, "filtered").otherwise("surviving")
