@@ -6,7 +6,9 @@ from the band's own point on, around the circle of 64-bit values, so that two
 lines agree in a band about as often as three draws from their union fall into
 the intersection. Lines that share a band are compared with the smallest one in
 it by the exact Jaccard of their shingle sets; linked lines are merged by
-distributed union-find and the first line of a component stays.
+distributed union-find. Then all lines that share a band and are still in
+different components are compared, the links of both rounds are merged, and the
+first line of a component stays.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from planaudit.llm.common import connected_components, materialize
 SHINGLE = r"(?s)(?<!\S)(?=(\S.{0,8}))"
 BANDS, DEPTH = 6, 3
 LINE_BITS, DOC_LIMIT = 22, 1 << 40
+FEW = 16
 
 
 def _points() -> list[int]:
@@ -44,13 +47,68 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines.where(F.col("line").rlike(r"\S")).select("doc_id", "line_no", line_id.alias("line_id"), F.col("line"))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard, from the lines' text."""
+    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
+    sets = both.select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
+    counted = sets.withColumn("both", F.size(F.array_intersect("ha", "hb")))
+    return counted.where(f"100 * both >= {percent} * (size(ha) + size(hb) - both)").select("a", "b")
+
+
+def _crossed(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of one key and different components that may have the Jaccard.
+
+    rows(key, id, n, of, at, low, big): `at` is the place of the key among the n
+    values of the line, so that n - at + 1 of them can be shared at most if it is
+    the first shared one; `low` says that the key may meet larger lines. Members of
+    the component `big` of a key do not meet each other, which keeps the work to
+    about the number of pairs across components.
+    """
+    one = rows.where("of <> big").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "of", "at", "low")])
+    two = rows.select("key", "big", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "of", "at", "low")])
+    once = "of1 <> of2 and (of2 = big or id1 > id2) and if(struct(n1, id1) < struct(n2, id2), low1, low2)"
+    enough = f"{100 + percent} * (least(n1 - at1, n2 - at2) + 1) >= {percent} * (n1 + n2)"
+    return one.join(two, "key").where(f"{once} and {enough}").select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b"))
+
+
+def _open_pairs(hits: DataFrame, parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a > b) of different components that shares a band and may have the Jaccard.
+
+    A band of few such pairs yields them all. The lines of the other bands are
+    joined on the rarest shingles of their sets: ordered by rarity, two sets with
+    the Jaccard share one of the first n - ceil(percent * n / 100) + 1 of the larger
+    and the first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller.
+    """
+
+    def of_key(rows: DataFrame, key: str) -> DataFrame:
+        """key, size, component with most members and number of pairs across components, of keys with such pairs."""
+        by = rows.groupBy(key, "of").agg(F.count("*").cast("double").alias("k"))
+        most = by.groupBy(key).agg(F.sum("k").alias("c"), F.max(F.struct("k", "of"))["of"].alias("big"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across"))
+        return most.where("across > 0")
+
+    placed = hits.select("band", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("of"))
+    mixed = materialize(placed.join(of_key(placed, "band"), "band"))
+    few = mixed.where(f"across <= {FEW} * c").select(F.col("band").alias("key"), "id", "n", "of", F.lit(1).alias("at"), F.lit(True).alias("low"), "big")
+    many = mixed.where(f"across > {FEW} * c").select("id", "n", "of").distinct()
+    if many.isEmpty():
+        return _crossed(few, percent).distinct()
+    values = materialize(many.join(texts.withColumnRenamed("line_id", "id"), "id").select("id", "n", "of", F.explode(shingles(F.col("line"))).alias("key")))
+    often = values.groupBy("key").agg(F.count("*").alias("df"))
+    ordered = values.join(often, "key").groupBy("id", "n", "of").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
+    first = ordered.select("id", "n", "of", F.posexplode(F.slice("v", F.lit(1), (F.col("n") + F.floor(F.lit(-percent) * F.col("n") / 100) + 1).cast("int"))).alias("at", "v"))
+    low = f"at < n + floor(-{2 * percent} * n / {100 + percent}) + 1"
+    prefix = materialize(first.where("v.df > 1").select(F.col("v.key").alias("key"), "id", "n", "of", (F.col("at") + 1).alias("at"), F.expr(low).alias("low")))
+    rare = prefix.join(of_key(prefix, "key").select("key", "big"), "key")
+    return _crossed(few, percent).unionByName(_crossed(rare, percent)).distinct()
+
+
 def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, line_id, keeper_id and kept of every line that is not blank.
 
     Lines are parts between newlines. Equal lines always share a component; other
     lines do if 100 * |intersection| >= percent * |union| of their shingles (case
-    ignored), compared within bands: six bands of three find 98.6 % of the pairs
-    at 0.8 and over 99.9 % at 0.9. The line of the smallest doc_id, and in it the
+    ignored) and they share a band: six bands of three have 98.6 % of the pairs at
+    0.8 and over 99.9 % at 0.9, and no pair in a band is left out. The line of the smallest doc_id, and in it the
     first, is kept. Blank lines are not lines here; a null or empty text has none.
     Rows with a null id are left out. Rows with an equal id hold lines of equal
     ids, which are treated alike. Long lines are hashed whole. Other columns are
@@ -63,16 +121,18 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = materialize(signed.groupBy("same").agg(F.min("line_id").alias("id"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
     members = classes.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     shared = members.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
-    pairs = members.join(shared, "band").where("id <> first").select("id", "n", "first").distinct()
-    sizes = classes.select(F.col("id").alias("first"), F.col("n").alias("m"))
-    pairs = materialize(pairs.join(sizes, "first").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    texts = materialize(lines.select("line_id", "line").join(wanted, "line_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-    sets = both.select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
-    counted = sets.withColumn("both", F.size(F.array_intersect("ha", "hb")))
-    links = counted.where(f"100 * both >= {percent} * (size(ha) + size(hb) - both)").select("a", "b")
+    hits = materialize(members.join(shared, "band").select("band", "id", "n", "first"))
+    texts = materialize(lines.select("line_id", "line").join(hits.select(F.col("id").alias("line_id")).distinct(), "line_id", "left_semi"))
+    sizes = hits.where("id = first").select("first", F.col("n").alias("m")).distinct()
+    stars = hits.where("id <> first").select("id", "n", "first").distinct().join(sizes, "first")
+    pairs = materialize(stars.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    links = materialize(_verified(pairs, texts, percent))
     parts = connected_components(links)
+    rest = materialize(_open_pairs(hits, parts, texts, percent).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = materialize(_verified(rest, texts, percent))
+        if not more.isEmpty():
+            parts = connected_components(links.unionByName(more))
     keepers = classes.select("same", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("keeper_id"))
     placed = lines.select("doc_id", "line_no", "line_id", F.xxhash64("line").alias("same")).join(keepers, "same")
     return placed.select("doc_id", "line_no", "line_id", "keeper_id", (F.col("line_id") == F.col("keeper_id")).alias("kept"))

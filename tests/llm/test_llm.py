@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -183,3 +184,29 @@ def test_neighbours_reach_their_recall(spark):
         hits += len(best & {r.vec_id for r in got if r.query_id == 20 * k})
     assert len(got) == 20 * len(scores) and hits / len(got) >= 0.9
     assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_lines_of_one_band_all_meet(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+
+    def edited(line, n):
+        out = list(line)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = "".join(rng.choice("ijklmnop") for _ in range(6))
+        return out
+
+    own = [edited(base, 6) for _ in range(300)]
+    lines = [" ".join(x) for x in own] + [" ".join(edited(x, 2)) for x in own]
+    sets = [set(re.findall(r"(?s)(?<!\S)(?=(\S.{0,8}))", x)) for x in lines]
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.keeper_id >> line_dedup.LINE_BITS for r in line_dedup.line_components(df).collect()}
+    # two lines of 0.87 and more share no band with a chance below 0.002
+    assert len(set(root)) == 300 and 0 <= len(set(got.values())) - 300 <= 2
