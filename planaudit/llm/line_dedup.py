@@ -1,7 +1,9 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line's shingles are the runs of up to nine characters that begin at each of its
-words. They are hashed once; the signature of a band is the three smallest hashes
+A line's shingles are runs of up to nine characters. They begin at each of its
+words, and at every further character of a word or blank run from where the last
+shingle does not reach past its end, so that no character is outside all shingles
+and a line without blanks has one at every character. They are hashed once; the signature of a band is the three smallest hashes
 from the band's own point on, around the circle of 64-bit values, so that two
 lines agree in a band about as often as three draws from their union fall into
 the intersection. Lines that share a band are compared with the smallest one in
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from planaudit.llm.common import connected_components, materialize
 
-SHINGLE = r"(?s)(?<!\S)(?=(\S.{0,8}))"
+SHINGLE = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
 BANDS, DEPTH = 6, 3
 LINE_BITS, DOC_LIMIT = 22, 1 << 40
 FEW = 16

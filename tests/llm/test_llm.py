@@ -210,3 +210,17 @@ def test_lines_of_one_band_all_meet(spark):
     got = {r.doc_id: r.keeper_id >> line_dedup.LINE_BITS for r in line_dedup.line_components(df).collect()}
     # two lines of 0.87 and more share no band with a chance below 0.002
     assert len(set(root)) == 300 and 0 <= len(set(got.values())) - 300 <= 2
+
+
+def test_lines_are_compared_whole(spark):
+    rng = random.Random(12)
+    far = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(80))
+    chinese = [far[:9] + "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60)) for _ in range(20)]
+    lines = [*chinese, "https://example.org/a1", "https://example.org/b2", "equal words  and then xxxxxxxxxyyyyyyyyy", "equal words  and then xxxxxxxxxzzzzzzzzz", far, "x" + far[1:], "inserted" + far]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.keeper_id >> line_dedup.LINE_BITS for r in line_dedup.line_components(df).collect()}
+    assert got == {i: min(i, 24) for i in range(len(lines))}
+    for line in ("a", "  a\t bc", "abcdefghi jklmnopqrs\ttuvwxyzab", far, " " * 30 + "x" + " " * 30):
+        marked = [line[:i] + "\u2603" + line[i + 1 :] for i in range(len(line))]
+        rows = spark.createDataFrame([(x,) for x in [line, *marked]], "line string").select(line_dedup.shingles(F.col("line"))).collect()
+        assert all(r[0] != rows[0][0] for r in rows[1:])
