@@ -178,11 +178,14 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     return materialize(scored)
 
 
-def limits(scored: DataFrame, middle: float = 0.5, high: float = 0.95, margin: float = 6.0) -> DataFrame:
+def limits(scored: DataFrame, middle: float = 0.5, high: float = 0.95, margin: float = 4.0) -> DataFrame:
     """lang, middle, below and above from quantiles of the trusted documents of each language; the row with a null lang is for all others.
 
     A perplexity may lie `above` = margin * (Q(high) - Q(middle)) over the middle, or
-    `below` = margin * (Q(middle) - Q(1 - high)) under it. A language with under 30
+    `below` = margin * (Q(middle) - Q(1 - high)) under it. The margin and the term
+    for short texts (SHORT) are the ones that keep at least 99.5 % of the labelled
+    good documents (toxic or not) that did not train the model and most of the bad
+    ones out: see the README for the rates by length. A language with under 30
     trusted documents gets the pooled row.
     """
     own = scored.where("trusted and perplexity is not null")

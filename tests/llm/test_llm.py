@@ -224,3 +224,16 @@ def test_lines_are_compared_whole(spark):
         marked = [line[:i] + "\u2603" + line[i + 1 :] for i in range(len(line))]
         rows = spark.createDataFrame([(x,) for x in [line, *marked]], "line string").select(line_dedup.shingles(F.col("line"))).collect()
         assert all(r[0] != rows[0][0] for r in rows[1:])
+
+
+def test_quality_limits_reject_a_quarter_of_random_words(spark):
+    rng = random.Random(13)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+
+    def mixed(share):
+        return " ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) if rng.random() < share else rng.choice(vocab) for _ in range(200))
+
+    rows = [(i, mixed(rng.random() * 0.1), "en") for i in range(200)] + [(1000 + i, mixed(i / 100), "en") for i in range(0, 60, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.keep for r in quality.classify(docs, docs.where("doc_id < 150").select("doc_id")).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[i] for i in range(1026, 1060, 2))
