@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HOT_KEYS = 1000
+_own_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint folder, or, on a local master only, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path is not None:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -28,30 +31,49 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left join table, which has each combination of keys once, with no key shuffled that holds over a thousandth of the rows.
+
+    There are at most 1000 such keys; their rows of the table are broadcast. The
+    other rows are joined by a shuffle; those with a null key match nothing and are
+    not shuffled at all. Both inputs are read twice, so they should be written tables.
+    """
+    full = " and ".join(f"`{k}` is not null" for k in keys)
+    known = rows.where(full)
+    often = known.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = often.agg(F.sum("_n").alias("_t"))
+    hot = F.broadcast(often.join(F.broadcast(total), F.col("_n") * HOT_KEYS > F.col("_t")).select(*keys).limit(HOT_KEYS))
+    own = F.broadcast(table.join(hot, keys, "left_semi"))
+    rest = known.join(hot, keys, "left_anti").join(table, keys, "left")
+    missing = rows.where(f"not coalesce({full}, false)")
+    empty = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns if c not in keys]
+    return known.join(hot, keys, "left_semi").join(own, keys, "left").unionByName(rest).unionByName(missing.select("*", *empty))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph.
 
     edges(a long, b long) -> (node long, component long). Alternating large-star
     and small-star rounds; each is a grouped minimum (combined before the
     shuffle) and an equi-join, so a node with very many neighbours is not
-    gathered anywhere. Nulls and self loops are ignored; nodes without an edge
-    are not returned.
+    gathered anywhere. The rounds end when all links are stars: every node has one
+    link upwards, and no link leads to a node that has one. Nulls and self loops
+    are ignored; nodes without an edge are not returned.
     """
     links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links)
-    seen = None
     for _ in range(max_rounds):
+        ends = links.select(F.col("u").alias("node"), F.col("v").alias("up"), F.lit(False).alias("root")).unionByName(links.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("root")))
+        nodes = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max("root").alias("root"))
+        if nodes.where("low <> high or (root and low is not null)").isEmpty():
+            break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    named = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return named.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
