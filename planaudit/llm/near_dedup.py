@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planaudit.llm import textops as tx
-from planaudit.llm.common import connected_components, materialize
+from planaudit.llm.common import HOT_KEYS, connected_components, materialize
 
 ESTIMATE = 32
 _ODD = tx.U(0xD6E8FEB86659FD93)
@@ -81,40 +81,39 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             )
 
 
-def _lists(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Inverted lists, streamed in (value, doc) order: stars, short lists and members of hot lists.
+def _lists(batches: Iterator[pa.RecordBatch], hot: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Inverted lists of (value, doc, set size), streamed in (value, doc) order: stars, short lists and members of hot lists.
 
-    kind 0: star pair (a, b = smallest member); kind 1: (a, value) in a hot list;
-    kind 2: the members of a short list of three or more, once for each set of members.
+    kind 0: star pair (a, b = smallest member) that the sizes allow; kind 1: (a,
+    value) in a hot list; kind 2: the members of a short list of three or more, once
+    for each set of members, and their sizes.
     """
     seen: set[bytes] = set()
-    carry_v = carry_d = np.zeros(0, np.int64)
+    carry_v = carry_d = carry_n = np.zeros(0, np.int64)
     open_hot: int | None = None
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray, members: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    def out(kind: int, a: np.ndarray, b: np.ndarray, members: list[np.ndarray] | None = None, sizes: list[np.ndarray] | None = None) -> pa.RecordBatch:
         lists = members if members is not None else []
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]) if members is not None else np.zeros(len(a) + 1)
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))],
-            names=["kind", "a", "b", "members"],
-        )
-
-    def flush(v: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bounds = pa.array((np.concatenate([[0], np.cumsum([len(x) for x in lists])]) if members is not None else np.zeros(len(a) + 1)).astype(np.int32))
+        flat = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (lists, sizes or [])]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), *flat], names=["kind", "a", "b", "members", "sizes"])
+
+    def flush(v: np.ndarray, d: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(v):
             return
         begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         size = np.diff(np.append(begin, len(v)))
         of = np.repeat(np.arange(len(begin)), size)
         count, pivot = size[of], d[begin][of]
-        star = (count >= 2) & (count <= hot) & (d != pivot)
+        least, most = np.minimum(n, n[begin][of]), np.maximum(n, n[begin][of])
+        star = (count >= 2) & (count <= hot) & (d != pivot) & (100 * least >= percent * most)
         if star.any():
             pairs = np.unique(np.stack([d[star], pivot[star]]), axis=1)
             yield out(0, pairs[0], pairs[1])
         is_hot = count > hot
         if is_hot.any():
             yield out(1, d[is_hot], v[is_hot])
-        fresh = []
+        fresh, sized = [], []
         for i in np.flatnonzero((size >= 3) & (size <= hot)):
             members = d[begin[i] : begin[i] + size[i]]
             key = members.tobytes()
@@ -123,30 +122,32 @@ def _lists(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBat
                     seen.clear()
                 seen.add(key)
                 fresh.append(members)
+                sized.append(n[begin[i] : begin[i] + size[i]])
         if fresh:
-            yield out(2, np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), fresh)
+            yield out(2, np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), fresh, sized)
 
     for batch in batches:
         v = np.concatenate([carry_v, batch.column(0).to_numpy(zero_copy_only=False)])
         d = np.concatenate([carry_d, batch.column(1).to_numpy(zero_copy_only=False)])
+        n = np.concatenate([carry_n, batch.column(2).to_numpy(zero_copy_only=False)])
         if open_hot is not None:
             more = int(np.searchsorted(v != open_hot, True))
             if more:
                 yield out(1, d[:more], v[:more])
-            v, d = v[more:], d[more:]
+            v, d, n = v[more:], d[more:], n[more:]
             if not len(v):
-                carry_v = carry_d = np.zeros(0, np.int64)
+                carry_v = carry_d = carry_n = np.zeros(0, np.int64)
                 continue
             open_hot = None
         if not len(v):
             continue
         last = len(v) - int(np.argmax(v[::-1] != v[-1])) if (v != v[-1]).any() else 0
-        yield from flush(v[:last], d[:last])
-        carry_v, carry_d = v[last:], d[last:]
+        yield from flush(v[:last], d[:last], n[:last])
+        carry_v, carry_d, carry_n = v[last:], d[last:], n[last:]
         if len(carry_v) > hot:
             yield out(1, carry_d, carry_v)
-            open_hot, carry_v, carry_d = int(v[-1]), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    yield from flush(carry_v, carry_d)
+            open_hot, carry_v, carry_d, carry_n = int(v[-1]), *[np.zeros(0, np.int64)] * 3
+    yield from flush(carry_v, carry_d, carry_n)
 
 
 def _least_shared(percent: int) -> list[int]:
@@ -181,7 +182,7 @@ def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             sets = list(shingle_sets(data, offsets[low : high + 1], width))
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), values], names=["a", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(x) for x in sets], pa.int64()), values], names=["a", "n", "kept"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -214,8 +215,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, hot: int
     Null or blank texts have an empty set and stay alone. A text of fewer than
     `width` words is one shingle. Equal sets link whatever their number: they are
     one class from the start. Very long texts are hashed whole. A null id cannot
-    be linked and comes back with null component_id and kept true. An id given
-    twice is one document per row with one shared component. Other columns are
+    be linked and comes back with null component_id and kept true. Rows with
+    an equal id come back one by one, each placed by its own text; where the id is
+    the smallest of both their classes, they share a component. Other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
     if not 80 <= percent <= 100:
@@ -223,19 +225,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, hot: int
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = materialize(docs.mapInArrow(lambda it: _sketch(it, width, percent), "doc_id long, n long, d1 long, d2 long, kept array<long>"))
     full = sketches.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi").select("doc_id", "n", "kept").dropDuplicates(["doc_id"])
-    sizes = reps.select("doc_id", "n")
-    values = reps.select(F.explode("kept").alias("value"), "doc_id")
+    same = ["d1", "d2", "n"]
+    classes = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
+    reps = materialize(full.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi").select("doc_id", "n", "kept"))
+    values = reps.select(F.explode("kept").alias("value"), "doc_id", "n")
     found = materialize(
-        values.repartition("value").sortWithinPartitions("value", "doc_id").mapInArrow(lambda it: _lists(it, hot), "kind int, a long, b long, members array<long>")
+        values.repartition("value").sortWithinPartitions("value", "doc_id").mapInArrow(lambda it: _lists(it, hot, percent), "kind int, a long, b long, members array<long>, sizes array<long>")
     )
     texts = docs.where("doc_id is not null")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a")
-        two = one.join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-        return two.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    fits = f"100 * least(n, nb) >= {percent} * greatest(n, nb)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         short = reps.select("doc_id", F.slice("kept", 1, ESTIMATE).alias("s"))
@@ -243,48 +241,60 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, hot: int
         likely = materialize(drawn.select("a", "b", "sa", "sb").mapInArrow(lambda it: _likely(it, percent), "a long, b long"))
         if likely.isEmpty():
             return likely
-        full = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return materialize(full.select("a", "b", "ta", "tb").mapInArrow(lambda it: _exact(it, width, percent), "a long, b long").distinct())
+        whole = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        return materialize(whole.select("a", "b", "ta", "tb").mapInArrow(lambda it: _exact(it, width, percent), "a long, b long").distinct())
 
     # the smallest partner has m = ceil(percent * n / 100) shingles, and its margin bounds what the two share
     spare = "(m + floor(-%d * m / 100))" % percent
-    margins = sizes.select(F.col("doc_id").alias("a"), "n", (-F.floor(F.lit(-percent) * F.col("n") / 100)).alias("m")).select("a", "n", F.expr(f"2 + floor({spare} / 4) + least({spare}, 12)").alias("margin"))
+    margins = reps.select(F.col("doc_id").alias("a"), (-F.floor(F.lit(-percent) * F.col("n") / 100)).alias("m")).select("a", F.expr(f"2 + floor({spare} / 4) + least({spare}, 12)").alias("margin"))
     common = found.where("kind = 1").groupBy("a").agg(F.count("*").alias("u"))
-    laden = materialize(common.join(margins, "a").where("u >= margin").select("a", "n"))
-    # among themselves, these documents are joined on the rarest values of their full sets
-    whole = materialize(laden.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "text").mapInArrow(lambda it: _full(it, width), "a long, kept array<long>").dropDuplicates(["a"]).select("a", F.explode("kept").alias("value")))
-    often = whole.groupBy("value").agg(F.count("*").alias("df"))
-    rare_first = Window.partitionBy("a").orderBy("df", "value")
-    ranked = whole.join(often, "value").join(laden, "a").withColumn("at", F.row_number().over(rare_first)).where(f"at <= n + floor(-{percent} * n / 100) + 1")
-    prefix = materialize(ranked.where("df > 1").select("value", "a", "n", "at").join(ranked.groupBy("a").agg(F.count_if(F.col("df") == 1).alias("alone")), "a"))
-    # the member with the fewest values of its own is the nearest to all others
-    pivots = prefix.groupBy("value").agg(F.min(F.struct("alone", "a"))["a"].alias("b"))
-    central = prefix.join(pivots, "value").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tested = materialize(sized(found.where("kind = 0").select("a", "b").unionByName(central).distinct()))
-    links = verified(tested)
-    parts = connected_components(links)
-
-    def placed(df: DataFrame, col: str) -> DataFrame:
-        named = parts.select(F.col("node").alias(col), F.col("component").alias(f"of_{col}"))
-        return df.join(named, col, "left").withColumn(f"of_{col}", F.coalesce(f"of_{col}", col))
-
-    lists = found.where("kind = 2").select("members").distinct().select(F.xxhash64("members").alias("key"), F.explode("members").alias("a"))
-    groups = placed(lists, "a").groupBy("key").agg(F.collect_set(F.struct("of_a", "a")).alias("m")).where(F.size(F.array_distinct(F.col("m.of_a"))) > 1)
-    crossed = groups.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["a"] < F.col("x.a")) & (y["of_a"] != F.col("x.of_a")))).alias("y")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
-    split = placed(prefix, "a").select("value", "a", "n", "at", "of_a")
-    mixed = split.groupBy("value").agg(F.min("of_a").alias("lo"), F.max("of_a").alias("hi")).where("lo <> hi").select("value")
-    mine = prefix.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("p"))
-    split = materialize(split.join(mixed, "value", "left_semi").join(mine, "a"))
-    other = split.select("value", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("p").alias("pb"))
-    # a pair comes from the rarest value that its ends share; what they share besides lies behind it in both
-    enough = f"{100 + percent} * (least(n - at, nb - at_b) + 1) >= {percent} * (n + nb)"
-    wide = split.join(other, "value").where(f"a > b and of_a <> of_b and 100 * least(n, nb) >= {percent} * greatest(n, nb) and {enough} and value = array_intersect(p, pb)[0]").select("a", "b")
-    rest = materialize(sized(crossed.unionByName(wide).distinct()).join(tested, ["a", "b"], "left_anti"))
+    laden = materialize(common.join(margins, "a").where("u >= margin").select("a").distinct())
+    crowded = not laden.isEmpty()
+    stars = found.where("kind = 0").select("a", "b")
+    if crowded:
+        # among themselves, these documents are joined on the rarest values of their full sets
+        sets = materialize(laden.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "text").mapInArrow(lambda it: _full(it, width), "a long, n long, kept array<long>").select("a", "n", F.explode("kept").alias("value")))
+        often = sets.groupBy("value").agg(F.count("*").alias("df"))
+        rare_first = Window.partitionBy("a", "n").orderBy("df", "value")
+        ranked = sets.join(often, "value").withColumn("at", F.row_number().over(rare_first)).where(f"at <= n + floor(-{percent} * n / 100) + 1")
+        alone = ranked.withColumn("alone", F.count_if(F.col("df") == 1).over(Window.partitionBy("a", "n")))
+        prefix = materialize(alone.where("df > 1").select("value", "a", "n", "at", "alone").distinct())
+        # the member with the fewest values of its own is the nearest to all others
+        pivots = prefix.groupBy("value").agg(F.min(F.struct("alone", F.col("a").alias("b"), F.col("n").alias("nb"))).alias("x")).select("value", "x.b", "x.nb")
+        central = prefix.join(pivots, "value").where(f"a <> b and {fits}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        stars = stars.unionByName(central)
+    tested = materialize(stars.distinct())
+    parts = connected_components(verified(tested))
+
+    def placed(df: DataFrame) -> DataFrame:
+        named = parts.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+        return df.join(named, "a", "left").withColumn("of_a", F.coalesce("of_a", "a"))
+
+    lists = found.where("kind = 2").select("members", "sizes").distinct().select(F.xxhash64("members").alias("key"), F.inline(F.arrays_zip(F.col("members").alias("a"), F.col("sizes").alias("n"))))
+    groups = placed(lists).groupBy("key").agg(F.collect_set(F.struct("of_a", "a", "n")).alias("m")).where(F.size(F.array_distinct(F.col("m.of_a"))) > 1)
+    pairs = groups.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["a"] < F.col("x.a")) & (y["of_a"] != F.col("x.of_a")))).alias("y"))
+    rest = pairs.select("x.a", "x.n", F.col("y.a").alias("b"), F.col("y.n").alias("nb")).where(fits).select("a", "b")
+    if crowded:
+        split = placed(prefix).select("value", "a", "n", "at", "of_a")
+        mixed = split.groupBy("value").agg(F.min("of_a").alias("lo"), F.max("of_a").alias("hi")).where("lo <> hi").select("value")
+        mine = prefix.groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("p"))
+        split = materialize(split.join(mixed, "value", "left_semi").join(mine, ["a", "n"]))
+        other = split.select("value", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("p").alias("pb"))
+        # a pair comes from the rarest value that its ends share; what they share besides lies behind it in both
+        enough = f"{100 + percent} * (least(n - at, nb - at_b) + 1) >= {percent} * (n + nb)"
+        rest = rest.unionByName(split.join(other, "value").where(f"a > b and of_a <> of_b and {fits} and {enough} and value = array_intersect(p, pb)[0]").select("a", "b"))
+    rest = materialize(rest.distinct().join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = verified(rest)
         if not more.isEmpty():
-            parts = connected_components(links.unionByName(more))
-    own = sketches.join(classes, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    placed_all = own.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    result = placed_all.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+            parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    own = sketches.select("doc_id", "n", *same[:2])
+    moved = parts.where("node <> component").select(F.col("node").alias("rep"), "component")
+    final = materialize(classes.join(moved, "rep", "left").select(*same, "c", (F.col("component").isNotNull() | (F.col("c") > 1)).alias("linked"), F.coalesce("component", "rep").alias("component_id")))
+    # a class with over a thousandth of the rows is one of at most 1000: these are broadcast, so that no task gets all copies
+    large = F.broadcast(final.where(F.col("c") * HOT_KEYS > own.count()).select(*same, "component_id"))
+    rows = own.where("n > 0 and doc_id is not null")
+    small = rows.join(large, same, "left_anti").join(final.where("linked").select(*same, "component_id"), same, "left")
+    named = rows.join(large, same).unionByName(small).unionByName(own.where("n = 0 or doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
+    result = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
