@@ -3,14 +3,17 @@
 A line's shingles are runs of up to nine characters. They begin at each of its
 words, and at every further character of a word or blank run from where the last
 shingle does not reach past its end, so that no character is outside all shingles
-and a line without blanks has one at every character. They are hashed once; the signature of a band is the three smallest hashes
-from the band's own point on, around the circle of 64-bit values, so that two
-lines agree in a band about as often as three draws from their union fall into
-the intersection. Lines that share a band are compared with the smallest one in
-it by the exact Jaccard of their shingle sets; linked lines are merged by
-distributed union-find. Then all lines that share a band and are still in
-different components are compared, the links of both rounds are merged, and the
-first line of a component stays.
+and a line without blanks has one at every character. They are hashed once; the
+signature of a band is the three smallest hashes from the band's own point on,
+around the circle of 64-bit values, so that two lines agree in a band about as
+often as three draws from their union fall into the intersection. Lines that share
+a band are compared with the smallest one in it by the exact Jaccard of their
+shingle sets; linked lines are merged by distributed union-find. Then all lines
+that share a band and are still in different components are compared, the links of
+both rounds are merged, and the first line of a component stays.
+
+Equal lines are one node from the start, named by the 64-bit hash of the line, so
+ids of documents may be any 64-bit number.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from planaudit.llm.common import connected_components, materialize
 
 SHINGLE = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
 BANDS, DEPTH = 6, 3
-LINE_BITS, DOC_LIMIT = 22, 1 << 40
+LINES = 1 << 31
 FEW = 16
 
 
@@ -42,16 +45,27 @@ def _three_from(hashes: Column, point: int) -> Column:
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line_id and line of every line that is not blank, of rows with an id."""
+    """doc_id, line_no (from 0), line and its hash of every line that is not blank, of rows with an id."""
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    fits = (F.col("line_no") < (1 << LINE_BITS)) & F.col("doc_id").between(-DOC_LIMIT, DOC_LIMIT)
-    line_id = F.when(fits, F.shiftleft("doc_id", LINE_BITS) + F.col("line_no")).otherwise(F.raise_error(F.lit("doc_id or line number out of range")).cast("long"))
-    return lines.where(F.col("line").rlike(r"\S")).select("doc_id", "line_no", line_id.alias("line_id"), F.col("line"))
+    return lines.where(F.col("line").rlike(r"\S")).select("doc_id", "line_no", "line", F.xxhash64("line").alias("same"))
+
+
+def _place(doc_id: Column, line_no: Column) -> Column:
+    """One number in the order of doc_id and line_no; its kind keeps grouped minima in fixed memory."""
+    return (doc_id.cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + line_no).cast("decimal(38,0)")
+
+
+def _line_no(place: Column) -> Column:
+    return F.pmod(place, F.lit(LINES).cast("decimal(38,0)")).cast("int")
+
+
+def _doc_id(place: Column) -> Column:
+    return ((place - _line_no(place)).cast("decimal(38,0)") / F.lit(LINES).cast("decimal(10,0)")).cast("long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the Jaccard, from the lines' text."""
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     sets = both.select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
     counted = sets.withColumn("both", F.size(F.array_intersect("ha", "hb")))
     return counted.where(f"100 * both >= {percent} * (size(ha) + size(hb) - both)").select("a", "b")
@@ -94,7 +108,7 @@ def _open_pairs(hits: DataFrame, parts: DataFrame, texts: DataFrame, percent: in
     many = mixed.where(f"across > {FEW} * c").select("id", "n", "of").distinct()
     if many.isEmpty():
         return _crossed(few, percent).distinct()
-    values = materialize(many.join(texts.withColumnRenamed("line_id", "id"), "id").select("id", "n", "of", F.explode(shingles(F.col("line"))).alias("key")))
+    values = materialize(many.join(texts, "id").repartition("id").select("id", "n", "of", F.explode(shingles(F.col("line"))).alias("key")))
     often = values.groupBy("key").agg(F.count("*").alias("df"))
     ordered = values.join(often, "key").groupBy("id", "n", "of").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
     first = ordered.select("id", "n", "of", F.posexplode(F.slice("v", F.lit(1), (F.col("n") + F.floor(F.lit(-percent) * F.col("n") / 100) + 1).cast("int"))).alias("at", "v"))
@@ -105,39 +119,44 @@ def _open_pairs(hits: DataFrame, parts: DataFrame, texts: DataFrame, percent: in
 
 
 def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, line_id, keeper_id and kept of every line that is not blank.
+    """doc_id, line_no, same, keeper_doc_id, keeper_line_no and kept of every line that is not blank.
 
     Lines are parts between newlines. Equal lines always share a component; other
     lines do if 100 * |intersection| >= percent * |union| of their shingles (case
     ignored) and they share a band: six bands of three have 98.6 % of the pairs at
-    0.8 and over 99.9 % at 0.9, and no pair in a band is left out. The line of the smallest doc_id, and in it the
-    first, is kept. Blank lines are not lines here; a null or empty text has none.
-    Rows with a null id are left out. Rows with an equal id hold lines of equal
-    ids, which are treated alike. Long lines are hashed whole. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    0.8 and over 99.9 % at 0.9, and no pair in a band is left out. The line of the
+    smallest doc_id, and in it the first, is kept. Blank lines are not lines here; a
+    null or empty text has none. Rows with a null id are left out. Rows with an
+    equal id come back one by one; an equal line at the same place in two of them is
+    one line. Ids and numbers of lines may be any 64-bit and 31-bit integers. Long
+    lines are hashed whole. Other columns are ignored, whatever their names. An
+    empty table gives an empty result.
     """
     lines = split_lines(docs, id_col, text_col)
-    hashed = lines.select("line_id", F.xxhash64("line").alias("same"), shingles(F.col("line")).alias("h"))
+    hashed = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "same", shingles(F.col("line")).alias("h"))
     from_point = [_three_from(F.col("h"), p) for p in _points()]
-    signed = hashed.select("line_id", "same", F.size("h").alias("n"), *[F.xxhash64(F.lit(i), x).alias(f"b{i}") for i, x in enumerate(from_point)])
-    classes = materialize(signed.groupBy("same").agg(F.min("line_id").alias("id"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
+    signed = hashed.select("place", "same", F.size("h").alias("n"), *[F.xxhash64(F.lit(i), x).alias(f"b{i}") for i, x in enumerate(from_point)])
+    classes = materialize(signed.groupBy(F.col("same").alias("id")).agg(F.min("place").alias("place"), F.max("place").alias("last"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
     members = classes.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     shared = members.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
     hits = materialize(members.join(shared, "band").select("band", "id", "n", "first"))
-    texts = materialize(lines.select("line_id", "line").join(hits.select(F.col("id").alias("line_id")).distinct(), "line_id", "left_semi"))
+    texts = materialize(lines.select(F.col("same").alias("id"), "line").join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     sizes = hits.where("id = first").select("first", F.col("n").alias("m")).distinct()
     stars = hits.where("id <> first").select("id", "n", "first").distinct().join(sizes, "first")
     pairs = materialize(stars.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    links = materialize(_verified(pairs, texts, percent))
-    parts = connected_components(links)
+    parts = connected_components(_verified(pairs, texts, percent))
     rest = materialize(_open_pairs(hits, parts, texts, percent).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = materialize(_verified(rest, texts, percent))
         if not more.isEmpty():
-            parts = connected_components(links.unionByName(more))
-    keepers = classes.select("same", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("keeper_id"))
-    placed = lines.select("doc_id", "line_no", "line_id", F.xxhash64("line").alias("same")).join(keepers, "same")
-    return placed.select("doc_id", "line_no", "line_id", "keeper_id", (F.col("line_id") == F.col("keeper_id")).alias("kept"))
+            parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    grouped = classes.select("id", "place", "last").join(parts.withColumnRenamed("node", "id"), "id")
+    first = grouped.groupBy("component").agg(F.min("place").alias("keeper"))
+    merged = grouped.join(first, "component").select(F.col("id").alias("same"), "keeper")
+    repeated = classes.where("place <> last").join(parts, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("same"), F.col("place").alias("keeper"))
+    # lines that are alone in their component need no partner here
+    placed = lines.drop("line").join(merged.unionByName(repeated), "same", "left").withColumn("place", _place(F.col("doc_id"), F.col("line_no"))).withColumn("keeper", F.coalesce("keeper", "place"))
+    return placed.select("doc_id", "line_no", "same", _doc_id(F.col("keeper")).alias("keeper_doc_id"), _line_no(F.col("keeper")).alias("keeper_line_no"), (F.col("place") == F.col("keeper")).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,9 +164,9 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_i
 
     All rows and columns stay; a text of which no line is kept becomes empty, or
     keeps its blank lines. A null text and the text of a row with a null id stay
-    as they are.
+    as they are. Of rows with an equal id each loses its own lines.
     """
-    gone = line_components(docs, percent, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_components(docs, percent, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("line_no", "same")).alias("_gone"))
     both = docs.join(gone, docs[id_col] == F.col("_id"), "left")
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(x).alias("same")))), "\n")
     return both.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(text)).select(*[F.col("_new").alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -35,9 +35,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = line_dedup.line_components(_read(spark, sf_dir, "documents"))
-    keeper = F.shiftright("keeper_id", line_dedup.LINE_BITS)
-    return lines.select("doc_id", "line_no", keeper.alias("keeper_doc_id"), (F.col("keeper_id") - F.shiftleft(keeper, line_dedup.LINE_BITS)).cast("int").alias("keeper_line_no"), "kept")
+    return line_dedup.line_components(_read(spark, sf_dir, "documents")).drop("same")
 
 
 def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
