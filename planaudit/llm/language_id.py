@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planaudit.llm import textops as tx
@@ -21,6 +21,7 @@ from planaudit.llm import textops as tx
 PROFILE = 300
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
+EDGE = tx.U(1)
 
 
 @cache
@@ -47,8 +48,10 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     c = _codes(text).astype(np.uint64)
     if len(c) < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    two = (c[:-1] << tx.U(21)) | c[1:]
-    three = (two[:-1] << tx.U(21)) | c[2:]
+    # a word's edge has a code of its own, or n-grams of different length would be one
+    marked = np.where(c > 0, c, EDGE)
+    two = (marked[:-1] << tx.U(21)) | marked[1:]
+    three = (two[:-1] << tx.U(21)) | marked[2:]
     found = np.concatenate([c[c > 0], two[(c[:-1] > 0) | (c[1:] > 0)], three[c[1:-1] > 0]])
     return np.unique(found, return_counts=True)
 
@@ -80,9 +83,10 @@ def train_profiles(docs: DataFrame, size: int = PROFILE, lang_col: str = "lang",
     """lang, gram and rank (from 0) of the `size` most frequent n-grams of each language; ties go to the smaller code."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_learn, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # one ordered array per language instead of a window: the number of distinct n-grams of a language is bounded by its alphabet
-    top = counts.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, size).alias("top"))
-    return top.select("lang", F.posexplode("top").alias("rank", "g")).select("lang", F.col("g.gram").alias("gram"), "rank")
+    # every task cuts its own n-grams of a language to `size` before they are gathered
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < size)
+    return top.select("lang", "gram", "rank")
 
 
 def _predict(batches: Iterator[pa.RecordBatch], names: list[str], grams: np.ndarray, ranks: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:

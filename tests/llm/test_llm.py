@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -186,6 +187,45 @@ def test_perplexities_match_brute_force(spark, monkeypatch):
         assert math.isclose(sum(math.exp(share(context + c)) for c in [*letters, "\U0001f600\u0301"[:1]]), 1.0, abs_tol=1e-6)
 
 
+def test_languages_match_brute_force(spark):
+    rng = random.Random(31)
+    letters = {"aa": "abcdeé", "bb": "efghiß", "cc": "жзикл", "dd": "語言學日本"}
+    texts = [(lang, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 40)))) for lang in letters for _ in range(40)]
+    texts += [("aa", "ab ab " * 20_000), ("aa", "ab ab " * 20_000), (None, "abc abd"), ("bb", None), ("cc", ""), ("aa", "1 2 3"), (None, "ééé ßß")]
+    rows = [(i if i % 37 else None, t, lang, "clash", "clash", 7) for i, (lang, t) in enumerate(texts)] + [(3, "again hig", "bb", "clash", "clash", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, gram string, score string, rank int").repartition(3)
+
+    def grams(text):
+        plain = "".join(c if c.isalpha() else " " for c in text.lower())
+        found = Counter()
+        for word in plain.split():
+            found.update(word)
+            marked = f" {word} "
+            found.update(marked[i : i + 2] for i in range(len(marked) - 1))
+            found.update(marked[i : i + 3] for i in range(len(marked) - 2))
+        return found
+
+    code = lambda g: sum((1 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    totals = {}
+    for i, t, lang, *_ in rows:
+        if t is not None and lang is not None and not is_held(i):
+            totals.setdefault(lang, Counter()).update(grams(t))
+    size = 60
+    rank = lambda c: {g: r for r, g in enumerate(sorted(c, key=lambda g: (-c[g], code(g)))[:size])}
+    profiles = {lang: rank(c) for lang, c in totals.items()}
+    want = Counter()
+    for i, t, *_ in rows:
+        own = rank(grams(t or ""))
+        if not own:
+            want[i, is_held(i), "und", 0.0] += 1
+            continue
+        far, lang = min((sum(abs(r - p[g]) if g in p else size for g, r in own.items()), lang) for lang, p in profiles.items())
+        want[i, is_held(i), lang, round(1 - far / (len(own) * size), 9)] += 1
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in language_id.identify_languages(docs, size).collect())
+    assert got == want
+
+
 def test_quality_rejects_junk(spark, empty):
     rows = [(i, sentence(60), "en") for i in range(80)] + [(100, "#### $$$$ %%%% " * 30, "en"), (101, None, "en"), (102, "", None), (103, sentence(50), "xx"), (104, "случайный текст других букв " * 10, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
