@@ -67,7 +67,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: flo
     source, so reruns agree. Other columns are ignored, whatever their names. An
     empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    # texts are read once
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
     span = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, width = (span[0] or 0), max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // CHUNKS))
     rows = rows.withColumn("class", F.least("size", F.lit(CLASSES))).withColumn("chunk", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("int"))
