@@ -94,12 +94,15 @@ def test_repeats_match_brute_force(docs, empty, spark):
         substring_dedup.remove_repeats(spark.createDataFrame([(None, "a")], "doc_id long, text string")).collect()
 
 
-def test_token_counts_match_the_library(docs, empty, spark):
+def test_token_counts_match_the_library(docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(token_counts, "SHARD_BYTES", 300)
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(1)
     odd = ["".join(rng.choice(["a", "b", " ", "the", "\n", "é", "▁", "<s>", "😀", "\x00", "\t", "ing", "　"]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
     rows = [(i, t) for i, t in enumerate(odd)] + [(None, "null id"), (3, "again")]
+    rows += [(1000 + i, rng.choice(["the same words", " the same", "", "the  same words the"])) for i in range(300)]
     got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, limit=5).collect()
     key = lambda i, n, b: (-1 if i is None else i, n, b)
     assert sorted(key(r.doc_id, r.n_tokens, r.n_bytes) for r in got) == sorted(key(i, len(sp.encode(t)), len(t.encode())) for i, t in rows)
