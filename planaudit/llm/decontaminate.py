@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from planaudit.llm import textops as tx
 PIECE, PASSAGE, STRIDE = 64, 128, 64
 K1, B = 1.2, 0.75
 BLOCK = 8
-PIECES_PER_SHARD = 2048
+PIECES_PER_PASS = 100_000
 GRAM = 3
 
 _BREAK = np.ones(256, bool)
@@ -78,15 +79,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Index:
-    """Inverted lists of one shard of pieces, with impacts relative to each piece's own score."""
+    """Inverted lists of pieces with their block maxima, with impacts relative to each piece's own score."""
 
     def __init__(self, rows: list, idf: dict[int, float], mean: float, threshold: float) -> None:
         self.threshold = threshold
         self.items = [(r["item_id"], r["piece"]) for r in rows]
         self.grams = [(np.array(r["qg"], np.int64).view(np.uint64), np.array(r["ag"], np.int64).view(np.uint64)) for r in rows]
         self.terms = np.unique(np.concatenate([np.array(r["terms"], np.int64) for r in rows]).view(np.uint64))
-        postings, essential = [], np.zeros(len(self.terms), bool)
-        for piece, r in enumerate(rows):
+        of, piece, impact, essential = [], [], [], np.zeros(len(self.terms), bool)
+        for number, r in enumerate(rows):
             values, tf = np.unique(np.array(r["terms"], np.int64).view(np.uint64), return_counts=True)
             at = np.searchsorted(self.terms, values)
             weight = np.array([idf[int(v)] for v in values.view(np.int64)]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r["terms"]) / mean))
@@ -95,37 +96,48 @@ class Index:
             # without its heaviest terms a piece stays below the threshold
             rest = 1.0 - np.cumsum(weight[order])
             essential[at[order[: int(np.argmax(rest < threshold - 1e-9)) + 1]]] = True
-            postings += [(t, piece, w) for t, w in zip(at.tolist(), weight.tolist(), strict=True)]
+            of.append(at)
+            piece.append(np.full(len(at), number))
+            impact.append(weight)
         self.essential = essential
-        blocks = -(-len(rows) // BLOCK)
-        self.block_max = np.zeros((len(self.terms), blocks), np.float32)
-        postings.sort()
-        self.at = np.searchsorted([p[0] for p in postings], np.arange(len(self.terms) + 1))
-        self.piece = np.array([p[1] for p in postings], np.int64)
-        self.impact = np.array([p[2] for p in postings])
-        np.maximum.at(self.block_max, (np.repeat(np.arange(len(self.terms)), np.diff(self.at)), self.piece // BLOCK), self.impact.astype(np.float32))
-        self.list_max = self.block_max.max(axis=1)
+        term, self.piece, self.impact = np.concatenate(of), np.concatenate(piece), np.concatenate(impact)
+        order = np.lexsort((self.piece, term))
+        term, self.piece, self.impact = term[order], self.piece[order], self.impact[order]
+        self.at = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.list_max = np.maximum.reduceat(self.impact, self.at[:-1])
+        # the largest impact of each list in each block of pieces that it touches
+        block = self.piece // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.blocks = -(-len(rows) // BLOCK)
+        self.block, self.block_max = block[begin], np.maximum.reduceat(self.impact, begin)
+        self.block_at = np.searchsorted(term[begin], np.arange(len(self.terms) + 1))
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
+    def _lists(self, at: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Places of the entries of some lists, one list after the other."""
+        sizes = at[terms + 1] - at[terms]
+        return np.repeat(at[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """Pieces at or above the threshold for the distinct terms of a passage."""
         if self.list_max[terms].sum() < self.threshold - 1e-6:
             return []
-        alive = self.block_max[terms].sum(axis=0) >= self.threshold - 1e-4
+        upper = self._lists(self.block_at, terms)
+        alive = np.bincount(self.block[upper], self.block_max[upper], self.blocks) >= self.threshold - 1e-6
         if not alive.any():
             return []
-        score = np.zeros(len(self.items))
-        for t in terms:
-            a, b = self.at[t], self.at[t + 1]
-            kept = alive[self.piece[a:b] // BLOCK]
-            score[self.piece[a:b][kept]] += self.impact[a:b][kept]
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= self.threshold - 1e-9)]
+        entries = self._lists(self.at, terms)
+        entries = entries[alive[self.piece[entries] // BLOCK]]
+        found, where = np.unique(self.piece[entries], return_inverse=True)
+        score = np.bincount(where, self.impact[entries])
+        return [(int(found[i]), float(score[i])) for i in np.flatnonzero(score >= self.threshold - 1e-9)]
 
 
-def _retrieve(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _retrieve(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    index: Index = shared.value
     for batch in batches:
         text = batch.column(1).cast(pa.large_string())
         ids = batch.column(0).to_pylist()
@@ -139,10 +151,15 @@ def _retrieve(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Re
             first = words.at[doc]
             # the passages that hold the hit: number p covers words p * STRIDE to p * STRIDE + PASSAGE of its text
             last = (hit - first) // STRIDE
-            passages = np.unique(np.concatenate([np.stack([doc, last]), np.stack([doc, np.maximum(last - 1, 0)])], axis=1), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
-            for d, p in passages.T.tolist():
-                a = int(words.at[d]) + p * STRIDE
-                b = min(a + PASSAGE, int(words.at[d + 1]))
+            width = int(last.max()) + 1 if len(hit) else 1
+            passages = np.unique(np.concatenate([doc * width + last, doc * width + np.maximum(last - 1, 0)]))
+            doc, number = passages // width, passages % width
+            begin = words.at[doc] + number * STRIDE
+            end = np.minimum(begin + PASSAGE, words.at[doc + 1])
+            # list bounds, with repeated words counted each time, rule most passages out at once
+            ahead = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, index.list_max[term], 0.0))])
+            likely = ahead[end] - ahead[begin] >= index.threshold - 1e-6
+            for d, a, b in zip(doc[likely].tolist(), begin[likely].tolist(), end[likely].tolist(), strict=True):
                 own = np.unique(term[a:b])
                 own = own[own >= 0]
                 if not len(own):
@@ -169,28 +186,30 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
     texts are read whole, in passages; long items piece by piece. An item given
     twice, or two equal items, are each reported; documents with equal ids are
     reported once, with their best overlap. Other columns are ignored, whatever
-    their names. Empty tables give an empty result. The index is broadcast in
-    shards of 2048 pieces, and the texts are read once for each shard.
+    their names. Empty tables give an empty result. The index of at most 100000
+    pieces (6.4 million words) is broadcast; the texts are read once for each such
+    part of the benchmark.
     """
     schema = "doc_id long, item_id long, piece int, score double, q_hits long, a_hits long"
     known = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
     pieces = known.mapInArrow(_pieces, "item_id long, piece int, terms array<long>, qg array<long>, ag array<long>")
     stats = pieces.agg(F.count("*"), F.avg(F.size("terms"))).first()
     count, mean = int(stats[0]), float(stats[1] or 1.0)
-    shards = -(-count // PIECES_PER_SHARD)
+    parts = -(-count // PIECES_PER_PASS)
     idf = pieces.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = idf.select("term", F.log(1 + (count - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    numbered = pieces.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(shards, 1))))
+    numbered = pieces.withColumn("part", F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(parts, 1))))
     found = docs.sparkSession.createDataFrame([], schema)
-    for shard in range(shards):
-        own = numbered.where(F.col("shard") == shard)
+    for part in range(parts):
+        own = numbered.where(F.col("part") == part)
         rows = own.orderBy("item_id", "piece").collect()
         if not rows:
             continue
         terms = own.select(F.explode("terms").alias("term")).distinct()
         index = Index(rows, {r["term"]: r["idf"] for r in idf.join(terms, "term", "left_semi").collect()}, mean, threshold)
-        found = found.unionByName(texts.mapInArrow(lambda it, index=index: _retrieve(it, index), schema))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        found = found.unionByName(texts.mapInArrow(lambda it, shared=shared: _retrieve(it, shared), schema))
     sizes = pieces.groupBy("item_id").agg(F.sum(F.size("qg")).alias("nq"), F.sum(F.size("ag")).alias("na"))
     best = found.groupBy("doc_id", "item_id", "piece").agg(F.max("score").alias("score"), F.max("q_hits").alias("q"), F.max("a_hits").alias("a"))
     total = best.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.sum("q").alias("q"), F.sum("a").alias("a")).join(sizes, "item_id")

@@ -272,6 +272,63 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECES_PER_PASS", 9)
+    rng = random.Random(41)
+    items = [(i, " ".join(rng.choice(VOCAB) for _ in range(rng.randint(1, 150))), " ".join(rng.choice(VOCAB) for _ in range(rng.randint(0, 8))), "clash") for i in range(24)]
+    items += [(24, items[3][1], items[3][2], "clash"), (25, items[4][1], items[4][2], "clash"), (26, None, None, "clash"), (None, "x", "y", "clash"), (27, "", "only answer", "clash")]
+
+    def altered(text, share):
+        return " ".join(rng.choice(VOCAB) if rng.random() < share else w for w in text.split())
+
+    texts = [None, "", sentence(2000)]
+    for i in range(40):
+        _, q, a, _ = items[i % 24]
+        texts.append(" ".join([sentence(rng.randint(0, 200)), altered(q, (i % 5) / 20), altered(a, (i % 4) / 20).upper(), sentence(rng.randint(0, 200))]))
+    rows = [(i if i % 17 else None, t, 1.0, 3) for i, t in enumerate(texts)] + [(5, texts[4], 1.0, 3), (5, texts[4], 1.0, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, item_id int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, question string, answer string, score string")
+    plain = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    pieces = []
+    for i, q, a, _ in items:
+        if i is None:
+            continue
+        q, a = plain(q), plain(a)
+        both = q + a
+        grams = lambda w: {tuple(w[k : k + min(3, len(w))]) for k in range(len(w) - min(3, len(w)) + 1)} if w else set()
+        pieces += [(i, k, both[k : k + 64], grams(q[k : k + 64]), grams(both[max(k, len(q)) : k + 64])) for k in range(0, len(both), 64)]
+    df = Counter(w for p in pieces for w in set(p[2]))
+    mean = sum(len(p[2]) for p in pieces) / len(pieces)
+
+    def weights(words):
+        idf = {w: math.log(1 + (len(pieces) - df[w] + 0.5) / (df[w] + 0.5)) for w in words}
+        own = {w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words) / mean)) for w, n in Counter(words).items()}
+        return {w: x / sum(own.values()) for w, x in own.items()}
+
+    known, best = [(*p, weights(p[2])) for p in pieces], {}
+    for i, t, *_ in rows:
+        if i is None:
+            continue
+        words = plain(t)
+        for at in range(0, max(len(words), 1), 64):
+            passage = words[at : at + 128]
+            have = {tuple(passage[k : k + m]) for m in (1, 2, 3) for k in range(len(passage) - m + 1)}
+            for item, k, _, qg, ag, weight in known:
+                score = sum(x for w, x in weight.items() if w in set(passage))
+                if score >= 0.6 - 1e-9:
+                    old = best.get((i, item, k), (0, 0, 0))
+                    best[i, item, k] = tuple(map(max, old, (score, len(qg & have), len(ag & have))))
+    size = {i: (sum(len(p[3]) for p in pieces if p[0] == i), sum(len(p[4]) for p in pieces if p[0] == i)) for i in {p[0] for p in pieces}}
+    total = {}
+    for (d, item, _), (score, q, a) in best.items():
+        old = total.get((d, item), (0, 0, 0))
+        total[d, item] = (max(old[0], score), old[1] + q, old[2] + a)
+    want = {(d, i, round(s, 6), q / size[i][0] if size[i][0] else 1.0, a / size[i][1] if size[i][1] else 1.0) for (d, i), (s, q, a) in total.items()}
+    want = {x for x in want if x[3] >= 0.6 and x[4] >= 0.6}
+    got = [(r.doc_id, r.item_id, round(r.score, 6), r.question_overlap, r.answer_overlap) for r in decontaminate.contaminated(docs, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_mixing(docs, empty, spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
