@@ -6,16 +6,40 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from planaudit.operators.maintain import STATUSES
 
 CHANGES = ["severity", "message", "bbox", "evidence"]
 SEVERITY_RANK = ["error", "warning", "info"]
-
-
-def fingerprint(group: list[str], rest: list[str]) -> tuple[Column, Column]:
-    """L2: a short hash of canonical JSON (sorted names, nulls kept) for the group key, and the sort key in a group."""
-    canonical = [F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}) for names in (group, group + rest)]
+# Places that numbers are rounded to before they are compared.
+PLACES = 4
+# Checklist states that are closed.
+CLOSED = ["done", "skipped_preview"]
+# Stages of checklist items, with the counter of each.
+STAGES = {"readiness": "readiness_items", "primary_issue_review": "primary_issue_items", "per_sheet_preview": "preview_items", "handoff": "handoff_items"}
+
+
+def _rounded(col: Column, kind: T.DataType) -> Column:
+    """A value with all floating numbers in it rounded."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.round(col, PLACES)
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_rounded(col[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _rounded(x, kind.elementType))
+    return col
+
+
+def rounded(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with the floating numbers in these columns, however deep, rounded, so that noise is no change."""
+    return df.withColumns({n: _rounded(F.col(n), df.schema[n].dataType) for n in names})
+
+
+def fingerprint(df: DataFrame, group: list[str], rest: list[str]) -> tuple[Column, Column]:
+    """L2: a short hash of canonical JSON (sorted names, nulls kept, numbers rounded) for the group key, and the sort key in a group."""
+    value = {n: _rounded(F.col(n), df.schema[n].dataType).alias(n) for n in group + rest}
+    canonical = [F.to_json(F.struct(*[value[n] for n in sorted(names)]), {"ignoreNullFields": "false"}) for names in (group, group + rest)]
     return F.substring(F.sha2(canonical[0], 256), 1, 16), canonical[1]
 
 
@@ -25,13 +49,13 @@ def changed_fields(fields: list[str]) -> Column:
 
 
 def diff_runs(before: DataFrame, after: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
-    """L1: unchanged, changed, new or resolved, matched by group and occurrence in it; ids are not compared."""
-    key, sort = fingerprint(group, fields)
+    """L1: unchanged, changed, new or resolved, matched by group and occurrence in it; ids are not compared, numbers to 4 places."""
 
     def numbered(df: DataFrame, side: str) -> DataFrame:
+        key, sort = fingerprint(df, group, fields)
         rows = df.withColumn("group_key", key).withColumn("_sort", sort)
         rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("group_key").orderBy("_sort")))
-        return rows.select("group_key", "occurrence", F.struct(*group, *fields).alias(side))
+        return rounded(rows, group + fields).select("group_key", "occurrence", F.struct(*group, *fields).alias(side))
 
     both = numbered(before, "before").join(numbered(after, "after"), ["group_key", "occurrence"], "full")
     changed = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), changed_fields(fields)).otherwise(F.array().cast("array<string>"))
@@ -39,22 +63,46 @@ def diff_runs(before: DataFrame, after: DataFrame, group: list[str], fields: lis
     return both.withColumn("status", status).withColumn("changed", changed)
 
 
-def build_state(issues: DataFrame, prior: DataFrame) -> DataFrame:
-    """L4: earlier decisions stay by issue id, new issues are candidates, issues that are gone are dropped."""
-    return issues.select("issue_id").join(prior.select("issue_id", "status", "reviewer"), "issue_id", "left").withColumn("status", F.coalesce("status", F.lit("candidate")))
+# Columns of the review state beside issue_id.
+STATE = {"status": "string", "reviewer": "string", "note": "string", "target_run": "string", "source_run": "string", "created_at": "timestamp", "updated_at": "timestamp"}
+
+
+def _state(df: DataFrame) -> DataFrame:
+    """issue_id and all columns of the review state, null where df lacks one."""
+    return df.select("issue_id", *[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in STATE.items()])
+
+
+def build_state(issues: DataFrame, prior: DataFrame, now: Column, run_id: str | None = None) -> DataFrame:
+    """L4: earlier decisions stay by issue id with all they hold, new issues are candidates, issues that are gone are dropped."""
+    old = _state(prior).withColumn("_old", F.lit(True))
+    both = issues.select("issue_id").join(old, "issue_id", "left")
+    fresh = F.col("_old").isNull()
+    new = {"status": F.lit("candidate"), "source_run": F.lit(run_id), "created_at": now, "updated_at": now}
+    rows = both.withColumns({c: F.when(fresh, v.cast(STATE[c])).otherwise(F.col(c)) for c, v in new.items()})
+    return rows.withColumn("updated_at", F.coalesce("updated_at", now)).drop("_old")
 
 
 def apply_transitions(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The latest legal update of each known issue is applied; the others come back with a reason.
 
-    updates(issue_id, status, target_run, at): `open` means candidate; only superseded has a target run, and needs one.
+    updates(issue_id, status, target_run, reviewer, note, at): an empty status and
+    `open` mean candidate; only superseded has a target run, and needs one. A reviewer
+    or note that is given replaces the old one (an empty one removes it); an issue
+    without a legal update stays as it is.
     """
-    rows = updates.withColumn("status", F.when(F.col("status") == "open", "candidate").otherwise(F.col("status"))).join(state.select("issue_id", F.lit(True).alias("known")), "issue_id", "left")
-    reason = F.when(F.col("known").isNull(), "unknown issue").when(~F.coalesce(F.col("status").isin(STATUSES), F.lit(False)), "unknown status").when((F.col("status") == "superseded") & F.col("target_run").isNull(), "no target run").when((F.col("status") != "superseded") & F.col("target_run").isNotNull(), "unexpected target run")
+    given = F.lower(F.trim(F.coalesce("status", F.lit(""))))
+    rows = updates.withColumns({c: F.lit(None).cast("string") for c in ("target_run", "reviewer", "note") if c not in updates.columns})
+    rows = rows.withColumn("status", F.when(given.isin("", "open"), "candidate").otherwise(given)).join(state.select("issue_id", F.lit(True).alias("known")), "issue_id", "left")
+    target = F.coalesce("target_run", F.lit("")) != ""
+    reason = F.when(F.col("known").isNull(), "unknown issue").when(~F.col("status").isin(STATUSES), "unknown status").when((F.col("status") == "superseded") & ~target, "no target run").when((F.col("status") != "superseded") & target, "unexpected target run")
     rows = rows.withColumn("reason", reason)
-    last = rows.where("reason is null").groupBy("issue_id").agg(F.max_by(F.struct("status", "target_run"), "at").alias("u"))
-    new = state.join(last, "issue_id", "left").withColumn("status", F.coalesce("u.status", "status")).withColumn("target_run", F.col("u.target_run")).drop("u")
-    return new, rows.where("reason is not null").drop("known")
+    texts = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"_{c}") for c in ("reviewer", "note")]
+    last = rows.where("reason is null").groupBy("issue_id").agg(F.max_by(F.struct("status", "target_run", "at"), "at").alias("u"), *texts)
+    both = _state(state).join(last, "issue_id", "left")
+    done = F.col("u").isNotNull()
+    kept = {c: F.when(F.col(f"_{c}").isNotNull(), F.nullif(F.col(f"_{c}"), F.lit(""))).otherwise(F.col(c)) for c in ("reviewer", "note")}
+    new = {"status": F.coalesce("u.status", "status"), "updated_at": F.when(done, F.col("u.at").cast("timestamp")).otherwise(F.col("updated_at")), "target_run": F.when(done, F.when(F.col("u.status") == "superseded", F.col("u.target_run").cast("string"))).otherwise(F.col("target_run"))}
+    return both.withColumns(kept | new).drop("u", "_reviewer", "_note"), rows.where("reason is not null").drop("known")
 
 
 def state_summary(state: DataFrame) -> DataFrame:
@@ -81,20 +129,43 @@ def task_sequence(stages: list[tuple[str, DataFrame, int]]) -> DataFrame:
     return both.withColumn("ordinal", F.row_number().over(Window.partitionBy("run_id").orderBy("stage_no", "at"))).drop("stage_no", "at")
 
 
-def checklist_summary(items: DataFrame) -> DataFrame:
-    """items(package, ordinal, title, status) to counts, the first three open titles and a status."""
-    count = [F.count_if(F.col("status") == s).alias(s) for s in ("done", "open", "blocked", "needs_info")]
-    titles = F.array_sort(F.collect_list(F.when(F.col("status") == "open", F.struct("ordinal", "title"))))
-    rows = items.groupBy("package").agg(*count, F.transform(F.slice(titles, 1, 3), lambda x: x["title"]).alias("first_open"))
-    return rows.withColumn("state", F.when(F.col("blocked") > 0, "blocked").when(F.col("needs_info") > 0, "needs_info").when(F.col("open") > 0, "open").otherwise("done"))
+def checklist_summary(items: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """items(package, ordinal, check_id, title, stage, status) to counts, the first three open titles and a status.
+
+    Done and skipped previews are done, all else is open, blocked and needs_info
+    included. A package of `packages` without an item is empty.
+    """
+    status = F.coalesce("status", F.lit(""))
+    is_open = ~status.isin(CLOSED)
+    counts = {"items": F.lit(True), "done": ~is_open, "open": is_open, "blocked": status == "blocked", "needs_info": status == "needs_info"} | {name: F.coalesce(F.col("stage") == stage, F.lit(False)) for stage, name in STAGES.items()}
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), "check_id")
+    titles = F.array_sort(F.collect_list(F.when(is_open, F.struct("ordinal", title.alias("title")))))
+    rows = items.groupBy("package").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.transform(F.slice(titles, 1, 3), lambda x: x["title"]).alias("first_open"))
+    if packages is not None:
+        rows = packages.select("package").distinct().join(rows, "package", "left")
+        rows = rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in counts} | {"first_open": F.coalesce("first_open", F.array().cast("array<string>"))})
+    state = F.when(F.col("items") == 0, "checklist_empty").when(F.col("blocked") > 0, "checklist_blocked").when(F.col("needs_info") > 0, "checklist_needs_info").when(F.col("open") > 0, "checklist_open").otherwise("checklist_complete")
+    return rows.withColumn("state", state)
 
 
 def update_checklist(items: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Status by (package, check_id); a completion time only where the status is done or blocked; rejects are unknown items."""
-    both = items.join(updates.select("package", "check_id", F.col("status").alias("_s"), F.col("at").alias("_t")), ["package", "check_id"], "left")
-    status = F.coalesce("_s", "status")
-    new = both.withColumn("completed_at", F.when(status.isin("done", "blocked"), F.coalesce("_t", "completed_at"))).withColumn("status", status).drop("_s", "_t")
-    return new, updates.join(items.select("package", "check_id"), ["package", "check_id"], "left_anti")
+    """updates(package, check_id or ordinal, status, reviewer, note, at, completed_at) applied to items; the rest comes back.
+
+    Exactly one of check_id and ordinal names the item. Where the new status is closed
+    the item is completed at the given time, else at the time of the update; where it
+    is not, only a given time counts. Of several updates of an item the last one counts.
+    """
+    ids = items.select("package", F.col("check_id").alias("_id"), F.col("ordinal").alias("_at"))
+    by_id = ids.select("package", F.col("_id").alias("check_id"), F.col("_id").alias("_named")).distinct()
+    by_place = ids.groupBy("package", F.col("_at").alias("ordinal")).agg(F.min("_id").alias("_placed"))
+    one = F.col("check_id").isNull() != F.col("ordinal").isNull()
+    rows = updates.join(by_id, ["package", "check_id"], "left").join(by_place, ["package", "ordinal"], "left").withColumn("_item", F.when(one, F.coalesce("_named", "_placed"))).drop("_named", "_placed")
+    last = rows.where("_item is not null").groupBy("package", F.col("_item").alias("check_id")).agg(F.max_by(F.struct("status", "reviewer", "note", "at", "completed_at"), F.struct("at", "status")).alias("u"))
+    both = items.join(last, ["package", "check_id"], "left")
+    done = F.col("u").isNotNull()
+    time = F.when(F.col("u.status").isin(CLOSED), F.coalesce("u.completed_at", "u.at")).otherwise(F.col("u.completed_at"))
+    fields = {"status": F.coalesce("u.status", "status"), "completed_at": F.when(done, time).otherwise(F.col("completed_at"))} | {c: F.when(done, F.col(f"u.{c}")).otherwise(F.col(c) if c in items.columns else F.lit(None)) for c in ("reviewer", "note")}
+    return both.withColumns(fields | {"updated_at": F.col("u.at")}).drop("u"), rows.where("_item is null").select(updates.columns)
 
 
 def manager_gate(checks: DataFrame) -> DataFrame:

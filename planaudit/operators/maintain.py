@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 # Legal review statuses.
 STATUSES = ["candidate", "confirmed", "rejected", "needs_info", "resolved", "superseded"]
-REVIEWER_CLASSES = ["synthetic", "internal", "independent"]
+# Classes of reviewers, and how synthetic names begin.
+SYNTHETIC, INTERNAL, INDEPENDENT = "synthetic", "project_internal", "independent_third_party"
+REVIEWER_CLASSES = [SYNTHETIC, INTERNAL, INDEPENDENT]
+SYNTHETIC_PREFIXES = ["demo-reviewer", "smoke-runner", "synthetic-"]
 
 
 def validate_knowledge(rules: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -19,11 +22,17 @@ def validate_knowledge(rules: DataFrame, clauses: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [*twice, refs.select(F.lit("unknown clause").alias("problem"), F.col("clause_id").alias("id"))])
 
 
-def import_labels(rows: DataFrame, default_class: str = "internal") -> tuple[DataFrame, DataFrame]:
-    """Label rows with their required keys and a known class, and the rejects."""
-    rows = rows.withColumn("reviewer_class", F.coalesce("reviewer_class", F.lit(default_class)))
+def import_labels(rows: DataFrame, default_class: str = INTERNAL) -> tuple[DataFrame, DataFrame]:
+    """Label rows with their required keys and a known class, and the rejects.
+
+    An empty class is the default one. A synthetic name that claims to be
+    independent is taken as synthetic.
+    """
+    rows = rows.withColumn("reviewer_class", F.coalesce(F.nullif(F.col("reviewer_class"), F.lit("")), F.lit(default_class)))
     good = F.col("issue_id").isNotNull() & F.col("reviewer_id").isNotNull() & F.col("event_type").isNotNull() & F.col("reviewer_class").isin(REVIEWER_CLASSES)
-    return rows.where(good), rows.where(~good)
+    fake = reduce(lambda a, b: a | b, [F.col("reviewer_id").startswith(p) for p in SYNTHETIC_PREFIXES])
+    taken = rows.where(good).withColumn("reviewer_class", F.when(fake & (F.col("reviewer_class") == INDEPENDENT), SYNTHETIC).otherwise(F.col("reviewer_class")))
+    return taken, rows.where(~good)
 
 
 def table_census(tables: dict[str, DataFrame], required: list[str]) -> DataFrame:
@@ -79,4 +88,4 @@ def overlay_status(issues: DataFrame, states: DataFrame, key: str = "issue_id")
 def resolve_source(profile: Column, graph: Column, label: Column) -> tuple[Column, Column]:
     """The drawing's source (profile, else graph, else run label) and a warning for the last."""
     known = F.coalesce(F.nullif(profile, F.lit("")), F.nullif(graph, F.lit("")))
-    return F.coalesce(known, F.concat(F.lit("<unknown-source-for:"), label, F.lit(">"))), F.when(known.isNull(), F.lit("no source_pdf found in artifacts; using run_dir label"))
+    return F.coalesce(known, F.concat(F.lit("<unknown-source-for:"), label, F.lit(">"))), F.when(known.isNull(), F.lit("the artifacts name no source, so the label of the run stands in"))

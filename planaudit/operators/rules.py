@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from planaudit.functions.predicates import bind_inputs, measured, predicate_column, render_message
 
+# Readiness tiers.
+TIERS = ["AUTODETECTABLE", "PARTIAL_AUTODETECT", "PROJECT_META_DRIVEN", "REMINDER_BY_DESIGN", "STAIR_PENDING"]
+#: Clause references that one table of rules may have: it is broadcast as one row.
+MAX_LINKS = 100_000
+
 
 def _outcomes(rows: DataFrame, rules: list[dict], default_severity: str) -> Column:
     """One struct for each rule: does it hold, and what to report."""
@@ -36,19 +41,17 @@ def _outcomes(rows: DataFrame, rules: list[dict], default_severity: str) -> Colu
 
 
 def evaluate(entities: DataFrame, rules: list[dict], keep: tuple[str, ...] = ("run_id", "page_index", "entity_id"), type_col: str = "entity_type") -> DataFrame:
-    """One issue for each entity and rule of its type that does not hold (default severity error).
+    """One issue for each entity and rule of its type that does not hold (default severity error).
 
-    A null or unreadable operand makes a rule fail. Ids of issues are hashes of
-    run, rule and entity, so reruns agree.
+    Entities are scanned once; the type picks the rules of a row. A null or
+    unreadable operand makes a rule fail. Ids of issues are hashes of run, rule and
+    entity, so reruns agree.
     """
-    parts = []
-    for kind in sorted({r["applies_to"] for r in rules}):
-        own = entities.where(F.col(type_col) == kind)
-        found = own.select(*keep, F.inline(_outcomes(own, [r for r in rules if r["applies_to"] == kind], "error")))
-        parts.append(found.where("not holds").drop("holds"))
-    if not parts:
+    if not rules:
         raise ValueError("no rules")
-    issues = reduce(DataFrame.unionByName, parts)
+    by_type = {kind: _outcomes(entities, [r for r in rules if r["applies_to"] == kind], "error") for kind in sorted({r["applies_to"] for r in rules})}
+    picked = reduce(lambda out, kind: out.when(F.col(type_col) == kind, by_type[kind]), by_type, F.when(F.lit(False), next(iter(by_type.values()))))
+    issues = entities.where(F.col(type_col).isin(*by_type)).select(*keep, F.inline(picked)).where("not holds").drop("holds")
     return issues.withColumn("issue_id", F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in keep], "rule_id"), 256), 1, 16))
 
 
@@ -60,7 +63,7 @@ def evaluate_projects(projects: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def resolve_evidence(issues: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Threshold and unit of an issue: the rule's own threshold, else its first clause's."""
+    """Threshold and unit of an issue: the rule's own threshold, else its first clause's; an unknown clause leaves both as they are."""
     known = clauses.select("clause_id", F.col("threshold_value").alias("_t"), "unit")
     return issues.join(known, "clause_id", "left").withColumn("threshold_value", F.coalesce("threshold_value", "_t")).drop("_t")
 
@@ -73,17 +76,30 @@ def applicable_rules(rules: DataFrame, clauses: DataFrame, projects: DataFrame)
 
 
 def skip_reasons(rules: DataFrame, clauses: DataFrame, projects: DataFrame) -> DataFrame:
-    """R2: project_id, rule_id and one reason text, in clause order, for every rule that does not apply."""
-    kept = applicable_rules(rules, clauses, projects)
-    links = rules.select("rule_id", F.posexplode("source_clause_ids").alias("at", "clause_id")).join(clauses, "clause_id", "left")
-    every = projects.select("project_id", "building_type", "height_class").join(links, F.lit(True)).join(kept, ["project_id", "rule_id"], "left_anti")
-    reason = (
-        F.when(F.col("applies_to_building_type").isNull(), F.concat("clause_id", F.lit(": unknown clause")))
-        .when(~F.array_contains("applies_to_building_type", F.col("building_type")), F.concat("clause_id", F.lit(": building type "), "building_type", F.lit(" not covered")))
-        .otherwise(F.concat("clause_id", F.lit(": height class "), F.coalesce("height_class", F.lit("?")), F.lit(" not covered")))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("at", reason.alias("text"))))
-    return every.groupBy("project_id", "rule_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "; ").alias("reason"))
+    """R2: project_id, rule_id and one reason text, in clause order, for every rule that does not apply.
+
+    The rules with their clauses are knowledge, of which there is one row here: a
+    project reads it as an array, up to MAX_LINKS clause references.
+    """
+    scope = clauses.select("clause_id", F.lit(True).alias("known"), "applies_to_building_type", "applies_to_height_class")
+    links = rules.select("rule_id", F.posexplode("source_clause_ids").alias("at", "clause_id")).join(scope, "clause_id", "left")
+    links = links.limit(MAX_LINKS + 1).groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("at", "clause_id", "known", "applies_to_building_type", "applies_to_height_class"))).alias("clauses"))
+    table = links.agg(F.collect_list(F.struct("rule_id", "clauses")).alias("rules"), F.sum(F.size("clauses")).alias("_n"))
+    table = table.select(F.when(F.coalesce("_n", F.lit(0)) <= MAX_LINKS, F.col("rules")).otherwise(F.raise_error(F.lit("too many clause references for one table of rules")).cast(table.schema["rules"].dataType)).alias("rules"))
+    build, height = F.col("building_type"), F.col("height_class")
+
+    def fits(c: Column) -> Column:
+        allowed = c["applies_to_height_class"].isNull() | F.coalesce(F.array_contains(c["applies_to_height_class"], height), F.lit(False))
+        return F.coalesce(c["known"] & F.array_contains(c["applies_to_building_type"], build) & allowed, F.lit(False))
+
+    def reason(c: Column) -> Column:
+        unknown, covered = c["applies_to_building_type"].isNull(), F.array_contains(c["applies_to_building_type"], build)
+        return F.when(unknown, F.concat(c["clause_id"], F.lit(": unknown clause"))).when(~covered, F.concat(c["clause_id"], F.lit(": building type "), build, F.lit(" not covered"))).otherwise(F.concat(c["clause_id"], F.lit(": height class "), F.coalesce(height, F.lit("?")), F.lit(" not covered")))
+
+    # the table of rules is one row
+    both = projects.select("project_id", "building_type", "height_class").join(F.broadcast(table), F.lit(True))
+    left = both.select("project_id", "building_type", "height_class", F.explode(F.filter("rules", lambda r: ~F.exists(r["clauses"], fits))).alias("r"))
+    return left.select("project_id", "r.rule_id", F.array_join(F.transform("r.clauses", reason), "; ").alias("reason"))
 
 
 def clean_bbox(issues: DataFrame) -> DataFrame:
@@ -100,10 +116,20 @@ def evaluate_multi_page(entities: DataFrame, projects: DataFrame, rules: list[di
     return issues.unionByName(own)
 
 
-def sheet_issue_groups(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """run_id, page_index, n_issues and issues (sorted by id); pages without one are kept."""
-    by = issues.groupBy("run_id", "page_index").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("issue_id")).alias("found"))
-    return pages.select("run_id", "page_index").distinct().join(by, ["run_id", "page_index"], "left").select("run_id", "page_index", F.coalesce("n", F.lit(0)).alias("n_issues"), F.coalesce("found", F.array().cast("array<string>")).alias("issues"))
+def merge_skips(skips: DataFrame, primary: str = "is_primary") -> DataFrame:
+    """skips(run_id, page_index, rule_id, reason) of all pages, one of each rule of a run: the first page's, the primary page last."""
+    first = F.min_by("reason", F.struct(F.col(primary), "page_index"))
+    return skips.groupBy("run_id", "rule_id").agg(first.alias("reason"))
+
+
+def sheet_issue_groups(pages: DataFrame, issues: DataFrame, skips: DataFrame) -> DataFrame:
+    """run_id, page_index, n_issues, issues (sorted by id), n_skipped and skipped rules of each page; pages without any are kept."""
+    keys = ["run_id", "page_index"]
+    by = issues.groupBy(*keys).agg(F.count("*").alias("n_issues"), F.array_sort(F.collect_list("issue_id")).alias("issues"))
+    out = skips.groupBy(*keys).agg(F.count("*").alias("n_skipped"), F.array_sort(F.collect_list("rule_id")).alias("skipped"))
+    rows = pages.select(*keys).distinct().join(by, keys, "left").join(out, keys, "left")
+    empty = F.array().cast("array<string>")
+    return rows.select(*keys, *[F.coalesce(c, F.lit(0) if c.startswith("n_") else empty).alias(c) for c in ("n_issues", "issues", "n_skipped", "skipped")])
 
 
 def rule_selftest(spark_rows: DataFrame, rules: list[dict]) -> DataFrame:
@@ -112,36 +138,62 @@ def rule_selftest(spark_rows: DataFrame, rules: list[dict]) -> DataFrame:
     return spark_rows.withColumn("passes", outcome).where("passes <> expect_pass").select("rule_id", "case_name", "expect_pass", "passes")
 
 
+def _severity(rule: dict) -> str:
+    return rule.get("severity") or ("info" if rule["applies_to"] == "Project" else "error")
+
+
 def entity_readiness(entities: DataFrame, rules: list[dict], least: float = 0.5) -> DataFrame:
-    """Per run and rule: candidates, complete ones, missing inputs, and a status.
+    """Per run and entity rule: entities of its type, those with all inputs, weak ones among these, missing inputs, and a status.
 
-    unsupported (no entity of the type), missing (an input that no entity has), low_confidence
-    (complete ones all below `least`), manual (the rule has no input), ready.
+    unsupported_entity (no entity of the type), missing_input (an input that no entity
+    has, or no entity with all of them; then all are missing), low_confidence (an
+    entity with all inputs is uncertain or below `least`), manual_only (severity
+    info), ready. Entities are scanned once.
     """
-    parts = []
-    runs = entities.select("run_id").distinct()
-    for r in rules:
+    own = [r for r in rules if r["applies_to"] != "Project"]
+    sums, parts = [], []
+    unsure = F.coalesce(F.col("uncertain"), F.lit(False)) if "uncertain" in entities.columns else F.lit(False)
+    for i, r in enumerate(own):
         inputs = bind_inputs(entities, r["inputs"])
-        complete = reduce(lambda a, b: a & b, [c.isNotNull() for c, _ in inputs.values()], F.lit(True))
-        own = entities.where(F.col("entity_type") == r["applies_to"]).groupBy("run_id").agg(
-            F.count("*").alias("candidates"),
-            F.count_if(complete).alias("complete"),
-            F.count_if(complete & (F.coalesce("confidence", F.lit(0.0)) < least)).alias("weak"),
-            F.array_compact(F.array(*[F.when(F.count(c) == 0, F.lit(n)) for n, (c, _) in inputs.items()])).alias("missing"),
-        )
-        parts.append(runs.join(own, "run_id", "left").withColumn("rule_id", F.lit(r["rule_id"])).withColumn("manual", F.lit(not r["inputs"])))
-    status = F.when(F.col("candidates").isNull(), "unsupported").when(F.size("missing") > 0, "missing").when((F.col("complete") > 0) & (F.col("weak") == F.col("complete")), "low_confidence").when(F.col("manual"), "manual").when(F.col("complete") == 0, "missing").otherwise("ready")
-    return reduce(DataFrame.unionByName, parts).select("run_id", "rule_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "complete", "weak")], F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), status.alias("status"))
-
-
-def project_readiness(projects: DataFrame, rules: list[dict]) -> DataFrame:
-    """Per project and project rule: the inputs that are null, and missing or ready."""
+        kind = F.col("entity_type") == r["applies_to"]
+        complete = kind & reduce(lambda a, b: a & b, [c.isNotNull() for c, _ in inputs.values()], F.lit(True))
+        weak = complete & (unsure | (F.coalesce("confidence", F.lit(0.0)) < least))
+        sums += [F.count_if(kind).alias(f"e{i}"), F.count_if(complete).alias(f"c{i}"), F.count_if(weak).alias(f"w{i}")]
+        sums += [F.count_if(kind & c.isNotNull()).alias(f"i{i}_{k}") for k, (c, _) in enumerate(inputs.values())]
+        names = F.array(*[F.lit(n) for n in r["inputs"]]) if r["inputs"] else F.array().cast("array<string>")
+        absent = F.array_compact(F.array(*[F.when(F.col(f"i{i}_{k}") == 0, F.lit(n)) for k, n in enumerate(inputs)])) if inputs else F.array().cast("array<string>")
+        lacking = (F.size(absent) > 0) | (F.col(f"c{i}") == 0)
+        status = F.when(F.col(f"e{i}") == 0, "unsupported_entity").when(lacking, "missing_input").when(F.col(f"w{i}") > 0, "low_confidence").otherwise("manual_only" if _severity(r) == "info" else "ready")
+        missing = F.when(F.col(f"e{i}") == 0, names).when(F.size(absent) > 0, absent).when(F.col(f"c{i}") == 0, names).otherwise(F.array().cast("array<string>"))
+        parts.append(F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.col(f"e{i}").alias("candidates"), F.col(f"c{i}").alias("complete"), F.col(f"w{i}").alias("weak"), missing.alias("missing"), status.alias("status")))
+    return entities.groupBy("run_id").agg(*sums).select("run_id", F.inline(F.array(*parts)))
+
+
+def project_readiness(projects: DataFrame, rules: list[dict], clauses: DataFrame, skips: DataFrame) -> DataFrame:
+    """Per project and rule: missing inputs, status and what it rests on.
+
+    projects: project_id and has_meta, with the project's fields; clauses(clause_id);
+    skips(project_id, rule_id, reason). In this order: a source clause that was not
+    loaded is missing_input (knowledge_base); a skipped rule is not_applicable
+    (applicability), or missing_input (project_meta) without project data; then
+    project rules only: no project data or a null field is missing_input, severity
+    info is manual_only, else ready. Entity rules that pass the first two are left to
+    R14.
+    """
+    known = {r["clause_id"] for r in clauses.select("clause_id").where(F.col("clause_id").isin(sorted({c for r in rules for c in r.get("source_clause_ids") or []}))).distinct().collect()}
+    empty = F.array().cast("array<string>")
     parts = []
-    for r in (x for x in rules if x["applies_to"] == "Project"):
-        inputs = bind_inputs(projects, r["inputs"])
-        missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, (c, _) in inputs.items()]))
-        parts.append(projects.select("project_id", F.lit(r["rule_id"]).alias("rule_id"), missing.alias("missing")))
-    return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(F.size("missing") > 0, "missing").otherwise("ready"))
+    for r in rules:
+        names = F.array(*[F.lit(n) for n in r["inputs"]]) if r["inputs"] else empty
+        project = r["applies_to"] == "Project"
+        inputs = bind_inputs(projects, r["inputs"]) if project else {}
+        absent = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, (c, _) in inputs.items()])) if inputs else empty
+        parts.append(F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(project).alias("project"), F.lit(_severity(r)).alias("severity"), F.lit(set(r.get("source_clause_ids") or []) <= known).alias("known"), names.alias("inputs"), absent.alias("absent")))
+    rows = projects.select("project_id", "has_meta", F.inline(F.array(*parts))).join(skips.select("project_id", "rule_id", F.lit(True).alias("skipped")).distinct(), ["project_id", "rule_id"], "left")
+    status = F.when(~F.col("known"), "missing_input").when(F.col("skipped"), F.when(F.col("has_meta"), "not_applicable").otherwise("missing_input")).when(~F.col("has_meta") | (F.size("absent") > 0), "missing_input").when(F.col("severity") == "info", "manual_only").otherwise("ready")
+    source = F.when(~F.col("known"), "knowledge_base").when(F.col("skipped") & F.col("has_meta"), "applicability").otherwise("project_meta")
+    missing = F.when(~F.col("known") | ~F.col("has_meta"), F.col("inputs")).when(F.col("skipped"), empty).otherwise(F.col("absent"))
+    return rows.where("project or not known or skipped").select("project_id", "rule_id", status.alias("status"), source.alias("source"), missing.alias("missing"))
 
 
 def evidence_source(flags: dict[str, Column]) -> Column:
@@ -150,9 +202,16 @@ def evidence_source(flags: dict[str, Column]) -> Column:
 
 
 def readiness_tiers(rules: DataFrame, capabilities: DataFrame) -> DataFrame:
-    """rule_id, missing and tier from capabilities(applies_to, fields): stair, info, project, missing, auto."""
-    both = rules.join(capabilities, "applies_to", "left").withColumn("missing", F.array_except("inputs", F.coalesce("fields", F.array().cast("array<string>"))))
-    tier = F.when(F.col("applies_to") == "Stair", "stair").when(F.col("severity") == "info", "info").when(F.col("applies_to") == "Project", "project").when(F.size("missing") > 0, "missing").otherwise("auto")
+    """rule_id, missing and tier from capabilities(applies_to, fields).
+
+    A stair rule is pending only while stairs have no fields. A null severity is info
+    for project rules and error for others.
+    """
+    fields = F.coalesce("fields", F.array().cast("array<string>"))
+    both = rules.join(capabilities, "applies_to", "left").withColumn("_fields", fields).withColumn("missing", F.array_except("inputs", "_fields"))
+    severity = F.coalesce("severity", F.when(F.col("applies_to") == "Project", "info").otherwise("error"))
+    pending = (F.col("applies_to") == "Stair") & (F.size("_fields") == 0)
+    tier = F.when(pending, TIERS[4]).when(severity == "info", TIERS[3]).when(F.col("applies_to") == "Project", TIERS[2]).when(F.size("missing") > 0, TIERS[1]).otherwise(TIERS[0])
     return both.select("rule_id", "missing", tier.alias("tier"))
 
 
@@ -165,7 +224,7 @@ def domain_counts(df: DataFrame, col: str, domain: list[str]) -> DataFrame:
 
 def blocked_sources(readiness: DataFrame) -> DataFrame:
     """Source and number of rules it blocks, most first."""
-    return readiness.where(F.col("status").isin("missing", "unsupported")).groupBy("source").agg(F.countDistinct("rule_id").alias("n_rules")).orderBy(F.desc("n_rules"), "source")
+    return readiness.where(F.col("status").isin("missing_input", "unsupported_entity")).groupBy("source").agg(F.countDistinct("rule_id").alias("n_rules")).orderBy(F.desc("n_rules"), "source")
 
 
 def check_schedule_project(schedule: DataFrame, projects: DataFrame) -> DataFrame:

@@ -24,6 +24,13 @@ VIEWS = {
         CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey % 100) / 100.0E0 END AS confidence FROM orders""",
     "v_event": """SELECT event_id, event_id % 1500 AS issue_id, concat('u', CAST(user_id AS VARCHAR(20))) AS reviewer_id, concat('R', CAST(user_id % 12 AS VARCHAR(20))) AS rule_id,
         CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'reject' WHEN 'view' THEN 'comment' WHEN 'click' THEN 'needs_info' ELSE 'resolve' END AS event_type FROM events""",
+    "v_reviewer": """SELECT DISTINCT user_id, CASE user_id % 5 WHEN 0 THEN concat('synthetic-', CAST(user_id AS VARCHAR(20))) WHEN 1 THEN concat('demo-reviewer', CAST(user_id AS VARCHAR(20)))
+        WHEN 2 THEN concat(' smoke-runner-', CAST(user_id AS VARCHAR(20))) ELSE concat('u', CAST(user_id AS VARCHAR(20))) END AS reviewer_id,
+        CASE user_id % 3 WHEN 0 THEN 'independent_third_party' WHEN 1 THEN 'project_internal' END AS reviewer_class FROM events""",
+    "v_label": """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 1500 END AS issue_id, user_id, event_type = 'purchase' AS is_label, event_type,
+        CASE user_id % 5 WHEN 0 THEN concat('synthetic-', CAST(user_id AS VARCHAR(20))) WHEN 1 THEN concat('demo-reviewer', CAST(user_id AS VARCHAR(20)))
+        WHEN 2 THEN concat(' smoke-runner-', CAST(user_id AS VARCHAR(20))) ELSE concat('u', CAST(user_id AS VARCHAR(20))) END AS reviewer_id,
+        CASE event_id % 6 WHEN 0 THEN 'independent_third_party' WHEN 1 THEN 'project_internal' WHEN 2 THEN 'synthetic' WHEN 3 THEN 'odd' WHEN 4 THEN '' END AS reviewer_class FROM events""",
     "v_segment": "SELECT l_linenumber AS page_index, l_extendedprice % 500 AS x0, l_suppkey * 2.0E0 AS y0, l_extendedprice % 500 + l_quantity AS x1, l_suppkey * 2.0E0 AS y1 FROM lineitem",
     "v_box": "SELECT p_partkey AS space_id, p_partkey % 20 AS page_index, (p_partkey % 37) * 12.0E0 AS x0, (p_partkey % 23) * 9.0E0 AS y0, (p_partkey % 37) * 12.0E0 + p_size * 3.0E0 AS x1, (p_partkey % 23) * 9.0E0 + (p_partkey % 9 + 1) * 4.0E0 AS y1 FROM part",
     "v_point": "SELECT event_id AS text_idx, event_id % 20 AS page_index, CASE WHEN value IS NULL THEN 0.0E0 ELSE value END AS x, CAST(event_id % 200 AS DOUBLE) AS y, event_type AS label FROM events",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planaudit.operators import evidence, maintain, rules, schedules, text
@@ -49,11 +49,15 @@ def flatten(s: SparkSession, d: str) -> DataFrame:
     return rows.select("run_id", "entity_type", "entity_id", "page_index", "confidence", F.try_variant_get("properties", "$.width_m", "double").alias("width_m"))
 
 
-@query("s5_import_labels", "SELECT reviewer_id NOT LIKE '%7' AS good, count(*) AS n FROM v_event GROUP BY 1", "v_event")
+@query(
+    "s5_import_labels",
+    """SELECT event_id, event_id % 17 <> 0 AND event_id % 6 <> 3 AS good, CASE WHEN event_id % 6 = 3 THEN 'odd' WHEN event_id % 6 = 2 THEN 'synthetic' WHEN event_id % 6 <> 0 THEN 'project_internal'
+    WHEN user_id % 5 <= 1 AND event_id % 17 <> 0 THEN 'synthetic' ELSE 'independent_third_party' END AS reviewer_class FROM v_label""",
+    "v_label",
+)
 def labels(s: SparkSession, d: str) -> DataFrame:
-    rows = view(s, d, "v_event").withColumn("reviewer_class", F.when(F.col("reviewer_id").endswith("7"), "odd"))
-    good, rejects = maintain.import_labels(rows)
-    return good.select(F.lit(True).alias("good")).unionByName(rejects.select(F.lit(False).alias("good"))).groupBy("good").agg(F.count("*").alias("n"))
+    good, rejects = maintain.import_labels(view(s, d, "v_label"))
+    return good.select("event_id", F.lit(True).alias("good"), "reviewer_class").unionByName(rejects.select("event_id", F.lit(False).alias("good"), "reviewer_class"))
 
 
 @query(
@@ -114,15 +118,15 @@ def boxes(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "r11_multi_page",
-    f"""SELECT rule_id, count(*) AS n FROM ({_FAILS}) GROUP BY rule_id UNION ALL
-    SELECT 'R-PROJ', count(*) FROM (SELECT DISTINCT run_id, project_id FROM v_entity WHERE page_index = 1) e JOIN v_project p ON p.project_id = e.project_id
-    WHERE NOT coalesce(height_m > 0 AND height_class IS DISTINCT FROM 'high', false) HAVING count(*) > 0""",
+    f"""SELECT run_id, page_index, entity_id, rule_id, measured_value, severity, substr(sha256(concat_ws(chr(31), run_id, page_index, entity_id, rule_id)), 1, 16) AS issue_id FROM ({_FAILS}) UNION ALL
+    SELECT run_id, 1, concat('project:', e.project_id), 'R-PROJ', height_m, 'info', substr(sha256(concat_ws(chr(31), run_id, 'R-PROJ', concat('project:', e.project_id))), 1, 16) FROM (SELECT DISTINCT run_id, project_id FROM v_entity WHERE page_index = 1) e JOIN v_project p ON p.project_id = e.project_id
+    WHERE NOT coalesce(height_m > 0 AND height_class IS DISTINCT FROM 'high', false)""",
     "v_entity",
     "v_project",
 )
 def pages(s: SparkSession, d: str) -> DataFrame:
     rows = view(s, d, "v_entity").withColumn("is_primary", F.col("page_index") == 1)
-    return rules.evaluate_multi_page(rows, view(s, d, "v_project"), RULES).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return rules.evaluate_multi_page(rows, view(s, d, "v_project"), RULES).select("run_id", "page_index", "entity_id", "rule_id", "measured_value", "severity", "issue_id")
 
 
 query("r13_selftest", "SELECT 'R-ROOM-W' AS rule_id, entity_id AS case_name, slope <= 0.05 AS expect_pass, NOT slope <= 0.05 AS passes FROM v_entity WHERE coalesce(width_m >= 1.2, false) <> (slope <= 0.05)", "v_entity")(
@@ -133,19 +137,29 @@ query("r16_evidence_source", "SELECT entity_type, concat_ws('+', CASE WHEN width
 )
 
 
-@query(
-    "r17_tiers",
-    """SELECT p_partkey AS rule_id, CASE WHEN p_size > 45 THEN 'info' WHEN p_type IN (SELECT q.p_type FROM part q WHERE q.p_brand = p.p_brand AND q.p_size > 25) THEN 'auto' ELSE 'missing' END AS tier FROM part p""",
-)
-def tiers(s: SparkSession, d: str) -> DataFrame:
+_CARDS = "(SELECT *, CASE WHEN p_size % 10 = 0 THEN 'Stair' WHEN p_size % 10 = 1 THEN 'Project' ELSE p_brand END AS kind, CASE WHEN p_size > 45 THEN 'info' WHEN p_size % 3 = 0 THEN NULL ELSE 'error' END AS level FROM part)"
+_TIER_SQL = """SELECT p_partkey AS rule_id, CASE WHEN known THEN '' ELSE p_type END AS missing, CASE WHEN kind = 'Stair' AND NOT {stairs} THEN 'STAIR_PENDING' WHEN coalesce(level, CASE WHEN kind = 'Project' THEN 'info' ELSE 'error' END) = 'info' THEN 'REMINDER_BY_DESIGN'
+    WHEN kind = 'Project' THEN 'PROJECT_META_DRIVEN' WHEN NOT known THEN 'PARTIAL_AUTODETECT' ELSE 'AUTODETECTABLE' END AS tier FROM (SELECT *, kind IN (SELECT p_brand FROM part) AND p_type IN (SELECT q.p_type FROM part q WHERE q.p_brand = p.kind AND q.p_size > 25)
+    OR {stairs} AND kind = 'Stair' AND p_type IN (SELECT p_type FROM part WHERE p_size > 40) AS known FROM """ + _CARDS + " p)"
+
+
+def _tiers(s: SparkSession, d: str, stairs: bool) -> DataFrame:
     part = table(s, d, "part")
-    cards = part.select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("applies_to"), F.array("p_type").alias("inputs"), F.when(F.col("p_size") > 45, "info").otherwise("error").alias("severity"))
+    kind = F.when(F.col("p_size") % 10 == 0, "Stair").when(F.col("p_size") % 10 == 1, "Project").otherwise(F.col("p_brand"))
+    level = F.when(F.col("p_size") > 45, "info").when(F.col("p_size") % 3 != 0, "error")
+    cards = part.select(F.col("p_partkey").alias("rule_id"), kind.alias("applies_to"), F.array("p_type").alias("inputs"), level.alias("severity"))
     known = part.where("p_size > 25").groupBy(F.col("p_brand").alias("applies_to")).agg(F.collect_set("p_type").alias("fields"))
-    return rules.readiness_tiers(cards, known).select("rule_id", "tier")
+    if stairs:
+        known = known.unionByName(part.where("p_size > 40").groupBy(F.lit("Stair").alias("applies_to")).agg(F.collect_set("p_type").alias("fields")))
+    return rules.readiness_tiers(cards, known).withColumn("missing", F.array_join("missing", ","))
+
+
+query("r17_tiers", _TIER_SQL.format(stairs="false"))(lambda s, d: _tiers(s, d, False))
+query("r17_stair_fields", _TIER_SQL.format(stairs="true"))(lambda s, d: _tiers(s, d, True))
 
 
 query("r19_blocked_sources", "SELECT severity AS source, count(DISTINCT rule_key) AS n_rules FROM v_issue WHERE status IN ('candidate', 'confirmed') GROUP BY 1", "v_issue")(
-    lambda s, d: rules.blocked_sources(view(s, d, "v_issue").select(F.col("rule_key").alias("rule_id"), F.col("severity").alias("source"), F.coalesce(_pick("status", candidate="missing", confirmed="unsupported"), F.lit("ready")).alias("status")))
+    lambda s, d: rules.blocked_sources(view(s, d, "v_issue").select(F.col("rule_key").alias("rule_id"), F.col("severity").alias("source"), F.coalesce(_pick("status", candidate="missing_input", confirmed="unsupported_entity"), F.lit("ready")).alias("status")))
 )
 
 
@@ -303,17 +317,10 @@ query("f6_expected_counts", "SELECT o_orderpriority AS rule_id, sum(o_orderkey)
 )
 
 
-@query("f9_instance_labels", "SELECT event_id, CASE WHEN reviewer_id LIKE 'u1%' THEN 'synthetic' WHEN reviewer_id LIKE 'u2%' THEN 'independent' ELSE 'internal' END AS class FROM v_event WHERE event_type = 'confirm'", "v_event")
-def instance(s: SparkSession, d: str) -> DataFrame:
-    rows = view(s, d, "v_event").withColumn("payload", F.parse_json(F.to_json(F.struct((F.col("event_type") == "confirm").alias("instance_label")))))
-    given = F.when(F.col("reviewer_id").startswith("u1"), "synthetic").when(F.col("reviewer_id").startswith("u2"), "independent")
-    people = rows.select("reviewer_id").distinct().withColumn("reviewer_class", given)
-    return fb.instance_labels(rows, people).select("event_id", "class")
-
-
-query("l2_fingerprint", """SELECT o_orderkey, substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderpriority":"' || o_orderpriority || '"}'), 1, 16) AS fingerprint FROM orders""")(
-    lambda s, d: table(s, d, "orders").select("o_orderkey", life.fingerprint(["o_orderpriority", "o_custkey"], [])[0].alias("fingerprint"))
-)
+query(
+    "l2_fingerprint",
+    """SELECT o_orderkey, substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderpriority":"' || o_orderpriority || '","o_totalprice":' || CAST(round(o_totalprice, 4) AS VARCHAR) || '}'), 1, 16) AS fingerprint FROM orders""",
+)(lambda s, d: (lambda rows: rows.select("o_orderkey", life.fingerprint(rows, ["o_orderpriority", "o_totalprice", "o_custkey"], [])[0].alias("fingerprint")))(table(s, d, "orders").withColumn("o_totalprice", F.col("o_totalprice") + 0.00001)))
 query("l3_changed_fields", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice > 200000 THEN 'price' END, CASE WHEN o_custkey % 2 = 1 THEN 'cust' END) AS changed FROM orders")(
     lambda s, d: table(s, d, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("cust")).alias("before"), F.struct(F.least("o_totalprice", F.lit(200000.0)).alias("price"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("cust")).alias("after")).select("o_orderkey", F.array_join(life.changed_fields(["price", "cust"]), ",").alias("changed"))
 )
@@ -333,14 +340,28 @@ def tasks(s: SparkSession, d: str) -> DataFrame:
     return life.task_sequence([("open", rows.where("status = 'candidate'"), 2), ("rest", rows.where("status <> 'candidate'"), 3)]).select("run_id", "stage", "task_id", "ordinal")
 
 
-@query("l10_update_checklist", "SELECT o_custkey AS package, o_orderkey AS check_id, CASE WHEN o_totalprice > 150000 THEN 'done' WHEN o_totalprice > 90000 THEN 'open' ELSE 'todo' END AS status, CASE WHEN o_totalprice > 150000 THEN 5 END AS completed_at FROM orders")
-def checklist(s: SparkSession, d: str) -> DataFrame:
-    orders = table(s, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("check_id"), "o_totalprice")
-    items = orders.select("package", "check_id", F.lit("todo").alias("status"), F.lit(None).cast("int").alias("completed_at"))
-    updates = orders.where("o_totalprice > 90000").select("package", "check_id", F.when(F.col("o_totalprice") > 150000, "done").otherwise("open").alias("status"), F.lit(5).alias("at"))
-    return life.update_checklist(items, updates)[0].select("package", "check_id", "status", "completed_at")
+def _checklist(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    orders = table(s, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("check_id"), place.alias("ordinal"), F.col("o_totalprice").alias("p"))
+    p = F.col("p")
+    items = orders.select("package", "check_id", "ordinal", F.lit("todo").alias("status"), F.lit("first").alias("reviewer"), F.lit(2).alias("completed_at"))
+    by_id = (p > 150000) | p.between(40000, 90000) | (p < 10000)
+    named = F.when(p < 10000, -F.col("check_id")).when(by_id, F.col("check_id"))
+    placed = F.when(~by_id | p.between(40000, 50000), F.col("ordinal"))
+    status = F.when(p > 150000, "done").when(p > 90000, "skipped_preview").when(p > 60000, "open").otherwise("blocked")
+    updates = orders.select("package", named.alias("check_id"), placed.alias("ordinal"), status.alias("status"), F.lit("second").alias("reviewer"), F.lit(None).cast("string").alias("note"), F.lit(5).alias("at"), F.when(p.between(60000, 120000), 9).alias("completed_at"))
+    return items, updates
 
 
+query(
+    "l10_update_checklist",
+    """SELECT package, check_id, CASE WHEN u THEN s ELSE 'todo' END AS status, CASE WHEN NOT u THEN 2 WHEN s IN ('done', 'skipped_preview') THEN coalesce(c, 5) ELSE c END AS completed_at, CASE WHEN u THEN 'second' ELSE 'first' END AS reviewer FROM (
+    SELECT o_custkey AS package, o_orderkey AS check_id, NOT (o_totalprice BETWEEN 40000 AND 50000 OR o_totalprice < 10000) AS u, CASE WHEN o_totalprice > 150000 THEN 'done' WHEN o_totalprice > 90000 THEN 'skipped_preview' WHEN o_totalprice > 60000 THEN 'open' ELSE 'blocked' END AS s,
+    CASE WHEN o_totalprice BETWEEN 60000 AND 120000 THEN 9 END AS c FROM orders)""",
+)(lambda s, d: life.update_checklist(*_checklist(s, d))[0].select("package", "check_id", "status", "completed_at", "reviewer"))
+query("l10_rejects", "SELECT o_custkey AS package, CASE WHEN o_totalprice < 10000 THEN -o_orderkey ELSE o_orderkey END AS check_id FROM orders WHERE o_totalprice BETWEEN 40000 AND 50000 OR o_totalprice < 10000")(
+    lambda s, d: life.update_checklist(*_checklist(s, d))[1].select("package", "check_id")
+)
 query("l14_bundle_summary", "SELECT count(*) AS packages, count(CASE WHEN status = 'candidate' THEN 1 END) AS candidate, count(CASE WHEN status = 'resolved' THEN 1 END) AS resolved, 'open' AS bundle FROM v_issue", "v_issue")(
     lambda s, d: life.bundle_summary(view(s, d, "v_issue").select(F.col("status").alias("state")), ["candidate", "resolved"])
 )

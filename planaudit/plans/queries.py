@@ -19,7 +19,7 @@ _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 RULES = [
-    {"rule_id": "R-ROOM-W", "applies_to": "Room", "inputs": ["width_m"], "logic_expression": "width_m >= 1.2", "output_template": "room width {width_m:.1f}", "threshold_value": 1.2, "source_clause_ids": ["C1"]},
+    {"rule_id": "R-ROOM-W", "applies_to": "Room", "inputs": ["width_m"], "logic_expression": "width_m >= 1.2", "output_template": "room width {width_m:.2f}", "threshold_value": 1.2, "source_clause_ids": ["C1"]},
     {"rule_id": "R-ROOM-A", "applies_to": "Room", "inputs": ["area_m2", "width_m"], "logic_expression": "width_m is not None and area_m2 / width_m >= 10", "source_clause_ids": ["C2"]},
     {"rule_id": "R-DOOR", "applies_to": "Door", "inputs": ["width_m", "slope"], "logic_expression": "0.5 <= width_m <= 2 or slope == 0", "source_clause_ids": ["C3"]},
     {"rule_id": "R-HALL", "applies_to": "Corridor", "inputs": ["mark", "slope"], "logic_expression": "mark == 'F' and not slope > 0.08", "severity": "warning", "source_clause_ids": ["C4"]},
@@ -56,6 +56,28 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("r3_evaluate", f"SELECT * FROM ({_FAILS})", "v_entity")(lambda s, d: _issues(s, d).select("run_id", "page_index", "entity_id", "rule_id", "measured_value", "severity"))
+_MESSAGE = "CASE rule_id WHEN 'R-ROOM-W' THEN CASE WHEN measured_value IS NULL THEN 'room width {width_m:.2f}' ELSE printf('room width %.2f', measured_value) END ELSE rule_id END"
+_OWN_CLAUSE = "CASE rule_id WHEN 'R-ROOM-W' THEN 'C1' WHEN 'R-ROOM-A' THEN 'C2' WHEN 'R-DOOR' THEN 'C3' ELSE 'C4' END"
+query(
+    "r8_evidence",
+    f"""SELECT f.run_id, f.page_index, entity_id, rule_id, {_OWN_CLAUSE} AS clause_id, CASE rule_id WHEN 'R-ROOM-W' THEN 1.2::DOUBLE WHEN 'R-HALL' THEN NULL ELSE r_regionkey / 10.0::DOUBLE END AS threshold_value, CASE WHEN rule_id <> 'R-HALL' THEN r_name END AS unit
+    FROM ({_FAILS}) f LEFT JOIN region ON concat('C', r_regionkey) = {_OWN_CLAUSE}""",
+    "v_entity",
+)(
+    lambda s, d: rules.resolve_evidence(_issues(s, d), table(s, d, "region").where("r_regionkey < 4").select(F.concat(F.lit("C"), "r_regionkey").alias("clause_id"), (F.col("r_regionkey") / 10).alias("threshold_value"), F.col("r_name").alias("unit"))).select("run_id", "page_index", "entity_id", "rule_id", "clause_id", "threshold_value", "unit")
+)
+query("r9_messages", f"SELECT run_id, entity_id, rule_id, page_index, {_MESSAGE} AS message FROM ({_FAILS})", "v_entity")(lambda s, d: _issues(s, d).select("run_id", "page_index", "entity_id", "rule_id", "message"))
+query("r9_project_messages", "SELECT project_id, concat('height ', coalesce(CAST(height_m AS VARCHAR), '?')) AS message FROM v_project WHERE NOT coalesce(height_m > 0 AND height_class IS DISTINCT FROM 'high', false)", "v_project")(
+    lambda s, d: rules.evaluate_projects(view(s, d, "v_project"), RULES).select("project_id", "message")
+)
+
+
+@query("r6_open_properties", f"SELECT run_id, page_index, entity_id, rule_id, measured_value FROM ({_FAILS}) WHERE rule_id <> 'R-HALL'", "v_entity")
+def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_entity").withColumn("properties", F.parse_json(F.to_json(F.struct("width_m", "area_m2", "slope"))))
+    return rules.evaluate(rows.drop("width_m", "area_m2", "slope"), RULES[:3]).select("run_id", "page_index", "entity_id", "rule_id", "measured_value")
+
+
 query("r4_evaluate_projects", "SELECT project_id, concat('project:', project_id) AS entity_id, 'R-PROJ' AS rule_id, height_m AS measured_value, 'info' AS severity FROM v_project WHERE NOT coalesce(height_m > 0 AND height_class IS DISTINCT FROM 'high', false)", "v_project")(
     lambda s, d: rules.evaluate_projects(view(s, d, "v_project"), RULES).select("project_id", "entity_id", "rule_id", "measured_value", "severity")
 )
@@ -93,17 +115,67 @@ def skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.skip_reasons(cards, known, view(spark, sf_dir, "v_project"))
 
 
-query("r12_sheet_groups", f"SELECT p.run_id, p.page_index, count(i.rule_id) AS n_issues FROM (SELECT DISTINCT run_id, page_index FROM v_entity) p LEFT JOIN ({_FAILS}) i ON i.run_id = p.run_id AND i.page_index = p.page_index GROUP BY 1, 2", "v_entity")(
-    lambda s, d: rules.sheet_issue_groups(view(s, d, "v_entity"), _issues(s, d)).select("run_id", "page_index", "n_issues")
-)
+_ISSUE_ID = "substr(sha256(concat_ws(chr(31), run_id, page_index, entity_id, rule_id)), 1, 16)"
+_SKIPS = "SELECT DISTINCT run_id, page_index, 'R-ROOM-W' AS rule_id, concat('a', page_index) AS reason FROM v_entity WHERE run_id % 3 = 0 UNION ALL SELECT DISTINCT run_id, page_index, 'R-DOOR', concat('b', page_index) FROM v_entity WHERE page_index % 2 = 0"
+
+
+def _skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = view(spark, sf_dir, "v_entity").select("run_id", "page_index").distinct()
+    one = pages.where("run_id % 3 = 0").select("*", F.lit("R-ROOM-W").alias("rule_id"), F.concat(F.lit("a"), "page_index").alias("reason"))
+    return one.unionByName(pages.where("page_index % 2 = 0").select("*", F.lit("R-DOOR").alias("rule_id"), F.concat(F.lit("b"), "page_index").alias("reason")))
+
+
 query(
-    "r14_entity_readiness",
-    """SELECT r.run_id, 'R-ROOM-W' AS rule_id, coalesce(c, 0) AS candidates, coalesce(k, 0) AS complete, coalesce(w, 0) AS weak,
-       CASE WHEN c IS NULL THEN 'unsupported' WHEN k = 0 THEN 'missing' WHEN w = k THEN 'low_confidence' ELSE 'ready' END AS status
-       FROM (SELECT DISTINCT run_id FROM v_entity) r LEFT JOIN (SELECT run_id, count(*) AS c, count(width_m) AS k, count(CASE WHEN width_m IS NOT NULL AND confidence < 0.05 THEN 1 END) AS w FROM v_entity WHERE entity_type = 'Room' GROUP BY run_id) e ON e.run_id = r.run_id""",
+    "r12_sheet_groups",
+    f"""SELECT run_id, page_index, coalesce(n_issues, 0) AS n_issues, coalesce(issues, '') AS issues, coalesce(n_skipped, 0) AS n_skipped, coalesce(skipped, '') AS skipped FROM (SELECT DISTINCT run_id, page_index FROM v_entity) p
+    LEFT JOIN (SELECT run_id, page_index, count(*) AS n_issues, string_agg({_ISSUE_ID}, ',' ORDER BY {_ISSUE_ID}) AS issues FROM ({_FAILS}) GROUP BY 1, 2) i USING (run_id, page_index)
+    LEFT JOIN (SELECT run_id, page_index, count(*) AS n_skipped, string_agg(rule_id, ',' ORDER BY rule_id) AS skipped FROM ({_SKIPS}) GROUP BY 1, 2) k USING (run_id, page_index)""",
     "v_entity",
-)(lambda s, d: rules.entity_readiness(view(s, d, "v_entity"), RULES[:1], least=0.05).drop("missing"))
-query("r15_project_readiness", "SELECT project_id, 'R-PROJ' AS rule_id, CASE WHEN height_class IS NULL OR height_m IS NULL THEN 'missing' ELSE 'ready' END AS status FROM v_project", "v_project")(lambda s, d: rules.project_readiness(view(s, d, "v_project"), RULES).drop("missing"))
+)(lambda s, d: rules.sheet_issue_groups(view(s, d, "v_entity"), _issues(s, d), _skips(s, d)).withColumns({c: F.array_join(c, ",") for c in ("issues", "skipped")}))
+query("r11_skips", f"SELECT run_id, rule_id, arg_min(reason, page_index + CASE WHEN page_index = 1 THEN 1000 ELSE 0 END) AS reason FROM ({_SKIPS}) GROUP BY 1, 2", "v_entity")(
+    lambda s, d: rules.merge_skips(_skips(s, d).withColumn("is_primary", F.col("page_index") == 1))
+)
+_INFO = {"rule_id": "R-INFO", "applies_to": "Door", "inputs": ["width_m", "mark"], "logic_expression": "width_m > 0", "severity": "info"}
+_NONE = {"rule_id": "R-STAIR", "applies_to": "Stair", "inputs": ["slope"], "logic_expression": "slope > 0"}
+
+
+def _readiness_sql(rule: dict) -> str:
+    """One rule's rows of R14 in SQL."""
+    kind = f"entity_type = '{rule['applies_to']}'"
+    complete = " AND ".join([kind, *(f"{n} IS NOT NULL" for n in rule["inputs"])])
+    count = lambda cond: f"count(CASE WHEN {cond} THEN 1 END)"
+    absent = "concat_ws(',', " + ", ".join(f"CASE WHEN {count(f'{kind} AND {n} IS NOT NULL')} = 0 THEN '{n}' END" for n in rule["inputs"]) + ")"
+    names = ",".join(rule["inputs"])
+    info = "manual_only" if rule.get("severity") == "info" else "ready"
+    weak = count(f"{complete} AND (slope = 0.1 OR confidence < 0.05)")
+    return f"""SELECT run_id, '{rule['rule_id']}' AS rule_id, {count(kind)} AS candidates, {count(complete)} AS complete, {weak} AS weak,
+    CASE WHEN {count(kind)} = 0 THEN '{names}' WHEN {absent} <> '' THEN {absent} WHEN {count(complete)} = 0 THEN '{names}' ELSE '' END AS missing,
+    CASE WHEN {count(kind)} = 0 THEN 'unsupported_entity' WHEN {count(complete)} = 0 THEN 'missing_input' WHEN {weak} > 0 THEN 'low_confidence' ELSE '{info}' END AS status FROM v_entity GROUP BY run_id"""
+
+
+query("r14_entity_readiness", " UNION ALL ".join(map(_readiness_sql, [*RULES[:4], _INFO, _NONE])), "v_entity")(
+    lambda s, d: rules.entity_readiness(view(s, d, "v_entity").withColumn("uncertain", F.col("slope") == 0.1), [*RULES, _INFO, _NONE], least=0.05).withColumn("missing", F.array_join("missing", ","))
+)
+_CLIMB = {"rule_id": "R-CLIMB", "applies_to": "Project", "inputs": ["height_m", "height_class"], "logic_expression": "height_m > 0", "severity": "error", "source_clause_ids": ["C1"]}
+
+
+def _project_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has, k = F.col("project_id") % 9 != 0, F.col("project_id")
+    projects = view(spark, sf_dir, "v_project").withColumn("has_meta", has).withColumns({c: F.when(has, F.col(c)) for c in ("height_m", "height_class")})
+    clauses = table(spark, sf_dir, "region").where("r_regionkey < 4").select(F.concat(F.lit("C"), "r_regionkey").alias("clause_id"))
+    skips = projects.where(k % 5 == 0).select("project_id", F.lit("R-CLIMB").alias("rule_id"), F.lit("x").alias("reason")).unionByName(projects.where(k % 4 == 0).select("project_id", F.lit("R-DOOR").alias("rule_id"), F.lit("x").alias("reason")))
+    return rules.project_readiness(projects, [*RULES, _CLIMB], clauses, skips).withColumn("missing", F.array_join("missing", ","))
+
+
+query(
+    "r15_project_readiness",
+    """, p AS (SELECT *, project_id % 9 <> 0 AS has FROM v_project), m AS (SELECT *, CASE WHEN NOT has THEN 'height_m,height_class' ELSE concat_ws(',', CASE WHEN height_m IS NULL THEN 'height_m' END, CASE WHEN height_class IS NULL THEN 'height_class' END) END AS missing FROM p)
+    SELECT project_id, 'R-HALL' AS rule_id, 'missing_input' AS status, 'knowledge_base' AS source, 'mark,slope' AS missing FROM m
+    UNION ALL SELECT project_id, 'R-DOOR', CASE WHEN has THEN 'not_applicable' ELSE 'missing_input' END, CASE WHEN has THEN 'applicability' ELSE 'project_meta' END, CASE WHEN has THEN '' ELSE 'width_m,slope' END FROM m WHERE project_id % 4 = 0
+    UNION ALL SELECT project_id, 'R-PROJ', CASE WHEN missing <> '' THEN 'missing_input' ELSE 'manual_only' END, 'project_meta', missing FROM m
+    UNION ALL SELECT project_id, 'R-CLIMB', CASE WHEN project_id % 5 = 0 AND has THEN 'not_applicable' WHEN missing <> '' THEN 'missing_input' ELSE 'ready' END, CASE WHEN project_id % 5 = 0 AND has THEN 'applicability' ELSE 'project_meta' END, CASE WHEN project_id % 5 = 0 AND has THEN '' ELSE missing END FROM m""",
+    "v_project",
+)(_project_readiness)
 query("r18_domain_counts", "SELECT ordinal, value, count(issue_id) AS n FROM (VALUES (0, 'confirmed'), (1, 'rejected'), (2, 'void')) t(ordinal, value) LEFT JOIN v_issue ON status = value GROUP BY 1, 2", "v_issue")(lambda s, d: rules.domain_counts(view(s, d, "v_issue"), "status", ["confirmed", "rejected", "void"]))
 
 _J = "v_issue i JOIN v_rule r ON i.rule_key = r.rule_key"
@@ -153,41 +225,58 @@ def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fb.calibrate(named, fb.rule_posteriors(view(spark, sf_dir, "v_event"), issues, known))[0].select("issue_id", "rule_id", "confidence")
 
 
-query(
-    "f4_reliability",
-    """SELECT bin, low, high, count(i.confidence) AS n, avg(v) AS precision, CASE WHEN count(i.confidence) >= 5 THEN abs(avg(v) - (low + least(high, 1.0)) / 2) END AS deviation
+_BINS = """SELECT *, confirmed + rejected AS n, (low + least(high, 1.0::DOUBLE)) / 2 AS middle FROM (SELECT bin, low, high, CAST(coalesce(sum(c), 0) AS BIGINT) AS confirmed, CAST(coalesce(sum(r), 0) AS BIGINT) AS rejected
     FROM (VALUES (0, 0.0::DOUBLE, 0.2::DOUBLE), (1, 0.2::DOUBLE, 0.4::DOUBLE), (2, 0.4::DOUBLE, 0.6::DOUBLE), (3, 0.6::DOUBLE, 0.8::DOUBLE), (4, 0.8::DOUBLE, 1.001::DOUBLE)) b(bin, low, high)
-    LEFT JOIN (SELECT confidence, CASE WHEN sum(CASE WHEN event_type = 'confirm' THEN 1 ELSE -1 END) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM v_issue JOIN v_event USING (issue_id) WHERE event_type IN ('confirm', 'reject') GROUP BY issue_id, confidence) i
-    ON confidence >= low AND confidence < high GROUP BY 1, 2, 3""",
-    "v_issue",
-    "v_event",
-)(lambda s, d: fb.reliability(view(s, d, "v_issue"), view(s, d, "v_event")))
-query(
-    "f5_rule_quality",
-    """SELECT rule_id, detected, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) END AS precision, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) END AS recall FROM (
-    SELECT rule_id, count(*) AS detected, count(CASE WHEN c > 0 THEN 1 END) AS tp, count(CASE WHEN x > 0 THEN 1 END) AS fp, greatest(0, 5000 - count(*)) AS fn FROM v_issue i JOIN v_rule r ON r.rule_key = i.rule_key
-    LEFT JOIN (SELECT issue_id, count(CASE WHEN event_type = 'confirm' THEN 1 END) AS c, count(CASE WHEN event_type = 'reject' THEN 1 END) AS x FROM v_event GROUP BY issue_id) e ON e.issue_id = i.issue_id GROUP BY rule_id)""",
-    "v_issue",
-    "v_rule",
-    "v_event",
-)(lambda s, d: fb.rule_quality(view(s, d, "v_issue"), view(s, d, "v_event"), view(s, d, "v_rule"), view(s, d, "v_rule").select("rule_id", F.lit(5000).cast("long").alias("n"))))
+    LEFT JOIN (SELECT confidence, CASE WHEN event_type = 'confirm' THEN 1 ELSE 0 END AS c, CASE WHEN event_type = 'reject' THEN 1 ELSE 0 END AS r FROM v_issue JOIN v_event USING (issue_id)) i
+    ON confidence >= low AND confidence < high GROUP BY 1, 2, 3)"""
+_RELIABILITY = f"SELECT bin, low, high, n, confirmed, rejected, precision, abs(middle - precision) AS deviation, n >= {{least}} AS used FROM (SELECT *, CASE WHEN n > 0 THEN confirmed / CAST(n AS DOUBLE) ELSE 0.0::DOUBLE END AS precision FROM ({_BINS}))"
+_MEAN_DEVIATION = f"SELECT CASE WHEN count(CASE WHEN used THEN 1 END) > 0 THEN 'ok' ELSE 'no_bin_with_enough_samples' END AS status, count(CASE WHEN used THEN 1 END) AS bins_used, round(avg(CASE WHEN used THEN deviation END), 4) AS mean_abs_deviation FROM ({_RELIABILITY})"
+query("f4_reliability", _RELIABILITY.format(least=5), "v_issue", "v_event")(lambda s, d: fb.reliability(view(s, d, "v_issue"), view(s, d, "v_event")))
+query("f4_mean_deviation", _MEAN_DEVIATION.format(least=5), "v_issue", "v_event")(lambda s, d: fb.mean_deviation(fb.reliability(view(s, d, "v_issue"), view(s, d, "v_event"))))
+query("f4_no_bin", _MEAN_DEVIATION.format(least=1000000), "v_issue", "v_event")(lambda s, d: fb.mean_deviation(fb.reliability(view(s, d, "v_issue"), view(s, d, "v_event"), min_n=1000000)))
+_QUALITY = """SELECT rule_id, detected, expected, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) END AS precision, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) END AS recall FROM (
+    SELECT *, CASE WHEN expected IS NOT NULL THEN greatest(0, expected - detected) END AS fn FROM (
+    SELECT r.rule_id, count(DISTINCT i.issue_id) AS detected, CASE WHEN r.rule_id <> 'STD2-1' THEN 5000::BIGINT END AS expected, count(CASE WHEN event_type = 'confirm' THEN 1 END) AS tp, count(CASE WHEN event_type = 'reject' THEN 1 END) AS fp
+    FROM v_issue i JOIN v_rule r ON r.rule_key = i.rule_key LEFT JOIN v_event e ON e.issue_id = i.issue_id GROUP BY r.rule_id))"""
+_TOTALS = f"SELECT round(sum(precision * (tp + fp)) / sum(CASE WHEN tp + fp > 0 THEN tp + fp END), 4) AS weighted_precision, round(sum(recall * tp) / sum(CASE WHEN tp > 0 AND recall IS NOT NULL THEN tp END), 4) AS weighted_recall, count(CASE WHEN tp + fp > 0 THEN 1 END) AS rules_with_precision, count(CASE WHEN tp > 0 THEN recall END) AS rules_with_recall FROM ({_QUALITY})"
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = view(spark, sf_dir, "v_rule")
+    return fb.rule_quality(view(spark, sf_dir, "v_issue"), view(spark, sf_dir, "v_event"), known, known.where("rule_id <> 'STD2-1'").select("rule_id", F.lit(5000).cast("long").alias("n")))
+
+
+query("f5_rule_quality", _QUALITY, "v_issue", "v_rule", "v_event")(_quality)
+query("f5_totals", _TOTALS, "v_issue", "v_rule", "v_event")(lambda s, d: fb.quality_totals(_quality(s, d)))
 query(
     "f7_running_posterior",
     """SELECT rule_id, event_id, mean, mean < lag(mean) OVER (PARTITION BY rule_id ORDER BY event_id) AS fell FROM (SELECT rule_id, event_id, (1.0::DOUBLE + sum(CASE WHEN event_type = 'confirm' THEN 1 ELSE 0 END) OVER w) / (2.0::DOUBLE + count(*) OVER w) AS mean
     FROM v_event WHERE event_type IN ('confirm', 'reject') WINDOW w AS (PARTITION BY rule_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))""",
     "v_event",
 )(lambda s, d: fb.running_posterior(view(s, d, "v_event")))
-_CLASS = "CASE WHEN reviewer_id LIKE 'u1%' THEN 'synthetic' WHEN reviewer_id LIKE 'u2%' THEN 'independent' ELSE 'internal' END"
+_FAKE = "user_id % 5 <= 2"
+query("f8_reviewer_class", f"SELECT user_id, CASE WHEN {_FAKE} AND user_id % 3 <> 1 THEN 'synthetic' WHEN user_id % 3 = 0 THEN 'independent_third_party' ELSE 'project_internal' END AS class FROM (SELECT DISTINCT user_id FROM events)")(
+    lambda s, d: fb.classify_reviewers(view(s, d, "v_reviewer")).select("user_id", "class")
+)
+_LABELS = f"""SELECT event_id, CASE WHEN user_id % 11 = 0 THEN '<unknown>' ELSE reviewer_id END AS reviewer_id, CASE WHEN event_id % 6 = 0 THEN 'independent_third_party' WHEN event_id % 6 = 1 THEN 'project_internal' WHEN event_id % 6 IN (2, 3) THEN 'synthetic'
+    WHEN {_FAKE} AND user_id % 11 <> 0 THEN 'synthetic' ELSE 'project_internal' END AS class, CASE WHEN event_id % 2 = 0 THEN 'seen' ELSE '' END AS note FROM v_label WHERE is_label"""
 
 
-def _reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = view(spark, sf_dir, "v_event").select("reviewer_id").distinct()
-    given = F.when(F.col("reviewer_id").startswith("u1"), "synthetic").when(F.col("reviewer_id").startswith("u2"), "independent")
-    return ids.withColumn("reviewer_class", given)
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = view(spark, sf_dir, "v_label")
+    payload = F.struct(F.col("is_label").alias("instance_label"), "reviewer_class", F.when(F.col("event_id") % 2 == 0, "seen").alias("note"))
+    return rows.withColumn("payload", F.parse_json(F.to_json(payload))), view(spark, sf_dir, "v_reviewer").where("user_id % 11 <> 0").select("reviewer_id")
 
 
-query("f8_reviewer_class", f"SELECT DISTINCT reviewer_id, {_CLASS} AS class FROM v_event", "v_event")(lambda s, d: fb.classify_reviewers(_reviewers(s, d)).select("reviewer_id", "class"))
-query("f10_provenance", f"SELECT {_CLASS} AS class, count(DISTINCT reviewer_id) AS n_reviewers, count(*) AS n_events, count(*) / CAST((SELECT count(*) FROM v_event) AS DOUBLE) AS share FROM v_event GROUP BY 1", "v_event")(lambda s, d: fb.label_provenance(view(s, d, "v_event"), _reviewers(s, d)))
+query("f9_instance_labels", _LABELS, "v_label")(lambda s, d: fb.instance_labels(*_labelled(s, d)).select("event_id", "reviewer_id", "class", "note"))
+query(
+    "f10_provenance",
+    f"""SELECT p.*, l.*, project_internal_reviewer_count + independent_third_party_reviewer_count AS instance_label_reviewer_count, synthetic_reviewer_count / CAST(people AS DOUBLE) AS synthetic_label_share,
+    instance_label_event_count / CAST(events AS DOUBLE) AS human_validated_share, independent_third_party_reviewer_count > 0 AS any_independent_review FROM (SELECT count(*) AS people, count(CASE WHEN {_FAKE} THEN 1 END) AS synthetic_reviewer_count FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 11 <> 0)) p,
+    (SELECT count(DISTINCT CASE WHEN class = 'project_internal' THEN reviewer_id END) AS project_internal_reviewer_count, count(DISTINCT CASE WHEN class = 'independent_third_party' THEN reviewer_id END) AS independent_third_party_reviewer_count, count(*) AS instance_label_event_count FROM ({_LABELS})) l,
+    (SELECT count(*) AS events FROM v_label) e""".replace("SELECT p.*, l.*,", "SELECT synthetic_reviewer_count, project_internal_reviewer_count, independent_third_party_reviewer_count, instance_label_event_count,"),
+    "v_label",
+)(lambda s, d: fb.label_provenance(*_labelled(s, d)))
 
 _CASES = "SELECT DISTINCT run_id AS case_id, entity_type AS rule_id FROM v_entity WHERE width_m > 1.5"
 _FOUND = "SELECT DISTINCT run_id AS case_id, entity_type AS rule_id FROM v_entity WHERE slope > 0.04"
@@ -206,7 +295,17 @@ query("f12_scoreboard", f"SELECT rule_id, tp, fp, fn, CASE WHEN tp + fp > 0 THEN
 query("f13_fire_rates", f"SELECT t.rule_id, count(DISTINCT run_id) AS cases, count(run_id) AS findings, count(DISTINCT run_id) / 1000.0::DOUBLE AS rate, count(run_id) / 1000.0::DOUBLE AS mean_per_case FROM (VALUES ('R-ROOM-W'), ('R-DOOR'), ('R-NONE')) t(rule_id) LEFT JOIN ({_FAILS}) f ON f.rule_id = t.rule_id GROUP BY t.rule_id", "v_entity")(
     lambda s, d: fb.fire_rates(_issues(s, d).withColumnRenamed("run_id", "case_id"), s.createDataFrame([("R-ROOM-W",), ("R-DOOR",), ("R-NONE",)], "rule_id string"), 1000)
 )
-query("f14_issue_metrics", f"SELECT rule_id, n, severity AS tier, round(100 * n / CAST(sum(n) OVER () AS DOUBLE), 1) AS percent FROM (SELECT rule_id, severity, count(*) AS n FROM ({_FAILS}) GROUP BY 1, 2) ORDER BY n DESC, rule_id LIMIT 3", "v_entity")(lambda s, d: fb.issue_metrics(_issues(s, d), _issues(s, d).select("rule_id", F.col("severity").alias("tier")).distinct(), 3))
+_TIERS = {"R-ROOM-W": "AUTODETECTABLE", "R-ROOM-A": "AUTODETECTABLE", "R-HALL": "PARTIAL_AUTODETECT"}
+_CLAUSE = "CASE rule_id WHEN 'R-ROOM-W' THEN 'C1' WHEN 'R-ROOM-A' THEN 'C2' WHEN 'R-DOOR' THEN 'C3' ELSE 'C4' END"
+query(
+    "f14_issue_metrics",
+    f""", f AS (SELECT *, {_CLAUSE} AS clause_id FROM ({_FAILS})), t AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM f),
+    r AS (SELECT rule_id, count(*) AS n, CASE rule_id WHEN 'R-HALL' THEN 'PARTIAL_AUTODETECT' WHEN 'R-DOOR' THEN 'UNKNOWN' ELSE 'AUTODETECTABLE' END AS tier FROM f GROUP BY 1 ORDER BY n DESC, rule_id LIMIT 3)
+    SELECT 'severity' AS section, v AS key, count(f.severity) AS n, 100.0::DOUBLE * count(f.severity) / max(total) AS percent, NULL AS tier FROM (VALUES ('error'), ('warning'), ('info'), ('other')) s(v) LEFT JOIN f ON f.severity = v CROSS JOIN t GROUP BY v
+    UNION ALL SELECT 'rule', rule_id, n, 100.0::DOUBLE * n / total, tier FROM r CROSS JOIN t UNION ALL SELECT 'tier', tier, count(*), 100.0::DOUBLE * count(*) / max(total), tier FROM r CROSS JOIN t GROUP BY tier
+    UNION ALL SELECT * FROM (SELECT 'clause', clause_id, count(*) AS n, NULL, NULL FROM f GROUP BY 2 ORDER BY n DESC, clause_id LIMIT 3)""",
+    "v_entity",
+)(lambda s, d: fb.issue_metrics(_issues(s, d), s.createDataFrame(list(_TIERS.items()), "rule_id string, tier string"), 3))
 query("f15_clause_refs", f"SELECT CASE rule_id WHEN 'R-ROOM-W' THEN 'C1' WHEN 'R-ROOM-A' THEN 'C2' WHEN 'R-DOOR' THEN 'C3' ELSE 'C4' END AS clause_id, count(*) AS n, NULL AS text FROM ({_FAILS}) GROUP BY 1 ORDER BY n DESC, clause_id LIMIT 2", "v_entity")(
     lambda s, d: fb.clause_refs(_issues(s, d), s.createDataFrame([], "clause_id string, clause_text string"), 2)
 )
@@ -214,9 +313,41 @@ _CHECKS = "SELECT severity AS suite, confidence > 0.3 AS passed, CASE WHEN statu
 query("f16_release_gate", f"SELECT suite, count(CASE WHEN NOT passed AND severity = 'blocker' THEN 1 END) AS blockers, count(CASE WHEN NOT passed AND severity = 'warning' THEN 1 END) AS warnings, CASE WHEN count(CASE WHEN NOT passed AND severity = 'blocker' THEN 1 END) > 0 THEN 'blocked' WHEN count(CASE WHEN NOT passed THEN 1 END) > 0 THEN 'warning' ELSE 'ready' END AS status FROM ({_CHECKS}) GROUP BY suite", "v_issue")(
     lambda s, d: fb.release_gate(view(s, d, "v_issue").where("confidence is not null").select(F.col("severity").alias("suite"), (F.col("confidence") > 0.3).alias("passed"), F.when(F.col("status") == "rejected", "blocker").otherwise("warning").alias("severity")))
 )
-query("f17_weakest_link", "SELECT least(sum(score), min(score) * count(*)) / (10 * count(*)) * 100 AS overall, arg_min(name, score) AS weakest, least(sum(score), min(score) * count(*)) / (10 * count(*)) * 100 >= 99 AS at_99 FROM (SELECT severity AS name, avg(confidence) * 10 AS score FROM v_issue GROUP BY severity)", "v_issue")(
+_WEAKEST = "SELECT least(sum(score), min(score) * count(*)) / (10 * count(*)) * 100 AS overall, arg_min(name, score) AS weakest, min(score) >= 9 AND count(CASE WHEN score = 10 THEN 1 END) >= greatest(1, round_even(0.75 * count(*), 0)) AS at_99 FROM (SELECT severity AS name, {score} AS score FROM v_issue GROUP BY severity)"
+query("f17_weakest_link", _WEAKEST.format(score="avg(confidence) * 10"), "v_issue")(
     lambda s, d: fb.weakest_link(view(s, d, "v_issue").groupBy(F.col("severity").alias("name")).agg((F.avg("confidence") * 10).alias("score")))
 )
+query("f17_at_99", _WEAKEST.format(score="max(CASE WHEN severity LIKE '1%' THEN 9.5 ELSE 10.0 END::DOUBLE)"), "v_issue")(
+    lambda s, d: fb.weakest_link(view(s, d, "v_issue").groupBy(F.col("severity").alias("name")).agg(F.max(F.when(F.col("severity").startswith("1"), 9.5).otherwise(10.0)).alias("score")))
+)
+
+
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row with the figures of all dimensions."""
+    issues, events = view(spark, sf_dir, "v_issue"), view(spark, sf_dir, "v_event")
+    provenance = fb.label_provenance(*_labelled(spark, sf_dir))
+    bonus = fb.label_bonus(F.col("independent_third_party_reviewer_count"), F.col("project_internal_reviewer_count"), F.col("instance_label_event_count"))
+    counts = table(spark, sf_dir, "part").agg(F.count_if(F.col("p_size") > 48).alias("n_real_cases"), F.count_if(F.col("p_size") > 10).alias("n_runs"), F.count("*").alias("n_expected_runs"))
+    rows = fb.mean_deviation(fb.reliability(issues, events))
+    for one in (fb.quality_totals(_quality(spark, sf_dir)), provenance.select(bonus.alias("bonus")), counts, _quality(spark, sf_dir).agg(F.count("*").alias("n_rules"))):
+        # tables of one row each
+        rows = rows.join(F.broadcast(one), F.lit(True))
+    return rows
+
+
+query(
+    "f18_dimensions",
+    f""", m AS ({_MEAN_DEVIATION.format(least=5)}), q AS ({_TOTALS}), l AS ({_LABELS}),
+    b AS (SELECT CASE WHEN count(CASE WHEN class = 'independent_third_party' THEN 1 END) > 0 AND count(*) >= 50 THEN 1.0::DOUBLE WHEN count(CASE WHEN class = 'project_internal' THEN 1 END) > 0 AND count(*) >= 10 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM l),
+    c AS (SELECT CAST(count(CASE WHEN p_size > 48 THEN 1 END) AS DOUBLE) AS real_cases, CAST(count(CASE WHEN p_size > 10 THEN 1 END) AS DOUBLE) AS runs, CAST(count(*) AS DOUBLE) AS every FROM part)
+    SELECT 'calibration' AS name, CASE WHEN bins_used >= 3 THEN greatest(0.0::DOUBLE, least(10.0::DOUBLE, 10.0::DOUBLE * (0.2::DOUBLE - mean_abs_deviation) / (0.2::DOUBLE - 0.04::DOUBLE))) ELSE 0.0::DOUBLE END AS score, bins_used >= 3 AS measurable FROM m
+    UNION ALL SELECT 'recognition_quality', least(10.0::DOUBLE, 4.5::DOUBLE * least(1.0::DOUBLE, weighted_precision / 0.85::DOUBLE) + 4.5::DOUBLE * least(1.0::DOUBLE, weighted_recall / 0.75::DOUBLE) + bonus), true FROM q, b
+    UNION ALL SELECT 'real_pdf_breadth', 10.0::DOUBLE * least(1.0::DOUBLE, real_cases / 15.0::DOUBLE), true FROM c UNION ALL SELECT 'kg_coverage', 10.0::DOUBLE * least(1.0::DOUBLE, runs / every), true FROM c""",
+    "v_issue",
+    "v_event",
+    "v_rule",
+    "v_label",
+)(lambda s, d: fb.score_dimensions(_figures(s, d)))
 query("f18_score_curve", "SELECT issue_id, CASE WHEN confidence IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(10.0::DOUBLE, 10.0::DOUBLE * (0.2::DOUBLE - confidence) / (0.2::DOUBLE - 0.04::DOUBLE))) END AS score FROM v_issue", "v_issue")(lambda s, d: view(s, d, "v_issue").select("issue_id", fb.score_curve(F.col("confidence"), 0.04, 0.2).alias("score")))
 
 
@@ -237,25 +368,82 @@ query("s4_validate", "SELECT 'duplicate rule_id' AS problem, p_name AS id FROM p
     lambda s, d: maintain.validate_knowledge(table(s, d, "part").select(F.col("p_name").alias("rule_id"), F.array("p_brand").alias("source_clause_ids")), table(s, d, "part").where("p_brand < 'Brand#3'").select(F.col("p_brand").alias("clause_id")).distinct())
 )
 
-query("l1_diff_runs", "SELECT CASE WHEN k % 10 = 0 THEN 'resolved' WHEN k % 10 = 1 THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1")(
-    lambda s, d: life.diff_runs(_orders(s, d), _orders(s, d).where("o_orderkey % 10 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), ["o_orderkey"], ["o_custkey", "o_totalprice"]).groupBy("status").agg(F.count("*").alias("n"))
-)
-query("l4_build_state", "SELECT issue_id, CASE WHEN issue_id % 3 = 0 THEN status ELSE 'candidate' END AS status FROM v_issue", "v_issue")(
-    lambda s, d: life.build_state(view(s, d, "v_issue"), view(s, d, "v_issue").where("issue_id % 3 = 0").withColumn("reviewer", F.lit("x"))).select("issue_id", "status")
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, k = _orders(spark, sf_dir), F.col("o_orderkey")
+    # noise below the fourth place is no change
+    price = F.when(k % 10 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice") + 0.00001)
+    after = before.withColumn("o_totalprice", F.when(k % 10 == 0, F.col("o_totalprice")).otherwise(price)).withColumn("o_orderkey", F.when(k % 10 == 0, -1 - k).otherwise(k))
+    rows = life.diff_runs(before, after, ["o_orderkey"], ["o_custkey", "o_totalprice"])
+    return rows.select("group_key", "occurrence", F.col("before.o_totalprice").alias("before_price"), F.col("after.o_totalprice").alias("after_price"), "status", F.array_join("changed", ",").alias("changed"))
+
+
+query(
+    "l1_diff_runs",
+    """SELECT substr(sha256('{"o_orderkey":' || o_orderkey || '}'), 1, 16) AS group_key, 1 AS occurrence, o_totalprice AS before_price, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS after_price,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'resolved' WHEN o_orderkey % 10 = 1 THEN 'changed' ELSE 'unchanged' END AS status, CASE WHEN o_orderkey % 10 = 1 THEN 'o_totalprice' ELSE '' END AS changed FROM orders
+    UNION ALL SELECT substr(sha256('{"o_orderkey":' || (-1 - o_orderkey) || '}'), 1, 16), 1, NULL, o_totalprice, 'new', '' FROM orders WHERE o_orderkey % 10 = 0""",
+)(_diff)
+_AT, _LATER = "2024-01-01 00:00:00", "2025-01-01 00:00:00"
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"reviewer": F.lit("x"), "note": F.concat(F.lit("n"), "issue_id"), "target_run": F.when(F.col("status") == "superseded", "r2"), "created_at": F.lit(_AT).cast("timestamp")}
+    return view(spark, sf_dir, "v_issue").select("issue_id", "status").withColumns(columns)
+
+
+query(
+    "l4_build_state",
+    f"""SELECT issue_id, CASE WHEN issue_id % 3 = 0 THEN status ELSE 'candidate' END AS status, CASE WHEN issue_id % 3 = 0 THEN 'x' END AS reviewer, CASE WHEN issue_id % 3 = 0 THEN concat('n', issue_id) END AS note,
+    CASE WHEN issue_id % 3 = 0 AND status = 'superseded' THEN 'r2' END AS target_run, CASE WHEN issue_id % 3 <> 0 THEN 'r7' END AS source_run, CASE WHEN issue_id % 3 = 0 THEN '{_AT}' ELSE '{_LATER}' END AS created_at, '{_LATER}' AS updated_at FROM v_issue""",
+    "v_issue",
+)(
+    lambda s, d: life.build_state(view(s, d, "v_issue"), _state(s, d).where("issue_id % 3 = 0").unionByName(_state(s, d).withColumn("issue_id", -1 - F.col("issue_id"))), F.lit(_LATER).cast("timestamp"), "r7").withColumns({c: F.col(c).cast("string") for c in ("created_at", "updated_at")})
 )
-query("l5_transitions", "SELECT issue_id, CASE WHEN issue_id % 4 = 0 THEN 'resolved' WHEN issue_id % 4 = 1 THEN 'candidate' ELSE status END AS status FROM v_issue", "v_issue")(
-    lambda s, d: life.apply_transitions(
-        view(s, d, "v_issue").select("issue_id", "status"),
-        view(s, d, "v_issue").select("issue_id", F.when(F.col("issue_id") % 4 == 0, "resolved").when(F.col("issue_id") % 4 == 1, "open").otherwise("superseded").alias("status"), F.lit(None).cast("string").alias("target_run"), F.lit(1).alias("at")),
-    )[0].select("issue_id", "status")
+
+
+def _transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("issue_id") % 7
+    rows = view(spark, sf_dir, "v_issue").select(F.when(k == 6, -F.col("issue_id")).otherwise(F.col("issue_id")).alias("issue_id"), k.alias("k"))
+    k = F.col("k")
+    status = F.when(k == 1, " Open ").when(k.isin(2, 3), "superseded").when(k == 5, "odd").otherwise("resolved")
+    updates = rows.select("issue_id", status.alias("status"), F.when(k == 2, "r9").when(k == 4, "r8").alias("target_run"), F.when(k == 0, "new").alias("reviewer"), F.when(k == 1, "").alias("note"), F.lit(_LATER).cast("timestamp").alias("at"))
+    older = rows.where("k = 0").select("issue_id", F.lit("confirmed").alias("status"), F.lit(None).cast("string").alias("target_run"), F.lit("older").alias("reviewer"), F.lit("older").alias("note"), F.lit(_AT).cast("timestamp").alias("at"))
+    return life.apply_transitions(_state(spark, sf_dir), updates.unionByName(older))
+
+
+query(
+    "l5_transitions",
+    f"""SELECT issue_id, CASE WHEN k = 0 THEN 'resolved' WHEN k = 1 THEN 'candidate' WHEN k = 2 THEN 'superseded' ELSE status END AS status, CASE WHEN k = 2 THEN 'r9' WHEN k > 2 AND status = 'superseded' THEN 'r2' END AS target_run,
+    CASE WHEN k = 0 THEN 'new' ELSE 'x' END AS reviewer, CASE WHEN k = 0 THEN 'older' WHEN k <> 1 THEN concat('n', issue_id) END AS note, CASE WHEN k <= 2 THEN '{_LATER}' END AS updated_at FROM (SELECT *, issue_id % 7 AS k FROM v_issue)""",
+    "v_issue",
+)(lambda s, d: _transitions(s, d)[0].select("issue_id", "status", "target_run", "reviewer", "note", F.col("updated_at").cast("string").alias("updated_at")))
+query("l5_rejects", "SELECT CASE WHEN k = 6 THEN -issue_id ELSE issue_id END AS issue_id, CASE k WHEN 3 THEN 'no target run' WHEN 4 THEN 'unexpected target run' WHEN 5 THEN 'unknown status' ELSE 'unknown issue' END AS reason FROM (SELECT *, issue_id % 7 AS k FROM v_issue) WHERE k > 2", "v_issue")(
+    lambda s, d: _transitions(s, d)[1].select("issue_id", "reason")
 )
 query("l6_state_summary", "SELECT status, count(*) AS n FROM v_issue GROUP BY status", "v_issue")(lambda s, d: life.state_summary(view(s, d, "v_issue")).drop("ordinal"))
 query("l7_page_queue", "SELECT page_index, issue_id, preview_id, omitted FROM (SELECT run_id AS page_index, issue_id, printf('sheet-%d-preview-%03d', run_id, row_number() OVER w) AS preview_id, greatest(count(*) OVER (PARTITION BY run_id) - 3, 0) AS omitted, row_number() OVER w AS k FROM v_issue WINDOW w AS (PARTITION BY run_id ORDER BY issue_id)) WHERE k <= 3", "v_issue")(
     lambda s, d: life.page_queue(view(s, d, "v_issue").withColumnRenamed("run_id", "page_index"))
 )
-query("l9_checklist", "SELECT o_orderkey AS package, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS done, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS open, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS blocked FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")(
-    lambda s, d: life.checklist_summary(table(s, d, "lineitem").select(F.col("l_orderkey").alias("package"), F.col("l_linenumber").alias("ordinal"), F.col("l_shipdate").cast("string").alias("title"), F.when(F.col("l_returnflag") == "A", "done").when(F.col("l_returnflag") == "N", "open").otherwise("blocked").alias("status"))).select("package", "done", "open", "blocked")
-)
+_TASKS = """SELECT l_orderkey AS package, l_linenumber AS ordinal, concat('c', CAST(l_partkey AS VARCHAR(20))) AS check_id, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('t', CAST(l_suppkey AS VARCHAR(20))) END AS title,
+    CASE l_linenumber % 5 WHEN 0 THEN 'readiness' WHEN 1 THEN 'primary_issue_review' WHEN 2 THEN 'per_sheet_preview' WHEN 3 THEN 'handoff' ELSE 'other' END AS stage,
+    CASE WHEN l_returnflag = 'A' THEN 'done' WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'skipped_preview' WHEN l_returnflag = 'N' THEN 'open' WHEN l_linenumber % 7 = 1 THEN 'blocked' WHEN l_linenumber % 7 = 2 THEN 'needs_info' END AS status FROM lineitem"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("package"))
+    return life.checklist_summary(spark.sql(_TASKS), keys.unionByName(keys.select((-F.col("package")).alias("package")))).withColumn("first_open", F.array_join("first_open", ","))
+
+
+query(
+    "l9_checklist",
+    f"""WITH t AS ({_TASKS}), c AS (SELECT *, coalesce(status, '') NOT IN ('done', 'skipped_preview') AS is_open, CASE WHEN title = '' THEN check_id ELSE title END AS shown FROM t),
+    o AS (SELECT package, string_agg(shown, ',' ORDER BY ordinal, shown) AS first_open FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY ordinal, shown) AS k FROM c WHERE is_open) WHERE k <= 3 GROUP BY 1),
+    s AS (SELECT p.package, count(ordinal) AS items, count(CASE WHEN NOT is_open THEN 1 END) AS done, count(CASE WHEN is_open THEN 1 END) AS open, count(CASE WHEN status = 'blocked' THEN 1 END) AS blocked, count(CASE WHEN status = 'needs_info' THEN 1 END) AS needs_info,
+      count(CASE WHEN stage = 'readiness' THEN 1 END) AS readiness_items, count(CASE WHEN stage = 'primary_issue_review' THEN 1 END) AS primary_issue_items, count(CASE WHEN stage = 'per_sheet_preview' THEN 1 END) AS preview_items, count(CASE WHEN stage = 'handoff' THEN 1 END) AS handoff_items
+      FROM (SELECT o_orderkey AS package FROM orders UNION SELECT -o_orderkey FROM orders) p LEFT JOIN c ON c.package = p.package GROUP BY 1)
+    SELECT s.*, coalesce(first_open, '') AS first_open, CASE WHEN items = 0 THEN 'checklist_empty' WHEN blocked > 0 THEN 'checklist_blocked' WHEN needs_info > 0 THEN 'checklist_needs_info' WHEN open > 0 THEN 'checklist_open' ELSE 'checklist_complete' END AS state FROM s LEFT JOIN o ON o.package = s.package""",
+)(_checked)
 query("l13_manager_gate", "SELECT l_orderkey AS package, CASE max(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'needs_info' ELSE 'pass' END AS gate, count(CASE WHEN l_returnflag <> 'A' THEN 1 END) AS n_unmet FROM lineitem GROUP BY 1")(
     lambda s, d: life.manager_gate(table(s, d, "lineitem").select(F.col("l_orderkey").alias("package"), F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "N", "needs_info").otherwise("pass").alias("result")))
 )
