@@ -62,7 +62,7 @@ def source_coverage(clauses: DataFrame, page_texts: DataFrame) -> DataFrame:
     piece = F.when(F.col("page_index") == F.col("end"), F.substring("piece", F.lit(1), F.col("cut") - 1)).otherwise(F.col("piece"))
     body = pages.groupBy("clause_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", piece.alias("t")))), lambda v: v["t"]), "").alias("body"))
     own = F.array(leaf.cast("double"))
-    rows = body.join(wanted.select("clause_id", "clause_text", "parts"), "clause_id").withColumn("b", F.array_except(numbers(F.col("body")), own)).withColumn("c", numbers(F.col("clause_text")))
+    rows = body.join(wanted.select("clause_id", "clause_text", "parts"), "clause_id").withColumn("b", F.array_except(numbers(F.col("body"), "clause"), own)).withColumn("c", numbers(F.col("clause_text"), "clause"))
     return rows.where("body <> ''").select("clause_id", F.array_sort(F.array_except("b", "c")).alias("source_only"), F.array_sort(F.array_except("c", "b")).alias("text_only"), F.length("body").alias("body_chars"))
 
 

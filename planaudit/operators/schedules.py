@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,31 @@ def room_schedule_audit(rooms: DataFrame, schedule: DataFrame, properties: list[
 
 
 def apply_stair_schedule(stairs: DataFrame, schedule: DataFrame, properties: list[str]) -> DataFrame:
-    """D3: new ids become stairs of confidence 0; known ones are filled only where null; the first non-null entry counts."""
-    first = schedule.groupBy("stair_id").agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("entry_idx"))).alias(f"_{p}") for p in properties])
+    """D3: new ids become stairs; known ones are filled only where null; the first non-null entry counts.
+
+    A new stair has confidence 0, is uncertain, has an all-zero box and the page of its
+    first entry. Columns that `stairs` lacks are not added.
+    """
+    values = [F.min_by(p, F.when(F.col(p).isNotNull(), F.col("entry_idx"))).alias(f"_{p}") for p in properties]
+    first = schedule.groupBy("stair_id").agg(*values, F.min_by("page_index", "entry_idx").alias("_page"))
     both = stairs.withColumn("_known", F.lit(True)).join(first, "stair_id", "full")
-    rows = both.withColumns({p: F.coalesce(p, f"_{p}") for p in properties})
-    return rows.withColumn("confidence", F.coalesce("confidence", F.when(F.col("_known").isNull(), 0.0))).withColumn("materialised", F.col("_known").isNull()).drop("_known", *[f"_{p}" for p in properties])
+    fresh = F.col("_known").isNull()
+    new = {"confidence": F.lit(0.0), "uncertain": F.lit(True), "page_index": F.col("_page"), "bbox": F.struct(*[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])}
+    rows = both.withColumns({p: F.coalesce(p, f"_{p}") for p in properties} | {c: F.when(fresh, v).otherwise(F.col(c)) for c, v in new.items() if c in stairs.columns})
+    return rows.withColumn("materialised", fresh).drop("_known", "_page", *[f"_{p}" for p in properties])
 
 
 def stair_schedule_audit(stairs: DataFrame, schedule: DataFrame, pages: DataFrame, properties: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Per entry materialised, merged or empty; entries for unknown pages are rejects."""
+    """Per entry materialised or conflicted, and whether it has no metric; entries for unknown pages are rejects.
+
+    The first entry of an id that is no stair yet makes one; every other entry merges
+    into a stair that is there and is conflicted. Only a made stair can be empty.
+    """
     bare = F.coalesce(*[F.col(p).cast("string") for p in properties]).isNull()
     known = stairs.select("stair_id", F.lit(True).alias("_k")).distinct()
-    good = schedule.join(pages.select("page_index").distinct(), "page_index", "left_semi").withColumn("_bare", bare).join(known, "stair_id", "left")
-    return good.select("entry_idx", "stair_id", F.when(F.col("_bare"), "empty").when(F.col("_k").isNull(), "materialised").otherwise("merged").alias("status")), schedule.join(pages.select("page_index").distinct(), "page_index", "left_anti")
+    listed = pages.select("page_index").distinct()
+    order = Window.partitionBy("stair_id").orderBy("entry_idx")
+    good = schedule.join(listed, "page_index", "left_semi").withColumn("_bare", bare).withColumn("_at", F.row_number().over(order)).join(known, "stair_id", "left")
+    made = F.col("_k").isNull() & (F.col("_at") == 1)
+    rows = good.select("entry_idx", "stair_id", F.when(made, "materialised").otherwise("conflicted").alias("status"), (made & F.col("_bare")).alias("empty"))
+    return rows, schedule.join(listed, "page_index", "left_anti")

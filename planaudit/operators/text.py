@@ -27,34 +27,74 @@ WORD = r"[A-Za-z0-9]+"
 CITATION = r"GB\s*\d{4,5}(?:[\s\-－–]\d+)?(?:\.\d+){0,3}"
 FRACTION = r"(\d+)\s*/\s*(\d+)"
 NUMBER = r"\d+(?:\.\d+)?"
-
-
-def classify_pages(pages: DataFrame, text: str = "text", keywords: dict[str, list[str]] = PAGE_KEYWORDS) -> DataFrame:
-    """Page type, confidence and number of keywords; a page with many lines and few texts is a plan, else unknown.
-
-    pages: text (all texts of the page), n_lines, n_texts. The first type in order wins a tie.
+TABLE = r"表\s*\d+(?:\.\d+){0,3}"
+LIST_MARKER = r"(?<![\d.])\d+[．）)](?=[\s一-鿿])"
+PLACEHOLDER = r"\{[^}]+\}"
+FLOORS = "一二三四五六七八九十"
+WIDE_DIGITS = "０１２３４５６７８９"
+# Number literals of an expression, and its quoted texts.
+LITERAL = r"(?<![\w.])(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+QUOTED = r"'[^']*'|\"[^\"]*\""
+# Reasons to keep all pages of a document, in order.
+ROUTING = ["single_page_run", "classification_page_mismatch", "no_eligible_plan_page", "multiple_eligible_plan_pages", "unknown_or_low_confidence_non_plan_page"]
+# Counters of components and their types.
+COMPONENTS = {"rooms": "Room", "doors": "Door", "corridors": "Corridor", "stairs": "Stair", "dimensions": "Dimension"}
+
+
+def classify_pages(pages: DataFrame, texts: str = "texts", keywords: dict[str, list[str]] = PAGE_KEYWORDS) -> DataFrame:
+    """Page type, confidence, number of keywords and up to six texts as evidence.
+
+    pages: texts (array, in order), n_lines, n_texts. The type with most keywords in
+    the joined texts wins, the first in order on a tie. Without any, a page with many
+    lines and few texts is a plan, else unknown. Evidence is the texts that hold a
+    keyword of the type (the first three of all if none does by itself), or the first
+    four texts of a page without keywords.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    scores = [F.struct(reduce(lambda a, b: a + b, [low.contains(k).cast("int") for k in words]).alias("score"), F.lit(-i).alias("o"), F.lit(kind).alias("kind")) for i, (kind, words) in enumerate(keywords.items())]
-    rows = pages.withColumn("_b", F.array_max(F.array(*scores)))
+    shown = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    rows = pages.withColumn("_t", shown)
+    low = F.lower(F.array_join("_t", " "))
+    scores = [F.struct(reduce(lambda a, b: a + b, [low.contains(k.lower()).cast("int") for k in words]).alias("score"), F.lit(-i).alias("o"), F.lit(kind).alias("kind")) for i, (kind, words) in enumerate(keywords.items())]
+    rows = rows.withColumn("_b", F.array_max(F.array(*scores)))
     hit, dense = F.col("_b.score") > 0, (F.col("n_lines") >= 10) & (F.col("n_texts") <= 8)
     kind = F.when(hit, F.col("_b.kind")).when(dense, "plan").otherwise("unknown")
     sure = F.when(hit, F.least(F.lit(0.92), 0.55 + 0.12 * F.col("_b.score"))).when(dense, 0.5).otherwise(0.2)
-    return rows.withColumns({"page_type": kind, "confidence": sure, "n_keywords": F.col("_b.score")}).drop("_b")
 
+    def holding(words: list[str]) -> Column:
+        return F.filter("_t", lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(k.lower()) for k in words]))
+
+    found = reduce(lambda out, item: out.when(F.col("_b.kind") == item[0], holding(item[1])), keywords.items(), F.when(F.lit(False), F.col("_t")))
+    evidence = F.when(hit, F.when(F.size(found) > 0, F.slice(found, 1, 6)).otherwise(F.slice("_t", 1, 3))).otherwise(F.slice("_t", 1, 4))
+    return rows.withColumns({"page_type": kind, "confidence": sure, "n_keywords": F.col("_b.score"), "evidence": evidence}).drop("_b", "_t")
 
-def route_documents(pages: DataFrame, doc: str, least: float = 0.6) -> DataFrame:
-    """A document narrows to one page only if exactly one page is a sure plan and all others are known and sure."""
-    plan, sure, unknown = F.col("page_type") == "plan", F.col("confidence") >= least, F.col("page_type") == "unknown"
-    rows = pages.groupBy(doc).agg(F.count("*").alias("n"), F.count_if(plan & sure).alias("plans"), F.count_if(plan & ~sure).alias("weak_plans"), F.count_if(unknown).alias("unknown"), F.count_if(~plan & ~unknown & ~sure).alias("weak"), F.min(F.when(plan & sure, F.col("page_index"))).alias("page"))
-    reason = F.when(F.col("n") == 1, "single page").when((F.col("plans") + F.col("weak_plans")) == 0, "no plan page").when(F.col("weak_plans") > 0, "plan page not sure").when(F.col("plans") > 1, "several plan pages").when(F.col("unknown") > 0, "unknown pages").when(F.col("weak") > 0, "other pages not sure")
+
+def route_documents(classified: DataFrame, pages: DataFrame, doc: str, least: float = 0.5) -> DataFrame:
+    """A document narrows to one page only if exactly one page is a sure plan and all others are known and sure.
+
+    classified and pages are told apart by (doc, page_index); reasons to stay with all
+    pages are tried in order.
+    """
+    plan = (F.col("page_type") == "plan") & (F.col("confidence") >= least)
+    given = classified.select(doc, "page_index", "page_type", "confidence", F.lit(True).alias("_c"))
+    both = pages.select(doc, "page_index", F.lit(True).alias("_p")).join(given, [doc, "page_index"], "full")
+    weak = F.col("_c") & ~plan & ((F.col("page_type") == "unknown") | (F.col("confidence") < least))
+    rows = both.groupBy(doc).agg(F.count("_p").alias("n"), F.count_if(F.col("_p").isNull() | F.col("_c").isNull()).alias("apart"), F.count_if(plan).alias("plans"), F.count_if(weak).alias("weak"), F.min(F.when(plan, F.col("page_index"))).alias("page"))
+    reason = F.when(F.col("n") <= 1, ROUTING[0]).when(F.col("apart") > 0, ROUTING[1]).when(F.col("plans") == 0, ROUTING[2]).when(F.col("plans") > 1, ROUTING[3]).when(F.col("weak") > 0, ROUTING[4])
     return rows.select(doc, reason.isNull().alias("narrowed"), F.when(reason.isNull(), F.col("page")).alias("page"), reason.alias("reason"))
 
 
-def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages that may hold a plan, and the skipped ones with a reason."""
-    ok = F.col("page_type").isin("plan", "unknown")
-    return pages.where(ok), pages.where(~ok).withColumn("reason", F.concat(F.lit("page is a "), "page_type"))
+def split_pages(classified: DataFrame, pages: DataFrame, components: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Sure plan pages with their number of components of each kind, and the skipped pages with a reason.
+
+    pages(run_id, page_index) are those that hold primitives; components(run_id,
+    page_index, entity_type).
+    """
+    keys = ["run_id", "page_index"]
+    rows = classified.join(pages.select(*keys, F.lit(True).alias("_p")).distinct(), keys, "left")
+    reason = F.when(F.col("_p").isNull(), "page missing from graph primitives").when(~F.coalesce((F.col("page_type") == "plan") & (F.col("confidence") >= least), F.lit(False)), "not a confident graph-eligible plan page")
+    rows = rows.withColumn("reason", reason).drop("_p")
+    counts = components.groupBy(*keys).agg(*[F.count_if(F.col("entity_type") == kind).alias(name) for name, kind in COMPONENTS.items()])
+    kept = rows.where("reason is null").drop("reason").join(counts, keys, "left")
+    return kept.withColumns({c: F.coalesce(c, F.lit(0)) for c in COMPONENTS}), rows.where("reason is not null")
 
 
 def fold_width(col: Column) -> Column:
@@ -98,32 +138,52 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, candidates: DataFra
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def numbers(col: Column) -> Column:
-    """Distinct numbers of a text, citations and table references left out; a fraction is its quotient; mm and cm also as m."""
-    text = F.regexp_replace(F.regexp_replace(fold_width(col), CITATION, " "), r"表\s*\d+(?:\.\d+){0,3}", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"\{[^}]*\}", " "), r"(?<![\d.])\d+[．）)](?=[\s一-鿿])", " ")
-    empty = F.array().cast("array<double>")
+def numbers(col: Column, mode: str) -> Column:
+    """Distinct numbers of a text.
+
+    expression: the number literals of a rule; names and quoted texts have none.
+    template: plain numbers, without placeholders, citations and table references; mm
+    and cm also as m. clause: the same, with fractions as their quotient and without
+    list markers, and the number of "n floors" in words.
+    """
+    text = F.translate(col, WIDE_DIGITS, "0123456789")
+    if mode == "expression":
+        bare = F.regexp_replace(text, QUOTED, " ")
+        return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(LITERAL), F.lit(0)), lambda x: x.cast("double")))
+    if mode not in ("template", "clause"):
+        raise ValueError(f"no such mode: {mode}")
+    clean = F.regexp_replace(text, PLACEHOLDER, " ") if mode == "template" else F.regexp_replace(text, FRACTION, " ")
+    clean = F.regexp_replace(F.regexp_replace(clean, CITATION, " "), TABLE, " ")
+    clean = F.regexp_replace(clean, LIST_MARKER, " ") if mode == "clause" else clean
+    scanned = clean if mode == "template" else text
 
     def scaled(unit: str, by: float) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(rf"({NUMBER})\s*{unit}(?![A-Za-z])"), F.lit(1)), lambda x: x.cast("double") / by)
+        return F.transform(F.regexp_extract_all(scanned, F.lit(rf"({NUMBER})\s*{unit}(?![A-Za-z])"), F.lit(1)), lambda x: x.cast("double") / by)
 
-    quotients = F.transform(F.regexp_extract_all(text, F.lit(r"\d+\s*/\s*\d+"), F.lit(0)), lambda x: F.try_divide(F.trim(F.split(x, "/")[0]).cast("double"), F.trim(F.split(x, "/")[1]).cast("double")))
-    plain = F.transform(F.regexp_extract_all(F.regexp_replace(text, FRACTION, " "), F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
-    floors = F.transform(F.regexp_extract_all(text, F.lit("([一二三四五六七八九十])层"), F.lit(1)), lambda x: F.instr(F.lit("一二三四五六七八九十"), x).cast("double"))
-    return F.array_distinct(F.coalesce(F.concat(F.array_compact(quotients), plain, scaled("mm", 1000.0), scaled("cm", 100.0), floors), empty))
+    found = [F.transform(F.regexp_extract_all(clean, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double")), scaled("mm", 1000.0), scaled("cm", 100.0)]
+    if mode == "clause":
+        quotients = F.transform(F.regexp_extract_all(text, F.lit(FRACTION), F.lit(0)), lambda x: F.try_divide(F.trim(F.split(x, "/")[0]).cast("double"), F.trim(F.split(x, "/")[1]).cast("double")))
+        floors = F.transform(F.regexp_extract_all(text, F.lit(f"([{FLOORS}])层"), F.lit(1)), lambda x: F.instr(F.lit(FLOORS), x).cast("double"))
+        found += [F.array_compact(quotients), floors]
+    return F.array_distinct(F.coalesce(F.concat(*found), F.array().cast("array<double>")))
 
 
 def fidelity_findings(rules: DataFrame, clauses: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """Numbers of a rule's expression that none of its clauses has (error), and of its template in neither (warning)."""
-    by = rules.select("rule_id", F.explode("source_clause_ids").alias("clause_id")).join(clauses.select("clause_id", numbers(F.col("clause_text")).alias("c")), "clause_id").groupBy("rule_id").agg(F.flatten(F.collect_list("c")).alias("c"))
-    rows = rules.join(by, "rule_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<double>"))).withColumn("e", numbers(F.col("logic_expression"))).withColumn("m", numbers(F.col("output_template")))
+    """Numbers of a rule's expression that none of its clauses has (error), and of its template in neither (warning).
+
+    clause_ids names the rule's known clauses; a rule without one has no finding.
+    """
+    links = rules.select("rule_id", F.posexplode("source_clause_ids").alias("at", "clause_id")).join(clauses.select("clause_id", numbers(F.col("clause_text"), "clause").alias("c")), "clause_id")
+    by = links.groupBy("rule_id").agg(F.flatten(F.collect_list("c")).alias("c"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "clause_id"))), lambda x: x["clause_id"]), ",").alias("clause_ids"))
+    rows = rules.join(by, "rule_id").withColumn("e", numbers(F.col("logic_expression"), "expression")).withColumn("m", numbers(F.col("output_template"), "template"))
 
     def absent(xs: str, *known: str) -> Column:
         have = F.concat(*known) if len(known) > 1 else F.col(known[0])
         return F.filter(xs, lambda x: (x != 0) & ~F.exists(have, lambda y: F.abs(x - y) < tol))
 
-    found = rows.select("rule_id", F.explode(F.array(F.struct(F.lit("error").alias("severity"), absent("e", "c").alias("v")), F.struct(F.lit("warning").alias("severity"), absent("m", "c", "e").alias("v")))).alias("f"))
-    return found.select("rule_id", "f.severity", F.explode("f.v").alias("number"))
+    kinds = [("error", "numeric-drift-expression", absent("e", "c")), ("warning", "numeric-drift-template", absent("m", "c", "e"))]
+    found = rows.select("rule_id", "clause_ids", F.explode(F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(k).alias("kind"), v.alias("v")) for s, k, v in kinds])).alias("f"))
+    return found.select("rule_id", "clause_ids", "f.severity", "f.kind", F.explode("f.v").alias("number"))
 
 
 def clause_coverage(rules: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,13 @@ Every operator takes a dict of tables: project, drawing, run, rule, clause, issu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planaudit.operators.maintain import INTERNAL, SYNTHETIC, SYNTHETIC_PREFIXES
+
 Tables = dict[str, DataFrame]
 
 
@@ -102,8 +106,9 @@ def project_drawings(t: Tables, slug: str) -> DataFrame:
 
 
 def project_issues(t: Tables, slug: str) -> DataFrame:
-    """K14, issues."""
-    return issues_by_filter(t, project=slug)
+    """K14, issues; those without a rule are kept."""
+    rows = _with_project(t, _with_rule(t, "left")).where(F.col("slug") == slug)
+    return rows.select("issue_id", "source_issue_id", "rule_id", "status", "severity")
 
 
 def issue_timeline(t: Tables) -> DataFrame:
@@ -114,8 +119,16 @@ def issue_timeline(t: Tables) -> DataFrame:
 
 
 def disagreement(t: Tables) -> DataFrame:
-    """Issues whose events are of more than one type."""
-    return t["feedback_event"].groupBy("issue_id").agg(F.countDistinct("event_type").alias("n_types"), F.count("*").alias("n_events")).where("n_types > 1")
+    """Issues whose events are of more than one type, with their events in order and the class of each reviewer.
+
+    The class is the one that the event names, else by the reviewer's name; without a
+    reviewer it is unclassified.
+    """
+    own = F.nullif(F.col("reviewer_class"), F.lit("")) if "reviewer_class" in t["feedback_event"].columns else F.lit(None).cast("string")
+    named = F.when(F.col("reviewer_id").isNull(), "unclassified").when(reduce(lambda a, b: a | b, [F.col("reviewer_id").startswith(p) for p in SYNTHETIC_PREFIXES]), SYNTHETIC).otherwise(INTERNAL)
+    events = t["feedback_event"].withColumn("class", F.coalesce(own, named))
+    listed = F.array_sort(F.collect_list(F.struct("event_id", "event_type", "reviewer_id", "class")))
+    return events.groupBy("issue_id").agg(F.countDistinct("event_type").alias("n_types"), F.count("*").alias("n_events"), listed.alias("events")).where("n_types > 1")
 
 
 def cross_check(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -193,10 +193,22 @@ def layout(s: SparkSession, d: str) -> DataFrame:
 
 # texts
 
+_SIZES = "SELECT p_partkey, p_size * 1.0E0 AS n, p_size % 7 / 8.0E0 AS q, p_size % 7 * 1.0E0 AS num, p_partkey % 5 * 1.0E0 AS k FROM part"
+
+
+def _numbers(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    body = F.concat(F.lit("GB 50096-2011, 表 3.2: 2．宽 at least "), F.col("p_size"), F.lit(" mm, "), F.col("p_size") % 7, F.lit("/8 of {x9} 三层 on "), k, F.lit(" cm"))
+    texts = {"clause": body, "template": body, "expression": F.concat(F.lit("w_2 >= "), F.col("p_size"), F.lit(" and h3 < "), k, F.lit(".5 or s == 'x 7'"))}
+    found = F.array(*[F.struct(F.lit(mode).alias("mode"), text.numbers(t, mode).alias("v")) for mode, t in texts.items()])
+    return table(s, d, "part").select("p_partkey", F.inline(found)).select("p_partkey", "mode", F.explode("v").alias("number"))
+
+
 query(
     "t7_numbers",
-    "SELECT p_partkey, len(v) AS n, round(list_sum(v), 6) AS total FROM (SELECT p_partkey, list_distinct([p_size % 7 / 8.0E0, p_size * 1.0E0, p_size / 1000.0E0]) AS v FROM part)",
-)(lambda s, d: table(s, d, "part").select("p_partkey", text.numbers(F.concat(F.lit("GB 50096-2011, 表 3.2: at least "), F.col("p_size"), F.lit(" mm or "), F.col("p_size") % 7, F.lit("/8 of {x2}"))).alias("v")).select("p_partkey", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 6).alias("total")))
+    f"""SELECT p_partkey, 'clause' AS mode, unnest(list_distinct([q, n, 9.0E0, k, n / 1000.0E0, k / 100.0E0, 3.0E0])) AS number FROM ({_SIZES})
+    UNION ALL SELECT p_partkey, 'template', unnest(list_distinct([2.0E0, n, num, 8.0E0, k, n / 1000.0E0, k / 100.0E0])) FROM ({_SIZES}) UNION ALL SELECT p_partkey, 'expression', unnest(list_distinct([n, k + 0.5E0])) FROM ({_SIZES})""",
+)(_numbers)
 
 
 @query(

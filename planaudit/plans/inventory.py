@@ -167,25 +167,28 @@ query("r19_blocked_sources", "SELECT severity AS source, count(DISTINCT rule_key
 
 
 def _stairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    stairs = table(s, d, "supplier").select(F.col("s_suppkey").alias("stair_id"), F.when(F.col("s_nationkey") % 2 == 1, F.col("s_acctbal")).alias("tread_m"), F.lit(0.5).alias("confidence"))
+    box = F.struct(*[F.lit(1.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    stairs = table(s, d, "supplier").select(F.col("s_suppkey").alias("stair_id"), F.when(F.col("s_nationkey") % 2 == 1, F.col("s_acctbal")).alias("tread_m"), F.lit(0.5).alias("confidence"), F.lit(False).alias("uncertain"), F.lit(7).cast("long").alias("page_index"), box.alias("bbox"))
     rows = table(s, d, "part").select(F.col("p_partkey").alias("entry_idx"), (F.col("p_partkey") % 150).alias("stair_id"), (F.col("p_partkey") % 30).alias("page_index"), F.when(F.col("p_size") % 4 != 0, F.col("p_size").cast("double")).alias("tread_m"))
     return stairs, rows
 
 
 query(
     "d3_stair_schedule",
-    """SELECT coalesce(s_suppkey, e.stair_id) AS stair_id, coalesce(CASE WHEN s_nationkey % 2 = 1 THEN s_acctbal END, t) AS tread_m, CASE WHEN s_suppkey IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, s_suppkey IS NULL AS materialised
-    FROM supplier FULL JOIN (SELECT p_partkey % 150 AS stair_id, arg_min(CAST(p_size AS DOUBLE), p_partkey) FILTER (WHERE p_size % 4 <> 0) AS t FROM part GROUP BY 1) e ON e.stair_id = s_suppkey""",
-)(lambda s, d: schedules.apply_stair_schedule(*_stairs(s, d), ["tread_m"]).select("stair_id", "tread_m", "confidence", "materialised"))
+    """SELECT coalesce(s_suppkey, e.stair_id) AS stair_id, coalesce(CASE WHEN s_nationkey % 2 = 1 THEN s_acctbal END, t) AS tread_m, CASE WHEN s_suppkey IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, s_suppkey IS NULL AS materialised, s_suppkey IS NULL AS uncertain,
+    CASE WHEN s_suppkey IS NULL THEN page ELSE 7 END AS page_index, CASE WHEN s_suppkey IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS x1
+    FROM supplier FULL JOIN (SELECT p_partkey % 150 AS stair_id, arg_min(CAST(p_size AS DOUBLE), p_partkey) FILTER (WHERE p_size % 4 <> 0) AS t, arg_min(p_partkey % 30, p_partkey) AS page FROM part GROUP BY 1) e ON e.stair_id = s_suppkey""",
+)(lambda s, d: schedules.apply_stair_schedule(*_stairs(s, d), ["tread_m"]).withColumn("x1", F.col("bbox.x1")).drop("bbox"))
 
 
 @query(
     "d4_stair_audit",
-    """SELECT CASE WHEN p_partkey % 30 NOT IN (SELECT s_nationkey FROM supplier) THEN 'reject' WHEN p_size % 4 = 0 THEN 'empty' WHEN p_partkey % 150 NOT IN (SELECT s_suppkey FROM supplier) THEN 'materialised' ELSE 'merged' END AS status, count(*) AS n FROM part GROUP BY 1""",
+    """SELECT p_partkey AS entry_idx, p_partkey % 150 AS stair_id, CASE WHEN NOT on_page THEN 'reject' WHEN made THEN 'materialised' ELSE 'conflicted' END AS status, on_page AND made AND p_size % 4 = 0 AS empty FROM (
+    SELECT *, on_page AND p_partkey % 150 NOT IN (SELECT s_suppkey FROM supplier) AND row_number() OVER (PARTITION BY p_partkey % 150, on_page ORDER BY p_partkey) = 1 AS made FROM (SELECT *, p_partkey % 30 IN (SELECT s_nationkey FROM supplier) AS on_page FROM part))""",
 )
 def stair_audit(s: SparkSession, d: str) -> DataFrame:
     found, rejects = schedules.stair_schedule_audit(*_stairs(s, d), table(s, d, "supplier").select(F.col("s_nationkey").alias("page_index")), ["tread_m"])
-    return found.select("status").unionByName(rejects.select(F.lit("reject").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
+    return found.unionByName(rejects.select("entry_idx", "stair_id", F.lit("reject").alias("status"), F.lit(False).alias("empty")))
 
 
 query("d5_schedule_project", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")(
@@ -239,28 +242,51 @@ query("g23_provenance", "SELECT project_id AS run_id, count(*) AS openings, coun
 
 # text and evidence
 
-_PAGE = "(SELECT l_orderkey AS run_id, l_linenumber AS page_index, CASE l_returnflag WHEN 'A' THEN 'plan' WHEN 'N' THEN 'title' ELSE 'unknown' END AS t, l_discount > 0.04 AS sure FROM lineitem)"
+_PAGE = "(SELECT l_orderkey AS run_id, l_linenumber AS page_index, CASE min(l_returnflag) WHEN 'A' THEN 'plan' WHEN 'N' THEN 'title' ELSE 'unknown' END AS t, max(l_discount) > 0.04 AS sure FROM lineitem GROUP BY 1, 2)"
+_THERE = "NOT (run_id % 13 = 0 AND page_index = 2)"
 
 
-def _typed(s: SparkSession, d: str) -> DataFrame:
-    kind = F.coalesce(_pick("l_returnflag", A="plan", N="title"), F.lit("unknown"))
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("page_index"), kind.alias("page_type"), F.when(F.col("l_discount") > 0.04, 0.9).otherwise(0.3).alias("confidence"))
+def _typed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Classified pages, and the pages that hold primitives."""
+    rows = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("page_index")).agg(F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("sure"))
+    kind = F.coalesce(_pick("flag", A="plan", N="title"), F.lit("unknown"))
+    rows = rows.select("run_id", "page_index", kind.alias("page_type"), F.when(F.col("sure") > 0.04, 0.5).otherwise(0.49).alias("confidence"))
+    return rows, rows.where(_THERE).select("run_id", "page_index")
 
 
 query(
     "t2_route_documents",
-    f"""SELECT run_id, n > 1 AND p = 1 AND w = 0 AND u = 0 AND o = 0 AS narrowed, CASE WHEN n > 1 AND p = 1 AND w = 0 AND u = 0 AND o = 0 THEN page END AS page,
-    CASE WHEN n = 1 THEN 'single page' WHEN p + w = 0 THEN 'no plan page' WHEN w > 0 THEN 'plan page not sure' WHEN p > 1 THEN 'several plan pages' WHEN u > 0 THEN 'unknown pages' WHEN o > 0 THEN 'other pages not sure' END AS reason
-    FROM (SELECT run_id, count(*) AS n, count(CASE WHEN t = 'plan' AND sure THEN 1 END) AS p, count(CASE WHEN t = 'plan' AND NOT sure THEN 1 END) AS w, count(CASE WHEN t = 'unknown' THEN 1 END) AS u,
-          count(CASE WHEN t = 'title' AND NOT sure THEN 1 END) AS o, min(CASE WHEN t = 'plan' AND sure THEN page_index END) AS page FROM {_PAGE} GROUP BY 1)""",
-)(lambda s, d: text.route_documents(_typed(s, d), "run_id"))
-query("t3_split_pages", f"SELECT run_id, page_index, 'page is a title' AS reason FROM {_PAGE} WHERE t = 'title'")(lambda s, d: text.split_pages(_typed(s, d))[1].select("run_id", "page_index", "reason"))
-query("t8_fidelity", "SELECT p_partkey AS rule_id, 'error' AS severity, CAST(p_size AS DOUBLE) AS number FROM part WHERE p_size <> 0 AND p_size <> CAST(substr(p_brand, 7) AS INT)")(
-    lambda s, d: text.fidelity_findings(
-        table(s, d, "part").select(F.col("p_partkey").alias("rule_id"), F.concat(F.lit("x >= "), F.col("p_size").cast("string")).alias("logic_expression"), F.concat(F.lit("at least "), F.col("p_size").cast("string")).alias("output_template"), F.array("p_brand").alias("source_clause_ids")),
-        table(s, d, "part").select(F.col("p_brand").alias("clause_id"), F.concat(F.lit("at least "), F.substring("p_brand", 7, 9)).alias("clause_text")).distinct(),
-    )
+    f"""SELECT run_id, reason IS NULL AS narrowed, CASE WHEN reason IS NULL THEN page END AS page, reason FROM (SELECT *, CASE WHEN n <= 1 THEN 'single_page_run' WHEN gone > 0 THEN 'classification_page_mismatch' WHEN p = 0 THEN 'no_eligible_plan_page' WHEN p > 1 THEN 'multiple_eligible_plan_pages'
+    WHEN w > 0 THEN 'unknown_or_low_confidence_non_plan_page' END AS reason FROM (SELECT run_id, count(CASE WHEN {_THERE} THEN 1 END) AS n, count(CASE WHEN NOT ({_THERE}) THEN 1 END) AS gone, count(CASE WHEN t = 'plan' AND sure THEN 1 END) AS p,
+    count(CASE WHEN t = 'unknown' OR NOT sure THEN 1 END) AS w, min(CASE WHEN t = 'plan' AND sure THEN page_index END) AS page FROM {_PAGE} GROUP BY 1))""",
+)(lambda s, d: text.route_documents(*_typed(s, d), "run_id"))
+
+
+@query(
+    "t3_split_pages",
+    f"""SELECT run_id, page_index, t AS page_type, reason, rooms, doors, corridors, CASE WHEN reason IS NULL THEN 0 END AS stairs FROM (SELECT *, CASE WHEN NOT ({_THERE}) THEN 'page missing from graph primitives' WHEN NOT (t = 'plan' AND sure) THEN 'not a confident graph-eligible plan page' END AS reason FROM {_PAGE}) p
+    LEFT JOIN (SELECT run_id AS r, page_index AS i, count(CASE WHEN entity_type = 'Room' THEN 1 END) AS rooms, count(CASE WHEN entity_type = 'Door' THEN 1 END) AS doors, count(CASE WHEN entity_type = 'Corridor' THEN 1 END) AS corridors FROM v_entity GROUP BY 1, 2) e ON e.r = run_id AND e.i = page_index AND reason IS NULL""",
+    "v_entity",
+)
+def split(s: SparkSession, d: str) -> DataFrame:
+    kept, skipped = text.split_pages(*_typed(s, d), view(s, d, "v_entity"))
+    both = kept.withColumn("reason", F.lit(None).cast("string")).unionByName(skipped, allowMissingColumns=True)
+    return both.select("run_id", "page_index", "page_type", "reason", "rooms", "doors", "corridors", "stairs")
+
+
+@query(
+    "t8_fidelity",
+    """WITH r AS (SELECT p_partkey AS rule_id, p_brand AS clause_ids, p_size * 1.0E0 AS e, p_size % 9 * 1.0E0 AS m, CAST(substr(p_brand, 7) AS DOUBLE) AS c FROM part WHERE p_size % 6 <> 0)
+    SELECT rule_id, clause_ids, 'error' AS severity, 'numeric-drift-expression' AS kind, e AS number FROM r WHERE e <> 0 AND e <> c UNION ALL SELECT rule_id, clause_ids, 'warning', 'numeric-drift-template', m FROM r WHERE m <> 0 AND m <> c AND m <> e""",
 )
+def fidelity(s: SparkSession, d: str) -> DataFrame:
+    part, size = table(s, d, "part"), F.col("p_size").cast("string")
+    known = F.when(F.col("p_size") % 6 == 0, F.array(F.lit("nope"))).otherwise(F.array(F.lit("nope"), F.col("p_brand")))
+    # the digits of names and placeholders count for nothing
+    cards = part.select(F.col("p_partkey").alias("rule_id"), F.concat(F.lit("area_m2 >= "), size).alias("logic_expression"), F.concat(F.lit("at least {w2} "), F.col("p_size") % 9, F.lit(", GB 50096-1")).alias("output_template"), known.alias("source_clause_ids"))
+    return text.fidelity_findings(cards, part.select(F.col("p_brand").alias("clause_id"), F.concat(F.lit("GB 50096-5: at least "), F.substring("p_brand", 7, 9)).alias("clause_text")).distinct())
+
+
 query("t10_clause_coverage", "SELECT count(*) AS n_clauses, count(k) AS n_cited, CAST(100 * count(k) // count(*) AS INT) AS percent FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) ON k = c_custkey")(
     lambda s, d: text.clause_coverage(table(s, d, "orders").select(F.array("o_custkey").alias("source_clause_ids")), table(s, d, "customer").withColumnRenamed("c_custkey", "clause_id"))[0]
 )

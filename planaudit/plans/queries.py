@@ -194,6 +194,9 @@ query("k11_filter", f"SELECT source_issue_id, rule_id, status, slug FROM v_issue
 query("k12_heatmap", f"SELECT rule_id, count(*) AS total, count(CASE WHEN status = 'confirmed' THEN 1 END) AS confirmed, count(CASE WHEN status = 'rejected' THEN 1 END) AS rejected, count(CASE WHEN status = 'candidate' THEN 1 END) AS candidate FROM {_J} GROUP BY rule_id", "v_issue", "v_rule")(lambda s, d: wh.heatmap(_tables(s, d)))
 query("k13_overview", "SELECT slug, (SELECT count(*) FROM v_drawing d WHERE d.project_id = p.project_id) AS n_drawings, (SELECT count(*) FROM v_issue i JOIN v_run n ON n.run_id = i.run_id WHERE n.project_id = p.project_id) AS n_issues FROM v_project p", "v_project", "v_drawing", "v_issue", "v_run")(lambda s, d: wh.project_overview(_tables(s, d)))
 query("k14_drawings", "SELECT slug, source_path, page_count FROM v_project p JOIN v_drawing d ON d.project_id = p.project_id WHERE slug = 'Customer#000000007'", "v_project", "v_drawing")(lambda s, d: wh.project_drawings(_tables(s, d), "Customer#000000007"))
+query("k14_issues", "SELECT i.issue_id, source_issue_id, rule_id, status, severity FROM v_issue i LEFT JOIN v_rule r ON r.rule_key = i.rule_key JOIN v_run n ON n.run_id = i.run_id JOIN v_project p ON p.project_id = n.project_id WHERE slug = 'Customer#000000007'", "v_issue", "v_rule", "v_run", "v_project")(
+    lambda s, d: wh.project_issues(_tables(s, d), "Customer#000000007")
+)
 query(
     "k15_timeline",
     f"""SELECT i.issue_id, r.rule_id, slug, source_path, count(e.event_id) AS n_events, coalesce(string_agg(e.event_type, ',' ORDER BY e.event_id), '') AS events
@@ -205,7 +208,14 @@ query(
     "v_drawing",
     "v_event",
 )(lambda s, d: wh.issue_timeline(_tables(s, d)))
-query("k16_disagreement", "SELECT issue_id, count(DISTINCT event_type) AS n_types, count(*) AS n_events FROM v_event GROUP BY issue_id HAVING count(DISTINCT event_type) > 1", "v_event")(lambda s, d: wh.disagreement(_tables(s, d)))
+query(
+    "k16_disagreement",
+    """SELECT issue_id, count(DISTINCT event_type) AS n_types, count(*) AS n_events, string_agg(concat_ws(':', event_id, event_type, class), ',' ORDER BY event_id) AS events FROM (
+    SELECT *, CASE WHEN reviewer_class <> '' THEN reviewer_class WHEN user_id % 11 = 0 THEN 'unclassified' WHEN user_id % 5 <= 1 THEN 'synthetic' ELSE 'project_internal' END AS class FROM v_label WHERE issue_id IS NOT NULL) GROUP BY issue_id HAVING count(DISTINCT event_type) > 1""",
+    "v_label",
+)(
+    lambda s, d: wh.disagreement({"feedback_event": view(s, d, "v_label").where("issue_id is not null").withColumn("reviewer_id", F.when(F.col("user_id") % 11 != 0, F.col("reviewer_id")))}).withColumn("events", F.array_join(F.transform("events", lambda x: F.concat_ws(":", x["event_id"].cast("string"), x["event_type"], x["class"])), ","))
+)
 query("k17_cross_check", "SELECT 'a' AS side, status, count(*) + 1 AS n FROM v_issue WHERE status = 'rejected' GROUP BY status UNION ALL SELECT 'b', status, count(*) FROM v_issue WHERE status = 'rejected' GROUP BY status", "v_issue")(
     lambda s, d: wh.cross_check(wh.issues_per_status(_tables(s, d)).withColumn("n", F.col("n") + (F.col("status") == "rejected").cast("long")), wh.issues_per_status(_tables(s, d)))
 )
@@ -484,24 +494,43 @@ _Q = "SELECT item_id AS query_id, text FROM benchmark"
 _TOK = "SELECT {k}, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS token FROM {t}"
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = text.bm25_search(table(spark, sf_dir, "documents").select("doc_id", "text"), asked, 10)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = text.bm25_search(docs, asked, 10, docs.where(only) if only else None)
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-query(
-    "t5_bm25",
-    f"""WITH tokens AS ({_TOK.format(k='doc_id', t='documents')}), lens AS (SELECT d.doc_id, count(token) AS len FROM documents d LEFT JOIN tokens t ON t.doc_id = d.doc_id GROUP BY 1),
+_BM25 = f"""WITH tokens AS ({_TOK.format(k='doc_id', t='documents')}), lens AS (SELECT d.doc_id, count(token) AS len FROM documents d LEFT JOIN tokens t ON t.doc_id = d.doc_id GROUP BY 1),
     stats AS (SELECT count(*) AS n, avg(len) AS mean FROM lens), asked AS (SELECT query_id, token, count(*) AS qf FROM ({_TOK.format(k='query_id', t=f'({_Q})')}) GROUP BY 1, 2),
     tf AS (SELECT doc_id, token, count(*) AS f FROM tokens WHERE token IN (SELECT token FROM asked) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
     scores AS (SELECT query_id, tf.doc_id, sum(qf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS score FROM tf JOIN df USING (token) JOIN lens USING (doc_id) JOIN asked USING (token) CROSS JOIN stats GROUP BY 1, 2),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores WHERE score > 0)
-    SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
-)(_bm25)
-query("t1_classify_pages", "SELECT doc_id, CASE WHEN s > 0 THEN 'table' WHEN p > 0 THEN 'plan' ELSE 'unknown' END AS page_type, CASE WHEN s > 0 OR p > 0 THEN least(0.92::DOUBLE, 0.55::DOUBLE + 0.12::DOUBLE * greatest(s, p)) ELSE 0.2::DOUBLE END AS confidence FROM (SELECT doc_id, CAST(contains(lower(text), ' the ') AS INT) AS p, CAST(contains(lower(text), '|') AS INT) AS s FROM documents)")(
-    lambda s, d: text.classify_pages(table(s, d, "documents").select("doc_id", "text", F.lit(0).alias("n_lines"), F.lit(1).alias("n_texts")), keywords={"table": ["|"], "plan": [" the "]}).select("doc_id", "page_type", "confidence")
-)
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores WHERE score > 0 AND {{only}})
+    SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
+query("t5_bm25", _BM25.format(only="true"))(_bm25)
+query("t6_bm25_candidates", _BM25.format(only="doc_id % 3 = 0"))(lambda s, d: _bm25(s, d, "doc_id % 3 = 0"))
+
+
+def _page_types_sql() -> str:
+    """T1 over documents, their lines as the texts of a page."""
+    score = {k: " + ".join(f"CAST(contains(low, '{w.lower()}') AS INT)" for w in words) for k, words in text.PAGE_KEYWORDS.items()}
+    best = f"greatest({', '.join(score)})"
+    kind = "CASE " + " ".join(f"WHEN {k} = best THEN '{k}'" for k in score) + " END"
+    held = "CASE kind " + " ".join(f"WHEN '{k}' THEN list_filter(t, lambda x: {' OR '.join(f'contains(lower(x), {chr(39)}{w.lower()}{chr(39)})' for w in words)})" for k, words in text.PAGE_KEYWORDS.items()) + " END"
+    return f"""WITH a AS (SELECT doc_id, n_chars, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS t FROM documents),
+    b AS (SELECT *, lower(array_to_string(t, ' ')) AS low FROM a), c AS (SELECT doc_id, n_chars, t, {', '.join(f'{v} AS {k}' for k, v in score.items())} FROM b), d AS (SELECT *, {best} AS best FROM c),
+    e AS (SELECT *, {kind} AS kind, n_chars % 20 >= 10 AND len(t) <= 8 AS dense FROM d), f AS (SELECT *, {held} AS held FROM e)
+    SELECT doc_id, CASE WHEN best > 0 THEN kind WHEN dense THEN 'plan' ELSE 'unknown' END AS page_type, CASE WHEN best > 0 THEN least(0.92::DOUBLE, 0.55::DOUBLE + 0.12::DOUBLE * best) WHEN dense THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS confidence, best AS n_keywords,
+    array_to_string(CASE WHEN best = 0 THEN t[1:4] WHEN len(held) > 0 THEN held[1:6] ELSE t[1:3] END, '|') AS evidence FROM f"""
+
+
+@query("t1_classify_pages", _page_types_sql())
+def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("texts"), (F.coalesce("n_chars", F.lit(0)) % 20).alias("n_lines"))
+    counted = rows.withColumn("n_texts", F.size(F.filter("texts", lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")))
+    return text.classify_pages(counted).select("doc_id", "page_type", "confidence", "n_keywords", F.array_join("evidence", "|").alias("evidence"))
+
+
 query("t4_tokens", "SELECT item_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n_tokens FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(text.tokenize(F.col("text"))).cast("long").alias("n_tokens")))
 query("t20_benchmark", "SELECT lang AS case_id, CAST(count(*) > 150 AS INT) AS ok FROM documents WHERE lang IS NOT NULL GROUP BY lang")(
     lambda s, d: text.run_benchmark(table(s, d, "documents").where("lang is not null").groupBy(F.col("lang").alias("case_id")).agg(F.count("*").alias("value")).withColumn("name", F.lit("docs")), table(s, d, "documents").where("lang is not null").select(F.col("lang").alias("case_id")).distinct().select("case_id", F.lit("docs").alias("name"), F.lit("min").alias("op"), F.lit(151).alias("wanted")))[1].select("case_id", F.col("passed").cast("int").alias("ok"))

@@ -14,14 +14,15 @@ COMMON = ["id", "page_index", "confidence", "uncertain"]
 
 
 def read_artifacts(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame:
-    """One kind of artifact of all runs below root, with run_id from the path; an empty table if there is none."""
+    """One kind of artifact of all runs below root, with run_id and parent from the path; an empty table if there is none."""
     try:
         rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", ARTIFACTS[kind]).json(root)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], f"{schema}, run_id string")
-    return rows.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+        return spark.createDataFrame([], f"{schema}, run_id string, parent string")
+    path = F.split(F.col("_metadata.file_path"), "/")
+    return rows.withColumn("run_id", F.element_at(path, -2)).withColumn("parent", F.element_at(path, -3))
 
 
 def flatten_entities(graphs: DataFrame) -> DataFrame:
@@ -38,13 +39,12 @@ def flatten_entities(graphs: DataFrame) -> DataFrame:
 
 
 def ingest_suite(spark: SparkSession, root: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    """S3: every *_run directory; the project is the parent directory and the run."""
+    """S3: every *_run directory; the project is its parent and its own name without _run, and so is the run's id."""
     out = {}
     for kind, schema in schemas.items():
-        rows = read_artifacts(spark, root, kind, schema)
-        if "_metadata" not in rows.columns:
-            rows = rows.where(F.col("run_id").endswith("_run"))
-        out[kind] = rows.withColumn("project_slug", F.regexp_replace("run_id", "_run$", ""))
+        rows = read_artifacts(spark, root, kind, schema).where(F.col("run_id").endswith("_run"))
+        slug = F.concat_ws("-", "parent", F.regexp_replace("run_id", "_run$", ""))
+        out[kind] = rows.withColumn("project_slug", slug).withColumn("run_id", F.concat_ws("/", "parent", "run_id")).drop("parent")
     return out
 
 

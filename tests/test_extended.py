@@ -151,7 +151,7 @@ def test_artifacts_of_a_suite_and_a_report_round_trip(spark, tmp_path):
     got = artifacts.read_artifacts(spark, str(tmp_path / "in"), "issues", schema)
     assert sorted((r.id, r.run_id) for r in got.collect()) == [("a_run", "a_run"), ("b_run", "b_run")]
     suite = artifacts.ingest_suite(spark, str(tmp_path / "in"), {"issues": schema})
-    assert sorted(r.project_slug for r in suite["issues"].collect()) == ["a", "b"]
+    assert sorted((r.project_slug, r.run_id) for r in suite["issues"].collect()) == [("in-a", "in/a_run"), ("in-b", "in/b_run")]
     artifacts.write_report(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("run_id = 'a_run'").count() == 1
     assert artifacts.read_artifacts(spark, str(tmp_path / "none"), "issues", schema).count() == 0

@@ -62,7 +62,7 @@ def test_room_schedule_precedence(spark):
 
 def test_tokens_and_numbers(spark):
     df = spark.createDataFrame([("GB50096－5．5．2 净宽 door",), ("宽度 800 mm 且 1/4，GB 50096-6.4.1 三层",)], "t string")
-    got = df.select(text.tokenize(F.col("t")).alias("k"), text.numbers(F.col("t")).alias("n")).collect()
+    got = df.select(text.tokenize(F.col("t")).alias("k"), text.numbers(F.col("t"), "clause").alias("n")).collect()
     assert got[0].k[0] == "gb50096-5.5.2" and "净宽" in got[0].k and got[0].k[-1] == "door"
     assert sorted(got[1].n) == [0.25, 0.8, 3.0, 800.0]
 
