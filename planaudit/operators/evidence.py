@@ -60,5 +60,14 @@ def merge_sheet_evidence(profile: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def author_expected(actual: DataFrame) -> DataFrame:
-    """actual(case_id, name, value) as exact checks for run_benchmark; counts of 0 are left out."""
-    return actual.where("value > 0").select("case_id", "name", F.lit("exact").alias("op"), F.col("value").alias("wanted"))
+    """Actual (as in run_benchmark) as checks that it passes: counts above 0, texts, and one check for each distinct member."""
+    none = {c: F.lit(None).cast("long").alias(c) for c in ("exact", "least", "most")}
+
+    def check(op: str, **given: Column) -> list[Column]:
+        columns = none | {"wanted": F.lit(None).cast("string").alias("wanted"), "wanted_all": F.lit(None).cast("array<string>").alias("wanted_all")} | {k: v.alias(k) for k, v in given.items()}
+        return ["case_id", "name", F.lit(op).alias("op"), *columns.values()]
+
+    counts = actual.where("value > 0").select(*check("count", exact=F.col("value")))
+    texts = actual.where("text is not null").select(*check("text", wanted=F.col("text")))
+    members = actual.select("case_id", "name", F.explode(F.array_distinct("members")).alias("m")).select(*check("member", wanted=F.col("m")))
+    return counts.unionByName(texts).unionByName(members)

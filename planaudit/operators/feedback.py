@@ -219,10 +219,42 @@ def clause_refs(issues: DataFrame, clauses: DataFrame, k: int = 5) -> DataFrame:
     return top.join(clauses, "clause_id", "left").select("clause_id", "n", text.alias("text"))
 
 
-def release_gate(checks: DataFrame) -> DataFrame:
-    """F16: checks(suite, passed, severity) to one status per suite: blocked, warning or ready."""
-    rows = checks.groupBy("suite").agg(F.count_if(~F.col("passed") & (F.col("severity") == "blocker")).alias("blockers"), F.count_if(~F.col("passed") & (F.col("severity") == "warning")).alias("warnings"))
-    return rows.withColumn("status", F.when(F.col("blockers") > 0, "blocked").when(F.col("warnings") > 0, "warning").otherwise("ready"))
+def release_gate(cases: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F16: the checks of each suite, and its numbers of failed blockers and warnings with a status.
+
+    cases(suite, fixture_kind, status): pass and fail are active, beside pending and
+    known_gap. artifacts(suite, artifact, tier, available) of its representative run; a
+    suite without any only gets a warning in place of the two artifact checks.
+    """
+    passed = F.col("status") == "pass"
+    counts = {
+        "failed": ~F.col("status").isin("pass", "pending", "known_gap"),
+        "active": ~F.col("status").isin("pending", "known_gap"),
+        "pending": F.col("status") == "pending",
+        "gaps": F.col("status") == "known_gap",
+        "real": passed & F.col("fixture_kind").startswith("real_"),
+        "generated": passed & F.col("fixture_kind").startswith("generated_"),
+    }
+    suites = cases.groupBy("suite").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    lacking = [F.array_sort(F.collect_list(F.when((F.col("tier") == t) & ~F.col("available"), F.col("artifact")))).alias(t) for t in ("core", "evidence")]
+    rows = suites.join(artifacts.groupBy("suite").agg(*lacking), "suite", "left")
+    none, given = F.array().cast("array<string>"), F.col("core").isNotNull()
+
+    def check(name: str, ok: Column, severity: str, missing: Column = none) -> Column:
+        return F.struct(F.lit(name).alias("check_id"), ok.alias("passed"), F.lit(severity).alias("severity"), missing.alias("missing"))
+
+    own = F.array(
+        check("suite:active-pass", F.col("failed") == 0, "blocker"),
+        check("suite:active-count", F.col("active") >= 1, "blocker"),
+        check("suite:real-active", F.col("real") >= 1, "blocker"),
+        check("suite:known-gaps", F.col("gaps") == 0, "warning"),
+        check("suite:pending", F.col("pending") == 0, "warning"),
+        check("suite:generated-not-proxy", F.col("generated") <= F.col("real"), "warning"),
+    )
+    run = F.when(given, F.array(check("run:core-artifacts", F.size("core") == 0, "blocker", F.col("core")), check("run:evidence-artifacts", F.size("evidence") == 0, "warning", F.col("evidence")))).otherwise(F.array(check("run:representative-run", F.lit(False), "warning")))
+    checks = rows.select("suite", F.inline(F.concat(own, run)))
+    sums = checks.groupBy("suite").agg(*[F.count_if(~F.col("passed") & (F.col("severity") == s)).alias(f"{s}s") for s in ("blocker", "warning")])
+    return checks, sums.withColumn("status", F.when(F.col("blockers") > 0, "not_ready").when(F.col("warnings") > 0, "demo_ready_with_known_gaps").otherwise("evidence_ready"))
 
 
 def weakest_link(scores: DataFrame) -> DataFrame:

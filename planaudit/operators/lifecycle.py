@@ -168,28 +168,114 @@ def update_checklist(items: DataFrame, updates: DataFrame) -> tuple[DataFrame, D
     return both.withColumns(fields | {"updated_at": F.col("u.at")}).drop("u"), rows.where("_item is null").select(updates.columns)
 
 
-def manager_gate(checks: DataFrame) -> DataFrame:
-    """checks(package, check, result): the worst of pass, needs_info and fail wins."""
-    rank = F.when(F.col("result") == "fail", 2).when(F.col("result") == "needs_info", 1).otherwise(0)
-    return checks.groupBy("package").agg(F.max(rank).alias("r"), F.count_if(rank > 0).alias("n_unmet")).select("package", F.element_at(F.array(F.lit("pass"), F.lit("needs_info"), F.lit("fail")), F.col("r") + 1).alias("gate"), "n_unmet")
+def manager_gate(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The five checks of each package, and its status: the worst of pass, needs_info and fail wins.
 
-
-def bundle_summary(packages: DataFrame, statuses: list[str]) -> DataFrame:
-    """Counters over packages(state) and a status of the bundle."""
-    rows = packages.agg(F.count("*").alias("packages"), *[F.count_if(F.col("state") == s).alias(s) for s in statuses])
-    return rows.withColumn("bundle", F.when(F.col("packages") == 0, "empty").when(F.col(statuses[-1]) == F.col("packages"), "complete").otherwise("open"))
+    packages(package, missing_required, quality_status, signoff_status,
+    checklist_status, items, open, blocked, needs_info, boundary_missing): the last is
+    the list of absent boundary warnings.
+    """
+    missing, absent = F.coalesce("missing_required", F.array().cast("array<string>")), F.coalesce("boundary_missing", F.array().cast("array<string>"))
+    quality, signoff = (F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("missing")) for c in ("quality_status", "signoff_status"))
+    tasks = F.coalesce(F.nullif(F.col("checklist_status"), F.lit("")), F.lit("not_recorded"))
+    counts = F.concat(*[x for n, c in ((": open=", "open"), ("/", "items"), (", blocked=", "blocked"), (", needs_info=", "needs_info")) for x in (F.lit(n), F.coalesce(F.col(c), F.lit(0)).cast("string"))])
+
+    def check(name: str, result: Column, detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("check_id"), result.alias("result"), detail.alias("detail"))
+
+    rows = F.array(
+        check("required_artifacts_present", F.when(F.size(missing) == 0, "pass").otherwise("fail"), F.when(F.size(missing) == 0, "all required artifacts present").otherwise(F.concat(F.lit("missing required artifacts: "), F.array_join(missing, ", ")))),
+        check("handoff_quality_ready", F.when(quality == "handoff_ready", "pass").when(quality == "not_ready", "fail").otherwise("needs_info"), F.concat(F.lit("handoff quality "), quality)),
+        check("reviewer_signoff_ready", F.when(signoff == "ready", "pass").when(signoff == "blocked", "fail").otherwise("needs_info"), F.concat(F.lit("reviewer signoff "), signoff)),
+        check("reviewer_task_checklist_complete", F.when(tasks == "checklist_complete", "pass").when(tasks.isin("checklist_blocked", "not_recorded"), "fail").otherwise("needs_info"), F.concat(F.lit("reviewer checklist "), tasks, counts)),
+        check("boundary_warnings_present", F.when(F.size(absent) == 0, "pass").otherwise("fail"), F.when(F.size(absent) == 0, "boundary warnings present").otherwise(F.array_join(absent, "; "))),
+    )
+    rank = lambda x: F.when(x["result"] == "fail", 2).when(x["result"] == "needs_info", 1).otherwise(0)
+    both = packages.select("package", rows.alias("checks")).withColumn("worst", F.array_max(F.transform("checks", rank)))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("manager_ready", "manager_needs_info", "manager_blocked")]), F.col("worst") + 1)
+    unmet = F.size(F.filter("checks", lambda x: x["result"] != "pass"))
+    return both.select("package", F.inline("checks")), both.select("package", status.alias("status"), unmet.alias("n_unmet"))
+
+
+# Counters of a bundle that count a value of a column of its packages.
+COUNTED = {
+    "ready_count": ("package_status", "package_ready"),
+    "needs_info_count": ("package_status", "package_needs_info"),
+    "blocked_count": ("package_status", "package_blocked"),
+    "quality_not_run_count": ("quality_status", "not_run"),
+    "signoff_not_recorded_count": ("signoff_status", "not_recorded"),
+    "checklist_missing_count": ("checklist_review_status", "checklist_missing"),
+    "next_actor_reviewer_count": ("next_actor", "reviewer"),
+    "next_actor_manager_count": ("next_actor", "manager"),
+    "next_actor_archive_count": ("next_actor", "archive"),
+    "next_actor_done_count": ("next_actor", "done"),
+    "optional_guidance_note_reviewed_count": ("optional_guidance_note_status", "reviewed"),
+    "optional_guidance_note_needs_info_count": ("optional_guidance_note_status", "needs_info"),
+    "optional_guidance_note_blocked_count": ("optional_guidance_note_status", "blocked"),
+    "optional_guidance_note_not_recorded_count": ("optional_guidance_note_status", "not_recorded"),
+    "optional_guidance_note_invalid_count": ("optional_guidance_note_status", "invalid"),
+}
+# Counters that sum a column, and that count the packages where one holds.
+SUMMED = {
+    "missing_required_total": "missing_required_count",
+    "checklist_open_item_total": "checklist_open_item_count",
+    "checklist_blocked_item_total": "checklist_blocked_item_count",
+    "checklist_needs_info_item_total": "checklist_needs_info_item_count",
+    "opening_provenance_semantic_count": "opening_provenance_semantic_count",
+    "opening_provenance_measurement_count": "opening_provenance_measurement_count",
+    "opening_provenance_host_count": "opening_provenance_host_count",
+    "opening_provenance_all_three_count": "opening_provenance_all_three_count",
+    "package_index_optional_guidance_action_total": "package_index_optional_guidance_count",
+}
+HOLDING = {"opening_provenance_weak_package_count": "opening_provenance_weak", "package_index_optional_guidance_package_count": "package_index_optional_guidance_available"}
+
+
+def bundle_summary(packages: DataFrame) -> DataFrame:
+    """One row with all counters over packages and the status of the bundle; nulls count as 0 or absent."""
+    counters = [F.count("*").alias("package_count"), F.count_if(F.col("checklist_open_item_count") > 0).alias("checklist_open_package_count")]
+    counters += [F.count_if(F.col(c) == v).alias(n) for n, (c, v) in COUNTED.items()]
+    counters += [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in SUMMED.items()] + [F.count_if(c).alias(n) for n, c in HOLDING.items()]
+    status = F.when(F.col("package_count") == 0, "bundle_empty").when(F.col("blocked_count") > 0, "bundle_blocked").when(F.col("needs_info_count") > 0, "bundle_needs_info").otherwise("bundle_ready")
+    return packages.agg(*counters).withColumn("status", status)
 
 
 def package_digest(files: DataFrame) -> DataFrame:
-    """One digest per package over its sorted (path, size, sha256) entries."""
-    entries = F.array_sort(F.collect_list(F.struct("path", "size_bytes", "sha256")))
+    """One digest per package over its entries in order of path, as canonical JSON (names sorted)."""
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256", "size_bytes"))), lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"), x["size_bytes"].alias("size_bytes")))
     return files.groupBy("package").agg(F.count("*").alias("n_files"), F.sha2(F.to_json(entries), 256).alias("digest"))
 
 
+def file_role(path: Column) -> Column:
+    """What a file of a package is for, by its path."""
+    return (
+        F.when(path.startswith("artifacts/"), "copied_artifact")
+        .when(path.isin("handoff_manifest.json", "handoff_summary.md"), "package_manifest")
+        .when(path.startswith("handoff_quality"), "quality")
+        .when(path.startswith("reviewer_signoff"), "signoff")
+        .when(path.startswith("handoff_manager_checklist"), "manager_checklist")
+        .otherwise("package_file")
+    )
+
+
 def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Path and ok, missing, changed or unexpected."""
-    both = expected.select("path", F.col("sha256").alias("e")).join(actual.select("path", F.col("sha256").alias("a")), "path", "full")
-    return both.select("path", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "unexpected").when(F.col("a") != F.col("e"), "changed").otherwise("ok").alias("status"))
+    """Package, path and ok, missing, changed (size or hash) or unexpected."""
+    sides = [df.select("package", "path", F.struct(F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes")).alias(side)) for df, side in ((expected, "e"), (actual, "a"))]
+    both = sides[0].join(sides[1], ["package", "path"], "full")
+    return both.select("package", "path", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "unexpected").when(F.col("a") != F.col("e"), "changed").otherwise("ok").alias("status"))
+
+
+def archive_checks(expected: DataFrame, actual: DataFrame, digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The checks of each package with their severity and number of findings, and archive_verified or archive_drift.
+
+    digests(package, digest) is what the manifest says; any failed check is drift.
+    """
+    files = verify_manifest(expected, actual).groupBy("package").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("missing", "changed", "unexpected")])
+    found = digests.select("package", F.col("digest").alias("e")).join(package_digest(actual).select("package", F.col("digest").alias("a")), "package", "left").join(files, "package", "left")
+    apart = F.coalesce((F.col("e") != F.coalesce("a", F.lit(""))).cast("long"), F.lit(1))
+    counts = {"manifest_schema": ("blocker", F.lit(0)), "files_present": ("blocker", F.col("missing")), "file_checksums_match": ("blocker", F.col("changed")), "no_unexpected_files": ("warning", F.col("unexpected")), "package_digest_match": ("blocker", apart)}
+    rows = F.array(*[F.struct(F.lit(n).alias("check_id"), F.lit(s).alias("severity"), F.coalesce(c.cast("long"), F.lit(0)).alias("n")) for n, (s, c) in counts.items()])
+    checks = found.select("package", F.inline(rows))
+    return checks, checks.groupBy("package").agg(F.when(F.sum("n") > 0, "archive_drift").otherwise("archive_verified").alias("status"))
 
 
 def report_rows(issues: DataFrame, state: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,11 @@ PAGE_KEYWORDS = {
 }
 # Label keywords in order, with the room label of each.
 ROOM_LABELS = [("bedroom", "bedroom"), ("卧室", "bedroom"), ("bathroom", "bathroom"), ("卫生间", "bathroom"), ("living", "living"), ("客厅", "living"), ("kitchen", "kitchen"), ("厨房", "kitchen"), ("balcony", "balcony"), ("阳台", "balcony"), ("study", "study"), ("书房", "study"), ("dining", "dining"), ("餐厅", "dining"), ("kids", "kids"), ("儿童房", "kids")]
+# Exact room aliases, and patterns of numbered bedrooms, opening sizes and lengths in feet and inches.
+ROOM_ALIASES = {"卧室": "bedroom", "LIVING": "living", "客厅": "living", "DINING": "dining", "餐厅": "dining", "KITCHEN": "kitchen", "厨房": "kitchen", "BATH": "bath", "卫生间": "bath", "WALK-IN": "walk_in", "WIC": "walk_in", "CLOSET": "closet", "BALCONY": "balcony", "阳台": "balcony", "FOYER": "foyer", "COMMON": "common", "STUDY": "study", "书房": "study", "MECH": "mech", "CLT": "clt", "LIN": "linen", "LINEN": "linen"}
+NUMBERED_ROOM = r"^BEDROOM(?:\s*#\d+)?$"
+OPENING_SIZE = r"^(?:SLD)?\d{4}$"
+FEET, LEAST_FEET = r"^(\d+)'-\d+\"$", 4
 # BM25.
 K1, B = 1.5, 0.75
 # Patterns of tokens and numbers.
@@ -202,10 +207,36 @@ def normalize_labels(col: Column) -> Column:
     return out
 
 
+def _clean_label(col: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.btrim(F.upper(col), F.lit(" \t\n\r\f\u000b")), r"\s+", " "), F.lit(" ."))
+
+
+def room_kind(col: Column) -> Column:
+    """The kind of room that a text names exactly, else null."""
+    label = _clean_label(col)
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in ROOM_ALIASES.items() for x in pair]), label)
+    return F.when(label.rlike(NUMBERED_ROOM), "bedroom").otherwise(named)
+
+
+def opening_size(col: Column) -> Column:
+    """A text that is the size code of an opening, cleaned, else null."""
+    label = _clean_label(col)
+    return F.when(label.rlike(OPENING_SIZE), label)
+
+
+def major_dimension(col: Column) -> Column:
+    """A text that is a length of at least four feet, else null."""
+    label = F.btrim(col, F.lit(" \t\n\r\f\u000b"))
+    feet = F.regexp_extract(label, FEET, 1)
+    return F.when(label.rlike(FEET) & (feet.cast("decimal(38,0)") >= LEAST_FEET), label)
+
+
 def text_inventory(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of texts of each room label, in order of first appearance."""
-    rows = texts.withColumn("label", normalize_labels(F.col("text"))).where("label is not null")
-    return rows.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.min("text_idx").alias("first_at"))
+    """Section, key, number and first place of the room kinds, opening sizes and major dimensions among texts."""
+    sections = {"room_label_counts": room_kind, "door_or_opening_size_label_counts": opening_size, "major_dimension_texts": major_dimension}
+    found = F.array(*[F.struct(F.lit(name).alias("section"), f(F.col("text")).alias("key")) for name, f in sections.items()])
+    rows = texts.select(*keys, "text_idx", F.inline(found)).where("key is not null")
+    return rows.groupBy(*keys, "section", "key").agg(F.count("*").alias("n"), F.min("text_idx").alias("first_at"))
 
 
 def noise_flags(counts: DataFrame, most: int = 50) -> DataFrame:
@@ -214,12 +245,41 @@ def noise_flags(counts: DataFrame, most: int = 50) -> DataFrame:
     return counts.withColumn("flags", F.array_join(flags, ","))
 
 
-def run_benchmark(actual: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """checks(case_id, name, op, wanted) against actual(case_id, name, value), and per case score and pass. op: exact, min or max."""
-    both = expected.join(actual, ["case_id", "name"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    ok = F.when(F.col("op") == "min", F.col("value") >= F.col("wanted")).when(F.col("op") == "max", F.col("value") <= F.col("wanted")).otherwise(F.col("value") == F.col("wanted"))
-    checks = both.withColumn("ok", ok)
-    return checks, checks.groupBy("case_id").agg(F.count("*").alias("n_checks"), F.avg(F.col("ok").cast("double")).alias("score"), F.bool_and("ok").alias("passed"))
+def run_benchmark(actual: DataFrame, expected: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every check of expected with its outcome, and per case score and pass.
+
+    actual(case_id, name, value, text, members, page_values) has what a run gave;
+    expected(case_id, name, op, exact, least, most, wanted, wanted_all) what it should:
+
+    - count: value (0 if missing) fits exact, least and most, as far as they are given;
+    - each_count: so do the values of all pages, of which there is at least one;
+    - text: text is `wanted`; contains: text contains it;
+    - member: members has `wanted`; members: it has all of wanted_all.
+
+    cases(case_id, min_score): a case passes if all checks do and its share of passed
+    checks (1 without checks, to 4 places) reaches min_score (1 if null).
+    """
+    both = expected.join(actual, ["case_id", "name"], "left")
+
+    def fits(x: Column) -> Column:
+        return F.coalesce(x == F.col("exact"), F.lit(True)) & F.coalesce(x >= F.col("least"), F.lit(True)) & F.coalesce(x <= F.col("most"), F.lit(True))
+
+    own = F.coalesce("members", F.array().cast("array<string>"))
+    outcomes = {
+        "count": fits(F.coalesce("value", F.lit(0))),
+        "each_count": (F.size(F.coalesce("page_values", F.array().cast("array<bigint>"))) > 0) & F.forall("page_values", fits),
+        "text": F.col("text").eqNullSafe(F.col("wanted")),
+        "contains": F.coalesce("text", F.lit("")).contains(F.coalesce("wanted", F.lit(""))),
+        "member": F.array_contains(own, F.col("wanted")),
+        "members": F.size(F.array_except("wanted_all", own)) == 0,
+    }
+    ok = reduce(lambda out, item: out.when(F.col("op") == item[0], item[1]), outcomes.items(), F.when(F.lit(False), F.lit(False)))
+    checks = both.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    sums = checks.groupBy("case_id").agg(F.count("*").alias("n_checks"), F.count_if("ok").alias("n_ok"))
+    rows = cases.select("case_id", "min_score").join(sums, "case_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_checks", "n_ok")})
+    score = F.coalesce(F.try_divide("n_ok", "n_checks"), F.lit(1.0))
+    passed = (score >= F.coalesce("min_score", F.lit(1.0))) & (F.col("n_ok") == F.col("n_checks"))
+    return checks, rows.select("case_id", "n_checks", F.round(score, 4).alias("score"), passed.alias("passed"))
 
 
 def suite_rollup(cases: DataFrame, manifest: DataFrame) -> DataFrame:

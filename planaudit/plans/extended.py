@@ -241,12 +241,22 @@ def drafts(s: SparkSession, d: str) -> DataFrame:
     return rows.select("clause_id", "applies_to", "logic_expression", F.size("missing").alias("n_missing"))
 
 
-query("t12_labels", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'bedroom' WHEN 1 THEN 'kitchen' WHEN 2 THEN 'bathroom' WHEN 3 THEN 'living' END AS label FROM part")(
-    lambda s, d: table(s, d, "part").select("p_partkey", text.normalize_labels(F.element_at(F.lit(["Master BEDROOM", "厨房 2", "卫生间", "Living area", "garage"]), (F.col("p_size") % 5 + 1).cast("int"))).alias("label"))
-)
-query("t13_text_inventory", "SELECT user_id AS run_id, CASE event_type WHEN 'view' THEN 'bedroom' ELSE 'kitchen' END AS label, count(*) AS n, min(event_id) AS first_at FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2")(
-    lambda s, d: text.text_inventory(table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("text_idx"), F.when(F.col("event_type") == "view", "Bedroom 1").when(F.col("event_type") == "click", "kitchen").otherwise("wall").alias("text")), ["run_id"])
+_LABELS = ["Master BEDROOM", "厨房 2", "卫生间", "Living area", "garage", " bedroom  #12. ", "Bedroom#x", "wic", "SLD3068", "2868 .", "12'-06\"", "3'-11\"", "a=12'-0\"", "mech", "walk-in", "12345"]
+_NAMED = "(VALUES " + ", ".join(f"({i}, {a}, {b}, {c}, {e})" for i, (a, b, c, e) in enumerate([("'bedroom'", "NULL", "NULL", "NULL"), ("'kitchen'", "NULL", "NULL", "NULL"), ("'bathroom'", "'bath'", "NULL", "NULL"), ("'living'", "NULL", "NULL", "NULL"), ("NULL",) * 4, ("'bedroom'", "'bedroom'", "NULL", "NULL"), ("'bedroom'", "NULL", "NULL", "NULL"), ("NULL", "'walk_in'", "NULL", "NULL"), ("NULL", "NULL", "'SLD3068'", "NULL"), ("NULL", "NULL", "'2868'", "NULL"), ("NULL", "NULL", "NULL", "'12''-06\"'"), ("NULL",) * 4, ("NULL",) * 4, ("NULL", "'mech'", "NULL", "NULL"), ("NULL", "'walk_in'", "NULL", "NULL"), ("NULL",) * 4])) + ") v(i, label, kind, size, dimension)"
+
+
+def _label(i: Column) -> Column:
+    return F.element_at(F.lit(_LABELS), (i % len(_LABELS) + 1).cast("int"))
+
+
+query("t12_labels", f"SELECT p_partkey, label, kind, size, dimension FROM part JOIN {_NAMED} ON i = p_partkey % {len(_LABELS)}")(
+    lambda s, d: table(s, d, "part").withColumn("t", _label(F.col("p_partkey"))).select("p_partkey", text.normalize_labels(F.col("t")).alias("label"), text.room_kind(F.col("t")).alias("kind"), text.opening_size(F.col("t")).alias("size"), text.major_dimension(F.col("t")).alias("dimension"))
 )
+query(
+    "t13_text_inventory",
+    f"""SELECT run_id, section, key, count(*) AS n, min(event_id) AS first_at FROM (SELECT user_id AS run_id, event_id, unnest([{{'section': 'room_label_counts', 'key': kind}}, {{'section': 'door_or_opening_size_label_counts', 'key': size}}, {{'section': 'major_dimension_texts', 'key': dimension}}], recursive := true)
+    FROM events JOIN {_NAMED} ON i = event_id % {len(_LABELS)}) WHERE key IS NOT NULL GROUP BY 1, 2, 3""",
+)(lambda s, d: text.text_inventory(table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("text_idx"), _label(F.col("event_id")).alias("text")), ["run_id"]))
 
 
 @query(

@@ -12,7 +12,7 @@ from planaudit.operators import feedback as fb
 from planaudit.operators import geometry as geo
 from planaudit.operators import lifecycle as life
 from planaudit.plans.harness import oracle, table, view
-from planaudit.plans.queries import _FAILS, RULES
+from planaudit.plans.queries import _FAILS, RULES, _actual
 from planaudit.sources import artifacts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,9 +331,11 @@ def merged(s: SparkSession, d: str) -> DataFrame:
     return evidence.merge_sheet_evidence(profile, rows.groupBy("run_id", "page_index").agg(*counts)).select("run_id", "rooms", "doors", F.array_join("signals", ",").alias("signals"), "level")
 
 
-query("t22_author_expected", "SELECT o_custkey AS case_id, o_orderpriority AS name, 'exact' AS op, count(*) AS wanted FROM orders GROUP BY 1, 2")(
-    lambda s, d: evidence.author_expected(table(s, d, "orders").groupBy(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("value")))
-)
+query(
+    "t22_author_expected",
+    """WITH a AS (SELECT o_custkey AS case_id, count(*) AS n, max(o_orderpriority) AS type FROM orders GROUP BY 1) SELECT case_id, 'n' AS name, 'count' AS op, n AS exact, NULL AS wanted FROM a
+    UNION ALL SELECT case_id, 'type', 'text', NULL, type FROM a UNION ALL SELECT DISTINCT o_custkey, 'kinds', 'member', CAST(NULL AS BIGINT), o_orderpriority FROM orders""",
+)(lambda s, d: evidence.author_expected(_actual(s, d)).select("case_id", "name", "op", "exact", "wanted"))
 
 
 # feedback and lifecycle
@@ -388,12 +390,30 @@ query(
 query("l10_rejects", "SELECT o_custkey AS package, CASE WHEN o_totalprice < 10000 THEN -o_orderkey ELSE o_orderkey END AS check_id FROM orders WHERE o_totalprice BETWEEN 40000 AND 50000 OR o_totalprice < 10000")(
     lambda s, d: life.update_checklist(*_checklist(s, d))[1].select("package", "check_id")
 )
-query("l14_bundle_summary", "SELECT count(*) AS packages, count(CASE WHEN status = 'candidate' THEN 1 END) AS candidate, count(CASE WHEN status = 'resolved' THEN 1 END) AS resolved, 'open' AS bundle FROM v_issue", "v_issue")(
-    lambda s, d: life.bundle_summary(view(s, d, "v_issue").select(F.col("status").alias("state")), ["candidate", "resolved"])
-)
+def _bundle_sql() -> str:
+    """Columns of the packages of L14 by remainders of their key."""
+    cases = {}
+    for i, (column, value) in enumerate(life.COUNTED.values()):
+        cases.setdefault(column, []).append(f"WHEN c_custkey % {3 + i} = {i % 3} THEN '{value}'")
+    shown = [f"CASE {' '.join(w)} ELSE 'other' END AS {c}" for c, w in cases.items()]
+    shown += [f"CASE WHEN c_custkey % {7 + i} = 0 THEN NULL ELSE c_custkey % {4 + i} END AS {c}" for i, c in enumerate(life.SUMMED.values())]
+    return "SELECT " + ", ".join(shown + [f"c_custkey % {5 + i} = 1 AS {c}" for i, c in enumerate(life.HOLDING.values())]) + " FROM customer"
+
+
+def _bundle(s: SparkSession, d: str) -> DataFrame:
+    table(s, d, "customer").createOrReplaceTempView("customer")
+    return life.bundle_summary(s.sql(_bundle_sql()))
+
+
+query(
+    "l14_bundle_summary",
+    f"SELECT *, CASE WHEN blocked_count > 0 THEN 'bundle_blocked' ELSE 'bundle_ready' END AS status FROM (SELECT count(*) AS package_count, count(CASE WHEN checklist_open_item_count > 0 THEN 1 END) AS checklist_open_package_count, "
+    + ", ".join([f"count(CASE WHEN {c} = '{v}' THEN 1 END) AS {n}" for n, (c, v) in life.COUNTED.items()] + [f"CAST(sum({c}) AS BIGINT) AS {n}" for n, c in life.SUMMED.items()] + [f"count(CASE WHEN {c} THEN 1 END) AS {n}" for n, c in life.HOLDING.items()])
+    + f" FROM ({_bundle_sql()}))",
+)(_bundle)
 query(
     "l16_package_digest",
-    """SELECT o_custkey AS package, count(*) AS n_files, sha256('[' || string_agg('{"path":"' || o_orderkey || '","size_bytes":' || o_custkey || ',"sha256":"' || o_orderpriority || '"}', ',' ORDER BY CAST(o_orderkey AS VARCHAR)) || ']') AS digest FROM orders GROUP BY 1""",
+    """SELECT o_custkey AS package, count(*) AS n_files, sha256('[' || string_agg('{"path":"' || o_orderkey || '","sha256":"' || o_orderpriority || '","size_bytes":' || o_custkey || '}', ',' ORDER BY CAST(o_orderkey AS VARCHAR)) || ']') AS digest FROM orders GROUP BY 1""",
 )(lambda s, d: life.package_digest(table(s, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size_bytes"), F.col("o_orderpriority").alias("sha256"))))
 query("l19_report_rows", "SELECT issue_id, CASE WHEN confidence > 0.5 THEN status ELSE 'candidate' END AS status FROM v_issue", "v_issue")(
     lambda s, d: life.report_rows(view(s, d, "v_issue").select("issue_id", F.col("rule_key").alias("clause_id")), view(s, d, "v_issue").where("confidence > 0.5"), view(s, d, "v_rule").withColumnRenamed("rule_key", "clause_id"))[0].select("issue_id", "status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planaudit.operators import feedback as fb
@@ -319,10 +319,31 @@ query(
 query("f15_clause_refs", f"SELECT CASE rule_id WHEN 'R-ROOM-W' THEN 'C1' WHEN 'R-ROOM-A' THEN 'C2' WHEN 'R-DOOR' THEN 'C3' ELSE 'C4' END AS clause_id, count(*) AS n, NULL AS text FROM ({_FAILS}) GROUP BY 1 ORDER BY n DESC, clause_id LIMIT 2", "v_entity")(
     lambda s, d: fb.clause_refs(_issues(s, d), s.createDataFrame([], "clause_id string, clause_text string"), 2)
 )
-_CHECKS = "SELECT severity AS suite, confidence > 0.3 AS passed, CASE WHEN status = 'rejected' THEN 'blocker' ELSE 'warning' END AS severity FROM v_issue WHERE confidence IS NOT NULL"
-query("f16_release_gate", f"SELECT suite, count(CASE WHEN NOT passed AND severity = 'blocker' THEN 1 END) AS blockers, count(CASE WHEN NOT passed AND severity = 'warning' THEN 1 END) AS warnings, CASE WHEN count(CASE WHEN NOT passed AND severity = 'blocker' THEN 1 END) > 0 THEN 'blocked' WHEN count(CASE WHEN NOT passed THEN 1 END) > 0 THEN 'warning' ELSE 'ready' END AS status FROM ({_CHECKS}) GROUP BY suite", "v_issue")(
-    lambda s, d: fb.release_gate(view(s, d, "v_issue").where("confidence is not null").select(F.col("severity").alias("suite"), (F.col("confidence") > 0.3).alias("passed"), F.when(F.col("status") == "rejected", "blocker").otherwise("warning").alias("severity")))
-)
+_SUITES = """SELECT severity AS suite, CASE WHEN severity LIKE '4%' OR severity LIKE '5%' AND issue_id % 2 = 0 THEN 'generated_x' WHEN severity LIKE '1%' THEN 'toy' ELSE 'real_x' END AS fixture_kind,
+    CASE WHEN severity LIKE '1%' AND issue_id % 31 = 0 THEN 'fail' WHEN severity LIKE '2%' AND issue_id % 29 = 0 THEN 'known_gap' WHEN severity LIKE '3%' AND issue_id % 23 = 0 THEN 'pending' ELSE 'pass' END AS status FROM v_issue"""
+_HELD = """SELECT DISTINCT severity AS suite, concat('a', CAST(r_regionkey AS VARCHAR(20))) AS artifact, CASE WHEN r_regionkey % 2 = 0 THEN 'core' ELSE 'evidence' END AS tier,
+    NOT (severity LIKE '1%' AND r_regionkey < 3 OR severity LIKE '2%' AND r_regionkey = 1) AS available FROM v_issue CROSS JOIN region WHERE severity NOT LIKE '3%'"""
+_GATE = f""", c AS ({_SUITES}), h AS ({_HELD}), g AS (SELECT suite, count(CASE WHEN status = 'fail' THEN 1 END) AS failed, count(CASE WHEN status IN ('pass', 'fail') THEN 1 END) AS active, count(CASE WHEN status = 'pending' THEN 1 END) AS pending, count(CASE WHEN status = 'known_gap' THEN 1 END) AS gaps,
+    count(CASE WHEN status = 'pass' AND fixture_kind LIKE 'real%' THEN 1 END) AS real, count(CASE WHEN status = 'pass' AND fixture_kind LIKE 'generated%' THEN 1 END) AS generated FROM c GROUP BY 1),
+    m AS (SELECT suite, coalesce(string_agg(CASE WHEN tier = 'core' AND NOT available THEN artifact END, ',' ORDER BY artifact), '') AS core, coalesce(string_agg(CASE WHEN tier = 'evidence' AND NOT available THEN artifact END, ',' ORDER BY artifact), '') AS evidence FROM h GROUP BY 1),
+    k AS (SELECT suite, 'suite:active-pass' AS check_id, failed = 0 AS passed, 'blocker' AS severity, '' AS missing FROM g UNION ALL SELECT suite, 'suite:active-count', active >= 1, 'blocker', '' FROM g UNION ALL SELECT suite, 'suite:real-active', real >= 1, 'blocker', '' FROM g
+    UNION ALL SELECT suite, 'suite:known-gaps', gaps = 0, 'warning', '' FROM g UNION ALL SELECT suite, 'suite:pending', pending = 0, 'warning', '' FROM g UNION ALL SELECT suite, 'suite:generated-not-proxy', generated <= real, 'warning', '' FROM g
+    UNION ALL SELECT suite, 'run:core-artifacts', core = '', 'blocker', core FROM m UNION ALL SELECT suite, 'run:evidence-artifacts', evidence = '', 'warning', evidence FROM m
+    UNION ALL SELECT suite, 'run:representative-run', false, 'warning', '' FROM g WHERE suite NOT IN (SELECT suite FROM m))"""
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    view(spark, sf_dir, "v_issue").createOrReplaceTempView("v_issue")
+    table(spark, sf_dir, "region").createOrReplaceTempView("region")
+    return fb.release_gate(spark.sql(_SUITES), spark.sql(_HELD))
+
+
+query("f16_checks", _GATE + " SELECT * FROM k", "v_issue")(lambda s, d: _gate(s, d)[0].withColumn("missing", F.array_join("missing", ",")))
+query(
+    "f16_release_gate",
+    _GATE + " SELECT *, CASE WHEN blockers > 0 THEN 'not_ready' WHEN warnings > 0 THEN 'demo_ready_with_known_gaps' ELSE 'evidence_ready' END AS status FROM (SELECT suite, count(CASE WHEN NOT passed AND severity = 'blocker' THEN 1 END) AS blockers, count(CASE WHEN NOT passed AND severity = 'warning' THEN 1 END) AS warnings FROM k GROUP BY 1)",
+    "v_issue",
+)(lambda s, d: _gate(s, d)[1])
 _WEAKEST = "SELECT least(sum(score), min(score) * count(*)) / (10 * count(*)) * 100 AS overall, arg_min(name, score) AS weakest, min(score) >= 9 AND count(CASE WHEN score = 10 THEN 1 END) >= greatest(1, round_even(0.75 * count(*), 0)) AS at_99 FROM (SELECT severity AS name, {score} AS score FROM v_issue GROUP BY severity)"
 query("f17_weakest_link", _WEAKEST.format(score="avg(confidence) * 10"), "v_issue")(
     lambda s, d: fb.weakest_link(view(s, d, "v_issue").groupBy(F.col("severity").alias("name")).agg((F.avg("confidence") * 10).alias("score")))
@@ -454,12 +475,63 @@ query(
       FROM (SELECT o_orderkey AS package FROM orders UNION SELECT -o_orderkey FROM orders) p LEFT JOIN c ON c.package = p.package GROUP BY 1)
     SELECT s.*, coalesce(first_open, '') AS first_open, CASE WHEN items = 0 THEN 'checklist_empty' WHEN blocked > 0 THEN 'checklist_blocked' WHEN needs_info > 0 THEN 'checklist_needs_info' WHEN open > 0 THEN 'checklist_open' ELSE 'checklist_complete' END AS state FROM s LEFT JOIN o ON o.package = s.package""",
 )(_checked)
-query("l13_manager_gate", "SELECT l_orderkey AS package, CASE max(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'needs_info' ELSE 'pass' END AS gate, count(CASE WHEN l_returnflag <> 'A' THEN 1 END) AS n_unmet FROM lineitem GROUP BY 1")(
-    lambda s, d: life.manager_gate(table(s, d, "lineitem").select(F.col("l_orderkey").alias("package"), F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "N", "needs_info").otherwise("pass").alias("result")))
-)
-query("l17_verify_manifest", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 9 = 1 THEN 'changed' ELSE 'ok' END AS status FROM documents")(
-    lambda s, d: life.verify_manifest(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256")), table(s, d, "documents").where("doc_id % 9 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.when(F.col("doc_id") % 9 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256")))
-)
+_PACKAGES = """SELECT c_custkey AS package, c_custkey % 7 = 0 AS lacks, c_custkey % 11 = 0 AS unbound, CASE c_custkey % 5 WHEN 0 THEN 'not_ready' WHEN 1 THEN 'handoff_ready_with_warnings' WHEN 2 THEN '' ELSE 'handoff_ready' END AS quality_status,
+    CASE c_custkey % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN NULL ELSE 'ready' END AS signoff_status, CASE c_custkey % 6 WHEN 0 THEN 'checklist_blocked' WHEN 1 THEN NULL WHEN 2 THEN 'checklist_open' ELSE 'checklist_complete' END AS checklist_status,
+    c_nationkey AS items, c_custkey % 3 AS open, c_custkey % 2 AS blocked, CASE WHEN c_custkey % 6 = 1 THEN NULL ELSE 1 END AS needs_info FROM customer"""
+_MANAGED = f""", p AS ({_PACKAGES}), k AS (SELECT package, 'required_artifacts_present' AS check_id, CASE WHEN lacks THEN 'fail' ELSE 'pass' END AS result, CASE WHEN lacks THEN 'missing required artifacts: x, y' ELSE 'all required artifacts present' END AS detail FROM p
+    UNION ALL SELECT package, 'handoff_quality_ready', CASE quality_status WHEN 'handoff_ready' THEN 'pass' WHEN 'not_ready' THEN 'fail' ELSE 'needs_info' END, concat('handoff quality ', CASE WHEN quality_status = '' THEN 'missing' ELSE quality_status END) FROM p
+    UNION ALL SELECT package, 'reviewer_signoff_ready', CASE WHEN signoff_status = 'ready' THEN 'pass' WHEN signoff_status = 'blocked' THEN 'fail' ELSE 'needs_info' END, concat('reviewer signoff ', coalesce(signoff_status, 'missing')) FROM p
+    UNION ALL SELECT package, 'reviewer_task_checklist_complete', CASE WHEN checklist_status = 'checklist_complete' THEN 'pass' WHEN coalesce(checklist_status, 'checklist_blocked') = 'checklist_blocked' THEN 'fail' ELSE 'needs_info' END,
+      concat('reviewer checklist ', coalesce(checklist_status, 'not_recorded'), ': open=', open, '/', items, ', blocked=', blocked, ', needs_info=', coalesce(needs_info, 0)) FROM p
+    UNION ALL SELECT package, 'boundary_warnings_present', CASE WHEN unbound THEN 'fail' ELSE 'pass' END, CASE WHEN unbound THEN 'b1; b2' ELSE 'boundary warnings present' END FROM p)"""
+
+
+def _managed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    rows = spark.sql(_PACKAGES).withColumn("missing_required", F.when(F.col("lacks"), F.array(F.lit("x"), F.lit("y"))))
+    return life.manager_gate(rows.withColumn("boundary_missing", F.when(F.col("unbound"), F.array(F.lit("b1"), F.lit("b2")))))
+
+
+query("l13_checks", "WITH " + _MANAGED[2:] + " SELECT * FROM k")(lambda s, d: _managed(s, d)[0])
+query(
+    "l13_manager_gate",
+    "WITH " + _MANAGED[2:] + " SELECT package, CASE max(CASE result WHEN 'fail' THEN 2 WHEN 'needs_info' THEN 1 ELSE 0 END) WHEN 2 THEN 'manager_blocked' WHEN 1 THEN 'manager_needs_info' ELSE 'manager_ready' END AS status, count(CASE WHEN result <> 'pass' THEN 1 END) AS n_unmet FROM k GROUP BY 1",
+)(lambda s, d: _managed(s, d)[1])
+_FILE = "SELECT doc_id % 50 AS package, CAST(doc_id AS VARCHAR) AS path, doc_id % 9 AS k FROM documents"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 9
+    files = docs.select("doc_id", (F.col("doc_id") % 50).alias("package"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").cast("long").alias("size_bytes"))
+    there = files.where(k != 0).withColumns({"sha256": F.when(k == 1, F.sha2("path", 256)).otherwise(F.col("sha256")), "size_bytes": F.when(k == 2, F.coalesce("size_bytes", F.lit(0)) + 1).otherwise(F.col("size_bytes"))})
+    more = files.where(k == 3).withColumn("path", F.concat(F.lit("new-"), "path"))
+    return files.where("doc_id % 50 <> 7 or doc_id % 9 > 3"), there.unionByName(more).where("doc_id % 50 <> 7 or doc_id % 9 > 3")
+
+
+query(
+    "l17_verify_manifest",
+    f"SELECT package, path, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'changed' WHEN 2 THEN 'changed' ELSE 'ok' END AS status FROM ({_FILE}) WHERE package <> 7 OR k > 3 UNION ALL SELECT package, concat('new-', path), 'unexpected' FROM ({_FILE}) WHERE k = 3 AND package <> 7",
+)(lambda s, d: life.verify_manifest(*_files(s, d)))
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    expected, actual = _files(spark, sf_dir)
+    return life.archive_checks(expected, actual, life.package_digest(expected))
+
+
+_ARCHIVE = f"""WITH f AS (SELECT package, count(CASE WHEN k = 0 THEN 1 END) AS missing, count(CASE WHEN k IN (1, 2) THEN 1 END) AS changed, count(CASE WHEN k = 3 THEN 1 END) AS unexpected FROM ({_FILE}) WHERE package <> 7 OR k > 3 GROUP BY 1),
+    c AS (SELECT package, 'manifest_schema' AS check_id, 'blocker' AS severity, 0 AS n FROM f UNION ALL SELECT package, 'files_present', 'blocker', missing FROM f UNION ALL SELECT package, 'file_checksums_match', 'blocker', changed FROM f
+    UNION ALL SELECT package, 'no_unexpected_files', 'warning', unexpected FROM f UNION ALL SELECT package, 'package_digest_match', 'blocker', CASE WHEN missing + changed + unexpected > 0 THEN 1 ELSE 0 END FROM f)"""
+query("l17_checks", _ARCHIVE + " SELECT package, check_id, severity, CAST(n AS BIGINT) AS n FROM c")(lambda s, d: _archive(s, d)[0])
+query("l17_status", _ARCHIVE + " SELECT package, CASE WHEN sum(n) > 0 THEN 'archive_drift' ELSE 'archive_verified' END AS status FROM c GROUP BY 1")(lambda s, d: _archive(s, d)[1])
+_PATHS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('artifacts/', CAST(doc_id AS VARCHAR(20))) WHEN 1 THEN 'handoff_summary.md' WHEN 2 THEN 'handoff_quality.json' WHEN 3 THEN 'reviewer_signoff.md' WHEN 4 THEN 'handoff_manager_checklist.json' ELSE 'other/artifacts/x' END AS path FROM documents"
+
+
+@query("l16_roles", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'copied_artifact' WHEN 1 THEN 'package_manifest' WHEN 2 THEN 'quality' WHEN 3 THEN 'signoff' WHEN 4 THEN 'manager_checklist' ELSE 'package_file' END AS role FROM documents")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql(_PATHS).select("doc_id", life.file_role(F.col("path")).alias("role"))
+
 
 _SEG = "(SELECT page_index, round_even(x0 / 0.5, 0) * 0.5 AS x0, round_even(y0 / 0.5, 0) * 0.5 AS y0, round_even(x1 / 0.5, 0) * 0.5 AS x1 FROM v_segment)"
 
@@ -532,9 +604,45 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("t4_tokens", "SELECT item_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n_tokens FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(text.tokenize(F.col("text"))).cast("long").alias("n_tokens")))
-query("t20_benchmark", "SELECT lang AS case_id, CAST(count(*) > 150 AS INT) AS ok FROM documents WHERE lang IS NOT NULL GROUP BY lang")(
-    lambda s, d: text.run_benchmark(table(s, d, "documents").where("lang is not null").groupBy(F.col("lang").alias("case_id")).agg(F.count("*").alias("value")).withColumn("name", F.lit("docs")), table(s, d, "documents").where("lang is not null").select(F.col("lang").alias("case_id")).distinct().select("case_id", F.lit("docs").alias("name"), F.lit("min").alias("op"), F.lit(151).alias("wanted")))[1].select("case_id", F.col("passed").cast("int").alias("ok"))
-)
+_WANTED = [
+    ("n", "count", None, 8, 12, None, None),
+    ("zz", "count", 0, None, None, None, None),
+    ("kinds", "member", None, None, None, "1-URGENT", None),
+    ("kinds", "members", None, None, None, None, ["1-URGENT", "5-LOW"]),
+    ("type", "text", None, None, None, "5-LOW", None),
+    ("type", "contains", None, None, None, "LOW", None),
+    ("pages", "each_count", None, None, 3, None, None),
+    ("none", "each_count", None, 0, None, None, None),
+]
+
+
+def _actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of each customer gave: a count, a set, a text and a count for every order."""
+    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("o_orderpriority")).alias("kinds"), F.max("o_orderpriority").alias("type"), F.collect_list((F.col("o_orderkey") % 5).cast("long")).alias("pages"))
+    none = {"value": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "members": F.lit(None).cast("array<string>"), "page_values": F.lit(None).cast("array<bigint>")}
+
+    def row(name: str, column: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), *[v.alias(k) for k, v in (none | {column: value}).items()])
+
+    return by.select("case_id", F.inline(F.array(row("n", "value", F.col("n")), row("kinds", "members", F.col("kinds")), row("type", "text", F.col("type")), row("pages", "page_values", F.col("pages")))))
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    actual = _actual(spark, sf_dir)
+    fields = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(n) if not isinstance(v, list) else F.array(*map(F.lit, v)).alias(n) for v, (n, kind) in zip(row, _FIELDS, strict=True)]) for row in _WANTED])
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_custkey") % 2 == 0, 0.5).alias("min_score"))
+    return text.run_benchmark(actual, actual.select("case_id").distinct().select("case_id", F.inline(fields)), cases)
+
+
+_FIELDS = [("name", "string"), ("op", "string"), ("exact", "long"), ("least", "long"), ("most", "long"), ("wanted", "string"), ("wanted_all", "array<string>")]
+_RAN = """WITH a AS (SELECT o_custkey AS case_id, count(*) AS n, count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS urgent, count(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS low, max(o_orderpriority) AS type, max(o_orderkey % 5) AS most FROM orders GROUP BY 1),
+    c AS (SELECT case_id, 'n' AS name, 'count' AS op, n BETWEEN 8 AND 12 AS ok FROM a UNION ALL SELECT case_id, 'zz', 'count', true FROM a UNION ALL SELECT case_id, 'kinds', 'member', urgent > 0 FROM a UNION ALL SELECT case_id, 'kinds', 'members', urgent > 0 AND low > 0 FROM a
+    UNION ALL SELECT case_id, 'type', 'text', type = '5-LOW' FROM a UNION ALL SELECT case_id, 'type', 'contains', contains(type, 'LOW') FROM a UNION ALL SELECT case_id, 'pages', 'each_count', most <= 3 FROM a UNION ALL SELECT case_id, 'none', 'each_count', false FROM a)"""
+query("t20_checks", _RAN + " SELECT * FROM c")(lambda s, d: _benchmark(s, d)[0].select("case_id", "name", "op", "ok"))
+query(
+    "t20_benchmark",
+    _RAN + " SELECT c_custkey AS case_id, count(ok) AS n_checks, round(coalesce(avg(CAST(ok AS INT)), 1.0), 4) AS score, count(CASE WHEN NOT ok THEN 1 END) = 0 AS passed FROM customer LEFT JOIN c ON case_id = c_custkey GROUP BY 1",
+)(lambda s, d: _benchmark(s, d)[1])
 
 
 def _room_schedule(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

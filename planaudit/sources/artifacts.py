@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planaudit.operators.lifecycle import file_role
+
 # Artifact kinds and their file names.
 ARTIFACTS = {"graph": "entity_graph.json", "issues": "issues.json", "sheets": "sheet_classification.json", "state": "review_state.json", "project": "project_meta.json", "profile": "drawing_profile.json", "skipped": "skipped_rules.json"}
 ENTITY_TYPES = {"rooms": "Room", "doors": "Door", "walls": "Wall", "corridors": "Corridor", "stairs": "Stair"}
@@ -72,6 +75,8 @@ def write_report(df: DataFrame, path: str, partition: str | None = "run_id", fmt
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and SHA-256 of every file below root."""
+    """Path below root, role, size and SHA-256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    below = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
+    path = F.substring("path", F.locate(below, F.col("path")) + len(below), F.length("path"))
+    return files.select(path.alias("path"), file_role(path).alias("role"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))

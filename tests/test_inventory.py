@@ -31,9 +31,11 @@ def test_merge_keeps_the_larger_count_and_raises_the_level(spark):
 
 
 def test_authored_expectations_hold(spark):
-    actual = spark.createDataFrame([("a", "rooms", 3), ("a", "doors", 0), ("b", "rooms", 1)], "case_id string, name string, value int")
-    checks, cases = text.run_benchmark(actual, evidence.author_expected(actual))
-    assert checks.count() == 2 and cases.agg(F.bool_and("passed")).first()[0]
+    schema = "case_id string, name string, value long, text string, members array<string>, page_values array<long>"
+    actual = spark.createDataFrame([("a", "rooms", 3, None, None, None), ("a", "doors", 0, None, None, None), ("b", "kind", None, "plan", None, None), ("b", "signals", None, None, ["x", "y", "x"], None)], schema)
+    cases = spark.createDataFrame([("a", None), ("b", 0.5), ("c", None)], "case_id string, min_score double")
+    checks, done = text.run_benchmark(actual, evidence.author_expected(actual), cases)
+    assert checks.count() == 4 and sorted((r.case_id, r.n_checks, r.score, r.passed) for r in done.collect()) == [("a", 1, 1.0, True), ("b", 3, 1.0, True), ("c", 0, 1.0, True)]
 
 
 def test_source_fallback(spark):
