@@ -35,7 +35,7 @@ from planaudit.llm.common import join_hot, materialize
 
 ORDER = 4
 START = "\x02"
-SLICE, PART = 32 << 20, 2 << 20
+SLICE, PART = 16 << 20, 2 << 20
 CHUNK = 64
 SHARD_GRAMS = 1_000_000
 FLUSH_GRAMS = 1_000_000
