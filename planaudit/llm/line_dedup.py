@@ -63,12 +63,11 @@ def _doc_id(place: Column) -> Column:
     return ((place - _line_no(place)).cast("decimal(38,0)") / F.lit(LINES).cast("decimal(10,0)")).cast("long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard, from the lines' text."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    sets = both.select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
-    counted = sets.withColumn("both", F.size(F.array_intersect("ha", "hb")))
-    return counted.where(f"100 * both >= {percent} * (size(ha) + size(hb) - both)").select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    counted = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("both"))
+    return counted.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
 def _crossed(rows: DataFrame, percent: int) -> DataFrame:
@@ -87,7 +86,7 @@ def _crossed(rows: DataFrame, percent: int) -> DataFrame:
     return one.join(two, "key").where(f"{once} and {enough}").select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b"))
 
 
-def _open_pairs(hits: DataFrame, parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(hits: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair (a > b) of different components that shares a band and may have the Jaccard.
 
     A band of few such pairs yields them all. The lines of the other bands are
@@ -108,7 +107,8 @@ def _open_pairs(hits: DataFrame, parts: DataFrame, texts: DataFrame, percent: in
     many = mixed.where(f"across > {FEW} * c").select("id", "n", "of").distinct()
     if many.isEmpty():
         return _crossed(few, percent).distinct()
-    values = materialize(many.join(texts, "id").repartition("id").select("id", "n", "of", F.explode(shingles(F.col("line"))).alias("key")))
+    # dealt by another hash than the join's, so that the lines of one group do not stay with the files they came from
+    values = materialize(many.join(sets, "id").repartition(F.xxhash64("id")).select("id", "n", "of", F.explode("h").alias("key")))
     often = values.groupBy("key").agg(F.count("*").alias("df"))
     ordered = values.join(often, "key").groupBy("id", "n", "of").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
     first = ordered.select("id", "n", "of", F.posexplode(F.slice("v", F.lit(1), (F.col("n") + F.floor(F.lit(-percent) * F.col("n") / 100) + 1).cast("int"))).alias("at", "v"))
@@ -136,24 +136,25 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     hashed = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "same", shingles(F.col("line")).alias("h"))
     from_point = [_three_from(F.col("h"), p) for p in _points()]
     signed = hashed.select("place", "same", F.size("h").alias("n"), *[F.xxhash64(F.lit(i), x).alias(f"b{i}") for i, x in enumerate(from_point)])
-    classes = materialize(signed.groupBy(F.col("same").alias("id")).agg(F.min("place").alias("place"), F.max("place").alias("last"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
+    classes = materialize(signed.groupBy(F.col("same").alias("id")).agg(F.min("place").alias("place"), F.count("*").alias("c"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
     members = classes.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     shared = members.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
     hits = materialize(members.join(shared, "band").select("band", "id", "n", "first"))
-    texts = materialize(lines.select(F.col("same").alias("id"), "line").join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    wanted = lines.select(F.col("same").alias("id"), "line").join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sets = materialize(wanted.select("id", shingles(F.col("line")).alias("h")))
     sizes = hits.where("id = first").select("first", F.col("n").alias("m")).distinct()
     stars = hits.where("id <> first").select("id", "n", "first").distinct().join(sizes, "first")
     pairs = materialize(stars.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    parts = connected_components(_verified(pairs, texts, percent))
-    rest = materialize(_open_pairs(hits, parts, texts, percent).join(pairs, ["a", "b"], "left_anti"))
+    parts = connected_components(_verified(pairs, sets, percent))
+    rest = materialize(_open_pairs(hits, parts, sets, percent).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = materialize(_verified(rest, texts, percent))
+        more = materialize(_verified(rest, sets, percent))
         if not more.isEmpty():
             parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    grouped = classes.select("id", "place", "last").join(parts.withColumnRenamed("node", "id"), "id")
+    grouped = classes.select("id", "place").join(parts.withColumnRenamed("node", "id"), "id")
     first = grouped.groupBy("component").agg(F.min("place").alias("keeper"))
     merged = grouped.join(first, "component").select(F.col("id").alias("same"), "keeper")
-    repeated = classes.where("place <> last").join(parts, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("same"), F.col("place").alias("keeper"))
+    repeated = classes.where("c > 1").join(parts, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("same"), F.col("place").alias("keeper"))
     # lines that are alone in their component need no partner here
     placed = lines.drop("line").join(merged.unionByName(repeated), "same", "left").withColumn("place", _place(F.col("doc_id"), F.col("line_no"))).withColumn("keeper", F.coalesce("keeper", "place"))
     return placed.select("doc_id", "line_no", "same", _doc_id(F.col("keeper")).alias("keeper_doc_id"), _line_no(F.col("keeper")).alias("keeper_line_no"), (F.col("place") == F.col("keeper")).alias("kept"))
