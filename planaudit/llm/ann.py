@@ -8,7 +8,8 @@ double precision.
 
 The index is dealt in blocks of about 131072 coded vectors by hashed id, so a cell
 with a large share of all vectors is spread over all of them; each block has its
-part of every inverted list, and meets the queries in crowds of at most about 8192.
+part of every inverted list, and meets the queries in crowds of at most about 8192;
+a query reads the lists of its cells and no other code.
 """
 
 from __future__ import annotations
@@ -101,29 +102,41 @@ def _encode(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), raw], names=["vec_id", "cell", "code"])
 
 
+class Lists:
+    """The inverted lists of one block: ids and codes in order of cell and id, and where each cell's list begins."""
+
+    def __init__(self, codes: pa.Table, cells: int) -> None:
+        codes = codes.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
+        self.ids = codes.column("vec_id").to_numpy()
+        self.at = np.searchsorted(codes.column("cell").to_numpy(), np.arange(cells + 1))
+        self.code = np.ascontiguousarray(np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(self.ids), -1).T)
+
+    def visit(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries of these cells' lists, and the cell of each."""
+        sizes = self.at[cells + 1] - self.at[cells]
+        return np.repeat(self.at[cells] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()), np.repeat(cells, sizes)
+
+
 def _scan(codes: pa.Table, queries: pa.Table, index: Index, probes: int, keep: int) -> pa.Table:
     """Best candidates of one block of the index for one crowd of queries, from the lists that each query visits."""
     out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float64)]
     if codes.num_rows and queries.num_rows:
-        codes = codes.sort_by("vec_id")
-        ids = codes.column("vec_id").to_numpy()
-        cell = codes.column("cell").to_numpy()
-        code = np.ascontiguousarray(np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T)
+        lists = Lists(codes, len(index.centers))
         for query, q in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("q").combine_chunks()), strict=True):
             near = (index.centers @ q).astype(np.float32)
-            visited = np.zeros(len(near), bool)
-            visited[np.argsort(-near, kind="stable")[:probes]] = True
-            rows = np.flatnonzero(visited[cell] & (ids != query))
-            score = near[cell[rows]]
-            for part, table in zip(code, index.tables(q), strict=True):
+            rows, cell = lists.visit(np.argsort(-near, kind="stable")[:probes])
+            score = near[cell]
+            for part, table in zip(lists.code, index.tables(q), strict=True):
                 score += table[part[rows]]
+            score[lists.ids[rows] == query] = -np.inf
             if len(rows) > keep:
                 often = score >= np.partition(score, len(score) - keep)[len(score) - keep]
                 rows, score = rows[often], score[often]
-            # ids ascend and the sort is stable: ties go to the smaller id
-            top = np.argsort(-score, kind="stable")[:keep]
+            # ties go to the smaller id
+            top = np.lexsort((lists.ids[rows], -score))[:keep]
+            top = top[score[top] > -np.inf]
             out_q.append(np.full(len(top), query))
-            out_v.append(ids[rows[top]])
+            out_v.append(lists.ids[rows[top]])
             out_s.append(score[top].astype(np.float64))
     return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "near": np.concatenate(out_s)})
 
@@ -146,12 +159,12 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, share:
 
     Vectors that are null, zero, or hold a null or non-finite component take no
     part, nor do rows with a null id. Vectors of different lengths are an error.
-    An id given twice is a candidate once, with either vector. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    An id given twice is one candidate, with the smaller of its vectors (compared
+    number by number), so reruns agree. Other columns are ignored, whatever their names. An empty table gives an empty result.
 
     The fit uses the 16384 vectors with the smallest hashed ids; all are indexed.
     """
-    rows = usable(vectors, id_col, vector_col)
+    rows = materialize(usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))
     schema = "query_id long, rank int, vec_id long, score double"
     n = rows.count()
     if not n:
@@ -160,18 +173,17 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, share:
     index = Index(sample, min(MAX_CELLS, max(1, 2 * isqrt(n)), max(1, len(sample) // 16)))
     probes = min(len(index.centers), max(64, ceil(share * len(index.centers))))
     codes = materialize(rows.mapInArrow(lambda it: _encode(it, index), "vec_id long, cell int, code binary"))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     n_blocks = ceil(n / BLOCK)
     n_crowds = max(ceil(queries.count() / QUERY_BLOCK), ceil(LEAST_TASKS / n_blocks))
     numbers = [F.sequence(F.lit(0), F.lit(k - 1)) for k in (n_blocks, n_crowds)]
     asked = queries.select(F.explode(numbers[0]).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(n_crowds)).cast("int").alias("crowd"), "query_id", "q")
-    offered = codes.dropDuplicates(["vec_id"]).select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(numbers[1]).alias("crowd"), "vec_id", "cell", "code")
+    offered = codes.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(numbers[1]).alias("crowd"), "vec_id", "cell", "code")
     keys = ["block", "crowd"]
     keep = k * rerank
     found = offered.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda a, b: _scan(a, b, index, probes, keep), "query_id long, vec_id long, near double")
     best = found.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("at") <= keep).select("query_id", "vec_id").distinct()
-    unique = rows.groupBy("vec_id").agg(F.first("v").alias("v"))
-    pairs = best.join(unique, "vec_id").join(unique.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", "q", "v")
+    pairs = best.join(rows, "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", "q", "v")
     exact = pairs.mapInArrow(_exact, "query_id long, vec_id long, score double")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

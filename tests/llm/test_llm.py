@@ -355,6 +355,18 @@ def test_neighbours_reach_their_recall(spark):
     assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_small_and_odd_tables(spark):
+    rows = [(20 * i, [1.0, float(i % 3)], "clash") for i in range(6)] + [(21, [1.0, 2.0], "clash"), (22, [1.0, 2.0], "clash"), (22, [0.5, 9.0], "clash"), (23, [math.inf, 1.0], "c"), (24, [None, 1.0], "c"), (None, [1.0, 1.0], "c"), (25, [0.0, 0.0], "c")]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    vectors = {i: v for i, v, _ in reversed(rows[:9])} | {22: [0.5, 9.0]}
+    want = []
+    for q in range(0, 120, 20):
+        near = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q))[:20]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(near, 1)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest_neighbours(docs).collect())
+    assert got == sorted(want)
+
+
 def test_lines_of_one_band_all_meet(spark):
     rng = random.Random(11)
     base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
