@@ -9,8 +9,9 @@ around the circle of 64-bit values, so that two lines agree in a band about as
 often as three draws from their union fall into the intersection. Lines that share
 a band are compared with the smallest one in it by the exact Jaccard of their
 shingle sets; linked lines are merged by distributed union-find. Then all lines
-that share a band and are still in different components are compared, the links of
-both rounds are merged, and the first line of a component stays.
+that share a band and are still in different components are compared (in crowded
+bands by their rarest shingles, central lines first), the links of all rounds are
+merged, and the first line of a component stays.
 
 Equal lines are one node from the start, named by the 64-bit hash of the line, so
 ids of documents may be any 64-bit number.
@@ -18,6 +19,8 @@ ids of documents may be any 64-bit number.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from planaudit.llm.common import connected_components, materialize
 SHINGLE = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
 BANDS, DEPTH = 6, 3
 LINES = 1 << 31
-FEW = 16
+FEW, COUNTERS = 16, 1 << 18
 
 
 def _points() -> list[int]:
@@ -73,49 +76,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _crossed(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a > b) of one key and different components that may have the Jaccard.
 
-    rows(key, id, n, of, at, low, big): `at` is the place of the key among the n
+    rows(key, id, n, of, at, low, p, big): `at` is the place of the key among the n
     values of the line, so that n - at + 1 of them can be shared at most if it is
-    the first shared one; `low` says that the key may meet larger lines. Members of
+    the first shared one; `low` says that the key may meet larger lines. `p` is all
+    keys of the line: a pair comes from the first one that both have. Members of
     the component `big` of a key do not meet each other, which keeps the work to
     about the number of pairs across components.
     """
-    one = rows.where("of <> big").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "of", "at", "low")])
-    two = rows.select("key", "big", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "of", "at", "low")])
+    one = rows.where("of <> big").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "of", "at", "low", "p")])
+    two = rows.select("key", "big", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "of", "at", "low", "p")])
     once = "of1 <> of2 and (of2 = big or id1 > id2) and if(struct(n1, id1) < struct(n2, id2), low1, low2)"
     enough = f"{100 + percent} * (least(n1 - at1, n2 - at2) + 1) >= {percent} * (n1 + n2)"
-    return one.join(two, "key").where(f"{once} and {enough}").select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b"))
+    return one.join(two, "key").where(f"{once} and {enough} and key = array_intersect(p1, p2)[0]").select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b"))
 
 
-def _open_pairs(hits: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a > b) of different components that shares a band and may have the Jaccard.
+def _of_key(rows: DataFrame, key: str) -> DataFrame:
+    """key, size, component with most members and number of pairs across components, of keys with such pairs."""
+    by = rows.groupBy(key, "of").agg(F.count("*").cast("double").alias("k"))
+    most = by.groupBy(key).agg(F.sum("k").alias("c"), F.max(F.struct("k", "of"))["of"].alias("big"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across"))
+    return most.where("across > 0")
 
-    A band of few such pairs yields them all. The lines of the other bands are
-    joined on the rarest shingles of their sets: ordered by rarity, two sets with
-    the Jaccard share one of the first n - ceil(percent * n / 100) + 1 of the larger
-    and the first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller.
-    """
 
-    def of_key(rows: DataFrame, key: str) -> DataFrame:
-        """key, size, component with most members and number of pairs across components, of keys with such pairs."""
-        by = rows.groupBy(key, "of").agg(F.count("*").cast("double").alias("k"))
-        most = by.groupBy(key).agg(F.sum("k").alias("c"), F.max(F.struct("k", "of"))["of"].alias("big"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across"))
-        return most.where("across > 0")
-
-    placed = hits.select("band", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("of"))
-    mixed = materialize(placed.join(of_key(placed, "band"), "band"))
-    few = mixed.where(f"across <= {FEW} * c").select(F.col("band").alias("key"), "id", "n", "of", F.lit(1).alias("at"), F.lit(True).alias("low"), "big")
-    many = mixed.where(f"across > {FEW} * c").select("id", "n", "of").distinct()
-    if many.isEmpty():
-        return _crossed(few, percent).distinct()
+def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows(id, ...) with the component `of` of each line; a line without a link is its own."""
+    return rows.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component")
+
+
+def _prefixes(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, at, low, p and alone: the rarest shingles of the lines of crowded bands.
+
+    In any order that is one for all sets, two sets with the Jaccard share one of the
+    first n - ceil(percent * n / 100) + 1 of the larger and the first n -
+    ceil(2 * percent * n / (100 + percent)) + 1 of the smaller (`low`). The order is by
+    counters, each of which sums the lines that have a shingle of its class; there are
+    COUNTERS of them, which every task reads. So what a whole family of lines shares
+    comes last, and no shingle is joined with a count. `alone` is the number of a
+    line's shingles here that no other line has.
+    """
     # dealt by another hash than the join's, so that the lines of one group do not stay with the files they came from
-    values = materialize(many.join(sets, "id").repartition(F.xxhash64("id")).select("id", "n", "of", F.explode("h").alias("key")))
-    often = values.groupBy("key").agg(F.count("*").alias("df"))
-    ordered = values.join(often, "key").groupBy("id", "n", "of").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
-    first = ordered.select("id", "n", "of", F.posexplode(F.slice("v", F.lit(1), (F.col("n") + F.floor(F.lit(-percent) * F.col("n") / 100) + 1).cast("int"))).alias("at", "v"))
+    values = many.join(sets, "id").repartition(F.xxhash64("id")).select(F.explode("h").alias("key"))
+    counts = values.groupBy(F.pmod("key", F.lit(COUNTERS)).alias("id")).agg(F.count("*").alias("df"))
+    dense = values.sparkSession.range(COUNTERS).join(counts, "id", "left").select("id", F.coalesce("df", F.lit(0)).alias("df"))
+    sketch = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "df"))), lambda x: x["df"]).alias("counts"))
+    # one row of COUNTERS numbers
+    ranked = many.join(sets, "id").join(F.broadcast(sketch), F.lit(True))
+    order = F.array_sort(F.transform("h", lambda x: F.struct(F.get("counts", F.pmod(x, F.lit(COUNTERS)).cast("int")).alias("df"), x.alias("key"))))
+    first = ranked.select("id", "n", F.slice(order, F.lit(1), (F.col("n") + F.floor(F.lit(-percent) * F.col("n") / 100) + 1).cast("int")).alias("v"))
+    rows = first.select("id", "n", F.size(F.filter("v", lambda x: x["df"] == 1)).alias("alone"), F.transform(F.filter("v", lambda x: x["df"] > 1), lambda x: x["key"]).alias("p"), F.posexplode("v").alias("at", "v")).where("v.df > 1")
     low = f"at < n + floor(-{2 * percent} * n / {100 + percent}) + 1"
-    prefix = materialize(first.where("v.df > 1").select(F.col("v.key").alias("key"), "id", "n", "of", (F.col("at") + 1).alias("at"), F.expr(low).alias("low")))
-    rare = prefix.join(of_key(prefix, "key").select("key", "big"), "key")
-    return _crossed(few, percent).unionByName(_crossed(rare, percent)).distinct()
+    return materialize(rows.select(F.col("v.key").alias("key"), "id", "n", "alone", "p", (F.col("at") + 1).alias("at"), F.expr(low).alias("low")))
+
+
+def _central_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """Of each rare shingle, all lines with the one that has the fewest shingles alone, as it is nearest to the others."""
+    centre = prefix.groupBy("key").agg(F.min(F.struct("alone", F.col("id").alias("b"), F.col("n").alias("m"))).alias("x")).select("key", "x.b", "x.m")
+    near = prefix.join(centre, "key").where(f"id <> b and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    return near.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+
+
+def _linked(hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and component of the lines that share a band with a line they are like.
+
+    First every line of a band is compared with the smallest one, and in bands that
+    still hold many pairs across components with central lines; then every pair
+    across components that may have the Jaccard.
+    """
+    tested: list[DataFrame] = []
+    parts = None
+
+    def compare(pairs: DataFrame, parts: DataFrame | None) -> DataFrame | None:
+        fresh = materialize(reduce(lambda df, old: df.join(old, ["a", "b"], "left_anti"), tested, pairs))
+        if parts is not None and fresh.isEmpty():
+            return parts
+        tested.append(fresh)
+        links = materialize(_verified(fresh, sets, percent))
+        if parts is None:
+            return connected_components(links)
+        return parts if links.isEmpty() else connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    sizes = hits.where("id = first").select("first", F.col("n").alias("m")).distinct()
+    stars = hits.where("id <> first").select("id", "n", "first").distinct().join(sizes, "first")
+    parts = compare(stars.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")), parts)
+    placed = _placed(hits.select("band", "id", "n"), parts)
+    mixed = materialize(placed.join(_of_key(placed, "band"), "band"))
+    open_pairs = _crossed(mixed.where(f"across <= {FEW} * c").select(F.col("band").alias("key"), "id", "n", "of", F.lit(1).alias("at"), F.lit(True).alias("low"), F.array("band").alias("p"), "big"), percent)
+    many = materialize(mixed.where(f"across > {FEW} * c").select("id", "n").distinct())
+    if not many.isEmpty():
+        prefix = _prefixes(many, sets, percent)
+        parts = compare(_central_pairs(prefix, percent), parts)
+        rare = _placed(prefix.drop("alone"), parts)
+        open_pairs = open_pairs.unionByName(_crossed(rare.join(_of_key(rare, "key").select("key", "big"), "key"), percent))
+    return compare(open_pairs.distinct(), parts)
 
 
 def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,15 +193,7 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     hits = materialize(members.join(shared, "band").select("band", "id", "n", "first"))
     wanted = lines.select(F.col("same").alias("id"), "line").join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(wanted.select("id", shingles(F.col("line")).alias("h")))
-    sizes = hits.where("id = first").select("first", F.col("n").alias("m")).distinct()
-    stars = hits.where("id <> first").select("id", "n", "first").distinct().join(sizes, "first")
-    pairs = materialize(stars.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    parts = connected_components(_verified(pairs, sets, percent))
-    rest = materialize(_open_pairs(hits, parts, sets, percent).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, sets, percent))
-        if not more.isEmpty():
-            parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    parts = _linked(hits, sets, percent)
     grouped = classes.select("id", "place").join(parts.withColumnRenamed("node", "id"), "id")
     first = grouped.groupBy("component").agg(F.min("place").alias("keeper"))
     merged = grouped.join(first, "component").select(F.col("id").alias("same"), "keeper")
