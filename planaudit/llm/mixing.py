@@ -100,7 +100,9 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: flo
 def mix(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of docs, each as often as the plan has copies of it, with its copy number from 1 in `copy`.
 
-    Ids must be unique here, as the plan is joined by id.
+    A column of that name is replaced. Rows that share an id are each taken as often
+    as the one of them that the plan takes most.
     """
-    plan = plan_mix(docs, id_col=id_col, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return docs.join(plan, docs[id_col].eqNullSafe(F.col("_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_id", "copies")
+    plan = plan_mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    taken = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_id", "_copies")
