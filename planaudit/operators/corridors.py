@@ -14,6 +14,8 @@ from planaudit.operators.geometry import merge_intervals, on_boundary, points_in
 Y_TOL = 3.0
 SPAN_FRAC, FILL_FRAC, OVERLAP_FRAC = 0.5, 0.5, 0.5
 CROSS_FRAC, CROSS_MARGIN = 0.6, 20.0
+#: Width of the columns in which bands and segments meet.
+CROSS_CELL = 128.0
 
 
 def _levels(ys: Column) -> Column:
@@ -68,12 +70,19 @@ def band_candidates(chord: DataFrame, rooms: DataFrame, keys: list[str], width:
 
 
 def exclude_crossed(bands: DataFrame, segments: DataFrame, keys: list[str], margin: float = CROSS_MARGIN) -> DataFrame:
-    """Bands that no vertical segment away from their ends covers for 60 % of the height."""
+    """Bands that no vertical segment away from their ends covers for 60 % of the height.
+
+    Bands and segments meet in columns of a page, CROSS_CELL wide.
+    """
+    band = [*keys, "x0", "x1", "y_lo", "y_hi"]
     walls = segments.where("axis = 'v'").select(*keys, ((F.col("x0") + F.col("x1")) / 2).alias("wx"), F.least("y0", "y1").alias("w0"), F.greatest("y0", "y1").alias("w1"))
-    same = [bands[k] == walls[k] for k in keys]
-    inner = (walls["wx"] > bands["x0"] + margin) & (walls["wx"] < bands["x1"] - margin)
-    tall = F.least(walls["w1"], bands["y_hi"]) - F.greatest(walls["w0"], bands["y_lo"]) >= CROSS_FRAC * (bands["y_hi"] - bands["y_lo"])
-    return bands.join(walls, [*same, inner & tall], "left_anti")
+    walls = walls.withColumn("c", F.floor(F.col("wx") / CROSS_CELL))
+    left, right = F.col("x0") + margin, F.col("x1") - margin
+    spread = bands.select(*band).distinct().where(right > left).withColumn("c", F.explode(F.sequence(F.floor(left / CROSS_CELL), F.floor(right / CROSS_CELL))))
+    inner = (F.col("wx") > left) & (F.col("wx") < right)
+    tall = F.least("w1", "y_hi") - F.greatest("w0", "y_lo") >= CROSS_FRAC * (F.col("y_hi") - F.col("y_lo"))
+    crossed = spread.join(walls, [*keys, "c"]).where(inner & tall).select(*band).distinct()
+    return bands.join(crossed, band, "left_anti")
 
 
 def corridor_bands(bands: DataFrame, keys: list[str]) -> DataFrame:

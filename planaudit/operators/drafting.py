@@ -99,7 +99,7 @@ def ocr_diagnostics(texts: DataFrame, rooms: DataFrame, keys: list[str]) -> tupl
     space_idx takes the text. Reasons: label_conflict, unbound_high_confidence_label, low_confidence_label.
     """
     named = rooms.select(*keys, "space_id", "space_idx", "polygon", F.col("label").alias("room_label"))
-    held = points_in_polygons(named, texts.select(*keys, "text_idx", "x", "y"), keys).groupBy(*keys, "text_idx").agg(F.min(F.struct("space_idx", "space_id", "room_label")).alias("r"))
+    held = points_in_polygons(named, texts.select(*keys, "text_idx", "x", "y"), keys, slim=True).groupBy(*keys, "text_idx").agg(F.min(F.struct("space_idx", "space_id", "room_label")).alias("r"))
     rows = texts.join(held, [*keys, "text_idx"], "left").withColumn("label", normalize_labels(F.col("text"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     low, bound = F.col("confidence") < LOW, F.col("r").isNotNull()
     reasons = F.array(

@@ -133,11 +133,12 @@ def contains(polygon: Column, x: Column, y: Column) -> Column:
     return on_boundary(polygon, x, y) | (F.size(F.filter(ring_edges(polygon), crosses)) % 2 == 1)
 
 
-def points_in_polygons(spaces: DataFrame, points: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+def points_in_polygons(spaces: DataFrame, points: DataFrame, keys: list[str], x: str = "x", y: str = "y", slim: bool = False) -> DataFrame:
     """Rows of spaces (polygon; its box comes as _b, and whether it is that box as _box) with the points in them, boundary included.
 
     They meet in page cells of CELL points, so a space has as many copies as the cells of its page that its box covers.
-    A polygon as large as its box is the box, and needs no test of its edges.
+    A polygon as large as its box is the box, and needs no test of its edges; with `slim` it
+    is left out of the result, as copies of it are most of what the join moves.
     """
 
     def span(a: str, b: str) -> Column:
@@ -145,6 +146,7 @@ def points_in_polygons(spaces: DataFrame, points: DataFrame, keys: list[str], x:
 
     held = spaces.withColumn("_b", bbox_of(F.col("polygon")))
     held = held.withColumn("_box", polygon_area(F.col("polygon")) == (F.col("_b.x1") - F.col("_b.x0")) * (F.col("_b.y1") - F.col("_b.y0")))
+    held = held.withColumn("polygon", F.when(~F.col("_box"), F.col("polygon"))) if slim else held
     held = held.withColumn("_cx", span("x0", "x1")).withColumn("_cy", span("y0", "y1"))
     at = points.withColumn("_cx", F.floor(F.col(x) / CELL)).withColumn("_cy", F.floor(F.col(y) / CELL))
     both = held.join(at, [*keys, "_cx", "_cy"]).where(F.col(x).between(F.col("_b.x0"), F.col("_b.x1")) & F.col(y).between(F.col("_b.y0"), F.col("_b.y1")))
@@ -156,7 +158,7 @@ def label_spaces(spaces: DataFrame, texts: DataFrame, keys: list[str]) -> DataFr
 
     spaces: keys, space_id, polygon; texts: keys, text_idx, label, x, y.
     """
-    return points_in_polygons(spaces, texts, keys).groupBy(*keys, "space_id").agg(F.min_by("label", "text_idx").alias("label"))
+    return points_in_polygons(spaces, texts, keys, slim=True).groupBy(*keys, "space_id").agg(F.min_by("label", "text_idx").alias("label"))
 
 
 def bind_dimensions(texts: DataFrame, targets: DataFrame, keys: list[str], cap: float) -> DataFrame:
