@@ -163,6 +163,17 @@ def _apply(table: pa.Table, answers: pa.Table, window: int, groups: int, frequen
     return _result(rows, texts)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    """All words of texts without an id."""
+    for batch in batches:
+        data, offsets = tx.buffers(batch.column(0))
+        for low, high in tx.slices(offsets):
+            words = tx.Words(data, offsets[low : high + 1])
+            raw = words.data.tobytes()
+            spans = [list(zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)) for a, b in zip(words.at[:-1], words.at[1:], strict=True)]
+            yield from _result([(None, len(own), 0, b" ".join([raw[x:y] for x, y in own])) for own in spans], texts).to_batches()
+
+
 def _result(rows: list, texts: bool) -> pa.Table:
     out = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n_words": pa.array([r[1] for r in rows], pa.int64()), "n_removed": pa.array([r[2] for r in rows], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())}
     if texts:
@@ -176,13 +187,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, batch
     A word is removed if a window of `window` consecutive words over it also starts
     in a document with a smaller id; windows are judged on the input. Repeats within
     one document stay. A null, empty or short text loses nothing (a null has no
-    words). Rows with a null id are refused with an error, as smaller is undefined
-    for them; rows that share an id count as one document for the comparison and
-    come back one by one. Other columns are ignored, whatever their names. An
+    words). Rows with a null id lose nothing either, and take nothing from others, as
+    smaller is undefined for them; rows that share an id count as one document for
+    the comparison and come back one by one. Other columns are ignored, whatever their names. An
     empty table gives an empty result.
     """
-    key = F.col(id_col).cast("long")
-    docs = docs.select(F.coalesce(key, F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    nameless, docs = docs.where("doc_id is null").select("text"), docs.where("doc_id is not null")
     share = 256
     census = docs.select("text").mapInArrow(lambda it: _census(it, share), "word long, n long, n_bytes long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
     total = census.where("n_bytes > 0").agg(F.sum("n"), F.sum("n_bytes")).first()
@@ -196,4 +207,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, batch
     suffixes = dealt.groupBy("batch").applyInArrow(lambda t: _deal(t, window, groups, frequent), "home int, batch long, keys binary, owners binary")
     answers = suffixes.groupBy("home").applyInArrow(_subtree, "home int, batch long, bits binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: _apply(a, b, window, groups, frequent, texts), schema)
+    kept = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: _apply(a, b, window, groups, frequent, texts), schema)
+    return kept.unionByName(nameless.mapInArrow(lambda it: _whole(it, texts), schema))

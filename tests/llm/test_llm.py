@@ -90,8 +90,10 @@ def test_repeats_match_brute_force(docs, empty, spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, batch_bytes=2000, group_suffixes=500).collect()}
     assert got == want
     assert substring_dedup.remove_repeats(empty).count() == 0
-    with pytest.raises(Exception, match="doc_id is null"):
-        substring_dedup.remove_repeats(spark.createDataFrame([(None, "a")], "doc_id long, text string")).collect()
+    long = sentence(40)
+    rows = [(None, long, "clash"), (2, long, "clash"), (3, long, "clash"), (3, f"x {long}", "clash"), (None, None, "clash")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, batch string"), texts=True).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in got) == [(0, 0, 0, ""), (0, 40, 0, long), (2, 40, 0, long), (3, 40, 40, ""), (3, 41, 40, "x")]
 
 
 def test_token_counts_match_the_library(docs, empty, spark, monkeypatch):
