@@ -259,19 +259,42 @@ query(
 )(lambda s, d: text.text_inventory(table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("text_idx"), _label(F.col("event_id")).alias("text")), ["run_id"]))
 
 
-@query(
+_SAID = """, t AS (SELECT event_id AS text_idx, event_id % 20 AS page_index, event_id % 500 AS x, event_id % 230 AS y, (event_id % 10) / 10.0E0 AS c, CASE event_type WHEN 'view' THEN 'bedroom' WHEN 'click' THEN 'kitchen' END AS label,
+    CASE event_type WHEN 'view' THEN 'Bedroom' WHEN 'click' THEN 'kitchen' WHEN 'purchase' THEN 'DOOR 0.9' WHEN 'error' THEN '走廊 1.2' ELSE 'wall' END AS said FROM events),
+    r AS (SELECT t.*, space_id, CASE WHEN space_id % 3 = 0 THEN 'bedroom' WHEN space_id % 3 = 1 THEN '' END AS room_label, row_number() OVER (PARTITION BY text_idx ORDER BY space_id) AS nth FROM t LEFT JOIN v_box b ON b.page_index = t.page_index AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"""
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    said = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("view", "Bedroom", "click", "kitchen", "purchase", "DOOR 0.9", "error", "走廊 1.2")]), F.col("event_type")), F.lit("wall"))
+    return table(s, d, "events").select((F.col("event_id") % 20).alias("page_index"), F.col("event_id").alias("text_idx"), said.alias("text"), ((F.col("event_id") % 10) / 10.0).alias("confidence"), (F.col("event_id") % 500).cast("double").alias("x"), (F.col("event_id") % 230).cast("double").alias("y"))
+
+
+def _diagnosed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rooms = view(s, d, "v_box").select("page_index", "space_id", F.col("space_id").alias("space_idx"), _ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("polygon"), F.when(F.col("space_id") % 3 == 0, "bedroom").when(F.col("space_id") % 3 == 1, "").alias("label"))
+    return drafting.ocr_diagnostics(_texts(s, d), rooms, ["page_index"])
+
+
+query(
     "t14_diagnostics",
-    """, t AS (SELECT event_id AS text_idx, event_id % 20 AS page_index, event_id % 500 AS x, event_id % 230 AS y, (event_id % 10) / 10.0E0 AS c, CASE event_type WHEN 'view' THEN 'bedroom' WHEN 'click' THEN 'kitchen' END AS label FROM events),
-    r AS (SELECT t.*, space_id, CASE WHEN space_id % 3 = 0 THEN 'bedroom' WHEN space_id % 3 = 1 THEN '' END AS room_label, row_number() OVER (PARTITION BY text_idx ORDER BY space_id) AS nth FROM t LEFT JOIN v_box b ON b.page_index = t.page_index AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)
-    SELECT page_index, count(*) AS texts, count(space_id) AS bound_texts, count(*) FILTER (WHERE c < 0.7) AS low_confidence_texts, count(*) FILTER (WHERE label <> room_label AND room_label <> '') AS label_conflict,
+    f"""{_SAID} SELECT page_index, count(*) AS texts, count(space_id) AS bound_texts, count(*) FILTER (WHERE c < 0.7) AS low_confidence_texts, count(*) FILTER (WHERE label <> room_label AND room_label <> '') AS label_conflict,
     count(*) FILTER (WHERE label IS NOT NULL AND space_id IS NULL AND c >= 0.85) AS unbound_high_confidence_label, count(*) FILTER (WHERE label IS NOT NULL AND c < 0.7) AS low_confidence_label FROM r WHERE nth = 1 GROUP BY 1""",
     "v_box",
+)(lambda s, d: _diagnosed(s, d)[1])
+query(
+    "t14_texts",
+    f"""{_SAID} SELECT page_index, text_idx, label, space_id, c < 0.7 AS low_confidence, space_id IS NOT NULL AS bound, concat_ws(',', CASE WHEN label <> room_label AND room_label <> '' THEN 'label_conflict' END,
+    CASE WHEN label IS NOT NULL AND space_id IS NULL AND c >= 0.85 THEN 'unbound_high_confidence_label' END, CASE WHEN label IS NOT NULL AND c < 0.7 THEN 'low_confidence_label' END) AS reasons FROM r WHERE nth = 1""",
+    "v_box",
+)(lambda s, d: _diagnosed(s, d)[0].withColumn("reasons", F.array_join("reasons", ",")))
+query(
+    "t14_targets",
+    f"""{_SAID}, g AS (SELECT page_index, space_id, CASE WHEN space_id % 2 = 0 THEN 'corridor' ELSE 'door' END AS kind, (x0 + x1) / 2 AS tx, (y0 + y1) / 2 AS ty, x1 - x0 AS value_m FROM v_box),
+    n AS (SELECT t.page_index, text_idx, kind, space_id AS target_id, value_m, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS dist FROM t JOIN g ON g.page_index = t.page_index AND (said NOT IN ('DOOR 0.9', '走廊 1.2') OR said = 'DOOR 0.9' AND kind = 'door' OR said = '走廊 1.2' AND kind = 'corridor'))
+    SELECT * FROM n WHERE dist < 15 QUALIFY row_number() OVER (PARTITION BY text_idx ORDER BY dist, kind, target_id) = 1""",
+    "v_box",
+)(
+    lambda s, d: drafting.dimension_targets(_texts(s, d), view(s, d, "v_box").select("page_index", F.when(F.col("space_id") % 2 == 0, "corridor").otherwise("door").alias("kind"), F.col("space_id").alias("target_idx"), F.col("space_id").alias("target_id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), (F.col("x1") - F.col("x0")).alias("value_m")), ["page_index"], 15.0)
 )
-def diagnostics(s: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("event_type") == "view", "Bedroom").when(F.col("event_type") == "click", "kitchen").otherwise("wall")
-    texts = table(s, d, "events").select((F.col("event_id") % 20).alias("page_index"), F.col("event_id").alias("text_idx"), said.alias("text"), ((F.col("event_id") % 10) / 10.0).alias("confidence"), (F.col("event_id") % 500).cast("double").alias("x"), (F.col("event_id") % 230).cast("double").alias("y"))
-    rooms = view(s, d, "v_box").select("page_index", "space_id", F.col("space_id").alias("space_idx"), _ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("polygon"), F.when(F.col("space_id") % 3 == 0, "bedroom").when(F.col("space_id") % 3 == 1, "").alias("label"))
-    return drafting.ocr_diagnostics(texts, rooms, ["page_index"])[1]
 
 
 @query(
