@@ -25,6 +25,8 @@ OPENING_SIZE = r"^(?:SLD)?\d{4}$"
 FEET, LEAST_FEET = r"^(\d+)'-\d+\"$", 4
 # BM25.
 K1, B = 1.5, 0.75
+#: Rows of (query, token) that are broadcast.
+MAX_ASKED = 500_000
 # Patterns of tokens and numbers.
 CLAUSE_ID = r"[A-Za-z]{2,4}\d+(?:[-.]\d+)+"
 CJK_RUN = r"[一-鿿]+"
@@ -127,18 +129,28 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, candidates: DataFra
     """query_id, rank, doc_id and score > 0 of the best k; statistics cover all docs, candidates only restrict.
 
     docs(doc_id, text), queries(query_id, text). A token given twice in a query counts twice; ties go to the smaller id.
+
+    Documents are dealt once by id. While the queries have at most MAX_ASKED different
+    (query, token) rows, these and their statistics are broadcast, so a document's
+    scores are summed where it lies and only each task's best k of a query are
+    shuffled; beyond that the joins are shuffled by token.
     """
-    words = docs.select("doc_id", tokenize(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    tf = words.select("doc_id", "len", F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count("*").alias("f"))
+    small = asked.count() <= MAX_ASKED
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    words = docs.select("doc_id", tokenize(F.col("text")).alias("t")).repartition("doc_id").withColumn("len", F.size("t"))
+    stats = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    tf = words.select("doc_id", "len", F.explode("t").alias("token")).join(sent(asked.select("token").distinct()), "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count("*").alias("f"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    weighted = tf.join(df, "token").join(F.broadcast(stats), F.lit(True)).select("doc_id", "token", weight.alias("w"))
+    weighted = tf.join(sent(df), "token").join(F.broadcast(stats), F.lit(True)).select("doc_id", "token", weight.alias("w"))
     if candidates is not None:
         weighted = weighted.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    scores = weighted.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score")).where("score > 0")
+    scores = weighted.join(sent(asked), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
