@@ -40,13 +40,19 @@ def _pick(value: str, **cases: str) -> Column:
 # sources and maintenance
 
 
-@query("s2_flatten_entities", "SELECT run_id, entity_type, entity_id, page_index, confidence, width_m FROM v_entity WHERE entity_type IN ('Room', 'Door')", "v_entity")
+@query(
+    "s2_flatten_entities",
+    """SELECT run_id, CASE WHEN mark = 'F' AND entity_type = 'Room' THEN 'Wall' WHEN mark = 'F' AND entity_type = 'Door' THEN 'Stair' ELSE entity_type END AS entity_type, entity_id, page_index, confidence, slope > 0.05 AS uncertain,
+    width_m, CASE WHEN mark = 'F' AND entity_type = 'Room' THEN NULL ELSE area_m2 END AS area_m2 FROM v_entity""",
+    "v_entity",
+)
 def flatten(s: SparkSession, d: str) -> DataFrame:
-    one = F.struct(F.col("entity_id").alias("id"), "page_index", "confidence", F.lit(False).alias("uncertain"), "width_m")
-    kinds = {"rooms": "Room", "doors": "Door"}
-    graphs = view(s, d, "v_entity").groupBy("run_id").agg(*[F.collect_list(F.when(F.col("entity_type") == k, one)).alias(n) for n, k in kinds.items()])
+    kind = F.when((F.col("mark") == "F") & (F.col("entity_type") == "Room"), "Wall").when((F.col("mark") == "F") & (F.col("entity_type") == "Door"), "Stair").otherwise(F.col("entity_type"))
+    common = [F.col("entity_id").alias("id"), "page_index", "confidence", (F.col("slope") > 0.05).alias("uncertain"), "width_m"]
+    fields = {n: F.struct(*common) if k == "Wall" else F.struct(*common, "area_m2") for n, k in artifacts.ENTITY_TYPES.items()}
+    graphs = view(s, d, "v_entity").withColumn("kind", kind).groupBy("run_id").agg(*[F.collect_list(F.when(F.col("kind") == k, fields[n])).alias(n) for n, k in artifacts.ENTITY_TYPES.items()])
     rows = artifacts.flatten_entities(graphs)
-    return rows.select("run_id", "entity_type", "entity_id", "page_index", "confidence", F.try_variant_get("properties", "$.width_m", "double").alias("width_m"))
+    return rows.select("run_id", "entity_type", "entity_id", "page_index", "confidence", "uncertain", *[F.try_variant_get("properties", f"$.{c}", "double").alias(c) for c in ("width_m", "area_m2")])
 
 
 @query(

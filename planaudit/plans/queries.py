@@ -604,6 +604,9 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("t4_tokens", "SELECT item_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n_tokens FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(text.tokenize(F.col("text"))).cast("long").alias("n_tokens")))
+query("t4_mixed_tokens", "SELECT p_partkey, concat_ws(' ', concat('gb50096-5.5.', p_size), '净 宽 度 净宽 宽度 门 gb50096 5 5', p_size, lower(split_part(p_brand, '#', 1)), split_part(p_brand, '#', 2), 'door') AS tokens FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(text.tokenize(F.concat(F.lit("GB50096-5.5."), "p_size", F.lit(" 净宽度："), "p_brand", F.lit("　门 ＤＯＯＲ"))), " ").alias("tokens"))
+)
 _WANTED = [
     ("n", "count", None, 8, 12, None, None),
     ("zz", "count", 0, None, None, None, None),
