@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planaudit.llm import ann, decontaminate, language_id, line_dedup, mixing, near_dedup, preference_chat, quality, substring_dedup, token_counts
+from planaudit.llm import ann, decontaminate, hard_negatives, language_id, line_dedup, mixing, near_dedup, preference_chat, quality, simhash, substring_dedup, token_counts
 
 MODEL = "piece_bpe_32k.model"
 
@@ -67,8 +67,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=13)
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_line_dedup, op5_preference_chat, op6_benchmark_decontamination, op7_source_mixing, op8_token_counts, op9_ann, op10_substring_dedup]
+    found = [op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_line_dedup, op5_preference_chat, op6_benchmark_decontamination, op7_source_mixing, op8_token_counts, op9_ann, op10_substring_dedup, op12_simhash_near_dedup, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
@@ -144,5 +153,27 @@ FROM ranked r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
 """
 
 
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS alike, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preference_chat": OP5_SQL, "op7_source_mixing": OP7_SQL}
+    return {"op5_preference_chat": OP5_SQL, "op7_source_mixing": OP7_SQL, "op13_hard_negatives": OP13_SQL}

@@ -69,7 +69,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of consecutive texts: byte spans, 64-bit hashes and word offsets per text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True) -> None:
         base = offsets[0]
         self.data = data[base : offsets[-1]]
         if lower:
@@ -87,7 +87,8 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.at = np.searchsorted(self.start, edges)
-        self.hash = self._hashes()
+        self.inside = inside
+        self.hash = self._hashes() if hashed else np.zeros(0, np.uint64)
 
     def _hashes(self) -> np.ndarray:
         n = len(self.data)
