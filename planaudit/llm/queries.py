@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planaudit.llm import ann, decontaminate, hard_negatives, language_id, line_dedup, mixing, near_dedup, preference_chat, quality, simhash, substring_dedup, token_counts
+from planaudit.llm import ann, decontaminate, hard_negatives, language_id, line_dedup, mixing, near_dedup, preference_chat, prefix_trie, quality, simhash, substring_dedup, token_counts
 
 MODEL = "piece_bpe_32k.model"
 
@@ -67,6 +67,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=13)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.reopened(prefix_trie.sequences(_read(spark, sf_dir, "conversations"))))
+
+
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_line_dedup, op5_preference_chat, op6_benchmark_decontamination, op7_source_mixing, op8_token_counts, op9_ann, op10_substring_dedup, op12_simhash_near_dedup, op13_hard_negatives]
+    found = [op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_line_dedup, op5_preference_chat, op6_benchmark_decontamination, op7_source_mixing, op8_token_counts, op9_ann, op10_substring_dedup, op11_conversation_trie, op12_simhash_near_dedup, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
@@ -153,6 +157,42 @@ FROM ranked r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
 """
 
 
+# crc32 bit by bit over the digits of an id
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda y, i: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT)"""
+
+OP11_SQL = rf"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, {_CRC} % 4 AS h FROM own),
+parts AS (
+  SELECT i.conv_id, 0 AS part, pos, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 20 AND pos <= h
+  UNION ALL
+  SELECT i.conv_id, 1, pos, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND pos > h),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         md5(len(role) || ':' || role || text) AS turn
+  FROM parts),
+paths AS (
+  SELECT conv_id, depth, words, md5(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+linked AS (
+  SELECT *, lag(path) OVER w AS above, lead(path) OVER w IS NULL AS ends FROM paths WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (
+  SELECT path, depth, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM linked GROUP BY path, depth),
+children AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+told AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)),
+sums AS (
+  SELECT p.path, sum(CASE WHEN t.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((t.n_convs - 1) * t.words) AS saved
+  FROM told t JOIN paths p ON p.conv_id = t.conv_id AND p.depth <= t.depth GROUP BY p.path)
+SELECT t.conv_id, t.depth, a.conv_id AS parent_conv_id, t.n_convs, t.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM told t JOIN sums s USING (path) LEFT JOIN nodes a ON a.path = t.above
+"""
+
 OP13_SQL = """
 WITH rows AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -176,4 +216,4 @@ QUALIFY rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preference_chat": OP5_SQL, "op7_source_mixing": OP7_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op5_preference_chat": OP5_SQL, "op7_source_mixing": OP7_SQL, "op11_conversation_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
