@@ -111,11 +111,14 @@ def state_summary(state: DataFrame) -> DataFrame:
     return state.groupBy("status").agg(F.count("*").alias("n")).withColumn("ordinal", order)
 
 
-def page_queue(issues: DataFrame, n: int = 3) -> DataFrame:
-    """The first n issues of each page with preview ids, and how many were left out."""
-    page = Window.partitionBy("page_index")
-    rows = issues.withColumn("at", F.row_number().over(page.orderBy("issue_id"))).withColumn("total", F.count("*").over(page))
-    return rows.where(F.col("at") <= n).select("page_index", "issue_id", F.format_string("sheet-%d-preview-%03d", "page_index", "at").alias("preview_id"), F.greatest(F.col("total") - n, F.lit(0)).alias("omitted"))
+def page_queue(issues: DataFrame, n: int = 3, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """The first n issues of each page of a run with preview ids, and how many were left out."""
+    page = [*keys, "page_index"]
+    ordered = Window.partitionBy(*page).orderBy("issue_id")
+    first = issues.withColumn("at", F.row_number().over(ordered)).where(F.col("at") <= n)
+    counts = issues.groupBy(*page).agg(F.count("*").alias("total"))
+    preview = F.format_string("sheet-%d-preview-%03d", "page_index", "at")
+    return first.join(counts, page).select(*page, "issue_id", preview.alias("preview_id"), F.greatest(F.col("total") - n, F.lit(0)).alias("omitted"))
 
 
 def task_sequence(stages: list[tuple[str, DataFrame, int]]) -> DataFrame:

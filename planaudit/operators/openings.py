@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from planaudit.operators.geometry import points_in_polygons, polygon_edges, ring_edges
+from planaudit.operators.geometry import points_in_polygons, polygon_edges
 
 # Distance and share of an adjacent boundary, step off a bridge, confidences, default sizes in metres.
 NEAR, COVER, STEP = 0.5, 0.5, 0.5
@@ -26,48 +29,92 @@ ASSUMED = {
 OBJECT_TYPES = {"Room": "room_volume", "Corridor": "corridor_volume", "Door": "door_opening", "Stair": "stair_placeholder", "Dimension": "dimension_anchor"}
 
 
-def _covered(polygon: Column, flat: Column, at: Column, lo: Column, hi: Column) -> Column:
-    """Length of [lo, hi] on an axis-parallel line at a coordinate that lies within NEAR of an axis-parallel polygon edge."""
+def _hull(low: np.ndarray, high: np.ndarray, root: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Widen [low, high] by middle -/+ sqrt(root) where there is a root."""
+    half = np.sqrt(np.maximum(root, 0))
+    return np.where(root >= 0, np.minimum(low, middle - half), low), np.where(root >= 0, np.maximum(high, middle + half), high)
 
-    def along(p: Column) -> Column:
-        return F.when(flat, p["x"]).otherwise(p["y"])
 
-    def across(p: Column) -> Column:
-        return F.when(flat, p["y"]).otherwise(p["x"])
+def _band(at: np.ndarray, slope: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The t with least <= at + slope * t <= most."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = (least - at) / slope, (most - at) / slope
+    inside = (at >= least) & (at <= most)
+    low, high = np.where(slope == 0, np.where(inside, -np.inf, np.inf), np.minimum(a, b)), np.where(slope == 0, np.where(inside, np.inf, -np.inf), np.maximum(a, b))
+    return low, high
 
-    def reach(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        off = F.greatest(F.least(across(a), across(b)) - at, at - F.greatest(across(a), across(b)), F.lit(0.0))
-        more = F.sqrt(F.greatest(F.lit(NEAR * NEAR) - off * off, F.lit(0.0)))
-        axis_parallel = (a["x"] == b["x"]) | (a["y"] == b["y"])
-        span = F.struct(F.greatest(F.least(along(a), along(b)) - more, lo).alias("s"), F.least(F.greatest(along(a), along(b)) + more, hi).alias("t"))
-        return F.when(axis_parallel & (off <= NEAR), span)
 
-    spans = F.array_sort(F.filter(F.array_compact(F.transform(ring_edges(polygon), reach)), lambda v: v["t"] > v["s"]))
-    start = F.struct(lo.alias("end"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(spans, start, lambda acc, v: F.struct(F.greatest(acc["end"], v["t"]).alias("end"), (acc["sum"] + F.greatest(v["t"] - F.greatest(acc["end"], v["s"]), F.lit(0.0))).alias("sum")))
-    return total["sum"]
+def length_beside(rings: list[np.ndarray], x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, near: float = NEAR) -> np.ndarray:
+    """How much of each segment lies within `near` of the edges of its ring (points of shape (n, 2)), at whatever angle.
+
+    What lies near one edge is an interval, as an edge is convex: it is the hull of what lies beside the edge and of what
+    lies around its two ends. The length is that of the union of the intervals.
+    """
+    size = np.array([len(r) for r in rings], np.int64)
+    rows = np.repeat(np.arange(len(rings)), size)
+    length = np.hypot(x1 - x0, y1 - y0)
+    if not len(rows):
+        return np.zeros(len(rings))
+    a = np.concatenate(rings)
+    after = np.arange(len(rows)) + 1
+    after[np.cumsum(size)[size > 0] - 1] -= size[size > 0]
+    b = a[after]
+    safe = np.where(length > 0, length, 1)
+    u = np.stack([(x1 - x0) / safe, (y1 - y0) / safe], axis=1)[rows]
+    start = np.stack([x0, y0], axis=1)[rows]
+    low, high = np.full(len(rows), np.inf), np.full(len(rows), -np.inf)
+    for end in (a, b):
+        w = start - end
+        along = (w * u).sum(axis=1)
+        low, high = _hull(low, high, along**2 - (w * w).sum(axis=1) + near**2, -along)
+    edge = b - a
+    span = np.hypot(edge[:, 0], edge[:, 1])
+    v = edge / np.where(span > 0, span, 1)[:, None]
+    w = start - a
+    s, t = _band(w[:, 0] * v[:, 1] - w[:, 1] * v[:, 0], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0], np.full(len(rows), -near), np.full(len(rows), near))
+    p, q = _band((w * v).sum(axis=1), (u * v).sum(axis=1), np.zeros(len(rows)), span)
+    s, t = np.maximum(s, p), np.minimum(t, q)
+    beside = (span > 0) & (s <= t)
+    low, high = np.where(beside, np.minimum(low, s), low), np.where(beside, np.maximum(high, t), high)
+    low, high = np.maximum(low, 0), np.minimum(high, length[rows])
+    kept = high > low
+    # each row's intervals stand on a stretch of their own, so one running maximum serves all rows
+    stretch = (length.max() + 1) * rows[kept]
+    low, high, rows = low[kept] + stretch, high[kept] + stretch, rows[kept]
+    order = np.argsort(low, kind="stable")
+    low, high, rows = low[order], high[order], rows[order]
+    before = np.concatenate([[-np.inf], np.maximum.accumulate(high)[:-1]]) if len(high) else high
+    return np.bincount(rows, np.maximum(high - np.maximum(low, before), 0), len(rings))
+
+
+@F.arrow_udf(T.DoubleType())
+def _covered(polygon: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    flat = polygon.flatten()
+    points = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+    rings = np.split(points, np.cumsum(polygon.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1])
+    return pa.array(length_beside(rings, *[c.to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1)]))
 
 
 def classify_sides(bridges: DataFrame, spaces: DataFrame, keys: list[str]) -> DataFrame:
     """Keys, bridge_id, side (-1 or 1), kind (surviving, filtered or exterior) and space_id of what lies beside a bridge.
 
-    bridges: keys, bridge_id, x0, y0, x1, y1, axis-parallel; spaces: keys, space_id, space_idx, kind (room, corridor or
-    filtered), polygon. A space counts if its boundary runs along half of the bridge and it holds a point just off the
-    middle. Rooms come before corridors before filtered spaces, then the smaller space_idx. Diagonal edges do not count
-    as boundary.
+    bridges: keys, bridge_id, x0, y0, x1, y1; spaces: keys, space_id, space_idx, kind (room, corridor or filtered),
+    polygon. A space counts if its boundary, at whatever angle, runs along half of the bridge and it holds a point just
+    off the middle. Rooms come before corridors before filtered spaces, then the smaller space_idx.
     """
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     rows = bridges.select(*keys, "bridge_id", "x0", "y0", "x1", "y1", F.hypot(dx, dy).alias("len"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
-    rows = rows.withColumn("px", (F.col("x0") + F.col("x1")) / 2 - F.try_divide(dy, F.col("len")) * F.col("side") * STEP).withColumn("py", (F.col("y0") + F.col("y1")) / 2 + F.try_divide(dx, F.col("len")) * F.col("side") * STEP)
+    off = {c: F.try_divide(d, F.col("len")) * F.col("side") * STEP for c, d in (("px", -dy), ("py", dx))}
+    rows = rows.withColumn("px", (F.col("x0") + F.col("x1")) / 2 + off["px"]).withColumn("py", (F.col("y0") + F.col("y1")) / 2 + off["py"])
     rank = F.when(F.col("kind") == "room", 0).when(F.col("kind") == "corridor", 1).otherwise(2)
     held = spaces.select(*keys, "space_id", F.struct(rank.alias("rank"), "space_idx").alias("order"), "polygon")
     near = points_in_polygons(held, rows, keys, "px", "py")
-    flat = F.col("y0") == F.col("y1")
-    at, lo = F.when(flat, F.col("y0")).otherwise(F.col("x0")), F.when(flat, F.least("x0", "x1")).otherwise(F.least("y0", "y1"))
-    side = F.when(flat, F.least(F.abs(at - F.col("_b.y0")), F.abs(at - F.col("_b.y1")))).otherwise(F.least(F.abs(at - F.col("_b.x0")), F.abs(at - F.col("_b.x1"))))
-    near = near.where(~F.col("_box") | (side <= NEAR) | (F.col("len") <= 4 * NEAR))  # across a box only its two ends could cover, 2 * NEAR each
-    near = near.where(_covered(F.col("polygon"), flat, at, lo, lo + F.col("len")) >= COVER * F.col("len"))
+    # across a box an axis-parallel bridge meets its two ends only, 2 * NEAR each
+    flat, upright = F.col("y0") == F.col("y1"), F.col("x0") == F.col("x1")
+    gap = {axis: F.least(F.abs(F.col(f"{axis}0") - F.col(f"_b.{axis}0")), F.abs(F.col(f"{axis}0") - F.col(f"_b.{axis}1"))) for axis in "xy"}
+    side = F.when(flat, gap["y"]).when(upright, gap["x"]).otherwise(0.0)
+    near = near.where(~F.col("_box") | (side <= NEAR) | (F.col("len") <= 4 * NEAR))
+    near = near.where(_covered("polygon", "x0", "y0", "x1", "y1") >= COVER * F.col("len"))
     best = near.groupBy(*keys, "bridge_id", "side").agg(F.min(F.struct("order.rank", "order.space_idx", "space_id")).alias("b"))
     both = rows.select(*keys, "bridge_id", "side").join(best, [*keys, "bridge_id", "side"], "left")
     kind = F.when(F.col("b").isNull(), "exterior").when(F.col("b.rank") == 2, "filtered").otherwise("surviving")

@@ -1,4 +1,7 @@
-"""Schedules joined to entities."""
+"""Schedules joined to entities.
+
+`keys` name what a schedule belongs to (a project, or a project and a run): ids, labels and pages count within them only.
+"""
 
 from __future__ import annotations
 
@@ -6,54 +9,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _matches(rooms: DataFrame, schedule: DataFrame) -> DataFrame:
+def _matches(rooms: DataFrame, schedule: DataFrame, keys: list[str]) -> DataFrame:
     """Entries with the rooms they match: by room id, else by label to every such room."""
-    by_id = schedule.where("room_id is not null").join(rooms.select("room_id"), "room_id")
-    by_label = schedule.where("room_id is null").drop("room_id").join(rooms.select("room_id", "label"), "label")
+    by_id = schedule.where("room_id is not null").join(rooms.select(*keys, "room_id"), [*keys, "room_id"])
+    by_label = schedule.where("room_id is null").drop("room_id").join(rooms.select(*keys, "room_id", "label"), [*keys, "label"])
     return by_id.unionByName(by_label)
 
 
-def apply_room_schedule(rooms: DataFrame, schedule: DataFrame, properties: list[str]) -> DataFrame:
+def apply_room_schedule(rooms: DataFrame, schedule: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:
     """Later non-null values win, property by property; a room without one keeps its own."""
-    new = _matches(rooms, schedule).groupBy("room_id").agg(*[F.max_by(p, F.when(F.col(p).isNotNull(), F.col("entry_idx"))).alias(f"_{p}") for p in properties])
-    both = rooms.join(new, "room_id", "left")
+    last = [F.max_by(p, F.when(F.col(p).isNotNull(), F.col("entry_idx"))).alias(f"_{p}") for p in properties]
+    new = _matches(rooms, schedule, keys).groupBy(*keys, "room_id").agg(*last)
+    both = rooms.join(new, [*keys, "room_id"], "left")
     return both.withColumns({p: F.coalesce(f"_{p}", p) for p in properties}).drop(*[f"_{p}" for p in properties])
 
 
-def room_schedule_audit(rooms: DataFrame, schedule: DataFrame, properties: list[str]) -> DataFrame:
-    """Per entry matched, unmatched or empty (matched, but no property), and the number of rooms."""
-    hits = _matches(rooms, schedule).groupBy("entry_idx").agg(F.count("*").alias("n"))
+def room_schedule_audit(rooms: DataFrame, schedule: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:
+    """Per entry of a schedule matched, unmatched or empty (matched, but no property), and the number of rooms."""
+    entry = [*keys, "entry_idx"]
+    hits = _matches(rooms, schedule, keys).groupBy(*entry).agg(F.count("*").alias("n"))
     bare = F.coalesce(*[F.col(p).cast("string") for p in properties]).isNull()
-    rows = schedule.withColumn("_bare", bare).select("entry_idx", "_bare").join(hits, "entry_idx", "left")
-    return rows.select("entry_idx", F.coalesce("n", F.lit(0)).alias("n_rooms"), F.when(F.col("n").isNull(), "unmatched").when(F.col("_bare"), "empty").otherwise("matched").alias("status"))
+    rows = schedule.withColumn("_bare", bare).select(*entry, "_bare").join(hits, entry, "left")
+    status = F.when(F.col("n").isNull(), "unmatched").when(F.col("_bare"), "empty").otherwise("matched")
+    return rows.select(*entry, F.coalesce("n", F.lit(0)).alias("n_rooms"), status.alias("status"))
 
 
-def apply_stair_schedule(stairs: DataFrame, schedule: DataFrame, properties: list[str]) -> DataFrame:
+def apply_stair_schedule(stairs: DataFrame, schedule: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:
     """D3: new ids become stairs; known ones are filled only where null; the first non-null entry counts.
 
     A new stair has confidence 0, is uncertain, has an all-zero box and the page of its
     first entry. Columns that `stairs` lacks are not added.
     """
+    stair = [*keys, "stair_id"]
     values = [F.min_by(p, F.when(F.col(p).isNotNull(), F.col("entry_idx"))).alias(f"_{p}") for p in properties]
-    first = schedule.groupBy("stair_id").agg(*values, F.min_by("page_index", "entry_idx").alias("_page"))
-    both = stairs.withColumn("_known", F.lit(True)).join(first, "stair_id", "full")
+    first = schedule.groupBy(*stair).agg(*values, F.min_by("page_index", "entry_idx").alias("_page"))
+    both = stairs.withColumn("_known", F.lit(True)).join(first, stair, "full")
     fresh = F.col("_known").isNull()
-    new = {"confidence": F.lit(0.0), "uncertain": F.lit(True), "page_index": F.col("_page"), "bbox": F.struct(*[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])}
-    rows = both.withColumns({p: F.coalesce(p, f"_{p}") for p in properties} | {c: F.when(fresh, v).otherwise(F.col(c)) for c, v in new.items() if c in stairs.columns})
+    box = F.struct(*[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    new = {"confidence": F.lit(0.0), "uncertain": F.lit(True), "page_index": F.col("_page"), "bbox": box}
+    filled = {p: F.coalesce(p, f"_{p}") for p in properties}
+    rows = both.withColumns(filled | {c: F.when(fresh, v).otherwise(F.col(c)) for c, v in new.items() if c in stairs.columns})
     return rows.withColumn("materialised", fresh).drop("_known", "_page", *[f"_{p}" for p in properties])
 
 
-def stair_schedule_audit(stairs: DataFrame, schedule: DataFrame, pages: DataFrame, properties: list[str]) -> tuple[DataFrame, DataFrame]:
+def stair_schedule_audit(stairs: DataFrame, schedule: DataFrame, pages: DataFrame, keys: list[str], properties: list[str]) -> tuple[DataFrame, DataFrame]:
     """Per entry materialised or conflicted, and whether it has no metric; entries for unknown pages are rejects.
 
     The first entry of an id that is no stair yet makes one; every other entry merges
     into a stair that is there and is conflicted. Only a made stair can be empty.
     """
+    stair, page = [*keys, "stair_id"], [*keys, "page_index"]
     bare = F.coalesce(*[F.col(p).cast("string") for p in properties]).isNull()
-    known = stairs.select("stair_id", F.lit(True).alias("_k")).distinct()
-    listed = pages.select("page_index").distinct()
-    order = Window.partitionBy("stair_id").orderBy("entry_idx")
-    good = schedule.join(listed, "page_index", "left_semi").withColumn("_bare", bare).withColumn("_at", F.row_number().over(order)).join(known, "stair_id", "left")
+    known = stairs.select(*stair, F.lit(True).alias("_k")).distinct()
+    listed = pages.select(*page).distinct()
+    order = Window.partitionBy(*stair).orderBy("entry_idx")
+    good = schedule.join(listed, page, "left_semi").withColumn("_bare", bare).withColumn("_at", F.row_number().over(order)).join(known, stair, "left")
     made = F.col("_k").isNull() & (F.col("_at") == 1)
-    rows = good.select("entry_idx", "stair_id", F.when(made, "materialised").otherwise("conflicted").alias("status"), (made & F.col("_bare")).alias("empty"))
-    return rows, schedule.join(listed, "page_index", "left_anti")
+    status = F.when(made, "materialised").otherwise("conflicted")
+    rows = good.select(*keys, "entry_idx", "stair_id", status.alias("status"), (made & F.col("_bare")).alias("empty"))
+    return rows, schedule.join(listed, page, "left_anti")

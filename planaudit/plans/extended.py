@@ -102,6 +102,37 @@ def _sides(s: SparkSession, d: str) -> DataFrame:
     return openings.classify_sides(_bridges(s, d), spaces, ["page_index"])
 
 
+def _turned(points: list[tuple[Column, Column]]) -> Column:
+    """Points of a plan that stands at an angle to its sheet."""
+    return F.array(*[F.struct((0.6 * x - 0.8 * y).alias("x"), (0.8 * x + 0.6 * y).alias("y")) for x, y in points])
+
+
+@query(
+    "g11_oblique",
+    """WITH r AS (SELECT p_partkey AS k, p_partkey % 20 AS page_index, p_partkey // 20 % 10 AS col, p_partkey % 3 = 0 AS ell, p_size FROM part),
+    b AS (SELECT page_index, k * 2 AS bridge_id, unnest([-1, 1]) AS side, k, k + 20 AS beyond, p_size % 3 < 2 AS beside, col FROM r),
+    t AS (SELECT page_index, k * 2 + 1 AS bridge_id, unnest([-1, 1]) AS side, k, NOT ell OR p_size % 30 + 2.3 <= 24 AS beside FROM r),
+    s AS (SELECT b.page_index, bridge_id, side, CASE WHEN beside AND side = 1 THEN b.k WHEN beside AND b.col < 9 THEN n.k END AS held FROM b LEFT JOIN r n ON n.k = beyond
+    UNION ALL SELECT page_index, bridge_id, side, CASE WHEN beside AND side = -1 THEN k END FROM t)
+    SELECT page_index, bridge_id, side, CASE WHEN held IS NULL THEN 'exterior' WHEN held % 5 = 0 THEN 'filtered' ELSE 'surviving' END AS kind, CASE WHEN held % 5 <> 0 THEN held END AS space_id FROM s""",
+)
+def oblique(s: SparkSession, d: str) -> DataFrame:
+    """Rooms of 40 by 30, every third L-shaped, in rows that stand at an angle; a gap in the wall to the right and one in the top wall of each."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    place = F.floor(key / 20)
+    x, y = place % 10 * 40.0, F.floor(place / 10) * 40.0
+    rows = table(s, d, "part").select((key % 20).alias("page_index"), key.alias("k"), x.alias("x"), y.alias("y"), "p_size")
+    x, y = F.col("x"), F.col("y")
+    full = _turned([(x, y), (x + 40, y), (x + 40, y + 30), (x, y + 30)])
+    ell = _turned([(x, y), (x + 40, y), (x + 40, y + 15), (x + 22, y + 15), (x + 22, y + 30), (x, y + 30)])
+    kind = F.when(F.col("k") % 5 == 0, "filtered").when(F.col("k") % 5 == 1, "corridor").otherwise("room")
+    spaces = rows.select("page_index", F.col("k").alias("space_id"), F.col("k").alias("space_idx"), kind.alias("kind"), F.when(F.col("k") % 3 == 0, ell).otherwise(full).alias("polygon"))
+    wall = x + 40 + F.element_at(F.lit([0.0, 0.3, 0.7]), (size % 3 + 1).cast("int"))
+    gaps = [(F.col("k") * 2, _turned([(wall, y + 4), (wall, y + 10 + size % 5 * 2)])), (F.col("k") * 2 + 1, _turned([(x + 10, y + 30), (x + 12.3 + size % 30, y + 30)]))]
+    parts = [rows.select("page_index", at.alias("bridge_id"), *[ends[i][c].alias(f"{c}{i}") for i in (0, 1) for c in ("x", "y")]) for at, ends in gaps]
+    return openings.classify_sides(parts[0].unionByName(parts[1]), spaces, ["page_index"])
+
+
 query("g11_sides", _SIDES + " SELECT * FROM sided", "v_box")(_sides)
 query(
     "g12_openings",
@@ -224,21 +255,36 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
     return rows.select("clause_id", F.size("source_only").alias("n_source_only"), F.size("text_only").alias("n_text_only"))
 
 
-_SAID = ["走廊净宽", "门宽", "楼梯扶手", "楼梯宽度", "踏步", "净高", "卧室", "电梯", "窗台", "其他"]
+_CLAUSES = ["走廊净宽", "门宽", "楼梯扶手", "楼梯宽度", "踏步", "净高", "卧室", "电梯", "窗台", "其他"]
+
+
+_DRAFTED = "['min_width_m', 'width_m', 'handrail_height_m', 'flight_width_m', '', 'net_height_m', 'area_m2', 'floors', 'height_m', ''][p_size % 10 + 1]"
+_OP = "['>=', '<', '>'][p_partkey % 4 + 1]"
 
 
 @query(
     "t11_drafts",
-    """SELECT p_partkey AS clause_id, ['Corridor', 'Door', 'Stair', 'Stair', 'Stair', 'Room', 'Room', 'Project', 'Dimension', NULL][p_size % 10 + 1] AS applies_to,
-    CASE WHEN p_partkey % 4 < 3 AND p_size % 10 NOT IN (4, 9) THEN concat(['min_width_m', 'width_m', 'handrail_height_m', 'flight_width_m', '', 'net_height_m', 'area_m2', 'floors', 'height_m'][p_size % 10 + 1], ' ', ['>=', '<', '>'][p_partkey % 4 + 1], ' ', p_size) END AS logic_expression,
-    CAST(CASE WHEN p_size % 10 IN (4, 9) THEN 1 ELSE 0 END + CASE WHEN p_partkey % 4 = 3 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS n_missing FROM part""",
+    f"""SELECT p_partkey AS clause_id, ['Corridor', 'Door', 'Stair', 'Stair', 'Stair', 'Room', 'Room', 'Project', 'Dimension', NULL][p_size % 10 + 1] AS applies_to,
+    CASE WHEN p_size % 10 = 7 THEN 'floors,height_m' ELSE {_DRAFTED} END AS inputs,
+    CASE WHEN p_partkey % 4 < 3 AND p_size % 10 NOT IN (4, 9) THEN concat({_DRAFTED}, ' ', {_OP}, ' ', p_size) END AS logic_expression,
+    CASE WHEN p_partkey % 4 = 3 OR p_size % 10 IN (4, 9) THEN NULL ELSE concat('edge ', p_size, ' ', p_partkey % 4 = 0, ',', CASE WHEN p_partkey % 4 = 1 THEN 'above ' ELSE 'below ' END,
+        CAST(round(p_size * CASE WHEN p_partkey % 4 = 1 THEN 110 ELSE 90 END) AS INT), ' false') END AS cases,
+    concat_ws(',', CASE WHEN p_size % 10 IN (4, 9) THEN 'entity_input_mapping' END, CASE WHEN p_partkey % 4 = 3 THEN 'machine_readable_threshold' END,
+        CASE WHEN p_partkey % 3 = 0 THEN 'rule_split_or_branching' END) AS missing FROM part""",
 )
 def drafts(s: SparkSession, d: str) -> DataFrame:
-    words = F.element_at(F.lit(_SAID), (F.col("p_size") % 10 + 1).cast("int"))
+    words = F.element_at(F.lit(_CLAUSES), (F.col("p_size") % 10 + 1).cast("int"))
     said = F.concat(words, F.lit(" 1.2 m"), F.when(F.col("p_partkey") % 3 == 0, " 900 mm").otherwise(""))
     op = F.try_element_at(F.lit([">=", "<", ">"]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    rows = drafting.draft_rules(table(s, d, "part").select(F.col("p_partkey").alias("clause_id"), said.alias("clause_text"), op.alias("threshold_op"), F.col("p_size").cast("double").alias("threshold_value")))
-    return rows.select("clause_id", "applies_to", "logic_expression", F.size("missing").alias("n_missing"))
+    clauses = table(s, d, "part").select(F.col("p_partkey").alias("clause_id"), said.alias("clause_text"), op.alias("threshold_op"), F.col("p_size").cast("double").alias("threshold_value"))
+
+    def case(c: Column) -> Column:
+        # the threshold itself in whole numbers, what lies beyond it in hundredths
+        value = F.when(c["name"] == "edge", c["value"]).otherwise(F.round(c["value"] * 100))
+        return F.concat_ws(" ", c["name"], value.cast("int"), c["expect_pass"])
+
+    listed = [F.array_join("inputs", ",").alias("inputs"), "logic_expression", F.array_join(F.transform("test_cases", case), ",").alias("cases"), F.array_join("missing", ",").alias("missing")]
+    return drafting.draft_rules(clauses).select("clause_id", "applies_to", *listed)
 
 
 _LABELS = ["Master BEDROOM", "厨房 2", "卫生间", "Living area", "garage", " bedroom  #12. ", "Bedroom#x", "wic", "SLD3068", "2868 .", "12'-06\"", "3'-11\"", "a=12'-0\"", "mech", "walk-in", "12345"]

@@ -173,28 +173,47 @@ query("r19_blocked_sources", "SELECT severity AS source, count(DISTINCT rule_key
 
 
 def _stairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stairs and entries of two projects that use the same ids and pages."""
     box = F.struct(*[F.lit(1.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    stairs = table(s, d, "supplier").select(F.col("s_suppkey").alias("stair_id"), F.when(F.col("s_nationkey") % 2 == 1, F.col("s_acctbal")).alias("tread_m"), F.lit(0.5).alias("confidence"), F.lit(False).alias("uncertain"), F.lit(7).cast("long").alias("page_index"), box.alias("bbox"))
-    rows = table(s, d, "part").select(F.col("p_partkey").alias("entry_idx"), (F.col("p_partkey") % 150).alias("stair_id"), (F.col("p_partkey") % 30).alias("page_index"), F.when(F.col("p_size") % 4 != 0, F.col("p_size").cast("double")).alias("tread_m"))
+    key, entry = F.col("s_suppkey"), F.col("p_partkey")
+    stairs = table(s, d, "supplier").select(
+        (key % 2).alias("project_id"),
+        F.floor(key / 2).alias("stair_id"),
+        F.when(F.col("s_nationkey") % 2 == 1, F.col("s_acctbal")).alias("tread_m"),
+        F.lit(0.5).alias("confidence"),
+        F.lit(False).alias("uncertain"),
+        F.lit(7).cast("long").alias("page_index"),
+        box.alias("bbox"),
+    )
+    size = F.when(F.col("p_size") % 4 != 0, F.col("p_size").cast("double"))
+    rows = table(s, d, "part").select((F.floor(entry / 3) % 2).alias("project_id"), entry.alias("entry_idx"), (entry % 75).alias("stair_id"), (entry % 30).alias("page_index"), size.alias("tread_m"))
     return stairs, rows
 
 
+_STAIR_ENTRIES = """WITH st AS (SELECT s_suppkey % 2 AS project_id, s_suppkey // 2 AS stair_id, CASE WHEN s_nationkey % 2 = 1 THEN s_acctbal END AS tread_m, s_nationkey AS page_index FROM supplier),
+    en AS (SELECT p_partkey // 3 % 2 AS project_id, p_partkey AS entry_idx, p_partkey % 75 AS stair_id, p_partkey % 30 AS page_index, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS t FROM part)"""
 query(
     "d3_stair_schedule",
-    """SELECT coalesce(s_suppkey, e.stair_id) AS stair_id, coalesce(CASE WHEN s_nationkey % 2 = 1 THEN s_acctbal END, t) AS tread_m, CASE WHEN s_suppkey IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, s_suppkey IS NULL AS materialised, s_suppkey IS NULL AS uncertain,
-    CASE WHEN s_suppkey IS NULL THEN page ELSE 7 END AS page_index, CASE WHEN s_suppkey IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS x1
-    FROM supplier FULL JOIN (SELECT p_partkey % 150 AS stair_id, arg_min(CAST(p_size AS DOUBLE), p_partkey) FILTER (WHERE p_size % 4 <> 0) AS t, arg_min(p_partkey % 30, p_partkey) AS page FROM part GROUP BY 1) e ON e.stair_id = s_suppkey""",
-)(lambda s, d: schedules.apply_stair_schedule(*_stairs(s, d), ["tread_m"]).withColumn("x1", F.col("bbox.x1")).drop("bbox"))
+    _STAIR_ENTRIES
+    + """ SELECT project_id, stair_id, coalesce(tread_m, t) AS tread_m, CASE WHEN here IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, here IS NULL AS materialised, here IS NULL AS uncertain,
+    CASE WHEN here IS NULL THEN page ELSE 7 END AS page_index, CASE WHEN here IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS x1
+    FROM (SELECT project_id, stair_id, tread_m, true AS here FROM st) s
+    FULL JOIN (SELECT project_id, stair_id, arg_min(t, entry_idx) FILTER (WHERE t IS NOT NULL) AS t, arg_min(page_index, entry_idx) AS page FROM en GROUP BY 1, 2) e USING (project_id, stair_id)""",
+)(lambda s, d: schedules.apply_stair_schedule(*_stairs(s, d), ["project_id"], ["tread_m"]).withColumn("x1", F.col("bbox.x1")).drop("bbox"))
 
 
 @query(
     "d4_stair_audit",
-    """SELECT p_partkey AS entry_idx, p_partkey % 150 AS stair_id, CASE WHEN NOT on_page THEN 'reject' WHEN made THEN 'materialised' ELSE 'conflicted' END AS status, on_page AND made AND p_size % 4 = 0 AS empty FROM (
-    SELECT *, on_page AND p_partkey % 150 NOT IN (SELECT s_suppkey FROM supplier) AND row_number() OVER (PARTITION BY p_partkey % 150, on_page ORDER BY p_partkey) = 1 AS made FROM (SELECT *, p_partkey % 30 IN (SELECT s_nationkey FROM supplier) AS on_page FROM part))""",
+    _STAIR_ENTRIES
+    + """ SELECT project_id, entry_idx, stair_id, CASE WHEN NOT on_page THEN 'reject' WHEN made THEN 'materialised' ELSE 'conflicted' END AS status, on_page AND made AND t IS NULL AS empty FROM (
+    SELECT *, on_page AND (project_id, stair_id) NOT IN (SELECT (project_id, stair_id) FROM st) AND row_number() OVER (PARTITION BY project_id, stair_id, on_page ORDER BY entry_idx) = 1 AS made
+    FROM (SELECT *, (project_id, page_index) IN (SELECT (project_id, page_index) FROM st) AS on_page FROM en))""",
 )
 def stair_audit(s: SparkSession, d: str) -> DataFrame:
-    found, rejects = schedules.stair_schedule_audit(*_stairs(s, d), table(s, d, "supplier").select(F.col("s_nationkey").alias("page_index")), ["tread_m"])
-    return found.unionByName(rejects.select("entry_idx", "stair_id", F.lit("reject").alias("status"), F.lit(False).alias("empty")))
+    stairs, rows = _stairs(s, d)
+    pages = table(s, d, "supplier").select((F.col("s_suppkey") % 2).alias("project_id"), F.col("s_nationkey").alias("page_index"))
+    found, rejects = schedules.stair_schedule_audit(stairs, rows, pages, ["project_id"], ["tread_m"])
+    return found.unionByName(rejects.select("project_id", "entry_idx", "stair_id", F.lit("reject").alias("status"), F.lit(False).alias("empty")))
 
 
 query("d5_schedule_project", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")(

@@ -452,9 +452,14 @@ query("l5_rejects", "SELECT CASE WHEN k = 6 THEN -issue_id ELSE issue_id END AS
     lambda s, d: _transitions(s, d)[1].select("issue_id", "reason")
 )
 query("l6_state_summary", "SELECT status, count(*) AS n FROM v_issue GROUP BY status", "v_issue")(lambda s, d: life.state_summary(view(s, d, "v_issue")).drop("ordinal"))
-query("l7_page_queue", "SELECT page_index, issue_id, preview_id, omitted FROM (SELECT run_id AS page_index, issue_id, printf('sheet-%d-preview-%03d', run_id, row_number() OVER w) AS preview_id, greatest(count(*) OVER (PARTITION BY run_id) - 3, 0) AS omitted, row_number() OVER w AS k FROM v_issue WINDOW w AS (PARTITION BY run_id ORDER BY issue_id)) WHERE k <= 3", "v_issue")(
-    lambda s, d: life.page_queue(view(s, d, "v_issue").withColumnRenamed("run_id", "page_index"))
-)
+query(
+    "l7_page_queue",
+    """SELECT run_id, page_index, issue_id, preview_id, omitted FROM (
+    SELECT run_id, page_index, issue_id, printf('sheet-%d-preview-%03d', page_index, row_number() OVER w) AS preview_id,
+    greatest(count(*) OVER (PARTITION BY run_id, page_index) - 3, 0) AS omitted, row_number() OVER w AS k
+    FROM (SELECT *, issue_id // 200 % 3 AS page_index FROM v_issue) WINDOW w AS (PARTITION BY run_id, page_index ORDER BY issue_id)) WHERE k <= 3""",
+    "v_issue",
+)(lambda s, d: life.page_queue(view(s, d, "v_issue").withColumn("page_index", F.floor(F.col("issue_id") / 200) % 3)))
 _TASKS = """SELECT l_orderkey AS package, l_linenumber AS ordinal, concat('c', CAST(l_partkey AS VARCHAR(20))) AS check_id, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('t', CAST(l_suppkey AS VARCHAR(20))) END AS title,
     CASE l_linenumber % 5 WHEN 0 THEN 'readiness' WHEN 1 THEN 'primary_issue_review' WHEN 2 THEN 'per_sheet_preview' WHEN 3 THEN 'handoff' ELSE 'other' END AS stage,
     CASE WHEN l_returnflag = 'A' THEN 'done' WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'skipped_preview' WHEN l_returnflag = 'N' THEN 'open' WHEN l_linenumber % 7 = 1 THEN 'blocked' WHEN l_linenumber % 7 = 2 THEN 'needs_info' END AS status FROM lineitem"""
@@ -648,20 +653,31 @@ query(
 )(lambda s, d: _benchmark(s, d)[1])
 
 
-def _room_schedule(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    part = table(spark, sf_dir, "part")
-    rooms = part.select(F.col("p_partkey").alias("room_id"), F.col("p_type").alias("label"), F.lit(None).cast("double").alias("height_m"))
-    entries = part.select(F.col("p_partkey").alias("entry_idx"), F.when(F.col("p_size") < 48, F.col("p_partkey")).alias("room_id"), F.col("p_type").alias("label"), (F.col("p_size") / 10).alias("height_m"))
-    return rooms, entries
+def _room_schedule(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rooms and entries of four projects that use the same ids and labels."""
+    part, project = table(spark, sf_dir, "part"), (F.col("p_partkey") % 4).alias("project_id")
+    room = F.floor(F.col("p_partkey") / 4)
+    rooms = part.select(project, room.alias("room_id"), F.col("p_type").alias("label"), F.lit(None).cast("double").alias("height_m"))
+    height = F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 10)
+    entries = part.select(project, room.alias("entry_idx"), F.when(F.col("p_size") < 48, room).alias("room_id"), F.col("p_type").alias("label"), height.alias("height_m"))
+    return rooms, entries, ["project_id"]
 
 
+_ROOM_ENTRIES = """WITH r AS (SELECT p_partkey % 4 AS project_id, p_partkey // 4 AS room_id, p_type AS label, p_size, CASE WHEN p_size % 7 <> 0 THEN p_size / 10.0::DOUBLE END AS height_m FROM part),
+    hits AS (SELECT project_id, room_id, room_id AS entry_idx, height_m FROM r WHERE p_size < 48
+    UNION ALL SELECT q.project_id, q.room_id, p.room_id, p.height_m FROM r p JOIN r q ON q.project_id = p.project_id AND q.label = p.label WHERE p.p_size >= 48)"""
 query(
     "d1_room_schedule",
-    """SELECT r.p_partkey AS room_id, r.p_type AS label, arg_max(e.height_m, e.entry_idx) AS height_m FROM part r LEFT JOIN (
-    SELECT p_partkey AS room, p_partkey AS entry_idx, p_size / 10.0::DOUBLE AS height_m FROM part WHERE p_size < 48
-    UNION ALL SELECT q.p_partkey, p.p_partkey, p.p_size / 10.0::DOUBLE FROM part p JOIN part q ON q.p_type = p.p_type WHERE p.p_size >= 48) e ON e.room = r.p_partkey GROUP BY 1, 2""",
-)(lambda s, d: schedules.apply_room_schedule(*_room_schedule(s, d), ["height_m"]).select("room_id", "label", "height_m"))
-query("d2_schedule_audit", "SELECT p_partkey AS entry_idx, CASE WHEN p_size < 48 THEN 1 ELSE n END AS n_rooms, 'matched' AS status FROM part JOIN (SELECT p_type, count(*) AS n FROM part GROUP BY 1) USING (p_type)")(lambda s, d: schedules.room_schedule_audit(*_room_schedule(s, d), ["height_m"]))
+    _ROOM_ENTRIES
+    + """ SELECT project_id, room_id, r.label, arg_max(h.height_m, entry_idx) FILTER (WHERE h.height_m IS NOT NULL) AS height_m
+    FROM r LEFT JOIN hits h USING (project_id, room_id) GROUP BY 1, 2, 3""",
+)(lambda s, d: schedules.apply_room_schedule(*_room_schedule(s, d), ["height_m"]).select("project_id", "room_id", "label", "height_m"))
+query(
+    "d2_schedule_audit",
+    _ROOM_ENTRIES
+    + """ SELECT r.project_id, r.room_id AS entry_idx, count(h.room_id) AS n_rooms, CASE WHEN count(h.room_id) = 0 THEN 'unmatched' WHEN any_value(r.height_m) IS NULL THEN 'empty' ELSE 'matched' END AS status
+    FROM r LEFT JOIN hits h ON h.project_id = r.project_id AND h.entry_idx = r.room_id GROUP BY 1, 2""",
+)(lambda s, d: schedules.room_schedule_audit(*_room_schedule(s, d), ["height_m"]))
 
 
 def queries() -> dict[str, Query]:

@@ -1,12 +1,14 @@
-"""Run artifacts in and out."""
+"""Run artifacts (S1-S3, S6, L16); `runs` writes them."""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from planaudit.operators.lifecycle import file_role
 
@@ -16,16 +18,25 @@ ENTITY_TYPES = {"rooms": "Room", "doors": "Door", "walls": "Wall", "corridors":
 COMMON = ["id", "page_index", "confidence", "uncertain"]
 
 
-def read_artifacts(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame:
-    """One kind of artifact of all runs below root, with run_id and parent from the path; an empty table if there is none."""
+def located(reader: DataFrameReader | DataStreamReader, root: str, kind: str, pattern: str | None = None) -> DataFrame:
+    """Files of one kind below root with run_id and parent, the names of the two folders above a file (as `name` or `key=name`)."""
+    rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern or ARTIFACTS[kind]).json(root)
+    path = F.split(F.col("_metadata.file_path"), "/")
+    names = {c: F.url_decode(F.regexp_replace(F.element_at(path, at), "^[^=]*=", "")) for c, at in (("run_id", -2), ("parent", -3))}
+    return rows.withColumns(names)
+
+
+def read_artifacts(spark: SparkSession, root: str, kind: str, schema: str, pattern: str | None = None) -> DataFrame:
+    """One kind of artifact of all runs below root, with run_id and parent from the path; an empty table if there is none.
+
+    Files have the kind's name and hold one object or array each; with a `pattern` of their own they hold one object a line.
+    """
     try:
-        rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", ARTIFACTS[kind]).json(root)
-    except Exception as e:
+        return located(spark.read.schema(schema).option("multiLine", pattern is None), root, kind, pattern)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], f"{schema}, run_id string, parent string")
-    path = F.split(F.col("_metadata.file_path"), "/")
-    return rows.withColumn("run_id", F.element_at(path, -2)).withColumn("parent", F.element_at(path, -3))
 
 
 def flatten_entities(graphs: DataFrame) -> DataFrame:
@@ -41,11 +52,11 @@ def flatten_entities(graphs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def ingest_suite(spark: SparkSession, root: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+def ingest_suite(spark: SparkSession, root: str, schemas: dict[str, str], patterns: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """S3: every *_run directory; the project is its parent and its own name without _run, and so is the run's id."""
     out = {}
     for kind, schema in schemas.items():
-        rows = read_artifacts(spark, root, kind, schema).where(F.col("run_id").endswith("_run"))
+        rows = read_artifacts(spark, root, kind, schema, (patterns or {}).get(kind)).where(F.col("run_id").endswith("_run"))
         slug = F.concat_ws("-", "parent", F.regexp_replace("run_id", "_run$", ""))
         out[kind] = rows.withColumn("project_slug", slug).withColumn("run_id", F.concat_ws("/", "parent", "run_id")).drop("parent")
     return out
@@ -68,12 +79,6 @@ def parse_pipe_tables(lines: DataFrame, keys: list[str], line_no: str = "line_no
     return body.select(*keys, "block", F.col(line_no).alias("row"), F.inline(F.arrays_zip(F.col("names").alias("name"), F.col("cells").alias("value"))))
 
 
-def write_report(df: DataFrame, path: str, partition: str | None = "run_id", fmt: str = "parquet") -> None:
-    """A report as a table, one directory per run."""
-    writer = df.write.mode("overwrite").format(fmt)
-    (writer.partitionBy(partition) if partition and partition in df.columns else writer).save(path)
-
-
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Path below root, role, size and SHA-256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -1,8 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from planaudit.operators import corridors, drafting, openings, packages
 from planaudit.plans import extended, inventory, queries
-from planaudit.sources import artifacts
+from planaudit.sources import artifacts, runs
 
 
 def _spaces(spark, rows):
@@ -48,6 +49,33 @@ def test_sides_and_openings(spark):
     assert openings.assemble_openings(bridges, sides, ["page"]).count() == 5
 
 
+def test_length_beside_a_ring_agrees_with_sampling():
+    rng = np.random.default_rng(3)
+    ell = np.array([(0, 0), (8, 0), (8, 3), (4, 3), (4, 7), (0, 7)], float)
+    rings, ends = [], []
+    for i in range(60):
+        turn = rng.uniform(0, 2 * np.pi)
+        ring = ell @ np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]]) + rng.uniform(-3, 3, 2)
+        ring = ring if i % 7 else np.repeat(ring, 2, axis=0)
+        at = rng.integers(0, len(ring))
+        a, b = ring[at], ring[(at + 1) % len(ring)]
+        rings.append(ring)
+        # along a wall, along it with a shift, or anywhere
+        ends.append(np.concatenate([a, b]) + (0 if i % 3 == 0 else np.tile(rng.uniform(-0.4, 0.4, 2), 2) if i % 3 == 1 else rng.uniform(-3, 3, 4)))
+    ends = np.array(ends)
+    got = openings.length_beside(rings, *ends.T)
+    share = (np.arange(20_000) + 0.5) / 20_000
+    for ring, (x0, y0, x1, y1), found in zip(rings, ends, got, strict=True):
+        p = np.stack([x0 + share * (x1 - x0), y0 + share * (y1 - y0)], axis=1)
+        least = np.full(len(p), np.inf)
+        for a, b in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+            v = b - a
+            t = np.clip(((p - a) @ v) / max(v @ v, 1e-300), 0, 1)
+            least = np.minimum(least, np.hypot(*(p - a - t[:, None] * v).T))
+        assert abs(found - (least <= 0.5).mean() * np.hypot(x1 - x0, y1 - y0)) < 2e-3
+    assert openings.length_beside([np.zeros((0, 2))], *np.zeros((4, 1))).tolist() == [0.0]
+
+
 def test_layout_prefers_sheets(spark):
     schema = "run_id int, source string, page_index int, entity_type string, entity_id string, x0 double, y0 double, x1 double, y1 double, height_m double, is_window boolean"
     rows = [(1, "sheet", 0, "Room", "r", 0.0, 0.0, 50.0, 100.0, None, None), (1, "primary", 0, "Room", "p", 0.0, 0.0, 9.0, 9.0, None, None), (2, "primary", 3, "Door", "d", 0.0, 0.0, 50.0, 50.0, 1.9, True), (2, "primary", 3, "Tree", "t", 0.0, 0.0, 500.0, 50.0, None, None)]
@@ -152,7 +180,7 @@ def test_artifacts_of_a_suite_and_a_report_round_trip(spark, tmp_path):
     assert sorted((r.id, r.run_id) for r in got.collect()) == [("a_run", "a_run"), ("b_run", "b_run")]
     suite = artifacts.ingest_suite(spark, str(tmp_path / "in"), {"issues": schema})
     assert sorted((r.project_slug, r.run_id) for r in suite["issues"].collect()) == [("in-a", "in/a_run"), ("in-b", "in/b_run")]
-    artifacts.write_report(got, str(tmp_path / "out"))
+    runs.write_report(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("run_id = 'a_run'").count() == 1
     assert artifacts.read_artifacts(spark, str(tmp_path / "none"), "issues", schema).count() == 0
 

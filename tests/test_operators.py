@@ -54,10 +54,31 @@ def test_replay_changes_nothing(spark):
 
 
 def test_room_schedule_precedence(spark):
-    rooms = spark.createDataFrame([("r1", "bath", 2.0), ("r2", "bath", None)], "room_id string, label string, h double")
-    sched = spark.createDataFrame([(0, None, "bath", 2.4), (1, "r1", None, 2.6), (2, "r1", None, None)], "entry_idx int, room_id string, label string, h double")
-    assert {r.room_id: r.h for r in schedules.apply_room_schedule(rooms, sched, ["h"]).collect()} == {"r1": 2.6, "r2": 2.4}
-    assert [r.status for r in schedules.room_schedule_audit(rooms, sched, ["h"]).orderBy("entry_idx").collect()] == ["matched", "matched", "empty"]
+    rooms = spark.createDataFrame([("A", "r1", "bath", 2.0), ("A", "r2", "bath", None), ("B", "r1", "bath", 2.1)], "project_id string, room_id string, label string, h double")
+    rows = [("A", 0, None, "bath", 2.4), ("A", 1, "r1", None, 2.6), ("A", 2, "r1", None, None), ("B", 0, "r2", None, 9.0)]
+    sched = spark.createDataFrame(rows, "project_id string, entry_idx int, room_id string, label string, h double")
+    got = schedules.apply_room_schedule(rooms, sched, ["project_id"], ["h"]).collect()
+    assert {(r.project_id, r.room_id): r.h for r in got} == {("A", "r1"): 2.6, ("A", "r2"): 2.4, ("B", "r1"): 2.1}
+    audit = schedules.room_schedule_audit(rooms, sched, ["project_id"], ["h"]).orderBy("project_id", "entry_idx").collect()
+    assert [(r.project_id, r.n_rooms, r.status) for r in audit] == [("A", 2, "matched"), ("A", 1, "matched"), ("A", 1, "empty"), ("B", 0, "unmatched")]
+
+
+def test_stair_schedules_stay_in_their_project(spark):
+    stairs = spark.createDataFrame([("A", "s1", None), ("B", "s1", None)], "project_id string, stair_id string, tread_m double")
+    rows = [("A", 0, "s1", 0, 0.3), ("B", 0, "s2", 1, None), ("B", 1, "s2", 1, 0.2), ("B", 2, "s9", 0, 0.1)]
+    sched = spark.createDataFrame(rows, "project_id string, entry_idx int, stair_id string, page_index int, tread_m double")
+    got = {(r.project_id, r.stair_id): (r.tread_m, r.materialised) for r in schedules.apply_stair_schedule(stairs, sched, ["project_id"], ["tread_m"]).collect()}
+    assert got == {("A", "s1"): (0.3, False), ("B", "s1"): (None, False), ("B", "s2"): (0.2, True), ("B", "s9"): (0.1, True)}
+    pages = spark.createDataFrame([("A", 0), ("B", 1)], "project_id string, page_index int")
+    found, rejects = schedules.stair_schedule_audit(stairs, sched, pages, ["project_id"], ["tread_m"])
+    assert sorted((r.project_id, r.entry_idx, r.status, r.empty) for r in found.collect()) == [("A", 0, "conflicted", False), ("B", 0, "materialised", True), ("B", 1, "conflicted", False)]
+    assert [(r.project_id, r.entry_idx) for r in rejects.collect()] == [("B", 2)]
+
+
+def test_page_queue_counts_within_a_run(spark):
+    issues = spark.createDataFrame([(run, 0, f"{run}{i}") for run in (1, 2) for i in range(4)], "run_id int, page_index int, issue_id string")
+    got = lifecycle.page_queue(issues).collect()
+    assert sorted((r.run_id, r.preview_id, r.omitted) for r in got) == [(run, f"sheet-0-preview-00{i}", 1) for run in (1, 2) for i in (1, 2, 3)]
 
 
 def test_tokens_and_numbers(spark):
