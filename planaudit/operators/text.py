@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from planaudit.sources.shared import written
 
 # Page types in order of precedence and their keywords.
 PAGE_KEYWORDS = {
@@ -27,6 +32,8 @@ FEET, LEAST_FEET = r"^(\d+)'-\d+\"$", 4
 K1, B = 1.5, 0.75
 #: Rows of (query, token) that are broadcast.
 MAX_ASKED = 500_000
+#: Postings that a query's rarest tokens read and documents scored first for each of its results; the part of a score that is left to common tokens; what scores may differ by rounding.
+FIRST, TRIED, WEAK, SLACK = 200, 5, 0.4, 1e-6
 # Patterns of tokens and numbers.
 CLAUSE_ID = r"[A-Za-z]{2,4}\d+(?:[-.]\d+)+"
 CJK_RUN = r"[一-鿿]+"
@@ -104,17 +111,24 @@ def split_pages(classified: DataFrame, pages: DataFrame, components: DataFrame,
     return kept.withColumns({c: F.coalesce(c, F.lit(0)) for c in COMPONENTS}), rows.where("reason is not null")
 
 
-def fold_width(col: Column) -> Column:
-    """Full-width ASCII forms and the ideographic space to their plain forms."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    return F.translate(col, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
+@F.arrow_udf(T.StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    """NFKC of each text, null for those that are in that form."""
+    return pa.array([None if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def fold_compatible(col: Column) -> Column:
+    """NFKC: compatibility forms (full and half width, ligatures, squared units, roman numerals) to plain ones, composed. Only texts beyond ASCII leave the JVM."""
+    return F.coalesce(_composed(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
 
 
 def tokenize(col: Column) -> Column:
     """T4: clause ids, CJK characters and pairs, and lower-cased words, in this order."""
-    text = fold_width(col)
-    ids = F.transform(F.regexp_extract_all(text, F.lit(CLAUSE_ID), F.lit(0)), lambda x: F.lower(x))
-    runs = F.regexp_extract_all(text, F.lit(CJK_RUN), F.lit(0))
+    text = fold_compatible(col)
+    none = F.array().cast("array<string>")
+    # most texts have neither, and a search for one character is quicker than one for all runs
+    ids = F.when(text.rlike(r"[A-Za-z]\d"), F.transform(F.regexp_extract_all(text, F.lit(CLAUSE_ID), F.lit(0)), lambda x: F.lower(x))).otherwise(none)
+    runs = F.when(text.rlike("[一-鿿]"), F.regexp_extract_all(text, F.lit(CJK_RUN), F.lit(0))).otherwise(none)
 
     def pieces(run: Column) -> Column:
         at = F.sequence(F.lit(1), F.length(run))
@@ -125,33 +139,69 @@ def tokenize(col: Column) -> Column:
     return F.concat(ids, F.flatten(F.transform(runs, pieces)), words)
 
 
+def _postings(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token, doc_id, len and f of the tokens named, and one row for each document with a null token; texts are read once."""
+    words = docs.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("t"))
+    none = F.array(F.lit(None).cast("string"))
+    words = words.select("doc_id", F.size("t").alias("len"), F.explode(F.concat(none, "t")).alias("token"))
+    named = words.join(tokens.withColumn("_asked", F.lit(True)), "token", "left").where("_asked or token is null")
+    return named.groupBy("token", "doc_id", "len").agg(F.count("*").alias("f"))
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_id and score > 0 of the best k; statistics cover all docs, candidates only restrict.
 
     docs(doc_id, text), queries(query_id, text). A token given twice in a query counts twice; ties go to the smaller id.
 
-    Documents are dealt once by id. While the queries have at most MAX_ASKED different
-    (query, token) rows, these and their statistics are broadcast, so a document's
-    scores are summed where it lies and only each task's best k of a query are
-    shuffled; beyond that the joins are shuffled by token.
+    Postings are written once. A query's rarest tokens give a first score to the documents that hold them; the best of
+    these are scored in full, and the k-th of these scores is one that a document must reach. The query's common tokens, whose
+    largest weights add up to less than a part of that, cannot lift a document there that lacks the rest: documents are
+    scored by the other tokens, and the common ones are looked up for those few that may still get there. While the queries have at most
+    MAX_ASKED different (query, token) rows, these and their statistics are broadcast; beyond that joins are shuffled.
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
+    asked = written(queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf")))
     small = asked.count() <= MAX_ASKED
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    words = docs.select("doc_id", tokenize(F.col("text")).alias("t")).repartition("doc_id").withColumn("len", F.size("t"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = words.select("doc_id", "len", F.explode("t").alias("token")).join(sent(asked.select("token").distinct()), "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count("*").alias("f"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    postings = written(_postings(docs, sent(asked.select("token").distinct())))
+    stats = postings.where("token is null").agg(F.sum("f").alias("n"), (F.sum(F.col("len") * F.col("f")) / F.sum("f")).alias("mean"))
+    held = postings.where("token is not null")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    weighted = tf.join(sent(df), "token").join(F.broadcast(stats), F.lit(True)).select("doc_id", "token", weight.alias("w"))
+    weighted = held.join(sent(df), "token").join(F.broadcast(stats), F.lit(True)).select("token", "doc_id", weight.alias("w"))
     if candidates is not None:
-        weighted = weighted.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    scores = weighted.join(sent(asked), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score")).where("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+        weighted = weighted.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    weighted = written(weighted)
+    known = weighted.groupBy("token").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    terms = asked.join(sent(known), "token").select("query_id", "token", "qf", "df", (F.col("most") * F.col("qf")).alias("most"))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        return weighted.join(sent(chosen.select("query_id", "token", "qf")), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+
+    def looked_up(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+        rows = pairs.select("query_id", "doc_id").join(sent(chosen.select("query_id", "token", "qf")), "query_id").join(weighted, ["doc_id", "token"])
+        return rows.select("query_id", "doc_id", (F.col("w") * F.col("qf")).alias("score"))
+
+    per_query = Window.partitionBy("query_id")
+    rarest = per_query.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    rare = terms.withColumn("read", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("read") < FIRST * k)
+    tried = scored(rare).withColumn("at", F.row_number().over(per_query.orderBy(F.desc("score"), "doc_id"))).where(F.col("at") <= TRIED * k)
+    reached = looked_up(tried.select("query_id", "doc_id"), terms).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    reached = reached.withColumn("at", F.row_number().over(per_query.orderBy(F.desc("score")))).where(F.col("at") == k)
+    bound = reached.select("query_id", (F.col("score") - SLACK).alias("least"))
+    weakest = per_query.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    terms = written(terms.join(bound, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("below", F.sum("most").over(weakest)))
+    weak = F.col("below") < WEAK * F.col("least")
+    lift = terms.where(weak).groupBy("query_id").agg(F.max("below").alias("lift"))
+    least = terms.groupBy("query_id").agg(F.first("least").alias("least"))
+    strong = scored(terms.where(~weak)).join(sent(least), "query_id").join(sent(lift), "query_id", "left")
+    strong = written(strong.where(F.col("score") + F.coalesce("lift", F.lit(0.0)) >= F.col("least")).select("query_id", "doc_id", "score"))
+    parts = strong.unionByName(looked_up(strong, terms.where(weak)))
+    scores = parts.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")).where("score > 0")
+    best = per_query.orderBy(F.desc(F.round("score", 9)), "doc_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

@@ -608,7 +608,21 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.classify_pages(counted).select("doc_id", "page_type", "confidence", "n_keywords", F.array_join("evidence", "|").alias("evidence"))
 
 
-query("t4_tokens", "SELECT item_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n_tokens FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(text.tokenize(F.col("text"))).cast("long").alias("n_tokens")))
+query(
+    "t4_tokens",
+    "SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), ' ') AS tokens FROM benchmark",
+)(lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens")))
+# what stands in a text, and the tokens that it gives
+_FORMS = [("ⅷ Ⅻ", "viii xii"), ("㎡ ㎜", "m2 mm"), ("ﾄﾞｱ ﾊﾟﾈﾙ", ""), ("㈱ ㍿", "株 株 式 会 社 株式 式会 会社"), ("ﬁre ｅｘｉｔ", "fire exit"), ("２４ ½", "24 1 2"), ("①② ⑩", "12 10"), ("GB５００９６－5．5．2", "gb50096-5.5.2 gb50096 5 5 2")]
+query(
+    "t4_compatible_tokens",
+    f"SELECT p_partkey, trim(concat({[t for _, t in _FORMS]}[p_partkey % {len(_FORMS)} + 1], ' ', lower(split_part(p_brand, '#', 1)), ' ', split_part(p_brand, '#', 2))) AS tokens FROM part",
+)(
+    lambda s, d: table(s, d, "part").select(
+        "p_partkey",
+        F.array_join(text.tokenize(F.concat(F.element_at(F.lit([t for t, _ in _FORMS]), (F.col("p_partkey") % len(_FORMS) + 1).cast("int")), F.lit(" "), F.col("p_brand"))), " ").alias("tokens"),
+    )
+)
 query("t4_mixed_tokens", "SELECT p_partkey, concat_ws(' ', concat('gb50096-5.5.', p_size), '净 宽 度 净宽 宽度 门 gb50096 5 5', p_size, lower(split_part(p_brand, '#', 1)), split_part(p_brand, '#', 2), 'door') AS tokens FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(text.tokenize(F.concat(F.lit("GB50096-5.5."), "p_size", F.lit(" 净宽度："), "p_brand", F.lit("　门 ＤＯＯＲ"))), " ").alias("tokens"))
 )

@@ -1,3 +1,9 @@
+import math
+import random
+import unicodedata
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from planaudit.operators import feedback, geometry, lifecycle, maintain, schedules, text
@@ -125,3 +131,39 @@ def test_posterior_stream_equals_batch(spark, tmp_path):
     got = {r.rule_id: (r.c, r.r) for r in spark.table("posterior").groupBy("rule_id").agg(F.max("confirms").alias("c"), F.max("rejects").alias("r")).collect()}
     want = {r.rule_id: (r.c, r.r) for r in rows.groupBy("rule_id").agg(F.count_if(F.col("event_type") == "confirm").alias("c"), F.count_if(F.col("event_type") == "reject").alias("r")).collect()}
     assert got == want
+
+
+def test_compatible_forms_are_folded_as_in_the_standard(spark):
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    got = text._composed.func(pa.array([*every, None])).to_pylist()
+    assert [c if g is None else g for c, g in zip(every, got)] == [unicodedata.normalize("NFKC", c) for c in every] and got[-1] is None
+    rng = random.Random(4)
+    forms = [c for c in every if unicodedata.normalize("NFKC", c) != c] + list("aeo é́̈ｶﾞ가각")
+    mixes = ["".join(rng.choices(forms, k=rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(m,) for m in [*mixes, None, "plain"]], "t string")
+    assert [r[0] for r in df.select(text.fold_compatible(F.col("t"))).collect()] == [*[unicodedata.normalize("NFKC", m) for m in mixes], None, "plain"]
+
+
+def test_best_documents_agree_with_a_plain_search(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    share = [1 / (i + 1) for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, share, k=rng.randint(0, 60)))) for i in range(150)] + [(150, None), (151, "w1 w1 w2")]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(25)] + [(30, "w1 w2"), (31, "none")]
+    tokens = {d: (t or "").split() for d, t in docs}
+    mean = sum(map(len, tokens.values())) / len(docs)
+    df = Counter(w for t in tokens.values() for w in set(t))
+    idf = {w: math.log((len(docs) - n + 0.5) / (n + 0.5) + 1) for w, n in df.items()}
+    for only in (None, 3):
+        want = {}
+        for q, asked in queries:
+            found = []
+            for d, t in tokens.items():
+                f = Counter(t)
+                s = sum(idf.get(w, 0) * f[w] * 2.5 / (f[w] + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in asked.split())
+                found += [(-round(s, 9), d)] if s > 0 and (only is None or d % only == 0) else []
+            want |= {(q, i): (d, -s) for i, (s, d) in enumerate(sorted(found)[:4], 1)}
+        rows = spark.createDataFrame(docs, "doc_id long, text string")
+        some = rows.where(F.col("doc_id") % only == 0) if only else None
+        got = text.bm25_search(rows, spark.createDataFrame(queries, "query_id long, text string"), 4, some).collect()
+        assert {(r.query_id, r.rank): (r.doc_id, round(r.score, 6)) for r in got} == {k: (d, round(s, 6)) for k, (d, s) in want.items()}
