@@ -15,20 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planaudit.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from planaudit.llm.common import materialize
+from planaudit.llm.common import materialize, without
 from planaudit.llm.queries import trusted
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in gone(doc_id)."""
-    out = gone.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(out, docs["doc_id"] == F.col("_gone"), "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose perplexity is within the limits of their language."""
     judged = quality.classify(docs, trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return _without(docs, judged.where("not keep"))
+    return without(docs, judged.where("not keep"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +33,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    return _without(docs, near_dedup.near_duplicates(docs, percent=80).where("not kept"))
+    return without(docs, near_dedup.near_duplicates(docs, percent=80).where("not kept"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = decontaminate.split_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, decontaminate.contaminated(docs, items))
+    return without(docs, decontaminate.contaminated(docs, items))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

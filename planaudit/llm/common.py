@@ -31,6 +31,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in gone(doc_id); rows with a null id stay."""
+    out = free_name(docs, "_gone")
+    return docs.join(gone.where("doc_id is not null").select(F.col("doc_id").alias(out)).distinct(), docs[id_col] == F.col(out), "left_anti")
+
+
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows left join table, which has each combination of keys once, with no key shuffled that holds over a thousandth of the rows.
 

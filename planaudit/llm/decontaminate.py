@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planaudit.llm import textops as tx
+from planaudit.llm.common import without
 
 PIECE, PASSAGE, STRIDE = 64, 128, 64
 K1, B = 1.2, 0.75
@@ -219,5 +220,4 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """docs without those that hold a test item; rows with a null id stay."""
-    bad = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_id"), "left_anti")
+    return without(docs, contaminated(docs, items, id_col=id_col, **options), id_col)

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planaudit.llm import textops as tx
+from planaudit.llm.common import materialize
 
 PROFILE = 300
-MAX_LANGUAGES = 1000
+LANGUAGES_PER_PASS = 2000
 UNDETERMINED = "und"
 EDGE = tx.U(1)
 
@@ -83,36 +84,55 @@ def train_profiles(docs: DataFrame, size: int = PROFILE, lang_col: str = "lang",
     """lang, gram and rank (from 0) of the `size` most frequent n-grams of each language; ties go to the smaller code."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_learn, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # every task cuts its own n-grams of a language to `size` before they are gathered
+    # a bound on the row number itself lets every task cut its own n-grams of a language before they are gathered
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < size)
-    return top.select("lang", "gram", "rank")
-
-
-def _predict(batches: Iterator[pa.RecordBatch], names: list[str], grams: np.ndarray, ranks: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-    """ranks[i, j]: rank of grams[i] in the profile of language j, or `size` if absent."""
+    top = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)
+    return top.select("lang", "gram", (F.col("place") - 1).alias("rank"))
+
+
+class Profiles:
+    """Some languages' profiles by n-gram: for each n-gram in order, the languages that have it and its ranks there."""
+
+    def __init__(self, names: list[str], lang: np.ndarray, gram: np.ndarray, rank: np.ndarray) -> None:
+        self.names = names
+        order = np.argsort(gram, kind="stable")
+        self.grams, first = np.unique(gram[order], return_index=True)
+        self.at = np.append(first, len(gram))
+        self.lang, self.rank = lang[order].astype(np.int32), rank[order].astype(np.int32)
+
+    def distances(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """Out-of-place distance of a document's n-grams in rank order to each language."""
+        own = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+        known = np.flatnonzero(self.grams[own] == keys)
+        begin, count = self.at[own[known]], self.at[own[known] + 1] - self.at[own[known]]
+        rows = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        saved = size - np.abs(self.rank[rows] - np.repeat(known, count))
+        return len(keys) * size - np.bincount(self.lang[rows], np.maximum(saved, 0), len(self.names)).astype(np.int64)
+
+
+def _ranked(text: str, size: int) -> np.ndarray:
+    """A text's `size` most frequent n-grams in rank order."""
+    keys, counts = ngrams(text)
+    if len(keys) > size:
+        least = np.partition(counts, len(counts) - size)[len(counts) - size]
+        often = counts >= least
+        keys, counts = keys[often], counts[often]
+    return keys[np.argsort(-counts, kind="stable")][:size]
+
+
+def _nearer(batches: Iterator[pa.RecordBatch], profiles: Profiles, size: int) -> Iterator[pa.RecordBatch]:
+    """lang_pred and far (a share of the largest distance) of (doc_id, text, held_out, lang_pred, far), where these languages are nearer."""
     for batch in batches:
-        lang, score = [], []
-        for text in batch.column(1).to_pylist():
-            keys, counts = ngrams(text or "")
-            if not len(keys) or not names:
-                lang.append(UNDETERMINED)
-                score.append(0.0)
-                continue
-            if len(keys) > size:
-                least = np.partition(counts, len(counts) - size)[len(counts) - size]
-                often = counts >= least
-                keys, counts = keys[often], counts[often]
-            keys = keys[np.argsort(-counts, kind="stable")][:size]
-            at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-            there = ranks[at]
-            there[grams[at] != keys] = size
-            own = np.arange(len(keys))[:, None]
-            distance = np.where(there < size, np.abs(there - own), size).sum(axis=0)
-            best = int(distance.argmin())
-            lang.append(names[best])
-            score.append(1.0 - float(distance[best]) / (len(keys) * size))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        lang, far = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            keys = _ranked(text or "", size)
+            if len(keys):
+                distance = profiles.distances(keys, size)
+                best = int(distance.argmin())
+                share = float(distance[best]) / (len(keys) * size)
+                if lang[i] == UNDETERMINED or share < far[i]:
+                    lang[i], far[i] = profiles.names[best], share
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lang, pa.string()), pa.array(far, pa.float64())], names=["doc_id", "text", "held_out", "lang_pred", "far"])
 
 
 def identify_languages(docs: DataFrame, size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -124,17 +144,18 @@ def identify_languages(docs: DataFrame, size: int = PROFILE, id_col: str = "doc_
     from. Ties go to the language first in code-point order. Long texts are read
     whole. Rows with a null id are not held out; equal ids come back one by one.
     Other columns are ignored, whatever their names. An empty table gives an empty
-    result. At most 1000 languages of 300 n-grams are broadcast; more is an error.
+    result. The profiles of up to 2000 languages (16 bytes for each n-gram) are sent to
+    the tasks at once; the texts are read once for each such part of the languages.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
-    found = train_profiles(rows.where("not held_out"), size).limit(MAX_LANGUAGES * size + 1).toPandas()
-    if len(found) > MAX_LANGUAGES * size:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = sorted(found["lang"].unique().tolist())
-    grams = np.unique(found["gram"].to_numpy(np.int64).view(np.uint64))
-    ranks = np.full((max(len(grams), 1), max(len(names), 1)), size, np.int64)
-    if names:
-        ranks[np.searchsorted(grams, found["gram"].to_numpy(np.int64).view(np.uint64)), [names.index(x) for x in found["lang"]]] = found["rank"]
+    profiles = materialize(train_profiles(rows.where("not held_out"), size))
+    names = sorted(r.lang for r in profiles.select("lang").distinct().collect())
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("doc_id", "text", "held_out").mapInArrow(lambda it: _predict(it, names, grams, ranks, size), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    out = rows.select("doc_id", "text", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(1.0).alias("far"))
+    for low in range(0, len(names), LANGUAGES_PER_PASS):
+        own = names[low : low + LANGUAGES_PER_PASS]
+        found = profiles.where(F.col("lang").between(own[0], own[-1])).toPandas()
+        part = Profiles(own, np.searchsorted(np.array(own, object), found["lang"].to_numpy(object)), found["gram"].to_numpy(np.int64).view(np.uint64), found["rank"].to_numpy(np.int64))
+        out = (materialize(out) if low else out).mapInArrow(lambda it, part=part: _nearer(it, part, size), f"doc_id {kind}, text string, held_out boolean, lang_pred string, far double")
+    return out.select("doc_id", "held_out", "lang_pred", (1.0 - F.col("far")).alias("score"))

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planaudit.llm.common import connected_components, materialize
+from planaudit.llm.common import connected_components, free_name, materialize
 
 SHINGLE = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
 BANDS, DEPTH = 6, 3
@@ -210,7 +210,9 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_i
     keeps its blank lines. A null text and the text of a row with a null id stay
     as they are. Of rows with an equal id each loses its own lines.
     """
-    gone = line_components(docs, percent, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("line_no", "same")).alias("_gone"))
-    both = docs.join(gone, docs[id_col] == F.col("_id"), "left")
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(x).alias("same")))), "\n")
-    return both.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(text)).select(*[F.col("_new").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    place, lost, left = (free_name(docs, c) for c in ("_id", "_gone", "_left"))
+    gone = line_components(docs, percent, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias(place)).agg(F.collect_set(F.struct("line_no", "same")).alias(lost))
+    both = docs.join(gone, docs[id_col] == F.col(place), "left")
+    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(lost, F.struct(i.alias("line_no"), F.xxhash64(x).alias("same")))), "\n")
+    both = both.withColumn(left, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(text))
+    return both.select(*[F.col(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

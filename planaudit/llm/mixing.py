@@ -9,7 +9,9 @@ nearest its target.
 
 The prefix sum needs a document's rank in its source. No source is sorted in one
 task: rows are counted in buckets of size and id range, the bucket counts are
-summed up, and only a bucket is ordered. A source has at most 4097 * 64 buckets.
+summed up, and only a bucket is ordered. The ranges of ids are cut at quantiles, so a
+source has at most 64 buckets for each size of text, and no bucket has much more than
+a 64th of all rows. The table of sources is ordered in one task, as weights go by place.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planaudit.llm.common import materialize
+from planaudit.llm.common import free_name, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-CLASSES, CHUNKS = 4096, 64
+CHUNKS = 64
 DRAWS = 32
 
 
@@ -69,15 +71,16 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: flo
     """
     # texts are read once
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
-    span = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, width = (span[0] or 0), max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // CHUNKS))
-    rows = rows.withColumn("class", F.least("size", F.lit(CLASSES))).withColumn("chunk", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("int"))
-    buckets = rows.groupBy("source", "class", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    # ranges of ids with about as many rows each; they bound the buckets and do not change the ranks
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / CHUNKS for k in range(1, CHUNKS)])).first()[0] or []))
+    chunk = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
+    rows = rows.withColumn("chunk", F.coalesce(chunk, F.lit(-1)))
+    buckets = rows.groupBy("source", "size", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     wanted = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeats)
-    ahead = Window.partitionBy("source").orderBy("class", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("chunk").alias("k"), "ahead")
-    inside = Window.partitionBy("source", "class", "chunk").orderBy("size", "doc_id")
-    ranked = rows.withColumn("rank", F.row_number().over(inside)).join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("chunk") == F.col("k")))
+    ahead = Window.partitionBy("source").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select(F.col("source").alias("s"), F.col("size").alias("c"), F.col("chunk").alias("k"), "ahead")
+    inside = Window.partitionBy("source", "size", "chunk").orderBy("doc_id")
+    ranked = rows.withColumn("rank", F.row_number().over(inside)).join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("c")) & (F.col("chunk") == F.col("k")))
     ranked = ranked.select("doc_id", "source", "size", (F.col("rank") + F.col("ahead")).cast("double").alias("rank"))
     both = ranked.join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
@@ -103,6 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame
     A column of that name is replaced. Rows that share an id are each taken as often
     as the one of them that the plan takes most.
     """
-    plan = plan_mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_id", "_copies")
+    place, times = free_name(docs, "_id"), free_name(docs, "_copies")
+    plan = plan_mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias(place)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    taken = docs.join(plan, docs[id_col].eqNullSafe(F.col(place)))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(place, times)

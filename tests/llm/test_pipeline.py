@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from planaudit.llm import mixing
@@ -88,3 +89,17 @@ def test_empty_tables(spark, corpus, tmp_path):
     # without labels nothing trains: only texts without characters go
     assert set(ids(docs)) - set(ids(corpus_pipeline.quality_stage(spark, docs, none))) == {206, 207}
     assert ids(corpus_pipeline.benchmark_stage(spark, docs, none)) == ids(docs)
+
+
+def test_columns_named_like_the_helpers_are_carried_along(spark, corpus):
+    path, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    names = ["_id", "_gone", "_copies", "_new", "_left", "Copy"]
+    plain = docs
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES:
+        docs, plain = (stage(spark, x, path) for x in (docs, plain))
+    assert set(names) <= set(docs.columns) | {"Copy"}
+    assert Counter(r.doc_id for r in docs.collect()) == Counter(r.doc_id for r in plain.collect())
+    assert docs.where(F.col("_id") != F.concat(F.lit("_id"), F.col("doc_id").cast("string"))).count() == 0
