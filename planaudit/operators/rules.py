@@ -17,8 +17,8 @@ from planaudit.functions.predicates import bind_inputs, measured, predicate_colu
 
 # Readiness tiers.
 TIERS = ["AUTODETECTABLE", "PARTIAL_AUTODETECT", "PROJECT_META_DRIVEN", "REMINDER_BY_DESIGN", "STAIR_PENDING"]
-#: Clause references that one table of rules may have: it is broadcast as one row.
-MAX_LINKS = 100_000
+#: What applicability depends on, and into how many parts rules are dealt where profiles meet all of them.
+PROFILE, SLOTS = ["building_type", "height_class"], 64
 
 
 def _outcomes(rows: DataFrame, rules: list[dict], default_severity: str) -> Column:
@@ -68,38 +68,61 @@ def resolve_evidence(issues: DataFrame, clauses: DataFrame) -> DataFrame:
     return issues.join(known, "clause_id", "left").withColumn("threshold_value", F.coalesce("threshold_value", "_t")).drop("_t")
 
 
+def _links(rules: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Clause references of rules with the scope of their clauses; a rule without any has one with a null place."""
+    scope = clauses.select("clause_id", F.lit(True).alias("known"), "applies_to_building_type", "applies_to_height_class")
+    return rules.select("rule_id", F.posexplode_outer("source_clause_ids").alias("at", "clause_id")).join(scope, "clause_id", "left")
+
+
+def _profiles(projects: DataFrame) -> DataFrame:
+    """The distinct combinations of what applicability depends on."""
+    return projects.select(*PROFILE).distinct()
+
+
+def _applicable(links: DataFrame, profiles: DataFrame) -> DataFrame:
+    """PROFILE and rule_id of the rules that apply to each profile, found by building type and, where a clause names any, height class."""
+    index = links.select("rule_id", F.explode("applies_to_building_type").alias("building_type"), "applies_to_height_class")
+    whole = index.where("applies_to_height_class is null").select("building_type", "rule_id").distinct()
+    named = index.select("building_type", F.explode("applies_to_height_class").alias("height_class"), "rule_id").distinct()
+    return profiles.join(whole, "building_type").unionByName(profiles.join(named, PROFILE)).select(*PROFILE, "rule_id").distinct()
+
+
+def _of_projects(projects: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows of a profile for every project that has it."""
+    mine = projects.select("project_id", *[F.col(c).alias(f"_{c}") for c in PROFILE])
+    same = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in PROFILE])
+    return mine.join(rows, same).drop(*PROFILE, *[f"_{c}" for c in PROFILE])
+
+
 def applicable_rules(rules: DataFrame, clauses: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project_id, rule_id) where any source clause allows the building type and, if it names any, the height class."""
-    links = rules.select("rule_id", F.explode("source_clause_ids").alias("clause_id")).join(clauses, "clause_id")
-    fits = F.array_contains("applies_to_building_type", F.col("building_type")) & (F.col("applies_to_height_class").isNull() | F.coalesce(F.array_contains("applies_to_height_class", F.col("height_class")), F.lit(False)))
-    return projects.select("project_id", "building_type", "height_class").join(links, fits).select("project_id", "rule_id").distinct()
+    """(project_id, rule_id) where any source clause allows the building type and, if it names any, the height class.
+
+    Rules are resolved once for each distinct profile of projects. A project without a building type has none.
+    """
+    return _of_projects(projects, _applicable(_links(rules, clauses), _profiles(projects))).select("project_id", "rule_id").distinct()
 
 
 def skip_reasons(rules: DataFrame, clauses: DataFrame, projects: DataFrame) -> DataFrame:
     """R2: project_id, rule_id and one reason text, in clause order, for every rule that does not apply.
 
-    The rules with their clauses are knowledge, of which there is one row here: a
-    project reads it as an array, up to MAX_LINKS clause references.
+    Reasons are put together once for each distinct profile. Every profile meets every rule, as a rule that does not
+    apply is a row of the result: rules are dealt into SLOTS by hash, and profiles stand in all of them.
     """
-    scope = clauses.select("clause_id", F.lit(True).alias("known"), "applies_to_building_type", "applies_to_height_class")
-    links = rules.select("rule_id", F.posexplode("source_clause_ids").alias("at", "clause_id")).join(scope, "clause_id", "left")
-    links = links.limit(MAX_LINKS + 1).groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("at", "clause_id", "known", "applies_to_building_type", "applies_to_height_class"))).alias("clauses"))
-    table = links.agg(F.collect_list(F.struct("rule_id", "clauses")).alias("rules"), F.sum(F.size("clauses")).alias("_n"))
-    table = table.select(F.when(F.coalesce("_n", F.lit(0)) <= MAX_LINKS, F.col("rules")).otherwise(F.raise_error(F.lit("too many clause references for one table of rules")).cast(table.schema["rules"].dataType)).alias("rules"))
-    build, height = F.col("building_type"), F.col("height_class")
-
-    def fits(c: Column) -> Column:
-        allowed = c["applies_to_height_class"].isNull() | F.coalesce(F.array_contains(c["applies_to_height_class"], height), F.lit(False))
-        return F.coalesce(c["known"] & F.array_contains(c["applies_to_building_type"], build) & allowed, F.lit(False))
-
-    def reason(c: Column) -> Column:
-        unknown, covered = c["applies_to_building_type"].isNull(), F.array_contains(c["applies_to_building_type"], build)
-        return F.when(unknown, F.concat(c["clause_id"], F.lit(": unknown clause"))).when(~covered, F.concat(c["clause_id"], F.lit(": building type "), build, F.lit(" not covered"))).otherwise(F.concat(c["clause_id"], F.lit(": height class "), F.coalesce(height, F.lit("?")), F.lit(" not covered")))
-
-    # the table of rules is one row
-    both = projects.select("project_id", "building_type", "height_class").join(F.broadcast(table), F.lit(True))
-    left = both.select("project_id", "building_type", "height_class", F.explode(F.filter("rules", lambda r: ~F.exists(r["clauses"], fits))).alias("r"))
-    return left.select("project_id", "r.rule_id", F.array_join(F.transform("r.clauses", reason), "; ").alias("reason"))
+    links, profiles = _links(rules, clauses), _profiles(projects)
+    dealt = rules.select("rule_id", F.pmod(F.xxhash64("rule_id"), F.lit(SLOTS)).cast("int").alias("slot")).distinct()
+    met = profiles.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).join(dealt, "slot").select(*PROFILE, "rule_id")
+    known = _applicable(links, profiles).select(*[F.col(c).alias(f"_{c}") for c in PROFILE], F.col("rule_id").alias("_rule"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PROFILE])
+    left = met.join(known, same & (F.col("rule_id") == F.col("_rule")), "left_anti").join(links, "rule_id")
+    build, height = (F.coalesce(c, F.lit("?")) for c in PROFILE)
+    covered = F.coalesce(F.array_contains("applies_to_building_type", F.col("building_type")), F.lit(False))
+    reason = F.when(F.col("at").isNull(), F.lit("no source clause"))
+    reason = reason.when(F.col("known").isNull(), F.concat("clause_id", F.lit(": unknown clause")))
+    reason = reason.when(~covered, F.concat("clause_id", F.lit(": building type "), build, F.lit(" not covered")))
+    reason = reason.otherwise(F.concat("clause_id", F.lit(": height class "), height, F.lit(" not covered")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", reason.alias("text")))), lambda x: x["text"])
+    reasons = left.groupBy(*PROFILE, "rule_id").agg(F.array_join(texts, "; ").alias("reason"))
+    return _of_projects(projects, reasons).select("project_id", "rule_id", "reason")
 
 
 def clean_bbox(issues: DataFrame) -> DataFrame:

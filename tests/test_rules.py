@@ -67,3 +67,36 @@ def test_selftest_finds_the_wrong_case(spark):
     rows = spark.createDataFrame([("R", "ok", 2.0, True), ("R", "bad", 0.5, True)], "rule_id string, case_name string, w double, expect_pass boolean")
     rule = [{"rule_id": "R", "applies_to": "Room", "inputs": ["w"], "logic_expression": "w >= 1"}]
     assert [r.case_name for r in rules.rule_selftest(rows, rule).collect()] == ["bad"]
+
+
+def test_applicability_by_profile_agrees_with_each_project(spark):
+    rng = random.Random(3)
+    kinds, heights = ["house", "office", "school"], ["low", "high", "tower"]
+    known = {f"c{i}": (rng.sample(kinds, rng.randint(0, 2)), rng.choice([None, [], ["low"], ["high", "tower"]])) for i in range(12)}
+    cards = {f"r{i}": [f"c{rng.randint(0, 14)}" for _ in range(rng.randint(0, 3))] for i in range(20)}
+    projects = {i: (rng.choice([*kinds, None]), rng.choice([*heights, None])) for i in range(40)}
+
+    def fits(c, kind, height):
+        return c in known and kind in known[c][0] and (known[c][1] is None or height in known[c][1])
+
+    def said(c, kind, height):
+        if c not in known:
+            return f"{c}: unknown clause"
+        return f"{c}: building type {kind or '?'} not covered" if kind not in known[c][0] else f"{c}: height class {height or '?'} not covered"
+
+    want = {(p, r) for p, v in projects.items() for r, cs in cards.items() if any(fits(c, *v) for c in cs)}
+    skips = {(p, r): "; ".join(said(c, *v) for c in cards[r]) or "no source clause" for p, v in projects.items() for r in cards if (p, r) not in want}
+    rule_table = spark.createDataFrame(list(cards.items()), "rule_id string, source_clause_ids array<string>")
+    clause_table = spark.createDataFrame([(c, *v) for c, v in known.items()], "clause_id string, applies_to_building_type array<string>, applies_to_height_class array<string>")
+    project_table = spark.createDataFrame([(p, *v) for p, v in projects.items()], "project_id long, building_type string, height_class string")
+    tables = (rule_table, clause_table, project_table)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, left = rules.applicable_rules(*tables), rules.skip_reasons(*tables)
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+        assert {(r.project_id, r.rule_id): r.reason for r in left.collect()} == skips and left.count() == len(skips)
+        for df in (found, left):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
