@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planaudit.operators.geometry import points_in_polygons
 from planaudit.operators.text import normalize_labels, numbers
+from planaudit.sources.shared import written
+
+#: Runs of a page in which section numbers can stand.
+NUMBERED = re.compile(r"[0-9A-Za-z]+(?:\.[0-9A-Za-z]*)+")
 
 # Keywords of a clause in order, with the rule's scope and inputs.
 SCOPES = [
@@ -34,13 +41,46 @@ def _any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+def _marks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """Of pages (source, page_index, text), everything in a run of letters, digits and dots that may be a section number.
+
+    at: where it stands; head: where the line break and blanks before it begin, if it can be a heading.
+    """
+    for batch in batches:
+        rows: dict[str, list] = {"row": [], "mark": [], "at": [], "head": []}
+        for row, text in enumerate(batch.column(2).to_pylist()):
+            for run in NUMBERED.finditer(text or ""):
+                word, begin = run.group(), run.start()
+                if not re.search("[0-9]", word):
+                    continue
+                blank = begin
+                while blank and text[blank - 1].isspace():
+                    blank -= 1
+                head = 0 if blank == 0 else text.find("\n", blank, begin)
+                for i in range(len(word)):
+                    for j in range(i + 3, min(len(word), i + longest) + 1):
+                        mark = word[i:j]
+                        if mark[0] != "." and "." in mark and (mark[-1] == "." or mark[-1].isdigit()):
+                            rows["row"].append(row)
+                            rows["mark"].append(mark)
+                            rows["at"].append(begin + i)
+                            rows["head"].append(head if i == 0 and head >= 0 and not text[begin + j : begin + j + 1].isdecimal() else None)
+        own = pa.array(rows["row"], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(rows["mark"], pa.string()), pa.array(rows["at"], pa.int32()), pa.array(rows["head"], pa.int32())], names=["source", "page_index", "mark", "at", "head"])
+
+
 def source_coverage(clauses: DataFrame, page_texts: DataFrame) -> DataFrame:
     """clause_id, numbers only in the source's body of a paraphrased clause, numbers only in its text, body length.
 
     clauses: clause_id (code-path, as STD-5.5.27), source, clause_text, paraphrase; page_texts: source, page_index, text.
     The body starts at the heading, a line that begins with the path, and ends before the next sibling, else before the
-    next section, on the first page that has either. Only those pages of a source are put together. The last part of the
-    clause's own path is no number of the body. A clause without a body gives no row.
+    next section, on the first page that has either; pages between are whole. The last part of the clause's own path is
+    no number of the body. A clause without a body gives no row. Paths are of ASCII letters, digits and dots, and none
+    is looked for across the end of a page.
+
+    Every page is searched once for all that may be a section number; these marks, not texts, meet the clauses. The end
+    of a clause is the next mark behind its start, in order of page and place. Each page then gets the places at which
+    to cut it for all clauses at once, so its text is moved once however many clauses cite its source.
     """
     path = F.regexp_replace("clause_id", "^[^-]*-", "")
     parts = F.split("path", r"\.")
@@ -49,21 +89,38 @@ def source_coverage(clauses: DataFrame, page_texts: DataFrame) -> DataFrame:
     wanted = clauses.where("paraphrase").withColumn("path", path).withColumn("parts", parts).where((n > 1) & leaf.rlike(r"^\d+$"))
     wanted = wanted.withColumn("sibling", F.array_join(F.concat(F.slice("parts", F.lit(1), n - 1), F.array((leaf.cast("int") + 1).cast("string"))), "."))
     wanted = wanted.withColumn("section", F.concat(F.array_join(F.concat(F.slice("parts", F.lit(1), F.greatest(n - 2, F.lit(0))), F.array((up + 1).cast("string"))), "."), F.lit(".")))
-    wanted = wanted.withColumn("heading", F.concat(F.lit(r"(?:^|\n)\s*"), F.replace("path", F.lit("."), F.lit(r"\.")), F.lit(r"(?!\d)")))
-    pages = page_texts.select("source", "page_index", "text").join(wanted.select("clause_id", "source", "path", "sibling", "section", "heading"), "source")
-    pages = pages.withColumn("at", F.regexp_instr("text", F.col("heading")))
-    first = Window.partitionBy("clause_id")
-    pages = pages.withColumn("start", F.min(F.when(F.col("at") > 0, F.col("page_index"))).over(first)).where("page_index >= start")
-    text = F.when(F.col("page_index") == F.col("start"), F.substring("text", F.col("at"), F.length("text"))).otherwise(F.col("text"))
-    skip = F.when(F.col("page_index") == F.col("start"), F.length("path") + 1).otherwise(1)
-    cut = [F.call_function("locate", F.col(c), F.col("piece"), skip) for c in ("sibling", "section")]
-    pages = pages.withColumn("piece", text).withColumn("cut", F.coalesce(F.nullif(cut[0], F.lit(0)), F.nullif(cut[1], F.lit(0))))
-    pages = pages.withColumn("end", F.min(F.when(F.col("cut").isNotNull(), F.col("page_index"))).over(first)).where("end is null or page_index <= end")
-    piece = F.when(F.col("page_index") == F.col("end"), F.substring("piece", F.lit(1), F.col("cut") - 1)).otherwise(F.col("piece"))
-    body = pages.groupBy("clause_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", piece.alias("t")))), lambda v: v["t"]), "").alias("body"))
+    longest = wanted.agg(F.max(F.greatest(F.length("path"), F.length("sibling"), F.length("section")))).first()[0] or 0
+    pages = page_texts.select("source", "page_index", "text")
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
+    marks = pages.mapInArrow(lambda it: _marks(it, longest), f"source {kinds['source']}, page_index {kinds['page_index']}, mark string, at int, head int")
+    known = wanted.select("source", F.explode(F.array("path", "sibling", "section")).alias("mark")).distinct()
+    marks = written(marks.join(known, ["source", "mark"], "left_semi"))
+    heads = marks.where("head is not null").groupBy("source", F.col("mark").alias("path")).agg(F.min(F.struct("page_index", "head")).alias("start"))
+    begun = written(wanted.join(heads, ["source", "path"]).select("clause_id", "source", "path", "sibling", "section", "start"))
+    # where a clause looks ahead from, among the marks that end it, latest first
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.col(c).alias("mark")) for k, c in enumerate(("sibling", "section"))])).alias("m")
+    asked = begun.select("source", "clause_id", "start.page_index", (F.col("start.head") + F.length("path")).cast("int").alias("at"), names).where("m.mark is not null")
+    asked = asked.select("source", "m.mark", "page_index", "at", "clause_id", "m.rank", F.lit(0).alias("found"))
+    seen = marks.select("source", "mark", "page_index", "at", F.lit(None).cast(wanted.schema["clause_id"].dataType).alias("clause_id"), F.lit(None).cast("int").alias("rank"), F.lit(1).alias("found"))
+    ahead = Window.partitionBy("source", "mark").orderBy(F.desc("page_index"), F.desc("at"), F.desc("found")).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.last(F.when(F.col("found") == 1, F.struct("page_index", "at")), ignorenulls=True).over(ahead)
+    ends = asked.unionByName(seen).withColumn("next", place).where("found = 0 and next is not null")
+    ends = ends.groupBy("clause_id", "source").agg(F.min(F.struct("next.page_index", "rank", "next.at")).alias("end"))
+    last = pages.groupBy("source").agg(F.max("page_index").alias("last"))
+    spans = begun.join(ends, ["clause_id", "source"], "left").join(last, "source")
+    spans = spans.select("clause_id", "source", "start", "end", F.explode(F.sequence(F.col("start.page_index"), F.coalesce("end.page_index", "last"))).alias("page_index"))
+    low = F.when(F.col("page_index") == F.col("start.page_index"), F.col("start.head")).otherwise(0)
+    high = F.when(F.col("page_index") == F.col("end.page_index"), F.col("end.at"))
+    cuts = spans.groupBy("source", "page_index").agg(F.collect_list(F.struct("clause_id", low.alias("low"), high.alias("high"))).alias("cuts"))
+    pieces = pages.join(cuts, ["source", "page_index"]).select("page_index", "text", F.explode("cuts").alias("c"))
+    piece = F.substring("text", F.col("c.low") + 1, F.coalesce("c.high", F.length("text")) - F.col("c.low"))
+    pieces = pieces.select("c.clause_id", "page_index", piece.alias("t"))
+    body = pieces.groupBy("clause_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "t"))), lambda v: v["t"]), "").alias("body"))
     own = F.array(leaf.cast("double"))
-    rows = body.join(wanted.select("clause_id", "clause_text", "parts"), "clause_id").withColumn("b", F.array_except(numbers(F.col("body"), "clause"), own)).withColumn("c", numbers(F.col("clause_text"), "clause"))
-    return rows.where("body <> ''").select("clause_id", F.array_sort(F.array_except("b", "c")).alias("source_only"), F.array_sort(F.array_except("c", "b")).alias("text_only"), F.length("body").alias("body_chars"))
+    rows = body.where("body <> ''").join(wanted.select("clause_id", "clause_text", "parts"), "clause_id")
+    rows = rows.withColumn("b", F.array_except(numbers(F.col("body"), "clause"), own)).withColumn("c", numbers(F.col("clause_text"), "clause"))
+    only = [F.array_sort(F.array_except(a, b)).alias(name) for a, b, name in (("b", "c", "source_only"), ("c", "b", "text_only"))]
+    return rows.select("clause_id", *only, F.length("body").alias("body_chars"))
 
 
 def draft_rules(clauses: DataFrame) -> DataFrame:

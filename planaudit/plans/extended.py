@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planaudit.operators import corridors, drafting, openings, packages, text
@@ -244,15 +244,23 @@ query(
 
 @query(
     "t9_source_coverage",
-    """SELECT concat('STD-1.', p_partkey) AS clause_id, CAST(CASE WHEN p_size <> p_partkey AND p_size % 2 = 1 THEN 2 ELSE 1 END AS INT) AS n_source_only, CAST(CASE WHEN p_size // 2 * 2 = p_size AND p_size <> p_partkey THEN 0 ELSE 1 END AS INT) AS n_text_only FROM part""",
+    """WITH c AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, p_size + 100 AS s1, p_size * 3 + 200 AS s2, p_size + 100 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS said FROM part)
+    SELECT concat('STD', p_partkey, '-7.2.', i) AS clause_id,
+    array_to_string(list_transform(list_sort(list_filter([7.2::DOUBLE, s1, s2], lambda x: x <> said)), lambda x: CAST(x AS VARCHAR)), ',') AS source_only,
+    CASE WHEN said NOT IN (s1, s2) THEN CAST(CAST(said AS DOUBLE) AS VARCHAR) ELSE '' END AS text_only FROM c""",
 )
 def coverage(s: SparkSession, d: str) -> DataFrame:
+    """A source for each brand, two pages for each of its clauses: the heading and a number, then another number and, on every tenth, a reference that ends the body."""
     part = table(s, d, "part")
-    at = F.concat(F.lit("1."), F.col("p_partkey").cast("string"))
-    said = F.concat(F.lit("\n"), at, F.lit(" needs "), F.col("p_size").cast("string"), F.lit(" of it, see 1."), (F.col("p_partkey") + 1).cast("string"), F.lit(" needs 77"))
-    clauses = part.select(F.concat(F.lit("STD-"), at).alias("clause_id"), F.col("p_name").alias("source"), F.concat(F.lit("at least "), F.floor(F.col("p_size") / 2) * 2).alias("clause_text"), F.lit(True).alias("paraphrase"))
-    rows = drafting.source_coverage(clauses, part.select(F.col("p_name").alias("source"), F.col("p_partkey").alias("page_index"), said.alias("text")))
-    return rows.select("clause_id", F.size("source_only").alias("n_source_only"), F.size("text_only").alias("n_text_only"))
+    i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = part.select("p_partkey", "p_brand", "p_size", i.alias("i"))
+    head = F.concat(F.lit("before it\n 7.2."), "i", F.lit(" needs "), F.col("p_size") + 100, F.lit(" of it"))
+    more = F.concat(F.lit(" and then "), F.col("p_size") * 3 + 200, F.lit(" of it"), F.when(F.col("i") % 10 == 0, F.concat(F.lit(", see 7.2."), F.col("i") + 1, F.lit(" with 555"))).otherwise(""))
+    said = F.concat(F.lit("at least "), F.col("p_size") + 100 + F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(1))
+    clauses = rows.select(F.concat(F.lit("STD"), "p_partkey", F.lit("-7.2."), "i").alias("clause_id"), F.col("p_brand").alias("source"), said.alias("clause_text"), F.lit(True).alias("paraphrase"))
+    pages = [rows.select(F.col("p_brand").alias("source"), (F.col("i") * 2 + k).cast("int").alias("page_index"), t.alias("text")) for k, t in ((0, head), (1, more))]
+    found = drafting.source_coverage(clauses, pages[0].unionByName(pages[1]))
+    return found.select("clause_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("source_only", "text_only")])
 
 
 _CLAUSES = ["走廊净宽", "门宽", "楼梯扶手", "楼梯宽度", "踏步", "净高", "卧室", "电梯", "窗台", "其他"]

@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -95,6 +98,39 @@ def test_source_body_spans_pages_and_ends_at_the_next_heading(spark):
     assert [(r.clause_id, r.source_only, r.text_only) for r in got] == [("STD-5.5.27", [0.9, 3.0, 5.5, 900.0], [])]
 
 
+def _body(path, pages):
+    """Of the pages of a source, in order: the text from the heading to the next sibling or section."""
+    parts = path.split(".")
+    ends = [".".join([*parts[:-1], str(int(parts[-1]) + 1)]), ".".join([*parts[:-2], str(int(parts[-2]) + 1)]) + "."]
+    heading, body = re.compile(r"(?:^|\n)\s*" + re.escape(path) + r"(?!\d)"), ""
+    for page in pages:
+        found = None if body else heading.search(page)
+        if not body and not found:
+            continue
+        piece, low = (page[found.start() :], len(path)) if found else (page, 0)
+        for end in ends:
+            at = piece.find(end, low)
+            if at >= 0:
+                return body + piece[:at]
+        body += piece
+    return body
+
+
+def test_source_bodies_agree_with_a_plain_search(spark):
+    rng = random.Random(12)
+    paths = [f"{a}.{b}.{c}" for a in (1, 2) for b in (1, 2) for c in range(1, 6)] + ["2.3", "A.0.2", "10.2.1"]
+    junk = ["see 1.1.2", "12.1.3", "1.1.", "7", " ", "\n", "\n ", "\n\u3000", "e.g.", "A.0.3", "x1.2.1", "2.1.30"]
+    books = {f"b{k}": ["".join(rng.choice([*junk, *("\n" + p + " t" for p in paths), *paths]) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(8)] for k in range(12)}
+    clauses = [(f"{book}S-{p}", book, "at least 7", True) for book in books for p in paths]
+    pages = [(book, 3 * i, t) for book, texts in books.items() for i, t in enumerate(texts)]
+    table = spark.createDataFrame(pages, "source string, page_index int, text string")
+    got = drafting.source_coverage(spark.createDataFrame(clauses, "clause_id string, source string, clause_text string, paraphrase boolean"), table)
+    want = {c: len(_body(c.split("-", 1)[1], books[book])) for c, book, _, _ in clauses}
+    assert {r.clause_id: r.body_chars for r in got.collect()} == {c: n for c, n in want.items() if n}
+    # clauses that cite a source add no copies of its pages: the join with texts has one row a page
+    assert got._jdf.queryExecution().executedPlan().toString().count("NestedLoop") == 0
+
+
 def test_drafts(spark):
     rows = [("a", "走廊净宽不小于 1.2 m", ">=", 1.2), ("b", "楼梯踏步", ">", 2.0), ("c", "净高 2.4 m 或 2.2 m", "<", 0.0), ("d", None, None, None)]
     got = {r.clause_id: r for r in drafting.draft_rules(spark.createDataFrame(rows, "clause_id string, clause_text string, threshold_op string, threshold_value double")).collect()}
