@@ -1,7 +1,7 @@
 """Rule expressions as Columns.
 
 An expression is read with `ast` when the plan is built; only Columns reach the
-executors. An operand error makes a whole rule fail, so NULL stands for "error"
+executors. Messages alone are filled in Arrow batches, of what is reported. An operand error makes a whole rule fail, so NULL stands for "error"
 and the logical operators short-circuit from left to right as in the source
 language; see `predicate_column`.
 """
@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import ast
 import string
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,26 +135,61 @@ def measured(names: Iterable[str], inputs: dict[str, tuple[Column, bool]], suppr
     return F.coalesce(*numbers) if numbers and not suppress else F.lit(None).cast("double")
 
 
-def render_message(template: str, inputs: dict[str, tuple[Column, bool]]) -> Column:
-    """Fill named placeholders; a null shows as ?, and with a number format on it the raw template comes back."""
-    parts, broken = [], F.lit(False)
-    try:
-        fields = list(string.Formatter().parse(template))
-    except ValueError:
-        return F.lit(template)
-    for text, name, spec, _ in fields:
-        if text:
-            parts.append(F.lit(text))
-        if name is None:
-            continue
-        if name not in inputs:
-            return F.lit(template)
-        col, is_text = inputs[name]
-        if spec:
-            if is_text:
-                return F.lit(template)
-            broken = broken | col.isNull()
-            parts.append(F.format_string(f"%{spec if spec[-1] in 'fdeg' else spec + 's'}", col))
-        else:
-            parts.append(F.coalesce(col.cast("string"), F.lit("?")))
-    return F.when(broken, F.lit(template)).otherwise(F.concat(*parts) if parts else F.lit(""))
+def value_kinds(entities: DataFrame, names: Iterable[str]) -> dict[str, str]:
+    """How a bound input shows in a message: as text, int, bool or float (open properties are floats)."""
+    kinds = {}
+    for name in names:
+        kind = entities.schema[name].dataType if name in entities.columns else T.DoubleType()
+        kinds[name] = "bool" if isinstance(kind, T.BooleanType) else "int" if isinstance(kind, T.IntegralType) else "float" if isinstance(kind, _NUMBER) else "text"
+    return kinds
+
+
+_SHOWN = {"int": int, "bool": bool, "float": float, "text": str}
+
+
+class Template:
+    """A message with named placeholders in the format language, and the inputs that it may name."""
+
+    def __init__(self, text: str, kinds: dict[str, str]) -> None:
+        self.text, self.kinds = text, kinds
+        try:
+            self.plain = all(name is None or name in kinds for _, name, _, _ in string.Formatter().parse(text))
+        except ValueError:
+            self.plain = False
+
+    def fill(self, numbers: list[float | None], texts: list[str | None]) -> str:
+        """The message; a null shows as ?, and what cannot be formatted leaves the raw template."""
+        if not self.plain:
+            return self.text
+        given = dict(zip(self.kinds, zip(self.kinds.values(), numbers, texts, strict=True), strict=True))
+        values = {n: text if kind == "text" else number if number is None else _SHOWN[kind](number) for n, (kind, number, text) in given.items()}
+        try:
+            return self.text.format(**{n: "?" if v is None else v for n, v in values.items()})
+        except (KeyError, ValueError, OverflowError, IndexError):
+            return self.text
+
+
+def message_arguments(inputs: dict[str, tuple[Column, bool]]) -> tuple[Column, Column]:
+    """The numbers and the texts of a rule's inputs in order, for `messages`."""
+    if not inputs:
+        return F.array().cast("array<double>"), F.array().cast("array<string>")
+    numbers = [F.lit(None).cast("double") if text else c for c, text in inputs.values()]
+    return F.array(*numbers), F.array(*[c if text else F.lit(None).cast("string") for c, text in inputs.values()])
+
+
+def messages(templates: dict[str, Template]) -> Callable[..., Column]:
+    """(rule id, numbers, texts) -> message, batch by batch; only rows that are to be reported should get here."""
+
+    def fill(rules: pa.Array, numbers: pa.Array, texts: pa.Array) -> pa.Array:
+        rows = zip(rules.to_pylist(), numbers.to_pylist(), texts.to_pylist(), strict=True)
+        return pa.array([templates[r].fill(n, t) for r, n, t in rows], pa.string())
+
+    # the annotations of a nested function are text under this module's future import
+    fill.__annotations__ = {"rules": pa.Array, "numbers": pa.Array, "texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(fill, T.StringType())
+
+
+def render_message(template: str, inputs: dict[str, tuple[Column, bool]], kinds: dict[str, str] | None = None) -> Column:
+    """Fill named placeholders as Python's format does; a null shows as ?, and with a number format on it the raw template comes back."""
+    kinds = kinds or {n: "text" if text else "float" for n, (_, text) in inputs.items()}
+    return messages({"": Template(template, kinds)})(F.lit(""), *message_arguments(inputs))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planaudit.functions.predicates import bind_inputs, measured, predicate_column, render_message
+from planaudit.functions.predicates import Template, bind_inputs, measured, message_arguments, messages, predicate_column, value_kinds
 
 # Readiness tiers.
 TIERS = ["AUTODETECTABLE", "PARTIAL_AUTODETECT", "PROJECT_META_DRIVEN", "REMINDER_BY_DESIGN", "STAIR_PENDING"]
@@ -26,12 +26,14 @@ def _outcomes(rows: DataFrame, rules: list[dict], default_severity: str) -> Colu
     out = []
     for rule in rules:
         inputs = bind_inputs(rows, rule["inputs"])
+        numbers, texts = message_arguments(inputs)
         out.append(
             F.struct(
                 F.lit(rule["rule_id"]).alias("rule_id"),
                 predicate_column(rule["logic_expression"], inputs).alias("holds"),
                 measured(rule["inputs"], inputs, rule.get("suppress_measured", False)).alias("measured_value"),
-                render_message(rule.get("output_template", rule["rule_id"]), inputs).alias("message"),
+                numbers.alias("_numbers"),
+                texts.alias("_texts"),
                 F.lit(rule.get("threshold_value")).cast("double").alias("threshold_value"),
                 F.lit(rule.get("severity") or default_severity).alias("severity"),
                 F.lit((rule.get("source_clause_ids") or [None])[0]).cast("string").alias("clause_id"),
@@ -40,6 +42,14 @@ def _outcomes(rows: DataFrame, rules: list[dict], default_severity: str) -> Colu
     return F.array(*out)
 
 
+def _reported(rows: DataFrame, rules: list[dict], outcomes: DataFrame) -> DataFrame:
+    """What does not hold, with its message in place of the message's arguments."""
+    fill = messages({r["rule_id"]: Template(r.get("output_template", r["rule_id"]), value_kinds(rows, r["inputs"])) for r in rules})
+    message = fill("rule_id", "_numbers", "_texts").alias("message")
+    failed = outcomes.where("not holds")
+    return failed.select(*[message if c == "_numbers" else F.col(c) for c in failed.columns if c not in ("holds", "_texts")])
+
+
 def evaluate(entities: DataFrame, rules: list[dict], keep: tuple[str, ...] = ("run_id", "page_index", "entity_id"), type_col: str = "entity_type") -> DataFrame:
     """One issue for each entity and rule of its type that does not hold (default severity error).
 
@@ -51,7 +61,7 @@ def evaluate(entities: DataFrame, rules: list[dict], keep: tuple[str, ...] = ("r
         raise ValueError("no rules")
     by_type = {kind: _outcomes(entities, [r for r in rules if r["applies_to"] == kind], "error") for kind in sorted({r["applies_to"] for r in rules})}
     picked = reduce(lambda out, kind: out.when(F.col(type_col) == kind, by_type[kind]), by_type, F.when(F.lit(False), next(iter(by_type.values()))))
-    issues = entities.where(F.col(type_col).isin(*by_type)).select(*keep, F.inline(picked)).where("not holds").drop("holds")
+    issues = _reported(entities, rules, entities.where(F.col(type_col).isin(*by_type)).select(*keep, F.inline(picked)))
     return issues.withColumn("issue_id", F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in keep], "rule_id"), 256), 1, 16))
 
 
@@ -59,7 +69,7 @@ def evaluate_projects(projects: DataFrame, rules: list[dict]) -> DataFrame:
     """Project rules, once per project; the entity is project:<id>, there is no box, default severity info."""
     own = [r for r in rules if r["applies_to"] == "Project"]
     rows = projects.select(F.concat(F.lit("project:"), F.col("project_id").cast("string")).alias("entity_id"), "project_id", F.inline(_outcomes(projects, own, "info")))
-    return rows.where("not holds").drop("holds")
+    return _reported(projects, own, rows)
 
 
 def resolve_evidence(issues: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from planaudit.functions.predicates import bind_inputs, measured, predicate_column, render_message
+from planaudit.functions.predicates import bind_inputs, measured, predicate_column, render_message, value_kinds
 from planaudit.operators import rules
 
 EXPRESSIONS = [
@@ -51,6 +51,7 @@ def test_message_and_measure(spark):
     inputs = bind_inputs(df, ["w", "h"])
     got = df.select(render_message("w {w:.1f}", inputs).alias("m"), render_message("h {h}", inputs).alias("n"), measured(["w", "h"], inputs).alias("v"), measured(["w"], inputs, True).alias("s")).collect()
     assert [r.m for r in got] == ["w 1.3", "w {w:.1f}"]
+    assert df.select(render_message("{w.real} {h:.1f", inputs), render_message("{x}", inputs)).first()[:] == ("{w.real} {h:.1f", "{x}")
     assert [r.n for r in got] == ["h ?", "h 2.0"]
     assert [r.v for r in got] == [1.26, 2.0] and got[0].s is None
 
@@ -100,3 +101,24 @@ def test_applicability_by_profile_agrees_with_each_project(spark):
             assert "NestedLoop" not in plan and "Cartesian" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_message_formats_are_those_of_the_format_language(spark):
+    rng = random.Random(21)
+    specs = ["", ".0f", ".1f", ".2f", "8.3f", "+.2f", "08.2f", ",.1f", ".1%", "e", ".3g", "<9.1f|", "^+12,.2f", "x", ".2d"]
+    odd = [0.0, -0.0, 0.125, 0.25, 2.675, 1e22, 5e-324, -1.5, 2.5, float("inf"), float("nan"), None]
+    values = [*odd, *(rng.uniform(-1, 1) * 10 ** rng.randint(-6, 18) for _ in range(4000)), *(rng.randint(-4000, 4000) / 8 for _ in range(3000))]
+    df = spark.createDataFrame([(v, i, i % 2 == 0, f"t{i}") for i, v in enumerate(values)], "w double, n int, b boolean, t string")
+    inputs = bind_inputs(df, ["w", "n", "b", "t"])
+    kinds = value_kinds(df, inputs)
+    texts = [f"{{w:{spec}}} {{n}} {{b}} {{t}}" for spec in specs]
+
+    def plain(template, i, v):
+        try:
+            return template.format(w="?" if v is None else v, n=i, b=i % 2 == 0, t=f"t{i}")
+        except ValueError:
+            return template
+
+    got = df.select(*[render_message(t, inputs, kinds).alias(f"m{k}") for k, t in enumerate(texts)]).collect()
+    assert len(got) * len(specs) > 100_000
+    assert all(r[k] == plain(t, i, v) for i, (r, v) in enumerate(zip(got, values, strict=True)) for k, t in enumerate(texts))
