@@ -5,6 +5,11 @@ Segments: page keys, x0, y0, x1, y1 and axis, as normalize_segments gives them.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,29 +23,44 @@ CROSS_FRAC, CROSS_MARGIN = 0.6, 20.0
 CROSS_CELL = 128.0
 
 
-def _levels(ys: Column) -> Column:
-    """Starts of levels: each sorted value further than the tolerance above the last start opens one."""
-    none = F.array().cast("array<double>")
-    return F.aggregate(ys, none, lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) > Y_TOL), F.concat(acc, F.array(y))).otherwise(acc))
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The level (y) of each height of rows (group, yc, ...) in order of group and height.
+
+    A height further than the tolerance above its group's last level opens one. Rows stream through; what is carried
+    from one batch to the next is the group and its last level.
+    """
+    group, level = None, 0.0
+    for batch in batches:
+        groups, heights = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+        levels = np.empty(len(heights))
+        at = 0
+        while at < len(heights):
+            stop = bisect.bisect_right(groups, groups[at], at)
+            if groups[at] != group:
+                group, level = groups[at], heights[at]
+            while at < stop:
+                ahead = at + int(np.searchsorted(heights[at:stop] - level, Y_TOL, "right"))
+                levels[at:ahead] = level
+                at = ahead
+                if at < stop:
+                    level = heights[at]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(levels)], names=[*batch.schema.names[1:], "y"])
 
 
 def chords(segments: DataFrame, extents: DataFrame, keys: list[str], ids: list[str] | None = None, span_frac: float = SPAN_FRAC, fill_frac: float = FILL_FRAC, clip: bool = False) -> DataFrame:
     """Keys, ids, y, x_min, x_max and span of the levels of horizontal segments that are long and mostly covered.
 
     extents(keys, ids, lo, hi) gives the widths that the shares refer to: pages, or with clip host rooms, whose range
-    then also cuts the segments. A level is closed within a run of heights that have no gap above the tolerance, so only
-    the distinct heights of one such run are held together.
+    then also cuts the segments. The distinct heights of a page or host stream through one task in order.
     """
     by = [*keys, *(ids or [])]
     rows = segments.where(F.abs(F.col("y0") - F.col("y1")) <= Y_TOL).select(*keys, ((F.col("y0") + F.col("y1")) / 2).alias("yc"), F.least("x0", "x1").alias("a"), F.greatest("x0", "x1").alias("b"))
     rows = rows.join(extents.select(*by, F.col("lo").alias("e0"), F.col("hi").alias("e1")), keys)
     if clip:
         rows = rows.withColumn("a", F.greatest("a", "e0")).withColumn("b", F.least("b", "e1")).where("b > a")
-    order = Window.partitionBy(*by).orderBy("yc")
-    heights = rows.select(*by, "yc").distinct().withColumn("_new", F.coalesce((F.col("yc") - F.lag("yc").over(order) > Y_TOL).cast("int"), F.lit(1)))
-    heights = heights.withColumn("_run", F.sum("_new").over(order)).groupBy(*by, "_run").agg(F.array_sort(F.collect_list("yc")).alias("ys"))
-    heights = heights.withColumn("ls", _levels(F.col("ys"))).select(*by, "ls", F.explode("ys").alias("yc"))
-    heights = heights.select(*by, "yc", F.array_max(F.filter("ls", lambda v: v <= F.col("yc"))).alias("y"))
+    heights = rows.select(F.to_json(F.struct(*by)).alias("_group"), "yc", *by).distinct().repartition("_group").sortWithinPartitions("_group", "yc")
+    columns = [f"`{c}` {heights.schema[c].dataType.simpleString()}" for c in heights.columns[1:]]
+    heights = heights.mapInArrow(_levels, ", ".join([*columns, "y double"]))
     merged = merge_intervals(rows.join(heights, [*by, "yc"]).select(*by, "y", "e0", "e1", "a", "b"), [*by, "y", "e0", "e1"], "a", "b")
     sums = merged.groupBy(*by, "y", "e0", "e1").agg(F.min("a").alias("x_min"), F.max("b").alias("x_max"), F.sum(F.col("b") - F.col("a")).alias("covered")).withColumn("span", F.col("x_max") - F.col("x_min"))
     long = (F.col("span") > 0) & (F.col("span") >= span_frac * (F.col("e1") - F.col("e0"))) & (F.col("covered") >= fill_frac * F.col("span"))

@@ -24,6 +24,24 @@ def test_levels_are_greedy_and_chords_are_long_and_covered(spark):
     assert [(r.y, r.x_max) for r in clipped] == [(0.0, 50.0), (4.0, 50.0), (50.0, 40.0)]
 
 
+def test_levels_of_very_many_heights(spark):
+    rng = random.Random(1)
+    pages = {0: [i * 0.37 for i in range(100_000)], 1: [rng.choice([rng.uniform(0, 9e4), 3.0 * rng.randint(0, 40)]) for _ in range(30_000)], 2: [5.0]}
+    rows = [(p, y) for p, ys in pages.items() for y in ys]
+    rng.shuffle(rows)
+    lines = spark.createDataFrame(rows, "page int, y double").select("page", F.lit(0.0).alias("x0"), F.col("y").alias("y0"), F.lit(9.0).alias("x1"), F.col("y").alias("y1"))
+    extents = spark.createDataFrame([(p, 0.0, 10.0) for p in pages], "page int, lo double, hi double")
+    want = set()
+    for p, ys in pages.items():
+        last = None
+        for y in sorted(ys):
+            last = y if last is None or y - last > 3.0 else last
+            want.add((p, last))
+    got = corridors.chords(lines, extents, ["page"])
+    assert {(r.page, r.y) for r in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bands_need_a_host_room_on_both_sides_and_no_crossing(spark):
     chord = spark.createDataFrame([(1, 40.0, 0.0, 200.0, 200.0), (1, 60.0, 0.0, 200.0, 200.0), (1, 100.0, 0.0, 200.0, 200.0)], "page int, y double, x_min double, x_max double, span double")
     rooms = _spaces(spark, [(1, "r", 0, "room", 0.0, 0.0, 200.0, 120.0), (1, "s", 1, "room", 0.0, 0.0, 200.0, 300.0)])
