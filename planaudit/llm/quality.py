@@ -35,7 +35,9 @@ from planaudit.llm.common import join_hot, materialize
 
 ORDER = 4
 START = "\x02"
-SLICE, PART = 16 << 20, 2 << 20
+SLICE, PART = 16 << 20, 1 << 19
+#: Keys that wait to be made distinct.
+WAITING = 2_000_000
 CHUNK = 64
 SHARD_GRAMS = 1_000_000
 FLUSH_GRAMS = 1_000_000
@@ -234,6 +236,8 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, chunks: int) -> Iterato
             parts = [np.zeros(0, np.uint64)]
             for low, high in _parts(offsets):
                 parts += [np.unique(x) for x in _Grams(data, offsets[low : high + 1]).keys().values()]
+                if sum(map(len, parts)) > WAITING:
+                    parts = [np.unique(np.concatenate(parts))]
             keys = np.unique(np.concatenate(parts))
             home = keys.view(np.int64) % shards
             rows = [(int(h), tx.pack_sorted(keys[home == h])) for h in np.unique(home)]
