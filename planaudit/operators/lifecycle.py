@@ -14,6 +14,8 @@ CHANGES = ["severity", "message", "bbox", "evidence"]
 SEVERITY_RANK = ["error", "warning", "info"]
 # Places that numbers are rounded to before they are compared.
 PLACES = 4
+#: Occurrences of equal rows that are expanded in one piece.
+AT_ONCE = 65_536
 # Checklist states that are closed.
 CLOSED = ["done", "skipped_preview"]
 # Stages of checklist items, with the counter of each.
@@ -48,21 +50,47 @@ def changed_fields(fields: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}")), F.lit(f)) for f in fields]))
 
 
-def diff_runs(before: DataFrame, after: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
-    """L1: unchanged, changed, new or resolved, matched by group and occurrence in it; ids are not compared, numbers to 4 places."""
+def diff_counts(before: DataFrame, after: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
+    """L1 in ranges: group_key, first and n (occurrences first + 1 to first + n of a group), before, after, status, changed.
 
-    def numbered(df: DataFrame, side: str) -> DataFrame:
-        key, sort = fingerprint(df, group, fields)
-        rows = df.withColumn("group_key", key).withColumn("_sort", sort)
-        rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("group_key").orderBy("_sort")))
-        return rounded(rows, group + fields).select("group_key", "occurrence", F.struct(*group, *fields).alias(side))
+    Equal rows of a run are counted before anything else, so each is one row with a range of occurrences, in order of
+    canonical text. Where ranges of the two runs begin or end, a group is cut; every piece has one row of each run at most.
+    """
 
-    both = numbered(before, "before").join(numbered(after, "after"), ["group_key", "occurrence"], "full")
+    def ranges(df: DataFrame, side: str) -> DataFrame:
+        key, sort = fingerprint(df, group, fields)
+        rows = rounded(df.withColumn("group_key", key).withColumn("_sort", sort), group + fields)
+        rows = rows.groupBy("group_key", "_sort").agg(F.count("*").alias("n"), F.first(F.struct(*group, *fields)).alias("row"))
+        rows = rows.withColumn("stop", F.sum("n").over(Window.partitionBy("group_key").orderBy("_sort")))
+        return rows.select("group_key", (F.col("stop") - F.col("n")).alias("at"), F.struct("stop", "row").alias(side))
+
+    sides = [ranges(before, "before"), ranges(after, "after")]
+    ends = [r.groupBy("group_key").agg(F.max(f"{side}.stop").alias("at")) for r, side in zip(sides, ("before", "after"), strict=True)]
+    cuts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*sides, *ends])
+    cuts = cuts.groupBy("group_key", "at").agg(F.first("before", True).alias("before"), F.first("after", True).alias("after"))
+    order = Window.partitionBy("group_key").orderBy("at")
+    held = {side: F.last(side, True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for side in ("before", "after")}
+    pieces = cuts.withColumns(held | {"n": F.lead("at").over(order) - F.col("at")}).where("n is not null")
+    pieces = pieces.withColumns({side: F.when(F.col(f"{side}.stop") > F.col("at"), F.col(f"{side}.row")) for side in ("before", "after")})
+    both = pieces.where("before is not null or after is not null").select("group_key", F.col("at").alias("first"), "n", "before", "after")
     changed = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), changed_fields(fields)).otherwise(F.array().cast("array<string>"))
     status = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "resolved").when(F.size(changed) > 0, "changed").otherwise("unchanged")
     return both.withColumn("status", status).withColumn("changed", changed)
 
 
+def diff_runs(before: DataFrame, after: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
+    """L1: unchanged, changed, new or resolved, matched by group and occurrence in it; ids are not compared, numbers to 4 places.
+
+    One row for each occurrence. Long ranges of equal rows are dealt in pieces before they are expanded.
+    """
+    rows = diff_counts(before, after, group, fields).withColumn("stop", F.col("first") + F.col("n"))
+    steps = F.explode(F.sequence(F.col("first"), F.col("stop") - 1, F.lit(AT_ONCE).cast("long")))
+    long = rows.where(F.col("n") > AT_ONCE).withColumn("first", steps).withColumn("stop", F.least("stop", F.col("first") + AT_ONCE))
+    parts = rows.where(F.col("n") <= AT_ONCE).unionByName(long.repartition("group_key", "first"))
+    parts = parts.withColumn("occurrence", F.explode(F.sequence(F.col("first") + 1, "stop")))
+    return parts.select("group_key", F.col("occurrence").cast("int").alias("occurrence"), "before", "after", "status", "changed")
+
+
 # Columns of the review state beside issue_id.
 STATE = {"status": "string", "reviewer": "string", "note": "string", "target_run": "string", "source_run": "string", "created_at": "timestamp", "updated_at": "timestamp"}
 

@@ -167,3 +167,30 @@ def test_best_documents_agree_with_a_plain_search(spark):
         some = rows.where(F.col("doc_id") % only == 0) if only else None
         got = text.bm25_search(rows, spark.createDataFrame(queries, "query_id long, text string"), 4, some).collect()
         assert {(r.query_id, r.rank): (r.doc_id, round(r.score, 6)) for r in got} == {k: (d, round(s, 6)) for k, (d, s) in want.items()}
+
+
+def test_differences_of_multisets_agree_with_pairing_by_hand(spark):
+    rng = random.Random(2)
+    kinds = [("r", i % 3, f"m{i % 4}", i / 7) for i in range(9)]
+
+    def run(n):
+        return [rng.choice(kinds) for _ in range(n)]
+
+    runs = [run(160), run(120)]
+    runs = [[(f"g{rng.randint(0, 5)}", *r) for r in rows] for rows in runs]
+    runs[0] += [("hot", "r", 1, "same", 0.5)] * 70_000
+    runs[1] += [("hot", "r", 1, "same", 0.5)] * 66_000 + [("hot", "r", 1, "zz", 0.5)] * 10 + [("late", None, None, None, None)]
+    schema = "rule string, kind string, n int, message string, v double"
+    a, b = (spark.createDataFrame(rows, schema) for rows in runs)
+    want = Counter()
+    for g in {r[0] for rows in runs for r in rows}:
+        sides = [sorted([r for r in rows if r[0] == g], key=lambda r: (r[1] or "", r[3] or "", r[2] or 0, str(round(r[4] or 0, 4)))) for rows in runs]
+        # canonical order goes by name: kind, message, n, v
+        for i in range(max(map(len, sides))):
+            x, y = (s[i] if i < len(s) else None for s in sides)
+            changed = tuple(c for c, k in (("message", 3), ("n", 2), ("v", 4), ("kind", 1)) if x and y and x[k] != y[k])
+            want[g, i + 1, "new" if x is None else "resolved" if y is None else "changed" if changed else "unchanged", changed] += 1
+    got = lifecycle.diff_runs(a, b, ["rule"], ["message", "n", "v", "kind"])
+    assert Counter((r.rule, r.occurrence, r.status, tuple(r.changed)) for r in got.select(F.coalesce("before.rule", "after.rule").alias("rule"), "occurrence", "status", "changed").collect()) == want
+    counted = lifecycle.diff_counts(a, b, ["rule"], ["message", "n", "v", "kind"]).where("before.rule = 'hot' or after.rule = 'hot'")
+    assert sorted((r.first, r.n, r.status) for r in counted.collect()) == [(0, 66_000, "unchanged"), (66_000, 10, "changed"), (66_010, 3990, "resolved")]
