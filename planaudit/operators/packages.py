@@ -89,24 +89,33 @@ def triage_digest(packages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [required, weak, guidance, notes])
 
 
-def workbench(runs: DataFrame, tables: dict[str, tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
-    """Per run the counts of each table, the artifacts that have no row, and warnings.
+def workbench(runs: DataFrame, tables: dict[str, tuple[DataFrame, dict[str, Column]]], texts: dict[str, dict[str, tuple[Column, str]]] | None = None) -> DataFrame:
+    """Per run the counts and texts of each artifact's table, the artifacts that have no row, and warnings.
 
-    tables: artifact name to (table with run_id, {count name: condition}). Warnings read the counts blocked_rules,
-    sheet_graph_count, issue_count and candidate_review_states where they are given.
+    tables: artifact name to (table with run_id, {count name: condition}); texts: artifact name to {name: (column, what
+    stands for a missing one)}. Warnings read the counts blocked_rules, sheet_graph_count, issue_count and
+    candidate_review_states where they are given.
     """
-    rows, names = runs.select("run_id"), []
+    rows, names, said = runs.select("run_id"), [], {}
     for artifact, (table, counts) in tables.items():
-        found = table.groupBy("run_id").agg(F.lit(True).alias(f"_{artifact}"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+        own = (texts or {}).get(artifact, {})
+        sums = [F.count_if(c).alias(n) for n, c in counts.items()] + [F.max(c).alias(n) for n, (c, _) in own.items()]
+        found = table.groupBy("run_id").agg(F.lit(True).alias(f"_{artifact}"), *sums)
         rows, names = rows.join(found, "run_id", "left"), names + list(counts)
+        said |= {n: F.coalesce(F.nullif(F.col(n), F.lit("")), F.lit(missing)).alias(n) for n, (_, missing) in own.items()}
     rows = rows.fillna(0, names)
     absent = F.array_join(_strings(*[F.when(F.col(f"_{a}").isNull(), F.lit(a)) for a in tables]), ",")
 
     def more(name: str, than: int) -> Column:
         return F.col(name) > than if name in names else F.lit(False)
 
-    warn = _strings(F.when(absent != "", F.lit("missing_artifacts")), F.when(more("blocked_rules", 0), F.lit("blocked_rules")), F.when(more("sheet_graph_count", 1), F.lit("several_sheet_graphs")), F.when(more("issue_count", 0) & more("candidate_review_states", 0), F.lit("unreviewed_candidates")))
-    return rows.select("run_id", *names, absent.alias("missing"), F.array_join(warn, ",").alias("warnings"))
+    warn = _strings(
+        F.when(absent != "", F.lit("missing_artifacts")),
+        F.when(more("blocked_rules", 0), F.lit("blocked_rules")),
+        F.when(more("sheet_graph_count", 1), F.lit("several_sheet_graphs")),
+        F.when(more("issue_count", 0) & more("candidate_review_states", 0), F.lit("unreviewed_candidates")),
+    )
+    return rows.select("run_id", *names, *said.values(), absent.alias("missing"), F.array_join(warn, ",").alias("warnings"))
 
 
 def promote_cases(issues: DataFrame, entities: DataFrame, projects: DataFrame, rules: list[dict], known: DataFrame) -> DataFrame:

@@ -176,10 +176,9 @@ def snap(s: SparkSession, d: str) -> DataFrame:
 
 _SPOTS = """WITH t AS (SELECT o_custkey AS page, o_orderkey AS text_idx, substr(o_orderpriority, 1, 1) AS p, o_orderkey % 900 AS x0, o_orderkey % 700 AS y0 FROM orders),
     l AS (SELECT l_orderkey % 1500 + 1 AS page, floor(l_extendedprice % 900) AS x0, floor(l_extendedprice % 900) + l_quantity AS x1, l_suppkey * 7.0E0 AS y0, l_suppkey * 7.0E0 + l_linenumber * 10 AS y1 FROM lineitem),
-    s AS (SELECT c_custkey AS page, count(*) FILTER (WHERE x0 + 30 >= 680) AS nr, count(*) FILTER (WHERE x0 + 30 >= 680 AND p = '1') AS nt, count(*) FILTER (WHERE p = '2') AS ns, min(x0) FILTER (WHERE x0 + 30 >= 680) AS tx0, min(y0) FILTER (WHERE x0 + 30 >= 680) AS ty0, max(x0 + 60) FILTER (WHERE x0 + 30 >= 680) AS tx1,
-      min(x0) FILTER (WHERE p = '2') AS sx0, max(y0 + 12) FILTER (WHERE p = '2') AS sy1 FROM customer LEFT JOIN t ON page = c_custkey GROUP BY 1),
+    s AS (SELECT c_custkey AS page, count(*) FILTER (WHERE x0 + 30 >= 680) AS nr, count(*) FILTER (WHERE x0 + 30 >= 680 AND p = '1') AS nt, min(x0) FILTER (WHERE x0 + 30 >= 680) AS tx0, min(y0) FILTER (WHERE x0 + 30 >= 680) AS ty0, max(x0 + 60) FILTER (WHERE x0 + 30 >= 680) AS tx1, max(y0 + 12) FILTER (WHERE x0 + 30 >= 680) AS ty1 FROM customer LEFT JOIN t ON page = c_custkey GROUP BY 1),
     e AS (SELECT *, greatest(680, coalesce(tx0 - 30, 680)) AS edge FROM s),
-    r AS (SELECT e.page, any_value(nr) AS nr, any_value(nt) AS nt, any_value(ns) AS ns, any_value(sx0) AS sx0, any_value(sy1) AS sy1, any_value(tx0) AS tx0, any_value(tx1) AS tx1, count(l.page) AS nl, count(*) FILTER (WHERE l.x1 - l.x0 >= l.y1 - l.y0) AS nf, min(l.x0) AS lx0, max(l.x1) AS lx1
+    r AS (SELECT e.page, any_value(nr) AS nr, any_value(nt) AS nt, any_value(tx0) AS tx0, any_value(tx1) AS tx1, any_value(ty0) AS ty0, any_value(ty1) AS ty1, count(l.page) AS nl, count(*) FILTER (WHERE l.x1 - l.x0 >= l.y1 - l.y0) AS nf, min(l.x0) AS lx0, max(l.x1) AS lx1, min(l.y0) AS ly0, max(l.y1) AS ly1
       FROM e LEFT JOIN l ON l.page = e.page AND (l.x0 + l.x1) / 2 >= edge GROUP BY 1),
     d AS (SELECT *, NOT (nt < 2 AND (nr < 4 OR least(nf, nl - nf) < 3)) AS titled, greatest(0, coalesce(least(tx0, lx0), tx0, lx0) - 12) AS left_x FROM r)"""
 
@@ -197,21 +196,30 @@ def _sheet(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 query(
     "g17_regions",
     _SPOTS
-    + """ SELECT page, 'design_region' AS kind, 0.0E0 AS x0, CASE WHEN titled THEN greatest(0, left_x - 8) ELSE 1000 END + 0.0E0 AS x1, CASE WHEN titled THEN 0.82E0 ELSE 0.45E0 END AS confidence FROM d
-    UNION ALL SELECT page, 'title_block', left_x + 0.0E0, least(1000, greatest(coalesce(tx1, lx1), coalesce(lx1, tx1)) + 12) + 0.0E0, round(least(0.95E0, 0.42E0 + 0.08E0 * nt + 0.015E0 * nl + 0.03E0 * least(nf, nl - nf, 6)), 6) FROM d WHERE titled
-    UNION ALL SELECT page, 'schedule', greatest(0, sx0 - 10) + 0.0E0, NULL, round(least(0.9E0, 0.58E0 + 0.06E0 * ns), 6) FROM d WHERE ns > 0""",
-)(lambda s, d: _sheet(s, d)[0].where("kind <> 'legend'").select("page", "kind", "x0", F.when(F.col("kind") != "schedule", F.col("x1")).alias("x1"), F.round("confidence", 6).alias("confidence")))
+    + """, k AS (SELECT page, CASE p WHEN '2' THEN 'schedule' ELSE 'legend' END AS kind, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x0 + 60) AS x1, max(y0 + 12) AS y1 FROM t JOIN d USING (page) WHERE p IN ('2', '3') GROUP BY 1, 2)
+    SELECT page, 'design_region' AS kind, 0.0E0 AS x0, 0.0E0 AS y0, CASE WHEN titled THEN greatest(0, left_x - 8) ELSE 1000 END + 0.0E0 AS x1, 800.0E0 AS y1, CASE WHEN titled THEN 0.82E0 ELSE 0.45E0 END AS confidence FROM d
+    UNION ALL SELECT page, 'title_block', left_x + 0.0E0, greatest(0, least(ty0, ly0) - 12) + 0.0E0, least(1000, greatest(tx1, lx1) + 12) + 0.0E0, least(800, greatest(ty1, ly1) + 12) + 0.0E0,
+      round(least(0.95E0, 0.42E0 + 0.08E0 * nt + 0.015E0 * nl + 0.03E0 * least(nf, nl - nf, 6)), 6) FROM d WHERE titled
+    UNION ALL SELECT page, kind, greatest(0, x0 - 10) + 0.0E0, greatest(0, y0 - 10) + 0.0E0, least(1000, x1 + 10) + 0.0E0, least(800, y1 + 10) + 0.0E0, round(least(0.9E0, 0.58E0 + 0.06E0 * n), 6) FROM k""",
+)(lambda s, d: _sheet(s, d)[0].withColumn("confidence", F.round("confidence", 6)))
 query("g17_excluded_texts", _SPOTS + " SELECT page, text_idx, nth FROM (SELECT page, text_idx, row_number() OVER (PARTITION BY page ORDER BY text_idx) AS nth FROM t JOIN d USING (page) WHERE titled AND t.x0 + 30 > greatest(0, left_x - 8)) WHERE nth <= 20")(lambda s, d: _sheet(s, d)[1])
 
 
+_LAYOUT = """, e AS (SELECT *, page_index AS run_id, space_id % 7 AS page, (space_id % 3 = 0 AND page_index % 2 = 0) AS sheet, space_id % 5 AS k FROM v_box),
+    u AS (SELECT e.*, k = 2 AND space_id % 4 = 0 AS measured FROM e JOIN (SELECT run_id, bool_or(sheet) AS sheets FROM e GROUP BY 1) USING (run_id) WHERE sheet = sheets),
+    w AS (SELECT run_id, page, concat(space_id, '-', g.i) AS id, least(g.a, g.c) AS x0, least(g.b, g.d) AS y0, greatest(g.a, g.c) AS x1, greatest(g.b, g.d) AS y1 FROM (
+      SELECT *, unnest([{'i': 0, 'a': x0, 'b': y0, 'c': x1, 'd': y0}, {'i': 1, 'a': x1, 'b': y0, 'c': x1, 'd': y1}, {'i': 2, 'a': x1, 'b': y1, 'c': x0, 'd': y1}, {'i': 3, 'a': x0, 'b': y1, 'c': x0, 'd': y0}]) AS g FROM u WHERE k < 2)),
+    o AS (SELECT run_id, page, CAST(space_id AS VARCHAR) AS id, CASE k WHEN 0 THEN 'room_volume' WHEN 1 THEN 'corridor_volume' WHEN 2 THEN CASE WHEN space_id % 2 = 0 THEN 'window_opening' ELSE 'door_opening' END WHEN 3 THEN 'stair_placeholder' ELSE 'dimension_anchor' END AS kind,
+      x0, y0, x1, y1, 0.0E0 AS z, CASE k WHEN 2 THEN CASE WHEN measured THEN 1.5E0 ELSE 2.1E0 END WHEN 3 THEN 3.0E0 WHEN 4 THEN 0.1E0 ELSE 2.8E0 END AS height,
+      CASE k WHEN 2 THEN concat(CASE WHEN measured THEN '' WHEN space_id % 2 = 0 THEN 'A-WINDOW-OPENING-HEIGHT,' ELSE 'A-DOOR-OPENING-HEIGHT,' END, 'A-WALL-THICKNESS') WHEN 3 THEN 'A-STAIR-PLACEHOLDER-HEIGHT' WHEN 4 THEN '' ELSE 'A-ROOM-VOLUME-HEIGHT' END AS assumed FROM u
+    UNION ALL SELECT run_id, page, id, 'wall', x0, y0, x1, y1, 0.0E0, 2.8E0, 'A-WALL-HEIGHT,A-WALL-THICKNESS' FROM w
+    UNION ALL SELECT run_id, page, 'slab', 'floor_slab', min(x0), min(y0), max(x1), max(y1), -0.12E0, 0.12E0, 'A-FLOOR-SLAB-THICKNESS' FROM u GROUP BY 1, 2)
+    """
+
+
 @query(
     "g22_layout",
-    """, e AS (SELECT *, page_index AS run_id, space_id % 7 AS page, (space_id % 3 = 0 AND page_index % 2 = 0) AS sheet, space_id % 5 AS k FROM v_box),
-    u AS (SELECT e.* FROM e JOIN (SELECT run_id, bool_or(sheet) AS sheets FROM e GROUP BY 1) USING (run_id) WHERE sheet = sheets)
-    SELECT run_id, CASE k WHEN 0 THEN 'room_volume' WHEN 1 THEN 'corridor_volume' WHEN 2 THEN CASE WHEN space_id % 2 = 0 THEN 'window_opening' ELSE 'door_opening' END WHEN 3 THEN 'stair_placeholder' ELSE 'dimension_anchor' END AS object_type, count(*) AS n,
-      round(sum(CASE k WHEN 0 THEN 2.8E0 WHEN 1 THEN 2.8E0 WHEN 2 THEN CASE WHEN space_id % 4 = 0 THEN 1.5E0 ELSE 2.1E0 END WHEN 3 THEN 3.0E0 ELSE 0.1E0 END), 6) AS height_m, sum(CASE k WHEN 2 THEN CASE WHEN space_id % 4 = 0 THEN 1 ELSE 2 END WHEN 4 THEN 0 ELSE 1 END) AS n_assumed FROM u GROUP BY 1, 2
-    UNION ALL SELECT run_id, 'wall', 4 * count(*), round(4 * 2.8E0 * count(*), 6), 8 * count(*) FROM u WHERE k < 2 GROUP BY 1
-    UNION ALL SELECT run_id, 'floor_slab', count(DISTINCT page), round(0.12E0 * count(DISTINCT page), 6), count(DISTINCT page) FROM u GROUP BY 1""",
+    _LAYOUT + "SELECT run_id, concat('page-', page, '-', replace(kind, '_', '-'), '-', id) AS object_id, kind AS object_type, x0 / 50 AS x0, y0 / 50 AS y0, x1 / 50 AS x1, y1 / 50 AS y1, z AS z_base_m, height AS height_m, assumed FROM o",
     "v_box",
 )
 def layout(s: SparkSession, d: str) -> DataFrame:
@@ -219,7 +227,7 @@ def layout(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(k == 0, "Room").when(k == 1, "Corridor").when(k == 2, "Door").when(k == 3, "Stair").otherwise("Dimension")
     sheet = (F.col("space_id") % 3 == 0) & (F.col("page_index") % 2 == 0)
     rows = view(s, d, "v_box").select(F.col("page_index").alias("run_id"), F.when(sheet, "sheet").otherwise("primary").alias("source"), (F.col("space_id") % 7).alias("page_index"), kind.alias("entity_type"), F.col("space_id").cast("string").alias("entity_id"), F.struct("x0", "y0", "x1", "y1").alias("bbox"), _ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("polygon"), F.when(F.col("space_id") % 4 == 0, 1.5).alias("height_m"), (F.col("space_id") % 2 == 0).alias("is_window"))
-    return openings.layout_objects(rows)[0].groupBy("run_id", "object_type").agg(F.count("*").alias("n"), F.round(F.sum("height_m"), 6).alias("height_m"), F.sum(F.size("assumption_ids")).alias("n_assumed"))
+    return openings.layout_objects(rows)[0].withColumn("assumed", F.array_join("assumption_ids", ",")).drop("assumption_ids", "page_index")
 
 
 # texts
@@ -400,8 +408,9 @@ query(
     "l12_next_action",
     f"""SELECT package, CASE WHEN v <> 'v1' OR lacks OR q = 'not_ready' OR m = 'manager_blocked' THEN 'package_blocked' WHEN q = 'not_run' OR s = 'needs_info' THEN 'package_needs_info' ELSE 'package_ready' END AS status,
     CASE WHEN v <> 'v1' THEN 'restore_manifest' WHEN lacks THEN 'restore_required_artifacts' WHEN q <> 'handoff_ready' THEN 'run_handoff_quality' WHEN s <> 'ready' THEN 'record_reviewer_signoff' WHEN k = 'missing' THEN 'close_checklist' WHEN m <> 'manager_ready' THEN 'run_manager_checklist' ELSE 'ready' END AS action_id,
-    CAST((v <> 'v1')::INT + lacks::INT + (q <> 'handoff_ready')::INT + (s <> 'ready')::INT + (m <> 'manager_ready')::INT AS INT) AS n_open FROM {_STATES}""",
-)(lambda s, d: packages.package_next_action(_packages(s, d), "v1").select("package", "status", "action_id", F.size("open_items").alias("n_open")))
+    concat_ws(',', CASE WHEN v <> 'v1' THEN 'manifest' END, CASE WHEN lacks THEN 'required: plan' END, CASE WHEN q <> 'handoff_ready' THEN 'quality_status: ' || q END, CASE WHEN s <> 'ready' THEN 'signoff_status: ' || s END,
+      CASE WHEN m <> 'manager_ready' THEN 'manager_status: ' || m END) AS open_items FROM {_STATES}""",
+)(lambda s, d: packages.package_next_action(_packages(s, d), "v1").select("package", "status", "action_id", F.array_join("open_items", ",").alias("open_items")))
 
 
 @query(
@@ -419,23 +428,41 @@ def triage(s: SparkSession, d: str) -> DataFrame:
     return packages.triage_digest(rows).drop("reason")
 
 
-@query(
-    "l18_workbench",
-    """, i AS (SELECT run_id, count(*) AS issue_count, count(*) FILTER (WHERE status = 'candidate') AS c FROM v_issue GROUP BY 1), e AS (SELECT project_id AS run_id, count(*) FILTER (WHERE entity_type = 'Room') AS rooms FROM v_entity GROUP BY 1)
-    SELECT p_partkey AS run_id, coalesce(issue_count, 0) AS issue_count, coalesce(c, 0) AS candidate_review_states, coalesce(rooms, 0) AS rooms, concat_ws(',', CASE WHEN i.run_id IS NULL THEN 'issues' END, CASE WHEN e.run_id IS NULL THEN 'graph' END) AS missing,
-    concat_ws(',', CASE WHEN i.run_id IS NULL OR e.run_id IS NULL THEN 'missing_artifacts' END, CASE WHEN issue_count > 0 AND c > 0 THEN 'unreviewed_candidates' END) AS warnings FROM part LEFT JOIN i ON i.run_id = p_partkey LEFT JOIN e ON e.run_id = p_partkey""",
-    "v_issue",
-    "v_entity",
-)
+_COUNTS = {
+    "understanding": ("v_entity", "project_id", {"rooms": "entity_type = 'Room'", "doors": "entity_type = 'Door'", "corridors": "entity_type = 'Corridor'"}),
+    "readiness": ("orders", "o_custkey", {"ready_rules": "o_orderpriority = '1-URGENT'", "blocked_rules": "o_orderpriority IN ('2-HIGH', '3-MEDIUM')"}),
+    "classification": ("lineitem", "l_suppkey", {"plan_sheet_count": "l_returnflag = 'A'"}),
+    "routing": ("supplier", "s_suppkey", {}),
+    "sheet_graphs": ("lineitem", "l_partkey", {"sheet_graph_count": "l_linenumber = 1"}),
+    "sheet_issues": ("v_issue", "run_id", {"sheet_issue_count": "status = 'candidate'"}),
+    "queue": ("events", "user_id", {"sheet_issue_queue_count": "event_type = 'error'"}),
+    "regions": ("customer", "c_custkey", {"region_count": "c_acctbal > 0"}),
+    "layout": ("v_drawing", "drawing_id", {"layout_object_count": "page_count > 40"}),
+    "review_state": ("v_issue", "run_id + 1", {"candidate_review_states": "status = 'candidate'"}),
+    "issues": ("v_issue", "run_id", {"issue_count": "true", "issue_error_count": "severity = '1-URGENT'", "issue_warning_count": "severity = '2-HIGH'"}),
+}
+_TEXTS = {"understanding": {"drawing_type": ("mark", "unknown")}, "routing": {"routing_mode": ("CASE WHEN s_nationkey % 2 = 0 THEN 'single' ELSE '' END", "missing")}, "layout": {"layout_status": ("CASE WHEN page_count > 20 THEN source_path END", "missing")}}
+
+
+def _workbench_sql() -> str:
+    own = {a: [f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in counts.items()] + [f"max({c}) AS {n}" for n, (c, _) in _TEXTS.get(a, {}).items()] for a, (_, _, counts) in _COUNTS.items()}
+    parts = ", ".join(f"{a} AS (SELECT {', '.join([f'{key} AS run', 'true AS there', *own[a]])} FROM {t} GROUP BY {key})" for a, (t, key, _) in _COUNTS.items())
+    names = [f"coalesce({n}, 0) AS {n}" for _, _, counts in _COUNTS.values() for n in counts] + [f"coalesce(nullif({n}, ''), '{m}') AS {n}" for own in _TEXTS.values() for n, (_, m) in own.items()]
+    absent = "concat_ws(',', " + ", ".join(f"CASE WHEN {a}.there IS NULL THEN '{a}' END" for a in _COUNTS) + ")"
+    joins = " ".join(f"LEFT JOIN {a} ON {a}.run = r.run_id" for a in _COUNTS)
+    warn = f"concat_ws(',', CASE WHEN {absent} <> '' THEN 'missing_artifacts' END, CASE WHEN blocked_rules > 0 THEN 'blocked_rules' END, CASE WHEN sheet_graph_count > 1 THEN 'several_sheet_graphs' END, CASE WHEN issue_count > 0 AND candidate_review_states > 0 THEN 'unreviewed_candidates' END)"
+    return f", {parts} SELECT r.run_id, {', '.join(names)}, {absent} AS missing, {warn} AS warnings FROM v_run r {joins}"
+
+
+@query("l18_workbench", _workbench_sql(), "v_entity", "v_issue", "v_drawing", "v_run")
 def bench(s: SparkSession, d: str) -> DataFrame:
-    graph = view(s, d, "v_entity").withColumn("run_id", F.col("project_id"))
-    tables = {"issues": (view(s, d, "v_issue"), {"issue_count": F.lit(True), "candidate_review_states": F.col("status") == "candidate"}), "graph": (graph, {"rooms": F.col("entity_type") == "Room"})}
-    return packages.workbench(view(s, d, "v_run"), tables)
+    tables = {a: ((view if t.startswith("v_") else table)(s, d, t).withColumn("run_id", F.expr(key)), {n: F.expr(c) for n, c in counts.items()}) for a, (t, key, counts) in _COUNTS.items()}
+    return packages.workbench(view(s, d, "v_run"), tables, {a: {n: (F.expr(c), m) for n, (c, m) in own.items()} for a, own in _TEXTS.items()})
 
 
 @query(
     "l20_promote",
-    """SELECT concat('R-', o_orderpriority) AS rule_id, concat('confirmed-', o_orderkey) AS name, CASE WHEN o_orderkey % 3 = 0 THEN c_acctbal ELSE s_acctbal END AS width_m FROM orders
+    """SELECT concat('R-', o_orderpriority) AS rule_id, concat('confirmed-', o_orderkey) AS name, CASE WHEN o_orderkey % 3 = 0 THEN c_acctbal ELSE s_acctbal END AS width_m, CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE s_nationkey END AS DOUBLE) AS mark FROM orders
     LEFT JOIN supplier ON s_suppkey = o_custkey LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey > 5 WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 10 <> 1 AND (o_orderkey % 3 <> 0 OR c_custkey IS NOT NULL)""",
 )
 def promote(s: SparkSession, d: str) -> DataFrame:
@@ -443,25 +470,32 @@ def promote(s: SparkSession, d: str) -> DataFrame:
     issues = table(s, d, "orders").select(F.lit(1).alias("run_id"), F.col("o_orderkey").alias("issue_id"), F.concat(F.lit("R-"), "o_orderpriority").alias("rule_id"), F.array(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("project:"), key)).otherwise(key)).alias("entity_ids"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("open").alias("status"), F.col("o_custkey").alias("project_id"))
     known = table(s, d, "orders").where("o_orderkey % 10 = 1").select(F.concat(F.lit("R-"), "o_orderpriority").alias("rule_id"), F.concat(F.lit("confirmed-"), "o_orderkey").alias("name"))
     rules = [{"rule_id": f"R-{p}", "inputs": ["width_m", "mark"]} for p in ("1-URGENT", "2-HIGH")]
-    entities = table(s, d, "supplier").select(F.lit(1).alias("run_id"), F.col("s_suppkey").cast("string").alias("entity_id"), F.parse_json(F.to_json(F.struct(F.col("s_acctbal").alias("width_m")))).alias("properties"))
+    entities = table(s, d, "supplier").select(F.lit(1).alias("run_id"), F.col("s_suppkey").cast("string").alias("entity_id"), F.parse_json(F.to_json(F.struct(F.col("s_acctbal").alias("width_m"), F.col("s_nationkey").alias("mark")))).alias("properties"))
     projects = table(s, d, "customer").where("c_nationkey > 5").select(F.col("c_custkey").alias("project_id"), F.col("c_acctbal").alias("width_m"))
-    return packages.promote_cases(issues, entities, projects, rules, known).select("rule_id", "name", F.get_json_object("inputs", "$.width_m").cast("double").alias("width_m"))
+    return packages.promote_cases(issues, entities, projects, rules, known).select("rule_id", "name", *[F.get_json_object("inputs", f"$.{c}").cast("double").alias(c) for c in ("width_m", "mark")])
 
 
 @query(
     "l21_failures",
     """SELECT o_orderkey AS report_id, l_linenumber AS specification_no, o_orderpriority AS requirement, CASE WHEN l_returnflag = 'A' THEN concat('Door:', l_partkey) WHEN l_returnflag = 'N' THEN CAST(l_partkey AS VARCHAR) END AS entity,
+    CASE WHEN l_returnflag = 'A' THEN CAST(l_suppkey AS VARCHAR) ELSE l_linestatus END AS actual, CASE WHEN l_linenumber % 2 = 0 THEN concat('least ', l_suppkey) END AS expected, CASE WHEN l_linenumber % 3 = 0 THEN concat('bad ', l_partkey) END AS message,
     row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ordinal FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'""",
 )
 def failures(s: SparkSession, d: str) -> DataFrame:
     both = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     part = F.col("l_partkey").cast("string")
-    entity = F.when(F.col("l_returnflag") == "A", F.to_json(F.struct(F.lit("Door").alias("type"), part.alias("GlobalId")))).when(F.col("l_returnflag") == "N", F.concat(F.lit('"'), part, F.lit('"')))
-    need = F.concat(F.lit('{"status":'), F.when(F.col("l_linestatus") == "F", '"Failed"').otherwise("true"), F.lit(',"label":"'), F.col("o_orderpriority"), F.coalesce(F.concat(F.lit('","failures":['), entity, F.lit("]}")), F.lit('"}')))
+    entity = F.when(F.col("l_returnflag") == "A", F.to_json(F.struct(F.lit("Door").alias("type"), part.alias("GlobalId"), F.col("l_suppkey").cast("string").alias("actual")))).when(F.col("l_returnflag") == "N", F.concat(F.lit('"'), part, F.lit('"')))
+    # what a requirement says itself, where its entities say nothing
+    also = F.concat(
+        F.lit('","actual_value":"'), "l_linestatus",
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit('","expected":"least '), "l_suppkey")).otherwise(""),
+        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit('","reason":"bad '), part)).otherwise(""),
+    )
+    need = F.concat(F.lit('{"status":'), F.when(F.col("l_linestatus") == "F", '"Failed"').otherwise("true"), F.lit(',"label":"'), F.col("o_orderpriority"), F.lit('","value_of":"x'), also, F.coalesce(F.concat(F.lit('","failures":['), entity, F.lit("]}")), F.lit('"}')))
     spec = F.concat(F.lit('{"name":"'), F.col("l_linenumber").cast("string"), F.lit('","facets":'), need, F.lit("}"))
     bodies = both.groupBy("o_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", spec.alias("v")))), lambda x: x["v"]).alias("specs"))
     reports = bodies.select(F.col("o_orderkey").alias("report_id"), F.parse_json(F.concat(F.lit('{"specifications":['), F.array_join("specs", ","), F.lit("]}"))).alias("body"))
-    return packages.flatten_failures(reports).select("report_id", F.col("specification").cast("int").alias("specification_no"), "requirement", "entity", "ordinal")
+    return packages.flatten_failures(reports).select("report_id", F.col("specification").cast("int").alias("specification_no"), "requirement", "entity", "actual", "expected", "message", "ordinal")
 
 
 def queries() -> dict[str, Query]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -241,8 +242,8 @@ def wide_openings(s: SparkSession, d: str) -> DataFrame:
     return geo.close_wide_openings(rows, geo.detect_gaps(rows, ["page_index"], 10, 40), ["page_index"], 10).select("page_index", "coord", "start", "stop")
 
 
-query("g9_noise", "SELECT CASE WHEN area_m2 < 20 THEN 'filtered' ELSE 'kept' END AS side, count(*) AS n FROM v_entity GROUP BY 1", "v_entity")(
-    lambda s, d: (lambda p: p[0].select(F.lit("kept").alias("side")).unionByName(p[1].select(F.lit("filtered").alias("side"))).groupBy("side").agg(F.count("*").alias("n")))(geo.split_noise(view(s, d, "v_entity"), 20.0))
+query("g9_noise", "SELECT entity_id, CASE WHEN area_m2 < 20 THEN 'filtered' ELSE 'kept' END AS side, area_m2 FROM v_entity", "v_entity")(
+    lambda s, d: reduce(DataFrame.unionByName, [p.select("entity_id", F.lit(side).alias("side"), "area_m2") for p, side in zip(geo.split_noise(view(s, d, "v_entity"), 20.0), ("kept", "filtered"), strict=True)])
 )
 query(
     "g14_dedupe_walls",

@@ -563,7 +563,12 @@ query("g8_classify", "SELECT space_id, CASE WHEN least(x1 - x0, y1 - y0) > 0 AND
     lambda s, d: geo.classify_spaces(_boxes(s, d), _boxes(s, d).select("page_index", F.lit(100.0).alias("width_pt"), F.lit(300.0).alias("height_pt")).distinct(), ["page_index"], ppm=10.0).select("space_id", "kind", "short_m")
 )
 query("g10_label_spaces", "SELECT b.page_index, space_id, arg_min(label, text_idx) AS label FROM v_box b JOIN v_point p ON p.page_index = b.page_index AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2", "v_box", "v_point")(lambda s, d: geo.label_spaces(_boxes(s, d), view(s, d, "v_point"), ["page_index"]))
-query("g20_edges", "SELECT space_id, sum(length) AS perimeter FROM (SELECT space_id, unnest([x1 - x0, y1 - y0, x1 - x0, y1 - y0]) AS length FROM v_box) WHERE length > 0 GROUP BY 1", "v_box")(lambda s, d: geo.polygon_edges(_boxes(s, d), ["space_id"]).groupBy("space_id").agg(F.sum("length").alias("perimeter")))
+query(
+    "g20_edges",
+    """SELECT space_id, e.edge, e.x0, e.y0, e.x1, e.y1, abs(e.x1 - e.x0) + abs(e.y1 - e.y0) AS length FROM (SELECT space_id, unnest([{'edge': 0, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y0}, {'edge': 1, 'x0': x1, 'y0': y0, 'x1': x1, 'y1': y1},
+    {'edge': 2, 'x0': x1, 'y0': y1, 'x1': x0, 'y1': y1}, {'edge': 3, 'x0': x0, 'y0': y1, 'x1': x0, 'y1': y0}]) AS e FROM v_box) WHERE abs(e.x1 - e.x0) + abs(e.y1 - e.y0) > 0""",
+    "v_box",
+)(lambda s, d: geo.polygon_edges(_boxes(s, d), ["space_id"]))
 query("g21_extent", "SELECT page_index, min(x0) / 50 AS x0_m, min(y0) / 50 AS y0_m, max(x1) / 50 AS x1_m, max(y1) / 50 AS y1_m FROM v_box GROUP BY 1", "v_box")(lambda s, d: geo.sheet_extent(_boxes(s, d), ["page_index"]))
 query("g16_crop", "SELECT space_id FROM v_box WHERE (x0 + x1) / 2 BETWEEN 50 AND 200 AND (y0 + y1) / 2 BETWEEN 20 AND 120", "v_box")(lambda s, d: geo.crop(_boxes(s, d), (F.col("bbox.x0") + F.col("bbox.x1")) / 2, (F.col("bbox.y0") + F.col("bbox.y1")) / 2, (50.0, 20.0, 200.0, 120.0)).select("space_id"))
 
