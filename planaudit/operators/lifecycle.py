@@ -91,52 +91,54 @@ def diff_runs(before: DataFrame, after: DataFrame, group: list[str], fields: lis
     return parts.select("group_key", F.col("occurrence").cast("int").alias("occurrence"), "before", "after", "status", "changed")
 
 
-# Columns of the review state beside issue_id.
+#: What names an issue where ids are unique; with files' own ids, pass ("run_id", "issue_id").
+ISSUE = ("issue_id",)
+# Columns of the review state beside its keys.
 STATE = {"status": "string", "reviewer": "string", "note": "string", "target_run": "string", "source_run": "string", "created_at": "timestamp", "updated_at": "timestamp"}
 
 
-def _state(df: DataFrame) -> DataFrame:
-    """issue_id and all columns of the review state, null where df lacks one."""
-    return df.select("issue_id", *[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in STATE.items()])
+def _state(df: DataFrame, keys: tuple[str, ...] = ISSUE) -> DataFrame:
+    """The keys and all columns of the review state, null where df lacks one."""
+    return df.select(*keys, *[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in STATE.items()])
 
 
-def build_state(issues: DataFrame, prior: DataFrame, now: Column, run_id: str | None = None) -> DataFrame:
-    """L4: earlier decisions stay by issue id with all they hold, new issues are candidates, issues that are gone are dropped."""
-    old = _state(prior).withColumn("_old", F.lit(True))
-    both = issues.select("issue_id").join(old, "issue_id", "left")
+def build_state(issues: DataFrame, prior: DataFrame, now: Column, run_id: str | None = None, keys: tuple[str, ...] = ISSUE) -> DataFrame:
+    """L4: earlier decisions stay by issue with all they hold, new issues are candidates, issues that are gone are dropped."""
+    old = _state(prior, keys).withColumn("_old", F.lit(True))
+    both = issues.select(*keys).join(old, list(keys), "left")
     fresh = F.col("_old").isNull()
     new = {"status": F.lit("candidate"), "source_run": F.lit(run_id), "created_at": now, "updated_at": now}
     rows = both.withColumns({c: F.when(fresh, v.cast(STATE[c])).otherwise(F.col(c)) for c, v in new.items()})
     return rows.withColumn("updated_at", F.coalesce("updated_at", now)).drop("_old")
 
 
-def apply_transitions(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_transitions(state: DataFrame, updates: DataFrame, keys: tuple[str, ...] = ISSUE) -> tuple[DataFrame, DataFrame]:
     """The latest legal update of each known issue is applied; the others come back with a reason.
 
-    updates(issue_id, status, target_run, reviewer, note, at): an empty status and
+    updates(keys, status, target_run, reviewer, note, at): an empty status and
     `open` mean candidate; only superseded has a target run, and needs one. A reviewer
     or note that is given replaces the old one (an empty one removes it); an issue
     without a legal update stays as it is.
     """
     given = F.lower(F.trim(F.coalesce("status", F.lit(""))))
     rows = updates.withColumns({c: F.lit(None).cast("string") for c in ("target_run", "reviewer", "note") if c not in updates.columns})
-    rows = rows.withColumn("status", F.when(given.isin("", "open"), "candidate").otherwise(given)).join(state.select("issue_id", F.lit(True).alias("known")), "issue_id", "left")
+    rows = rows.withColumn("status", F.when(given.isin("", "open"), "candidate").otherwise(given)).join(state.select(*keys, F.lit(True).alias("known")), list(keys), "left")
     target = F.coalesce("target_run", F.lit("")) != ""
     reason = F.when(F.col("known").isNull(), "unknown issue").when(~F.col("status").isin(STATUSES), "unknown status").when((F.col("status") == "superseded") & ~target, "no target run").when((F.col("status") != "superseded") & target, "unexpected target run")
     rows = rows.withColumn("reason", reason)
     texts = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"_{c}") for c in ("reviewer", "note")]
-    last = rows.where("reason is null").groupBy("issue_id").agg(F.max_by(F.struct("status", "target_run", "at"), "at").alias("u"), *texts)
-    both = _state(state).join(last, "issue_id", "left")
+    last = rows.where("reason is null").groupBy(*keys).agg(F.max_by(F.struct("status", "target_run", "at"), "at").alias("u"), *texts)
+    both = _state(state, keys).join(last, list(keys), "left")
     done = F.col("u").isNotNull()
     kept = {c: F.when(F.col(f"_{c}").isNotNull(), F.nullif(F.col(f"_{c}"), F.lit(""))).otherwise(F.col(c)) for c in ("reviewer", "note")}
     new = {"status": F.coalesce("u.status", "status"), "updated_at": F.when(done, F.col("u.at").cast("timestamp")).otherwise(F.col("updated_at")), "target_run": F.when(done, F.when(F.col("u.status") == "superseded", F.col("u.target_run").cast("string"))).otherwise(F.col("target_run"))}
     return both.withColumns(kept | new).drop("u", "_reviewer", "_note"), rows.where("reason is not null").drop("known")
 
 
-def state_summary(state: DataFrame) -> DataFrame:
-    """Counts in lifecycle order; statuses without an issue are left out."""
+def state_summary(state: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts in lifecycle order, of all issues or of each run; statuses without an issue are left out."""
     order = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")).cast("int")
-    return state.groupBy("status").agg(F.count("*").alias("n")).withColumn("ordinal", order)
+    return state.groupBy(*by, "status").agg(F.count("*").alias("n")).withColumn("ordinal", order)
 
 
 def page_queue(issues: DataFrame, n: int = 3, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:

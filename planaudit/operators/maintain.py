@@ -79,9 +79,9 @@ def propagate_confidence(issues: DataFrame, entities: DataFrame) -> DataFrame:
     return issues.join(most, ["run_id", "issue_id"], "left").withColumn("confidence", F.coalesce("confidence", "c")).drop("c")
 
 
-def overlay_status(issues: DataFrame, states: DataFrame, key: str = "issue_id") -> DataFrame:
-    """The state's status if it is legal, else candidate."""
-    both = issues.join(states.select(key, F.col("status").alias("_s")), key, "left")
+def overlay_status(issues: DataFrame, states: DataFrame, keys: tuple[str, ...] = ("issue_id",)) -> DataFrame:
+    """The state's status if it is legal, else candidate; keys name an issue (with a run's own ids, the run as well)."""
+    both = issues.join(states.select(*keys, F.col("status").alias("_s")), list(keys), "left")
     return both.withColumn("status", F.when(F.col("_s").isin(STATUSES), F.col("_s")).otherwise("candidate")).drop("_s")
 
 

@@ -451,6 +451,38 @@ query(
 query("l5_rejects", "SELECT CASE WHEN k = 6 THEN -issue_id ELSE issue_id END AS issue_id, CASE k WHEN 3 THEN 'no target run' WHEN 4 THEN 'unexpected target run' WHEN 5 THEN 'unknown status' ELSE 'unknown issue' END AS reason FROM (SELECT *, issue_id % 7 AS k FROM v_issue) WHERE k > 2", "v_issue")(
     lambda s, d: _transitions(s, d)[1].select("issue_id", "reason")
 )
+# review states of runs that use the same ids
+_OWN = "SELECT run_id, issue_id // 200 AS issue_id, status FROM v_issue"
+_RUN_ISSUE = ("run_id", "issue_id")
+
+
+def _own_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_issue").select("run_id", F.floor(F.col("issue_id") / 200).alias("issue_id"), "status")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the even runs."""
+    return _own_ids(spark, sf_dir).where("run_id % 2 = 0").withColumn("reviewer", F.concat(F.lit("r"), "run_id"))
+
+
+query("u6_overlay_of_runs", f"SELECT run_id, issue_id, CASE WHEN run_id % 2 = 0 THEN status ELSE 'candidate' END AS status FROM ({_OWN})", "v_issue")(
+    lambda s, d: maintain.overlay_status(_own_ids(s, d).drop("status"), _decided(s, d), _RUN_ISSUE).select("run_id", "issue_id", "status")
+)
+query(
+    "l4_state_of_runs",
+    f"SELECT run_id, issue_id, CASE WHEN run_id % 2 = 0 THEN status ELSE 'candidate' END AS status, CASE WHEN run_id % 2 = 0 THEN concat('r', run_id) END AS reviewer FROM ({_OWN})",
+    "v_issue",
+)(lambda s, d: life.build_state(_own_ids(s, d), _decided(s, d), F.lit(_LATER).cast("timestamp"), keys=_RUN_ISSUE).select("run_id", "issue_id", "status", "reviewer"))
+query(
+    "l5_transitions_of_runs",
+    f"SELECT run_id, issue_id, CASE WHEN run_id % 4 = 0 AND issue_id % 2 = 0 THEN 'resolved' ELSE status END AS status FROM ({_OWN}) WHERE run_id % 2 = 0",
+    "v_issue",
+)(
+    lambda s, d: life.apply_transitions(
+        _decided(s, d), _own_ids(s, d).where("run_id % 4 = 0 and issue_id % 2 = 0").select("run_id", "issue_id", F.lit("resolved").alias("status"), F.lit(_LATER).cast("timestamp").alias("at")), _RUN_ISSUE
+    )[0].select("run_id", "issue_id", "status")
+)
+query("l6_summary_of_runs", "SELECT run_id, status, count(*) AS n FROM v_issue GROUP BY 1, 2", "v_issue")(lambda s, d: life.state_summary(view(s, d, "v_issue"), ("run_id",)).drop("ordinal"))
 query("l6_state_summary", "SELECT status, count(*) AS n FROM v_issue GROUP BY status", "v_issue")(lambda s, d: life.state_summary(view(s, d, "v_issue")).drop("ordinal"))
 query(
     "l7_page_queue",
