@@ -1,9 +1,11 @@
-"""Rule expressions as Columns.
-
-An expression is read with `ast` when the plan is built; only Columns reach the
-executors. Messages alone are filled in Arrow batches, of what is reported. An operand error makes a whole rule fail, so NULL stands for "error"
-and the logical operators short-circuit from left to right as in the source
-language; see `predicate_column`.
+"""Rule expressions as Spark SQL.
+
+An expression is read with `ast` when the plan is built and becomes the text of one
+SQL expression, so that a plan of a thousand rules is parsed in one go; only
+built-in functions reach the executors. Messages alone are filled in Arrow batches,
+of what is reported. An operand error makes a whole rule fail, so NULL stands for
+"error" and the logical operators short-circuit from left to right as in the source
+language; see `predicate_sql`.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import ast
 import string
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,68 +22,90 @@ from pyspark.sql import types as T
 
 _NUMBER = (T.IntegralType, T.FractionalType, T.DecimalType, T.BooleanType)
 _ORDER = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">="}
+_NO_NUMBER, _NO_TEXT, _ERROR = "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)", "CAST(NULL AS BOOLEAN)"
+
+
+class Bound(NamedTuple):
+    """A rule's input: its SQL, and whether it is text."""
+
+    sql: str
+    text: bool
+
+    @property
+    def column(self) -> Column:
+        return F.expr(self.sql)
+
+
+def quoted(text: str) -> str:
+    """A text as a literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def bind_inputs(entities: DataFrame, names: Iterable[str], properties: str = "properties") -> dict[str, tuple[Column, bool]]:
-    """name -> (column, is text): a declared column first, else the open property, else null."""
+def _named(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def bind_inputs(entities: DataFrame, names: Iterable[str], properties: str = "properties") -> dict[str, Bound]:
+    """name -> its input: a declared column first, else the open property, else null."""
     bound = {}
     for name in names:
         if name in entities.columns and name != properties:
-            text = isinstance(entities.schema[name].dataType, T.StringType)
-            col = F.col(name)
-            bound[name] = (col if text else col.cast("double") if isinstance(entities.schema[name].dataType, _NUMBER) else col.cast("string"), text)
+            kind = entities.schema[name].dataType
+            text = isinstance(kind, T.StringType)
+            bound[name] = Bound(_named(name) if text else f"CAST({_named(name)} AS {'DOUBLE' if isinstance(kind, _NUMBER) else 'STRING'})", text)
         elif properties in entities.columns:
-            bound[name] = (F.try_variant_get(F.col(properties), f"$.{name}", "double"), False)
+            path = quoted("$." + name)
+            bound[name] = Bound(f"try_variant_get({_named(properties)}, {path}, 'double')", False)
         else:
-            bound[name] = (F.lit(None).cast("double"), False)
+            bound[name] = Bound(_NO_NUMBER, False)
     return bound
 
 
 class _Compiler:
-    def __init__(self, inputs: dict[str, tuple[Column, bool]]) -> None:
+    def __init__(self, inputs: dict[str, Bound]) -> None:
         self.inputs = inputs
 
-    def value(self, node: ast.AST) -> tuple[Column, bool]:
-        """(column, is text); null is an error or a missing input."""
+    def value(self, node: ast.AST) -> Bound:
+        """SQL of a value; null is an error or a missing input."""
         if isinstance(node, ast.Name):
             if node.id not in self.inputs:
                 raise ValueError(f"unknown name {node.id}")
             return self.inputs[node.id]
         if isinstance(node, ast.Constant):
             if isinstance(node.value, str):
-                return F.lit(node.value), True
+                return Bound(quoted(node.value), True)
             if node.value is None:
-                return F.lit(None).cast("double"), False
+                return Bound(_NO_NUMBER, False)
             if isinstance(node.value, (bool, int, float)):
-                return F.lit(float(node.value)), False
+                return Bound(f"CAST({quoted(repr(float(node.value)))} AS DOUBLE)", False)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-            col, text = self.value(node.operand)
-            return (F.lit(None).cast("double") if text else -col if isinstance(node.op, ast.USub) else col), False
+            x = self.value(node.operand)
+            return Bound(_NO_NUMBER if x.text else f"(- {x.sql})" if isinstance(node.op, ast.USub) else x.sql, False)
         if isinstance(node, ast.BinOp):
-            (a, at), (b, bt) = self.value(node.left), self.value(node.right)
-            if at or bt:
-                return F.lit(None).cast("double"), False
+            a, b = self.value(node.left), self.value(node.right)
+            if a.text or b.text:
+                return Bound(_NO_NUMBER, False)
             if isinstance(node.op, ast.Div):
-                return F.try_divide(a, b), False
+                return Bound(f"try_divide({a.sql}, {b.sql})", False)
             if isinstance(node.op, ast.Mod):
                 # the sign follows the divisor
-                return F.try_mod(F.try_mod(a, b) + b, b), False
-            for kind, make in ((ast.Add, lambda: a + b), (ast.Sub, lambda: a - b), (ast.Mult, lambda: a * b)):
+                return Bound(f"try_mod(try_mod({a.sql}, {b.sql}) + {b.sql}, {b.sql})", False)
+            for kind, sign in ((ast.Add, "+"), (ast.Sub, "-"), (ast.Mult, "*")):
                 if isinstance(node.op, kind):
-                    return make(), False
+                    return Bound(f"({a.sql} {sign} {b.sql})", False)
         if isinstance(node, (ast.BoolOp, ast.Compare)) or isinstance(node, ast.UnaryOp):
-            return self.truth(node).cast("double"), False
+            return Bound(f"CAST({self.truth(node)} AS DOUBLE)", False)
         raise ValueError(f"not allowed in a rule: {ast.dump(node)}")
 
-    def truth(self, node: ast.AST) -> Column:
+    def truth(self, node: ast.AST) -> str:
         if isinstance(node, ast.BoolOp):
             out = self.truth(node.values[-1])
             for left in map(self.truth, reversed(node.values[:-1])):
-                keep, other = (F.lit(True), out) if isinstance(node.op, ast.Or) else (out, F.lit(False))
-                out = F.when(left.isNull(), F.lit(None).cast("boolean")).when(left, keep).otherwise(other)
-            return out
+                keep, other = ("TRUE", out) if isinstance(node.op, ast.Or) else (out, "FALSE")
+                out = f"CASE WHEN {left} IS NULL THEN {_ERROR} WHEN {left} THEN {keep} ELSE {other} END"
+            return f"({out})"
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return ~self.truth(node.operand)
+            return f"(NOT {self.truth(node.operand)})"
         if isinstance(node, ast.Compare):
             parts, left = [], node.left
             for op, right in zip(node.ops, node.comparators, strict=True):
@@ -88,51 +113,58 @@ class _Compiler:
                 left = right
             out = parts[-1]
             for part in reversed(parts[:-1]):
-                out = F.when(part.isNull(), F.lit(None).cast("boolean")).when(part, out).otherwise(F.lit(False))
-            return out
+                out = f"CASE WHEN {part} IS NULL THEN {_ERROR} WHEN {part} THEN {out} ELSE FALSE END"
+            return f"({out})"
         if isinstance(node, ast.Constant) and isinstance(node.value, bool):
-            return F.lit(node.value)
-        col, text = self.value(node)
-        return F.coalesce(col != "", F.lit(False)) if text else F.coalesce(col != 0, F.lit(False))
+            return "TRUE" if node.value else "FALSE"
+        x = self.value(node)
+        return f"coalesce({x.sql} <> {quoted('')}, FALSE)" if x.text else f"coalesce({x.sql} <> 0, FALSE)"
 
-    def compare(self, left: ast.AST, op: ast.cmpop, right: ast.AST) -> Column:
-        (a, at), (b, bt) = self.value(left), self.value(right)
-        error = F.lit(None).cast("boolean")
+    def compare(self, left: ast.AST, op: ast.cmpop, right: ast.AST) -> str:
+        a, b = self.value(left), self.value(right)
         if isinstance(op, (ast.Is, ast.IsNot)):
             if not (isinstance(right, ast.Constant) and right.value is None):
                 raise ValueError("only `is None` and `is not None` are allowed")
-            return a.isNull() if isinstance(op, ast.Is) else a.isNotNull()
+            return f"({a.sql} IS {'' if isinstance(op, ast.Is) else 'NOT '}NULL)"
         if isinstance(op, (ast.Eq, ast.NotEq)):
             missing = [isinstance(x, ast.Constant) and x.value is None for x in (left, right)]
-            if at != bt and not any(missing):
-                same = F.lit(False) & a.isNull()
+            if a.text != b.text and not any(missing):
+                same = "FALSE"
             elif any(missing):
-                same = a.isNull() if missing[1] else b.isNull()
+                same = f"({(a if missing[1] else b).sql} IS NULL)"
             else:
-                same = a.eqNullSafe(b)
-                if not at:
-                    same = same & ~F.coalesce(F.isnan(a), F.lit(False))
-            for x, col in ((left, a), (right, b)):
+                same = f"({a.sql} <=> {b.sql})" if a.text else f"({a.sql} <=> {b.sql} AND NOT coalesce(isnan({a.sql}), FALSE))"
+            for x, bound in ((left, a), (right, b)):
                 if not isinstance(x, (ast.Name, ast.Constant)):
-                    same = F.when(col.isNull(), error).otherwise(same)
-            return same if isinstance(op, ast.Eq) else ~same
+                    same = f"(CASE WHEN {bound.sql} IS NULL THEN {_ERROR} ELSE {same} END)"
+            return same if isinstance(op, ast.Eq) else f"(NOT {same})"
         if type(op) in _ORDER:
-            if at != bt:
-                return error
-            text = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[_ORDER[type(op)]]
-            return text if at else F.when(F.isnan(a) | F.isnan(b), F.when(a.isNull() | b.isNull(), error).otherwise(False)).otherwise(text)
+            if a.text != b.text:
+                return _ERROR
+            order = f"({a.sql} {_ORDER[type(op)]} {b.sql})"
+            if a.text:
+                return order
+            return f"(CASE WHEN isnan({a.sql}) OR isnan({b.sql}) THEN CASE WHEN {a.sql} IS NULL OR {b.sql} IS NULL THEN {_ERROR} ELSE FALSE END ELSE {order} END)"
         raise ValueError(f"not allowed in a rule: {ast.dump(op)}")
 
 
-def predicate_column(expression: str, inputs: dict[str, tuple[Column, bool]]) -> Column:
+def predicate_sql(expression: str, inputs: dict[str, Bound]) -> str:
     """True where the expression holds; false where it does not or an operand is in error."""
-    return F.coalesce(_Compiler(inputs).truth(ast.parse(expression, mode="eval").body), F.lit(False))
+    return f"coalesce({_Compiler(inputs).truth(ast.parse(expression, mode='eval').body)}, FALSE)"
+
 
+def predicate_column(expression: str, inputs: dict[str, Bound]) -> Column:
+    return F.expr(predicate_sql(expression, inputs))
 
-def measured(names: Iterable[str], inputs: dict[str, tuple[Column, bool]], suppress: bool = False) -> Column:
+
+def measured_sql(names: Iterable[str], inputs: dict[str, Bound], suppress: bool = False) -> str:
     """The first non-null numeric input in declared order, or null."""
-    numbers = [inputs[n][0] for n in names if not inputs[n][1]]
-    return F.coalesce(*numbers) if numbers and not suppress else F.lit(None).cast("double")
+    numbers = [inputs[n].sql for n in names if not inputs[n].text]
+    return f"coalesce({', '.join(numbers)})" if numbers and not suppress else _NO_NUMBER
+
+
+def measured(names: Iterable[str], inputs: dict[str, Bound], suppress: bool = False) -> Column:
+    return F.expr(measured_sql(names, inputs, suppress))
 
 
 def value_kinds(entities: DataFrame, names: Iterable[str]) -> dict[str, str]:
@@ -169,12 +201,11 @@ class Template:
             return self.text
 
 
-def message_arguments(inputs: dict[str, tuple[Column, bool]]) -> tuple[Column, Column]:
-    """The numbers and the texts of a rule's inputs in order, for `messages`."""
-    if not inputs:
-        return F.array().cast("array<double>"), F.array().cast("array<string>")
-    numbers = [F.lit(None).cast("double") if text else c for c, text in inputs.values()]
-    return F.array(*numbers), F.array(*[c if text else F.lit(None).cast("string") for c, text in inputs.values()])
+def message_arguments(inputs: dict[str, Bound]) -> tuple[str, str]:
+    """SQL of the numbers and of the texts of a rule's inputs in order, for `messages`."""
+    numbers = ", ".join(_NO_NUMBER if b.text else b.sql for b in inputs.values())
+    texts = ", ".join(b.sql if b.text else _NO_TEXT for b in inputs.values())
+    return f"CAST(array({numbers}) AS array<double>)", f"CAST(array({texts}) AS array<string>)"
 
 
 def messages(templates: dict[str, Template]) -> Callable[..., Column]:
@@ -189,7 +220,7 @@ def messages(templates: dict[str, Template]) -> Callable[..., Column]:
     return F.arrow_udf(fill, T.StringType())
 
 
-def render_message(template: str, inputs: dict[str, tuple[Column, bool]], kinds: dict[str, str] | None = None) -> Column:
+def render_message(template: str, inputs: dict[str, Bound], kinds: dict[str, str] | None = None) -> Column:
     """Fill named placeholders as Python's format does; a null shows as ?, and with a number format on it the raw template comes back."""
-    kinds = kinds or {n: "text" if text else "float" for n, (_, text) in inputs.items()}
-    return messages({"": Template(template, kinds)})(F.lit(""), *message_arguments(inputs))
+    kinds = kinds or {n: "text" if b.text else "float" for n, b in inputs.items()}
+    return messages({"": Template(template, kinds)})(F.lit(""), *map(F.expr, message_arguments(inputs)))

@@ -133,7 +133,7 @@ def promote_cases(issues: DataFrame, entities: DataFrame, projects: DataFrame, r
 
         def case(source: DataFrame, rule: dict = rule) -> Column:
             bound = bind_inputs(source, rule["inputs"])
-            return F.to_json(F.struct(*[c.alias(n) for n, (c, _) in bound.items()]), {"ignoreNullFields": "false"}).alias("inputs")
+            return F.to_json(F.struct(*[b.column.alias(n) for n, b in bound.items()]), {"ignoreNullFields": "false"}).alias("inputs")
 
         ids = mine.select("run_id", "issue_id", "rule_id", "entity_id", "project_id")
         by_entity = ids.where(~of_project).join(entities.drop("project_id", "rule_id", "issue_id"), ["run_id", "entity_id"], "left")

@@ -13,33 +13,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planaudit.functions.predicates import Template, bind_inputs, measured, message_arguments, messages, predicate_column, value_kinds
+from planaudit.functions.predicates import Template, bind_inputs, measured_sql, message_arguments, messages, predicate_sql, quoted, value_kinds
 
 # Readiness tiers.
 TIERS = ["AUTODETECTABLE", "PARTIAL_AUTODETECT", "PROJECT_META_DRIVEN", "REMINDER_BY_DESIGN", "STAIR_PENDING"]
+#: Rules in one projection.
+AT_ONCE = 256
 #: What applicability depends on, and into how many parts rules are dealt where profiles meet all of them.
 PROFILE, SLOTS = ["building_type", "height_class"], 64
 
 
-def _outcomes(rows: DataFrame, rules: list[dict], default_severity: str) -> Column:
-    """One struct for each rule: does it hold, and what to report."""
+def _outcomes(rows: DataFrame, rules: list[dict], default_severity: str) -> str:
+    """SQL of one struct for each rule: does it hold, and what to report."""
     out = []
     for rule in rules:
         inputs = bind_inputs(rows, rule["inputs"])
         numbers, texts = message_arguments(inputs)
-        out.append(
-            F.struct(
-                F.lit(rule["rule_id"]).alias("rule_id"),
-                predicate_column(rule["logic_expression"], inputs).alias("holds"),
-                measured(rule["inputs"], inputs, rule.get("suppress_measured", False)).alias("measured_value"),
-                numbers.alias("_numbers"),
-                texts.alias("_texts"),
-                F.lit(rule.get("threshold_value")).cast("double").alias("threshold_value"),
-                F.lit(rule.get("severity") or default_severity).alias("severity"),
-                F.lit((rule.get("source_clause_ids") or [None])[0]).cast("string").alias("clause_id"),
-            )
-        )
-    return F.array(*out)
+        threshold, clause = rule.get("threshold_value"), (rule.get("source_clause_ids") or [None])[0]
+        fields = {
+            "rule_id": quoted(rule["rule_id"]),
+            "holds": predicate_sql(rule["logic_expression"], inputs),
+            "measured_value": measured_sql(rule["inputs"], inputs, rule.get("suppress_measured", False)),
+            "_numbers": numbers,
+            "_texts": texts,
+            "threshold_value": f"CAST({'NULL' if threshold is None else quoted(repr(float(threshold)))} AS DOUBLE)",
+            "severity": quoted(rule.get("severity") or default_severity),
+            "clause_id": f"CAST({'NULL' if clause is None else quoted(str(clause))} AS STRING)",
+        }
+        out.append(f"named_struct({', '.join(f'{quoted(k)}, {v}' for k, v in fields.items())})")
+    return f"array({', '.join(out)})"
 
 
 def _reported(rows: DataFrame, rules: list[dict], outcomes: DataFrame) -> DataFrame:
@@ -53,22 +55,25 @@ def _reported(rows: DataFrame, rules: list[dict], outcomes: DataFrame) -> DataFr
 def evaluate(entities: DataFrame, rules: list[dict], keep: tuple[str, ...] = ("run_id", "page_index", "entity_id"), type_col: str = "entity_type") -> DataFrame:
     """One issue for each entity and rule of its type that does not hold (default severity error).
 
-    Entities are scanned once; the type picks the rules of a row. A null or
+    Entities are scanned once for every 256 rules; the type picks the rules of a row. A null or
     unreadable operand makes a rule fail. Ids of issues are hashes of run, rule and
     entity, so reruns agree.
     """
     if not rules:
         raise ValueError("no rules")
+    if len(rules) > AT_ONCE:
+        # the code of one projection grows with its rules, and beyond a few hundred no longer runs as fast
+        return reduce(DataFrame.unionByName, [evaluate(entities, rules[i : i + AT_ONCE], keep, type_col) for i in range(0, len(rules), AT_ONCE)])
     by_type = {kind: _outcomes(entities, [r for r in rules if r["applies_to"] == kind], "error") for kind in sorted({r["applies_to"] for r in rules})}
-    picked = reduce(lambda out, kind: out.when(F.col(type_col) == kind, by_type[kind]), by_type, F.when(F.lit(False), next(iter(by_type.values()))))
-    issues = _reported(entities, rules, entities.where(F.col(type_col).isin(*by_type)).select(*keep, F.inline(picked)))
+    picked = "CASE " + " ".join(f"WHEN `{type_col}` = {quoted(kind)} THEN {found}" for kind, found in by_type.items()) + " END"
+    issues = _reported(entities, rules, entities.where(F.col(type_col).isin(*by_type)).select(*keep, F.expr(f"inline({picked})")))
     return issues.withColumn("issue_id", F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in keep], "rule_id"), 256), 1, 16))
 
 
 def evaluate_projects(projects: DataFrame, rules: list[dict]) -> DataFrame:
     """Project rules, once per project; the entity is project:<id>, there is no box, default severity info."""
     own = [r for r in rules if r["applies_to"] == "Project"]
-    rows = projects.select(F.concat(F.lit("project:"), F.col("project_id").cast("string")).alias("entity_id"), "project_id", F.inline(_outcomes(projects, own, "info")))
+    rows = projects.select(F.concat(F.lit("project:"), F.col("project_id").cast("string")).alias("entity_id"), "project_id", F.expr(f"inline({_outcomes(projects, own, 'info')})"))
     return _reported(projects, own, rows)
 
 
@@ -167,7 +172,8 @@ def sheet_issue_groups(pages: DataFrame, issues: DataFrame, skips: DataFrame) ->
 
 def rule_selftest(spark_rows: DataFrame, rules: list[dict]) -> DataFrame:
     """Embedded cases (rule_id, case_name, inputs as columns, expect_pass) whose outcome differs."""
-    outcome = reduce(lambda out, r: out.when(F.col("rule_id") == r["rule_id"], predicate_column(r["logic_expression"], bind_inputs(spark_rows, r["inputs"]))), rules, F.when(F.lit(False), F.lit(False)))
+    cases = [f"WHEN rule_id = {quoted(r['rule_id'])} THEN {predicate_sql(r['logic_expression'], bind_inputs(spark_rows, r['inputs']))}" for r in rules]
+    outcome = F.expr(f"CASE {' '.join(cases)} END")
     return spark_rows.withColumn("passes", outcome).where("passes <> expect_pass").select("rule_id", "case_name", "expect_pass", "passes")
 
 
@@ -189,10 +195,10 @@ def entity_readiness(entities: DataFrame, rules: list[dict], least: float = 0.5)
     for i, r in enumerate(own):
         inputs = bind_inputs(entities, r["inputs"])
         kind = F.col("entity_type") == r["applies_to"]
-        complete = kind & reduce(lambda a, b: a & b, [c.isNotNull() for c, _ in inputs.values()], F.lit(True))
+        complete = kind & reduce(lambda a, b: a & b, [b.column.isNotNull() for b in inputs.values()], F.lit(True))
         weak = complete & (unsure | (F.coalesce("confidence", F.lit(0.0)) < least))
         sums += [F.count_if(kind).alias(f"e{i}"), F.count_if(complete).alias(f"c{i}"), F.count_if(weak).alias(f"w{i}")]
-        sums += [F.count_if(kind & c.isNotNull()).alias(f"i{i}_{k}") for k, (c, _) in enumerate(inputs.values())]
+        sums += [F.count_if(kind & b.column.isNotNull()).alias(f"i{i}_{k}") for k, b in enumerate(inputs.values())]
         names = F.array(*[F.lit(n) for n in r["inputs"]]) if r["inputs"] else F.array().cast("array<string>")
         absent = F.array_compact(F.array(*[F.when(F.col(f"i{i}_{k}") == 0, F.lit(n)) for k, n in enumerate(inputs)])) if inputs else F.array().cast("array<string>")
         lacking = (F.size(absent) > 0) | (F.col(f"c{i}") == 0)
@@ -220,7 +226,7 @@ def project_readiness(projects: DataFrame, rules: list[dict], clauses: DataFrame
         names = F.array(*[F.lit(n) for n in r["inputs"]]) if r["inputs"] else empty
         project = r["applies_to"] == "Project"
         inputs = bind_inputs(projects, r["inputs"]) if project else {}
-        absent = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, (c, _) in inputs.items()])) if inputs else empty
+        absent = F.array_compact(F.array(*[F.when(b.column.isNull(), F.lit(n)) for n, b in inputs.items()])) if inputs else empty
         parts.append(F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(project).alias("project"), F.lit(_severity(r)).alias("severity"), F.lit(set(r.get("source_clause_ids") or []) <= known).alias("known"), names.alias("inputs"), absent.alias("absent")))
     rows = projects.select("project_id", "has_meta", F.inline(F.array(*parts))).join(skips.select("project_id", "rule_id", F.lit(True).alias("skipped")).distinct(), ["project_id", "rule_id"], "left")
     status = F.when(~F.col("known"), "missing_input").when(F.col("skipped"), F.when(F.col("has_meta"), "not_applicable").otherwise("missing_input")).when(~F.col("has_meta") | (F.size("absent") > 0), "missing_input").when(F.col("severity") == "info", "manual_only").otherwise("ready")

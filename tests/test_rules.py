@@ -122,3 +122,12 @@ def test_message_formats_are_those_of_the_format_language(spark):
     got = df.select(*[render_message(t, inputs, kinds).alias(f"m{k}") for k, t in enumerate(texts)]).collect()
     assert len(got) * len(specs) > 100_000
     assert all(r[k] == plain(t, i, v) for i, (r, v) in enumerate(zip(got, values, strict=True)) for k, t in enumerate(texts))
+
+
+def test_many_rules_in_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, f"e{i}", "Room" if i % 2 else "Door", i / 10) for i in range(20)], "run_id int, page_index int, entity_id string, entity_type string, w double")
+    many = [{"rule_id": f"R'{i}\\", "applies_to": ["Room", "Door"][i % 2], "inputs": ["w"], "logic_expression": f"w >= {i / 50}", "output_template": f"{{w:.2f}} is below {i / 50}"} for i in range(100)]
+    want = sorted(map(tuple, rules.evaluate(df, many).collect()))
+    monkeypatch.setattr(rules, "AT_ONCE", 7)
+    assert sorted(map(tuple, rules.evaluate(df, many).collect())) == want
+    assert len(want) == sum(j / 10 < i / 50 for i in range(100) for j in range(20) if j % 2 == (i % 2 == 0))
