@@ -10,8 +10,9 @@ often as three draws from their union fall into the intersection. Lines that sha
 a band are compared with the smallest one in it by the exact Jaccard of their
 shingle sets; linked lines are merged by distributed union-find. Then all lines
 that share a band and are still in different components are compared (in crowded
-bands by their rarest shingles, central lines first), the links of all rounds are
-merged, and the first line of a component stays.
+bands by their rarest shingles, after central lines and some lines of the largest
+component have been compared), the links of all rounds are merged, and the first
+line of a component stays.
 
 Equal lines are one node from the start, named by the 64-bit hash of the line, so
 ids of documents may be any 64-bit number.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planaudit.llm.common import connected_components, free_name, materialize
@@ -30,6 +31,8 @@ SHINGLE = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
 BANDS, DEPTH = 6, 3
 LINES = 1 << 31
 FEW, COUNTERS = 16, 1 << 18
+#: How many lines of its largest component a rare shingle has compared with its other lines before all pairs across components.
+HEADS = 4
 
 
 def _points() -> list[int]:
@@ -134,18 +137,32 @@ def _central_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     return near.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
+def _head_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Of each rare shingle, the lines outside its largest component with the HEADS most central lines of it.
+
+    A line that is linked to one of them is then in the component and meets no
+    other line of it.
+    """
+    rows = rare.join(_of_key(rare, "key").select("key", "big"), "key")
+    central = Window.partitionBy("key").orderBy("alone", "id")
+    heads = rows.where("of = big").withColumn("rank", F.row_number().over(central)).where(f"rank <= {HEADS}").select("key", F.col("id").alias("b"), F.col("n").alias("m"))
+    near = rows.where("of <> big").select("key", "id", "n").join(heads, "key").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return near.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+
+
 def _linked(hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node and component of the lines that share a band with a line they are like.
 
     First every line of a band is compared with the smallest one, and in bands that
-    still hold many pairs across components with central lines; then every pair
-    across components that may have the Jaccard.
+    still hold many pairs across components with central lines and then with lines of
+    the largest component; then every pair across components that may have the
+    Jaccard.
     """
     tested: list[DataFrame] = []
     parts = None
 
     def compare(pairs: DataFrame, parts: DataFrame | None) -> DataFrame | None:
-        fresh = materialize(reduce(lambda df, old: df.join(old, ["a", "b"], "left_anti"), tested, pairs))
+        fresh = materialize(pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti") if tested else pairs)
         if parts is not None and fresh.isEmpty():
             return parts
         tested.append(fresh)
@@ -164,6 +181,7 @@ def _linked(hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if not many.isEmpty():
         prefix = _prefixes(many, sets, percent)
         parts = compare(_central_pairs(prefix, percent), parts)
+        parts = compare(_head_pairs(_placed(prefix.drop("p"), parts), percent), parts)
         rare = _placed(prefix.drop("alone"), parts)
         open_pairs = open_pairs.unionByName(_crossed(rare.join(_of_key(rare, "key").select("key", "big"), "key"), percent))
     return compare(open_pairs.distinct(), parts)
