@@ -45,9 +45,10 @@ def shingles(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)), lambda x: F.xxhash64(x))))
 
 
-def _three_from(hashes: Column, point: int) -> Column:
-    """The smallest hashes from the point on, going round to the smallest of all."""
-    return F.slice(F.concat(F.slice(F.filter(hashes, lambda x: x >= point), 1, DEPTH), F.slice(hashes, 1, DEPTH)), 1, DEPTH)
+def _signature(hashes: Column, places: Column, i: int) -> Column:
+    """Hash of the smallest hashes from point i on, going round to the smallest of all; `places` is hashes and points in one order."""
+    below = F.array_position(places, F.lit(_points()[i])).cast("int") - i
+    return F.xxhash64(F.lit(i), F.slice(F.concat(hashes, F.slice(hashes, 1, DEPTH)), below, DEPTH))
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,8 +204,8 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     lines = split_lines(docs, id_col, text_col)
     hashed = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "same", shingles(F.col("line")).alias("h"))
-    from_point = [_three_from(F.col("h"), p) for p in _points()]
-    signed = hashed.select("place", "same", F.size("h").alias("n"), *[F.xxhash64(F.lit(i), x).alias(f"b{i}") for i, x in enumerate(from_point)])
+    ordered = hashed.withColumn("places", F.array_sort(F.concat("h", F.array(*[F.lit(p) for p in _points()]))))
+    signed = ordered.select("place", "same", F.size("h").alias("n"), *[_signature(F.col("h"), F.col("places"), i).alias(f"b{i}") for i in range(BANDS)])
     classes = materialize(signed.groupBy(F.col("same").alias("id")).agg(F.min("place").alias("place"), F.count("*").alias("c"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
     members = classes.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     shared = members.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")

@@ -419,6 +419,16 @@ def test_lines_of_a_family_meet_few_others(spark, monkeypatch):
     assert sum(pairs) < 8 * len(lines)
 
 
+def test_band_signatures(spark):
+    points = line_dedup._points()
+    rows = [[5], [points[0], points[3]], sorted(random.Random(16).randrange(-(1 << 63), 1 << 63) for _ in range(40)), [-(1 << 63), points[5], (1 << 63) - 1]]
+    df = spark.createDataFrame([(x, sorted(x + points)) for x in rows], "h array<long>, places array<long>")
+    want = [[F.xxhash64(F.lit(i), F.array(*[F.lit(v).cast("long") for v in ([v for v in x if v >= p][:3] + x[:3])[:3]])) for i, p in enumerate(points)] for x in rows]
+    got = df.select("h", *[line_dedup._signature(F.col("h"), F.col("places"), i) for i in range(len(points))]).collect()
+    known = {tuple(x): list(spark.range(1).select(*w).first()) for x, w in zip(rows, want, strict=True)}
+    assert all(list(r[1:]) == known[tuple(r[0])] for r in got)
+
+
 def test_lines_are_compared_whole(spark):
     rng = random.Random(12)
     far = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(80))
