@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planaudit.llm.common import connected_components, free_name, materialize
+from planaudit.llm.common import connected_components, free_name, materialize, merged_components
 
 SHINGLE = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
 BANDS, DEPTH = 6, 3
@@ -170,7 +170,7 @@ def _linked(hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = materialize(_verified(fresh, sets, percent))
         if parts is None:
             return connected_components(links)
-        return parts if links.isEmpty() else connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        return parts if links.isEmpty() else merged_components(parts, links)
 
     sizes = hits.where("id = first").select("first", F.col("n").alias("m")).distinct()
     stars = hits.where("id <> first").select("id", "n", "first").distinct().join(sizes, "first")

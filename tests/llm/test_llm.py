@@ -454,3 +454,12 @@ def test_quality_limits_reject_a_third_of_random_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.keep for r in quality.classify(docs, docs.where("doc_id < 150").select("doc_id")).collect()}
     assert all(got[i] for i in range(200)) and not any(got[i] for i in range(1034, 1060, 2))
+
+
+def test_components_with_more_links_are_those_of_all_links(spark):
+    rng = random.Random(5)
+    first, more = ([(rng.randrange(-40, 80), rng.randrange(-40, 80)) for _ in range(n)] for n in (45, 30))
+    frames = [spark.createDataFrame(x, "a long, b long") for x in (first, more, first + more)]
+    got = common.merged_components(common.connected_components(frames[0]), frames[1])
+    wanted = {tuple(r) for r in common.connected_components(frames[2]).collect()}
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
