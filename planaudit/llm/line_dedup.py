@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from planaudit.llm.common import connected_components, free_name, materialize, merged_components
 
-SHINGLE = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
+#: Blanks are listed, and a word is tried once only: the same matches as (?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.), in less time.
+SHINGLE = r"(?s)(?=(.{1,9}+))(?:[^ \t\n\x0B\f\r]{1,8}+(?:[ \t\n\x0B\f\r]|[^ \t\n\x0B\f\r]?\z)|.)"
 BANDS, DEPTH = 6, 3
 LINES = 1 << 31
 FEW, COUNTERS = 16, 1 << 18
@@ -204,22 +205,26 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     lines = split_lines(docs, id_col, text_col)
     hashed = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "same", shingles(F.col("line")).alias("h"))
-    ordered = hashed.withColumn("places", F.array_sort(F.concat("h", F.array(*[F.lit(p) for p in _points()]))))
+    # sort_array sorts numbers as such; array_sort would compare them one by one through an expression
+    ordered = hashed.withColumn("places", F.sort_array(F.concat("h", F.array(*[F.lit(p) for p in _points()]))))
     signed = ordered.select("place", "same", F.size("h").alias("n"), *[_signature(F.col("h"), F.col("places"), i).alias(f"b{i}") for i in range(BANDS)])
     classes = materialize(signed.groupBy(F.col("same").alias("id")).agg(F.min("place").alias("place"), F.count("*").alias("c"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
     members = classes.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     shared = members.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
-    hits = materialize(members.join(shared, "band").select("band", "id", "n", "first"))
-    wanted = lines.select(F.col("same").alias("id"), "line").join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    # what is looked up has each key once, so it is hashed and the many rows need not be sorted
+    hits = materialize(members.join(shared.hint("shuffle_hash"), "band").select("band", "id", "n", "first"))
+    wanted = lines.select(F.col("same").alias("id"), "line").join(hits.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(wanted.select("id", shingles(F.col("line")).alias("h")))
     parts = _linked(hits, sets, percent)
     grouped = classes.select("id", "place").join(parts.withColumnRenamed("node", "id"), "id")
     first = grouped.groupBy("component").agg(F.min("place").alias("keeper"))
     merged = grouped.join(first, "component").select(F.col("id").alias("same"), "keeper")
     repeated = classes.where("c > 1").join(parts, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("same"), F.col("place").alias("keeper"))
+    keepers = merged.unionByName(repeated).select("same", _doc_id(F.col("keeper")).alias("keeper_doc_id"), _line_no(F.col("keeper")).alias("keeper_line_no"))
     # lines that are alone in their component need no partner here
-    placed = lines.drop("line").join(merged.unionByName(repeated), "same", "left").withColumn("place", _place(F.col("doc_id"), F.col("line_no"))).withColumn("keeper", F.coalesce("keeper", "place"))
-    return placed.select("doc_id", "line_no", "same", _doc_id(F.col("keeper")).alias("keeper_doc_id"), _line_no(F.col("keeper")).alias("keeper_line_no"), (F.col("place") == F.col("keeper")).alias("kept"))
+    placed = lines.drop("line").join(keepers.hint("shuffle_hash"), "same", "left")
+    named = placed.withColumns({"keeper_doc_id": F.coalesce("keeper_doc_id", "doc_id"), "keeper_line_no": F.coalesce("keeper_line_no", "line_no")})
+    return named.select("doc_id", "line_no", "same", "keeper_doc_id", "keeper_line_no", ((F.col("doc_id") == F.col("keeper_doc_id")) & (F.col("line_no") == F.col("keeper_line_no"))).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

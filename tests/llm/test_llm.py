@@ -463,3 +463,20 @@ def test_components_with_more_links_are_those_of_all_links(spark):
     got = common.merged_components(common.connected_components(frames[0]), frames[1])
     wanted = {tuple(r) for r in common.connected_components(frames[2]).collect()}
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
+def test_shingles_of_odd_lines_are_those_of_the_plain_pattern(spark):
+    plain = r"(?s)(?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.)"
+    rng = random.Random(9)
+    lines = ["", " ", "123456789", "12345678", "1234567890", "12345678 ", "123456789 x", "\x85  a"] + ["".join(rng.choice("abé\U0001f600 \t\r\x0b\x0c\x1c\x85 ") for _ in range(rng.randrange(40))) for _ in range(300)]
+    lines += ["".join(rng.choice("abcdefg中 ") * rng.randrange(1, 12) for _ in range(9)) for _ in range(300)]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    both = [F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in (plain, line_dedup.SHINGLE)]
+    assert frame.where(~both[0].eqNullSafe(both[1])).count() == 0
+
+
+def test_keepers_are_looked_up_without_a_sort(spark):
+    """Each key is in the table once, so the lines need no order for it."""
+    lines = line_dedup.line_components(spark.createDataFrame([(1, "one line\nand another")], "doc_id long, text string"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan
