@@ -22,20 +22,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planaudit.llm.common import connected_components, free_name, materialize, merged_components
+from planaudit.llm.common import bucketed, connected_components, free_name, materialize, merged_components
 
 #: Blanks are listed, and a word is tried once only: the same matches as (?=(.{1,9}))(?:\S{1,8}+\s|\S{1,9}+\z|.), in less time.
 SHINGLE = r"(?s)(?=(.{1,9}+))(?:[^ \t\n\x0B\f\r]{1,8}+(?:[ \t\n\x0B\f\r]|[^ \t\n\x0B\f\r]?\z)|.)"
 BANDS, DEPTH = 6, 3
+BLANKS = " \t\n\x0b\f\r"
 LINES = 1 << 31
 FEW, COUNTERS = 16, 1 << 18
 #: How many lines of its largest component a rare shingle has compared with its other lines before all pairs across components.
 HEADS = 4
 
 
+def _buckets(spark: SparkSession) -> int:
+    """As many as a shuffle has partitions, so that a join takes the buckets as they are."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _points() -> list[int]:
     """Where the bands begin: equal steps around the signed 64-bit circle."""
     return [-(1 << 63) + (2 * i + 1) * (1 << 64) // (2 * BANDS) for i in range(BANDS)]
@@ -55,7 +61,7 @@ def _signature(hashes: Column, places: Column, i: int) -> Column:
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no (from 0), line and its hash of every line that is not blank, of rows with an id."""
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"\S")).select("doc_id", "line_no", "line", F.xxhash64("line").alias("same"))
+    return lines.where(F.ltrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", "line", F.xxhash64("line").alias("same"))
 
 
 def _place(doc_id: Column, line_no: Column) -> Column:
@@ -73,7 +79,8 @@ def _doc_id(place: Column) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the Jaccard."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    looked_up = [sets.select(F.col("id").alias(c), F.col("h").alias(f"h{c}")).hint("shuffle_hash") for c in ("a", "b")]
+    both = pairs.join(looked_up[0], "a").join(looked_up[1], "b")
     counted = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     return counted.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
@@ -204,21 +211,24 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     empty table gives an empty result.
     """
     lines = split_lines(docs, id_col, text_col)
-    hashed = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "same", shingles(F.col("line")).alias("h"))
+    placed = lines.select(F.col("same").alias("id"), "line", _place(F.col("doc_id"), F.col("line_no")).alias("place"))
+    # each line is moved once, to the bucket of its hash; what is read by that hash later needs no other shuffle
+    apart = placed.repartition(_buckets(docs.sparkSession), "id").groupBy("id", "line").agg(F.min("place").alias("place"), F.count("*").alias("c"))
+    hashed = apart.withColumn("h", shingles(F.col("line")))
     # sort_array sorts numbers as such; array_sort would compare them one by one through an expression
     ordered = hashed.withColumn("places", F.sort_array(F.concat("h", F.array(*[F.lit(p) for p in _points()]))))
-    signed = ordered.select("place", "same", F.size("h").alias("n"), *[_signature(F.col("h"), F.col("places"), i).alias(f"b{i}") for i in range(BANDS)])
-    classes = materialize(signed.groupBy(F.col("same").alias("id")).agg(F.min("place").alias("place"), F.count("*").alias("c"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
-    members = classes.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
-    shared = members.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
+    classes = bucketed(ordered.select("id", "line", "place", "c", F.size("h").alias("n"), *[_signature(F.col("h"), F.col("places"), i).alias(f"b{i}") for i in range(BANDS)]), "id", _buckets(docs.sparkSession))
+    # two lines alone in a band need no look at their sets if their sizes exclude the Jaccard; the join reads the same shuffle as the sizes
+    members = classes.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band")).repartition("band")
+    shared = members.groupBy("band").agg(F.min("id").alias("first"), F.count("n").alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"c > 2 or c = 2 and 100 * low >= {percent} * high").select("band", "first")
     # what is looked up has each key once, so it is hashed and the many rows need not be sorted
     hits = materialize(members.join(shared.hint("shuffle_hash"), "band").select("band", "id", "n", "first"))
-    wanted = lines.select(F.col("same").alias("id"), "line").join(hits.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    wanted = classes.select("id", "line").join(hits.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
     sets = materialize(wanted.select("id", shingles(F.col("line")).alias("h")))
     parts = _linked(hits, sets, percent)
     grouped = classes.select("id", "place").join(parts.withColumnRenamed("node", "id"), "id")
     first = grouped.groupBy("component").agg(F.min("place").alias("keeper"))
-    merged = grouped.join(first, "component").select(F.col("id").alias("same"), "keeper")
+    merged = parts.join(first, "component").select(F.col("node").alias("same"), "keeper")
     repeated = classes.where("c > 1").join(parts, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("same"), F.col("place").alias("keeper"))
     keepers = merged.unionByName(repeated).select("same", _doc_id(F.col("keeper")).alias("keeper_doc_id"), _line_no(F.col("keeper")).alias("keeper_line_no"))
     # lines that are alone in their component need no partner here

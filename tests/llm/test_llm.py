@@ -480,3 +480,30 @@ def test_keepers_are_looked_up_without_a_sort(spark):
     lines = line_dedup.line_components(spark.createDataFrame([(1, "one line\nand another")], "doc_id long, text string"))
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=shuffle_hash" in plan
+
+
+def test_lines_are_moved_once_and_only_those_of_like_size_are_looked_at(spark, monkeypatch):
+    rng = random.Random(17)
+    short = [[f"{rng.randrange(1 << 40):x}" for _ in range(20)] for _ in range(20)]
+    long = [[*x, *(f"{rng.randrange(1 << 40):x}" for _ in range(10))] for x in short]
+    near = [[*x[:-1], "changed"] for x in short[:5]]
+    frames, plain, hits = {}, line_dedup.materialize, []
+
+    def written(df):
+        frames[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df)
+
+    def linked(found, sets, percent):
+        hits.extend(r.id for r in found.select("id").distinct().collect())
+        return linked_plain(found, sets, percent)
+
+    linked_plain = line_dedup._linked
+    monkeypatch.setattr(line_dedup, "materialize", written)
+    monkeypatch.setattr(line_dedup, "_linked", linked)
+    texts = [" ".join(x) for x in short[5:] + long[5:]] + ["\n".join(" ".join(x) for x in pair) for pair in zip(short, near, strict=False)]
+    got = line_dedup.line_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(r.kept for r in got) == 35 and len(got) == 40
+    # a line and one half as long again share a band as a rule, but cannot be alike
+    assert len(hits) <= 10
+    # the shingles that are compared come from the buckets, without another shuffle of the lines
+    assert "Bucketed: true" in frames["id", "h"]
