@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planaudit.operators.geometry import points_in_polygons
+from planaudit.operators import tiles
+from planaudit.operators.geometry import boxed, nearest_targets
 from planaudit.operators.text import normalize_labels, numbers
 from planaudit.sources.shared import written
 
@@ -149,14 +151,33 @@ def draft_rules(clauses: DataFrame) -> DataFrame:
     return rows.select("clause_id", "applies_to", "inputs", logic.alias("logic_expression"), F.when(ready & op.isin(">", ">=", "<", "<="), cases).alias("test_cases"), missing.alias("missing"))
 
 
+def _held(texts: pa.Table, rooms: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts and of the first room that each lies in."""
+    order = tiles.in_order(rooms, ["space_idx", "space_id", "room_label"])
+    at, rings = tiles.boxes(texts), tiles.rings(rooms)
+    rings = [rings[k] for k in order]
+    shaped = np.array([r is not None for r in rings])
+
+    def check(q: np.ndarray, i: np.ndarray) -> np.ndarray:
+        ok = ~shaped[i]
+        q, i = q[~ok], i[~ok]
+        ok[~ok] = tiles.inside([rings[k] for k in i], at[0, q], at[1, q])
+        return ok
+
+    found = tiles.first_over(at, tiles.column(texts, "_page"), tiles.boxes(rooms)[:, order], tiles.column(rooms, "_page")[order], check if shaped.any() else None)
+    held = np.flatnonzero(found >= 0)
+    return held, order[found[held]]
+
+
 def ocr_diagnostics(texts: DataFrame, rooms: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Texts with the room they lie in and the reasons to review them, and the counts of each page.
 
     texts: keys, text_idx, text, confidence, x, y; rooms: keys, space_id, space_idx, polygon, label. The first room by
     space_idx takes the text. Reasons: label_conflict, unbound_high_confidence_label, low_confidence_label.
     """
-    named = rooms.select(*keys, "space_id", "space_idx", "polygon", F.col("label").alias("room_label"))
-    held = points_in_polygons(named, texts.select(*keys, "text_idx", "x", "y"), keys, slim=True).groupBy(*keys, "text_idx").agg(F.min(F.struct("space_idx", "space_id", "room_label")).alias("r"))
+    named = boxed(rooms.select(*keys, "space_id", "space_idx", "polygon", F.col("label").alias("room_label")))
+    points = texts.select(*keys, "text_idx", *[c.cast("double").alias(n) for n, c in tiles.point("x", "y").items()])
+    held = tiles.meet(points, named, keys, _held, ["space_idx", "space_id", "room_label"]).groupBy(*keys, "text_idx").agg(F.min(F.struct("space_idx", "space_id", "room_label")).alias("r"))
     rows = texts.join(held, [*keys, "text_idx"], "left").withColumn("label", normalize_labels(F.col("text"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     low, bound = F.col("confidence") < LOW, F.col("r").isNotNull()
     reasons = F.array(
