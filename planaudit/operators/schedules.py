@@ -5,29 +5,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _matches(rooms: DataFrame, schedule: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries with the rooms they match: by room id, else by label to every such room."""
-    by_id = schedule.where("room_id is not null").join(rooms.select(*keys, "room_id"), [*keys, "room_id"])
-    by_label = schedule.where("room_id is null").drop("room_id").join(rooms.select(*keys, "room_id", "label"), [*keys, "label"])
-    return by_id.unionByName(by_label)
+def apply_room_schedule(rooms: DataFrame, schedule: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:
+    """An entry matches by room id, else by label every such room; later non-null values win, property by property; a room without one keeps its own.
 
+    Of the entries of one id or one label, the last value of each property meets the rooms, however many there are.
+    """
 
-def apply_room_schedule(rooms: DataFrame, schedule: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:
-    """Later non-null values win, property by property; a room without one keeps its own."""
-    last = [F.max_by(p, F.when(F.col(p).isNotNull(), F.col("entry_idx"))).alias(f"_{p}") for p in properties]
-    new = _matches(rooms, schedule, keys).groupBy(*keys, "room_id").agg(*last)
-    both = rooms.join(new, [*keys, "room_id"], "left")
-    return both.withColumns({p: F.coalesce(f"_{p}", p) for p in properties}).drop(*[f"_{p}" for p in properties])
+    def last(rows: DataFrame, by: str, entry: Callable[[str], tuple[Column, Column]]) -> DataFrame:
+        found = [F.max_by(F.struct(idx.alias("idx"), v.alias("v")), F.when(v.isNotNull(), idx)).alias(f"_{p}") for p in properties for idx, v in [entry(p)]]
+        return rows.groupBy(*keys, by).agg(*found)
+
+    def given(p: str) -> tuple[Column, Column]:
+        return F.col("entry_idx"), F.col(p)
+
+    def found(p: str) -> tuple[Column, Column]:
+        return F.col(f"_{p}.idx"), F.col(f"_{p}.v")
+
+    by_id = last(schedule.where("room_id is not null"), "room_id", given)
+    by_label = last(schedule.where("room_id is null"), "label", given)
+    new = by_id.unionByName(rooms.select(*keys, "room_id", "label").join(by_label, [*keys, "label"]).drop("label"))
+    both = rooms.join(last(new, "room_id", found), [*keys, "room_id"], "left")
+    return both.withColumns({p: F.coalesce(f"_{p}.v", p) for p in properties}).drop(*[f"_{p}" for p in properties])
 
 
 def room_schedule_audit(rooms: DataFrame, schedule: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:
-    """Per entry of a schedule matched, unmatched or empty (matched, but no property), and the number of rooms."""
+    """Per entry of a schedule matched, unmatched or empty (matched, but no property), and the number of rooms.
+
+    Rooms are counted by id and by label, and entries meet these counts.
+    """
     entry = [*keys, "entry_idx"]
-    hits = _matches(rooms, schedule, keys).groupBy(*entry).agg(F.count("*").alias("n"))
+    matched = [schedule.where(named).join(rooms.groupBy(*keys, by).agg(F.count("*").alias("n")), [*keys, by]).select(*entry, "n") for by, named in (("room_id", "room_id is not null"), ("label", "room_id is null"))]
+    hits = matched[0].unionByName(matched[1]).groupBy(*entry).agg(F.sum("n").alias("n"))
     bare = F.coalesce(*[F.col(p).cast("string") for p in properties]).isNull()
     rows = schedule.withColumn("_bare", bare).select(*entry, "_bare").join(hits, entry, "left")
     status = F.when(F.col("n").isNull(), "unmatched").when(F.col("_bare"), "empty").otherwise("matched")

@@ -69,6 +69,38 @@ def test_room_schedule_precedence(spark):
     assert [(r.project_id, r.n_rooms, r.status) for r in audit] == [("A", 2, "matched"), ("A", 1, "matched"), ("A", 1, "empty"), ("B", 0, "unmatched")]
 
 
+def test_labels_of_many_rooms_and_entries_are_not_paired(spark):
+    rooms = spark.range(400).selectExpr("'A' AS project_id", "id AS room_id", "if(id = 399, 'hall', 'bath') AS label", "cast(null AS double) AS h", "1.5D AS w")
+    entries = spark.range(300).selectExpr("'A' AS project_id", "id AS entry_idx", "if(id % 100 = 7, id, null) AS room_id", "'bath' AS label", "if(id < 250, cast(id AS double), null) AS h", "if(id = 3, 9D, null) AS w")
+    got = schedules.apply_room_schedule(rooms, entries, ["project_id"], ["h", "w"])
+    assert {(r.room_id, r.h, r.w) for r in got.collect()} == {(k, 249.0, 9.0) for k in range(399)} | {(399, None, 1.5)}
+    first = schedules.apply_room_schedule(rooms, entries.where("entry_idx <= 207"), ["project_id"], ["h", "w"])
+    assert {r.room_id: r.h for r in first.collect() if r.h != 206.0} == {207: 207.0, 399: None}
+    audit = schedules.room_schedule_audit(rooms, entries, ["project_id"], ["h", "w"])
+    assert {(r.n_rooms, r.status): 0 for r in audit.collect()}.keys() == {(399, "matched"), (399, "empty"), (1, "matched")}
+    # entries meet rooms after they are brought to one row for each label
+    for df in (got, audit):
+        joins = _joined_rows(df)
+        assert joins and max(joins) <= 400, joins
+
+
+def _joined_rows(df):
+    """Rows that each join of an executed plan has returned."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            found += [node.metrics().apply("numOutputRows").value()] if "Join" in name else []
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
 def test_stair_schedules_stay_in_their_project(spark):
     stairs = spark.createDataFrame([("A", "s1", None), ("B", "s1", None)], "project_id string, stair_id string, tread_m double")
     rows = [("A", 0, "s1", 0, 0.3), ("B", 0, "s2", 1, None), ("B", 1, "s2", 1, 0.2), ("B", 2, "s9", 0, 0.1)]
