@@ -77,7 +77,7 @@ def source_coverage(clauses: DataFrame, page_texts: DataFrame) -> DataFrame:
     clauses: clause_id (code-path, as STD-5.5.27), source, clause_text, paraphrase; page_texts: source, page_index, text.
     The body starts at the heading, a line that begins with the path, and ends before the next sibling, else before the
     next section, on the first page that has either; pages between are whole. The last part of the clause's own path is
-    no number of the body. A clause without a body gives no row. Paths are of ASCII letters, digits and dots, and none
+    no number of the body, unless the body states it beside its mentions of the path. A clause without a body gives no row. Paths are of ASCII letters, digits and dots, and none
     is looked for across the end of a page.
 
     Every page is searched once for all that may be a section number; these marks, not texts, meet the clauses. The end
@@ -118,8 +118,10 @@ def source_coverage(clauses: DataFrame, page_texts: DataFrame) -> DataFrame:
     piece = F.substring("text", F.col("c.low") + 1, F.coalesce("c.high", F.length("text")) - F.col("c.low"))
     pieces = pieces.select("c.clause_id", "page_index", piece.alias("t"))
     body = pieces.groupBy("clause_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "t"))), lambda v: v["t"]), "").alias("body"))
-    own = F.array(leaf.cast("double"))
-    rows = body.where("body <> ''").join(wanted.select("clause_id", "clause_text", "parts"), "clause_id")
+    mention = F.concat(F.lit(r"(?<![0-9A-Za-z.])\Q"), F.col("path"), F.lit(r"\E(?![0-9])"))
+    stated = numbers(F.regexp_replace(F.col("body"), mention, F.lit(" ")), "clause")
+    own = F.array(F.when(~F.array_contains(stated, leaf.cast("double")), leaf.cast("double")))
+    rows = body.where("body <> ''").join(wanted.select("clause_id", "clause_text", "path", "parts"), "clause_id")
     rows = rows.withColumn("b", F.array_except(numbers(F.col("body"), "clause"), own)).withColumn("c", numbers(F.col("clause_text"), "clause"))
     only = [F.array_sort(F.array_except(a, b)).alias(name) for a, b, name in (("b", "c", "source_only"), ("c", "b", "text_only"))]
     return rows.select("clause_id", *only, F.length("body").alias("body_chars"))

@@ -116,6 +116,14 @@ def test_source_body_spans_pages_and_ends_at_the_next_heading(spark):
     assert [(r.clause_id, r.source_only, r.text_only) for r in got] == [("STD-5.5.27", [0.9, 3.0, 5.5, 900.0], [])]
 
 
+def test_the_last_part_of_a_path_counts_where_the_body_states_it(spark):
+    clauses = spark.createDataFrame([(f"STD-7.2.{k}", "b", said, True) for k, said in ((112, "at least 113"), (113, "at least 9"), (114, "at least 114"))], "clause_id string, source string, clause_text string, paraphrase boolean")
+    bodies = ["\n7.2.112 needs 112 of it, see 17.2.112", "\n7.2.113 needs 5, as 7.2.113 says", "\n7.2.114 needs 114"]
+    got = drafting.source_coverage(clauses, spark.createDataFrame([("b", k, t) for k, t in enumerate(bodies)], "source string, page_index int, text string"))
+    want = {"STD-7.2.112": ([7.2, 17.2, 112.0], [113.0]), "STD-7.2.113": ([5.0, 7.2], [9.0]), "STD-7.2.114": ([7.2], [])}
+    assert {r.clause_id: (r.source_only, r.text_only) for r in got.collect()} == want
+
+
 def _body(path, pages):
     """Of the pages of a source, in order: the text from the heading to the next sibling or section."""
     parts = path.split(".")
