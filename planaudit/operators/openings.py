@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from planaudit.operators.geometry import points_in_polygons, polygon_edges
+from planaudit.operators import tiles
+from planaudit.operators.geometry import boxed, polygon_edges
 
 # Distance and share of an adjacent boundary, step off a bridge, confidences, default sizes in metres.
 NEAR, COVER, STEP = 0.5, 0.5, 0.5
@@ -78,21 +78,65 @@ def length_beside(rings: list[np.ndarray], x0: np.ndarray, y0: np.ndarray, x1: n
     low, high = np.where(beside, np.minimum(low, s), low), np.where(beside, np.maximum(high, t), high)
     low, high = np.maximum(low, 0), np.minimum(high, length[rows])
     kept = high > low
-    # each row's intervals stand on a stretch of their own, so one running maximum serves all rows
-    stretch = (length.max() + 1) * rows[kept]
-    low, high, rows = low[kept] + stretch, high[kept] + stretch, rows[kept]
-    order = np.argsort(low, kind="stable")
+    low, high, rows = low[kept], high[kept], rows[kept]
+    order = np.lexsort((low, rows))
     low, high, rows = low[order], high[order], rows[order]
-    before = np.concatenate([[-np.inf], np.maximum.accumulate(high)[:-1]]) if len(high) else high
+    # one running maximum of row and rank serves all rows, and a row's length does not depend on the others
+    ends = np.sort(high)
+    top = np.maximum.accumulate(rows * max(len(rows), 1) + np.searchsorted(ends, high))[:-1]
+    before = np.full(len(rows), -np.inf)
+    before[1:] = np.where(top // max(len(rows), 1) == rows[1:], ends[top % max(len(rows), 1)], -np.inf)
     return np.bincount(rows, np.maximum(high - np.maximum(low, before), 0), len(rings))
 
 
-@F.arrow_udf(T.DoubleType())
-def _covered(polygon: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
-    flat = polygon.flatten()
-    points = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
-    rings = np.split(points, np.cumsum(polygon.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1])
-    return pa.array(length_beside(rings, *[c.to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1)]))
+def _beside(probes: pa.Table, spaces: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of probes and of the first space that counts for each.
+
+    Across a box, an axis-parallel bridge meets its two ends only, 2 * NEAR each; a longer one has an edge of the box
+    beside it, so it meets two thin boxes around those edges.
+    """
+    order = tiles.in_order(spaces, ["rank", "space_idx", "space_id"])
+    page, space_page, held, rings = tiles.column(probes, "_page"), tiles.column(spaces, "_page")[order], tiles.boxes(spaces)[:, order], tiles.rings(spaces)
+    rings = [rings[k] for k in order]
+    shaped = np.array([r is not None for r in rings])
+    corners = held[[0, 1, 2, 1, 2, 3, 0, 3]].T.reshape(-1, 4, 2)
+    rings = [r if r is not None else corners[k] for k, r in enumerate(rings)]
+    x0, y0, x1, y1, length = (tiles.column(probes, c) for c in ("x0", "y0", "x1", "y1", "len"))
+    px, py = tiles.boxes(probes)[:2]
+    found = np.full(len(page), -1)
+    long = COVER * length > 4 * NEAR
+    flat, upright = (y0 == y1) & long, (x0 == x1) & long
+    for use, axis in ((flat, 1), (upright, 0), (~(flat | upright), None)):
+        rows = np.flatnonzero(use)
+        if not len(rows):
+            continue
+        at, item, copies = np.stack([px, py, px, py])[:, rows], held, 1
+        if axis is not None:
+            # the bridge's own place across, and boxes a little wider than NEAR; the check is exact
+            at[[axis, axis + 2]] = (y0 if axis else x0)[rows]
+            copies, item = 2, np.repeat(held, 2, axis=1)
+            for k in (0, 1):
+                edge = held[axis + 2 * k]
+                item[axis, k::2] = np.where(shaped, held[axis] - 2 * NEAR if k == 0 else np.inf, edge - 1.01 * NEAR)
+                item[axis + 2, k::2] = np.where(shaped, held[axis + 2] + 2 * NEAR if k == 0 else -np.inf, edge + 1.01 * NEAR)
+
+        def check(q: np.ndarray, i: np.ndarray, rows: np.ndarray = rows, axis: int | None = axis, copies: int = copies) -> np.ndarray:
+            q, i = rows[q], i // copies
+            ok = (px[q] >= held[0, i]) & (px[q] <= held[2, i]) & (py[q] >= held[1, i]) & (py[q] <= held[3, i])
+            if axis is not None:
+                c = (y0 if axis else x0)[q]
+                ok &= shaped[i] | (np.minimum(np.abs(c - held[axis, i]), np.abs(c - held[axis + 2, i])) <= NEAR)
+            some = np.flatnonzero(ok & shaped[i])
+            ok[some] = tiles.inside([rings[k] for k in i[some]], px[q[some]], py[q[some]])
+            some = np.flatnonzero(ok)
+            q, i = q[some], i[some]
+            ok[some] = length_beside([rings[k] for k in i], x0[q], y0[q], x1[q], y1[q]) >= COVER * length[q]
+            return ok
+
+        best = tiles.first_over(at, page[rows], item, np.repeat(space_page, copies), check)
+        found[rows] = np.where(best >= 0, best // copies, -1)
+    hit = np.flatnonzero(found >= 0)
+    return hit, order[found[hit]]
 
 
 def classify_sides(bridges: DataFrame, spaces: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,15 +151,10 @@ def classify_sides(bridges: DataFrame, spaces: DataFrame, keys: list[str]) -> Da
     off = {c: F.try_divide(d, F.col("len")) * F.col("side") * STEP for c, d in (("px", -dy), ("py", dx))}
     rows = rows.withColumn("px", (F.col("x0") + F.col("x1")) / 2 + off["px"]).withColumn("py", (F.col("y0") + F.col("y1")) / 2 + off["py"])
     rank = F.when(F.col("kind") == "room", 0).when(F.col("kind") == "corridor", 1).otherwise(2)
-    held = spaces.select(*keys, "space_id", F.struct(rank.alias("rank"), "space_idx").alias("order"), "polygon")
-    near = points_in_polygons(held, rows, keys, "px", "py")
-    # across a box an axis-parallel bridge meets its two ends only, 2 * NEAR each
-    flat, upright = F.col("y0") == F.col("y1"), F.col("x0") == F.col("x1")
-    gap = {axis: F.least(F.abs(F.col(f"{axis}0") - F.col(f"_b.{axis}0")), F.abs(F.col(f"{axis}0") - F.col(f"_b.{axis}1"))) for axis in "xy"}
-    side = F.when(flat, gap["y"]).when(upright, gap["x"]).otherwise(0.0)
-    near = near.where(~F.col("_box") | (side <= NEAR) | (F.col("len") <= 4 * NEAR))
-    near = near.where(_covered("polygon", "x0", "y0", "x1", "y1") >= COVER * F.col("len"))
-    best = near.groupBy(*keys, "bridge_id", "side").agg(F.min(F.struct("order.rank", "order.space_idx", "space_id")).alias("b"))
+    held = boxed(spaces.select(*keys, "space_id", rank.alias("rank"), "space_idx", "polygon"))
+    probes = rows.select(*keys, "bridge_id", "side", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "len")], *[c.alias(n) for n, c in tiles.point("px", "py").items()]).where("len is not null")
+    near = tiles.meet(probes, held, keys, _beside, ["rank", "space_idx", "space_id"])
+    best = near.groupBy(*keys, "bridge_id", "side").agg(F.min(F.struct("rank", "space_idx", "space_id")).alias("b"))
     both = rows.select(*keys, "bridge_id", "side").join(best, [*keys, "bridge_id", "side"], "left")
     kind = F.when(F.col("b").isNull(), "exterior").when(F.col("b.rank") == 2, "filtered").otherwise("surviving")
     return both.select(*keys, "bridge_id", "side", kind.alias("kind"), F.when(kind == "surviving", F.col("b.space_id")).alias("space_id"))
