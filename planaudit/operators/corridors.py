@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planaudit.operators.geometry import merge_intervals, on_boundary, points_in_polygons
+from planaudit.operators import tiles
+from planaudit.operators.geometry import boxed, merge_intervals
 
 # Tolerance of a level, shares of span, fill and overlap, crossing share and edge margin.
 Y_TOL = 3.0
@@ -67,6 +68,25 @@ def chords(segments: DataFrame, extents: DataFrame, keys: list[str], ids: list[s
     return sums.where(long).select(*by, "y", "x_min", "x_max", "span")
 
 
+def _hosts(middles: pa.Table, rooms: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of points and of the first room that each lies strictly in."""
+    order = tiles.in_order(rooms, ["space_idx", "space_id"])
+    at, held, rings = tiles.boxes(middles), tiles.boxes(rooms)[:, order], tiles.rings(rooms)
+    rings = [rings[k] for k in order]
+    shaped = np.array([r is not None for r in rings])
+
+    def check(q: np.ndarray, i: np.ndarray) -> np.ndarray:
+        x, y = at[0, q], at[1, q]
+        ok = (x > held[0, i]) & (x < held[2, i]) & (y > held[1, i]) & (y < held[3, i])
+        some = np.flatnonzero(ok & shaped[i])
+        ok[some] = tiles.inside([rings[k] for k in i[some]], x[some], y[some], edge=False)
+        return ok
+
+    found = tiles.first_over(at, tiles.column(middles, "_page"), held, tiles.column(rooms, "_page")[order], check)
+    hit = np.flatnonzero(found >= 0)
+    return hit, order[found[hit]]
+
+
 def band_candidates(chord: DataFrame, rooms: DataFrame, keys: list[str], width: tuple[float, float], remnant: float) -> DataFrame:
     """Bands between two chords a corridor's width apart whose middle lies strictly inside a room with space on both sides.
 
@@ -81,11 +101,11 @@ def band_candidates(chord: DataFrame, rooms: DataFrame, keys: list[str], width:
     pairs = pairs.withColumn("x0", F.greatest("l0", "h0")).withColumn("x1", F.least("l1", "h1"))
     pairs = pairs.where((F.col("x1") > F.col("x0")) & (F.col("x1") - F.col("x0") >= OVERLAP_FRAC * F.greatest("ls", "hs")))
     pairs = pairs.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y_lo") + F.col("y_hi")) / 2)
-    hosts = rooms.select(*keys, "space_id", "space_idx", "polygon")
-    inside = points_in_polygons(hosts, pairs, keys, "cx", "cy").where(~on_boundary(F.col("polygon"), F.col("cx"), F.col("cy")))
     band = [*keys, "x0", "x1", "y_lo", "y_hi"]
-    found = inside.groupBy(*band).agg(F.min_by(F.struct("space_id", "_b"), "space_idx").alias("h"))
-    roomy = (F.col("y_lo") - F.col("h._b.y0") >= remnant) & (F.col("h._b.y1") - F.col("y_hi") >= remnant)
+    middles = pairs.select(*band, *[c.alias(n) for n, c in tiles.point("cx", "cy").items()]).distinct()
+    inside = tiles.meet(middles, boxed(rooms.select(*keys, "space_id", "space_idx", "polygon")), keys, _hosts, ["space_idx", "space_id", "_y0", "_y1"])
+    found = inside.groupBy(*band).agg(F.min(F.struct("space_idx", "space_id", "_y0", "_y1")).alias("h"))
+    roomy = (F.col("y_lo") - F.col("h._y0") >= remnant) & (F.col("h._y1") - F.col("y_hi") >= remnant)
     return found.where(roomy).select(*band, F.col("h.space_id").alias("host_id"))
 
 
